@@ -22,6 +22,8 @@ from .shared import keep
 
 #: Cells of the fractional rank: their table of counts is this long at every size of input.
 FRACTION_CELLS = 4096
+#: A source has 2 ** HASH_BITS cells of the hash at most, which share its rows evenly.
+HASH_BITS = 10
 
 
 def starts(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -30,19 +32,16 @@ def starts(counts: DataFrame, by: list[str], order: str) -> DataFrame:
     return counts.withColumn("start", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count"))
 
 
-def stratified_shards(rows: DataFrame, stratum: str, key: list[str], shards: int = 8, seed: int = 17, cell_rows: int = 20_000) -> DataFrame:
+def stratified_shards(rows: DataFrame, stratum: str, key: list[str], shards: int = 8, seed: int = 17) -> DataFrame:
     """``rows`` with ``shard`` (int) and ``slot`` (long, from 0 in each shard).
 
     ``key``: columns that tell rows apart; rows equal in all of them are interchangeable.
     """
     own = rows.withColumns({"_s": F.struct(F.col(stratum).isNull(), F.col(stratum)), "_h": F.xxhash64(F.lit(seed), *key)})
-    per = own.groupBy("_s").agg(F.count("*").alias("_n"))
-    # A cell is the hash's leading bits: 2**20 fine cells, merged until about cell_rows rows share one.
-    own = own.join(per, "_s").withColumn("_cell", F.floor(F.shiftrightunsigned("_h", 44) * F.ceil(F.col("_n") / cell_rows) / F.lit(1 << 20)))
-    own = keep(own, "hashed")
-    cells = starts(own.groupBy("_s", "_cell").count(), ["_s"], "_cell").select("_s", "_cell", "start")
+    own = keep(own.withColumn("_cell", F.shiftrightunsigned("_h", 64 - HASH_BITS)), "hashed")
+    cells = starts(own.groupBy("_s", "_cell").count(), ["_s"], "_cell").withColumn("_n", F.sum("count").over(Window.partitionBy("_s"))).drop("count")
     order = [F.shiftrightunsigned("_h", 1), "_h", *key]
-    w = Window.partitionBy("_s", "_cell").orderBy(F.shiftrightunsigned("_h", 44), *order)
+    w = Window.partitionBy("_s", "_cell").orderBy(*order)
     ranked = own.join(cells, ["_s", "_cell"]).withColumn("_rank", F.row_number().over(w) + F.col("start")).drop("start", "_cell")
     ranked = ranked.withColumn("_f", (F.col("_rank") - 0.5) / F.col("_n"))
     ranked = keep(ranked.withColumn("_cell", F.floor(F.col("_f") * FRACTION_CELLS)), "ranked")
