@@ -52,7 +52,7 @@ def seeded_uniform(seed: int, *key: Column) -> Column:
     return (bits.cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted: Column, key: list[str], seed: int = 29, cell_words: int = 5_000_000) -> DataFrame:
+def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted: Column, key: list[str], seed: int = 29, cells: int = 1024) -> DataFrame:
     """``rows`` with ``copies`` (long), so that each source's size times copies comes near ``target``.
 
     ``wanted``: how many times each row is wanted; its whole part is allocated, the rest sampled.
@@ -62,18 +62,16 @@ def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted:
     own = own.withColumn("_whole", F.floor("_wanted")).withColumn("_p", F.col("_wanted") - F.col("_whole"))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     own = keep(own.withColumn("_q", F.when((F.col("_p") > 0) & (F.col(size) > 0), odds)), "odds")
-    whole = own.groupBy("_src").agg(F.sum(F.col("_whole") * F.col(size)).alias("_certain"), F.sum(size).alias("_words"))
-    own = own.join(whole, "_src")
-    # q / (1 + q) lies in (0, 1) and grows with q.
-    cells = F.ceil(F.col("_words") / cell_words)
-    drawn = own.where("_q is not null").withColumn("_cell", F.floor(F.col("_q") / (1 + F.col("_q")) * cells))
-    sums = starts(drawn.groupBy("_src", "_cell").agg(F.sum(size).alias("count")), ["_src"], "_cell").select("_src", "_cell", "start")
+    # q / (1 + q) lies in (0, 1) and grows with q; undrawn rows have a cell of their own, which isn't gathered.
+    own = own.withColumn("_cell", F.coalesce(F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * cells), F.lit(cells - 1)), F.lit(-1)))
+    sums = own.groupBy("_src", "_cell").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col(size)).otherwise(0)).alias("count"), F.sum(F.col("_whole") * F.col(size)).alias("_certain"))
+    sums = starts(sums, ["_src"], "_cell").withColumn("_certain", F.sum("_certain").over(Window.partitionBy("_src"))).drop("count")
     w = Window.partitionBy("_src", "_cell").orderBy("_q", *key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = drawn.join(sums, ["_src", "_cell"]).withColumn("_to", F.sum(size).over(w) + F.col("start"))
+    drawn = own.where("_q is not null").join(sums, ["_src", "_cell"]).withColumn("_to", F.sum(size).over(w) + F.col("start"))
     take = F.col("_to") - F.col(size) / 2 <= F.col(target) - F.col("_certain")
-    drawn = drawn.withColumn("copies", F.col("_whole") + take.cast("long")).drop("_cell", "start", "_to")
+    drawn = drawn.withColumn("copies", F.col("_whole") + take.cast("long")).drop("start", "_to", "_certain")
     rest = own.where("_q is null").withColumn("copies", F.col("_whole"))
-    return drawn.unionByName(rest).drop("_src", "_wanted", "_u", "_whole", "_p", "_q", "_certain", "_words")
+    return drawn.unionByName(rest).drop("_src", "_wanted", "_u", "_whole", "_p", "_q", "_cell")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 29) -> DataFrame:
