@@ -14,7 +14,8 @@ Joining.  Sets that share a posted n-gram, directly or by others, form a block.
 stored in a trie (sorted sets with the lengths of their common prefixes); each set walks it, carries the
 overlap and the misses of a shared path to all sets below it, leaves a subtree when its misses exceed what
 the remaining length allows, and skips sets that are already connected.  Blocks of more than ``chunk`` sets
-are cut: all chunks meet the first chunk, then every set outside the largest component found so meets all.
+are cut by size and hash: chunks meet the first of their size band, then every set outside the largest component
+found so meets all chunks whose sizes can link with it.
 
 Defined cases.  A null or wordless text has an empty set (n_shingles 0) and is linked with nothing; a row
 without doc_id is returned with a null component.  Repeated rows are returned as often as they come.
@@ -35,14 +36,22 @@ from pyspark.sql import functions as F
 from .shared import Union, components, keep, shingle_sets
 
 
+#: Sketches hold so many n-grams beyond those a linked set may lack, if the set has them.
+SKETCH_LEAST = 64
+
+
 def least_overlap(s: int, t: int, num: int, den: int) -> int:
     """The smallest intersection with ``den * intersection >= num * union``."""
     return -(-num * (s + t) // (num + den))
 
 
 def sketch_extra(s: int, num: int, den: int) -> int:
-    """l: n-grams that a sketch holds beyond the plain prefix."""
-    return 1 + (3 * (s - -(-num * s // den))) // 4
+    """l: n-grams that a sketch holds beyond those a linked set may lack; it never falls as ``s`` grows.
+
+    Short sets are kept whole: few shared n-grams would otherwise be enough to bring them together.
+    """
+    overlap = -(-num * s // den)
+    return min(overlap, max(SKETCH_LEAST, 1 + (3 * (s - overlap)) // 4))
 
 
 class Trie:
@@ -113,13 +122,13 @@ def _sketches(n: int, num: int, den: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class representatives, a thousand and some to a row."""
+    """Class representatives, 500 to a row."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            b = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, 500):
+            b = batch.slice(at, 500)
             short = b.column("sketch").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.asarray(b.column("rep")).tobytes()]), pa.array([np.asarray(b.column("n")).tobytes()]), pa.array([np.array([len(x) // 8 for x in short]).tobytes()]), pa.array([b"".join(short)])], ["batch", "reps", "sizes", "lengths", "grams"])
             number += 1
@@ -131,7 +140,8 @@ def _send(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 grams, counts = np.unique(np.frombuffer(row["grams"], np.uint64), return_counts=True)
                 # sketches hold the smallest hashes, so parts go by mixed bits
                 part = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.int64) if parts > 1 else np.zeros(len(grams), np.int64)
@@ -159,7 +169,8 @@ def _post(parts: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 grams = np.frombuffer(row["grams"], np.uint64)
                 uniq, back = np.unique(grams, return_inverse=True)
                 part = ((uniq * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.int64) if parts > 1 else np.zeros(len(uniq), np.int64)
@@ -210,6 +221,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     ids = sets.select("doc_id", "n_shingles", "sig1", "sig2")
     reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     packed = keep(reps.select("rep", "n", "sketch").mapInArrow(_pack, "batch long, reps binary, sizes binary, lengths binary, grams binary"), "batches")
+    reps_n = ids.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).select("rep", "n").groupBy("rep").agg(F.max("n").alias("n"))
     total = packed.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
     parts = 1 << max(0, math.ceil(math.log2(total / 8_000_000 + 1e-9)))
     sent = packed.select("batch", "grams").mapInArrow(_send(parts), "part long, batch long, grams binary, counts binary")
@@ -217,15 +229,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     back = totals.groupBy("batch").agg(F.collect_list(F.struct("part", "totals")).alias("got"))
     posted = keep(packed.join(back, "batch").mapInArrow(_post(parts, num, den), "gram long, n long, rep long"), "posted")
 
-    # Chains through each posted n-gram: within salted parts of it, then through what heads these parts.
-    salted = posted.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(32)))
-    w = Window.partitionBy("gram", "salt").orderBy("n", "rep")
+    # Chains through each posted n-gram and size band (linked sets lie in one band or in neighbours; a set is
+    # posted in its own and the next): within salted parts of it, then through what heads these parts.
+    band = F.floor(F.log("n") / F.lit(math.log(den / num)))
+    salted = posted.withColumns({"band": F.explode(F.array(band, band + 1)), "salt": F.pmod(F.xxhash64("rep"), F.lit(32))})
+    w = Window.partitionBy("gram", "band", "salt").orderBy("n", "rep")
     chained = salted.withColumn("to", F.when(F.lag("n").over(w) * den >= F.col("n") * num, F.lag("rep").over(w)))
-    heads = chained.where("to is null").withColumn("to", F.lag("rep").over(Window.partitionBy("gram").orderBy("n", "rep")))
+    heads = chained.where("to is null").withColumn("to", F.lag("rep").over(Window.partitionBy("gram", "band").orderBy("n", "rep")))
     edges = chained.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")).unionAll(heads.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     members = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("block"))
     sizes = members.groupBy("block").agg(F.count("*").alias("of"))
-    members = keep(members.join(sizes, "block"), "members")
+    members = members.join(sizes, "block").join(reps_n.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
+    members = keep(members.withColumn("band", F.floor(F.log("n") / F.lit(math.log(den / num)))).drop("n"), "members")
     texts = source.dropDuplicates(["doc_id"]) if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() else source
     texts = members.join(texts, members["rep"] == texts["doc_id"]).drop("doc_id")
     texts = keep(texts, "texts")
@@ -246,24 +261,28 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def _large(texts: DataFrame, join, cols: list[str], chunk: int) -> DataFrame:
-    """Links of the blocks with more than ``chunk`` sets."""
-    n_chunks = F.ceil(F.col("of") / chunk).cast("long")
-    cut = texts.withColumns({"chunks": n_chunks, "mine": F.pmod(F.xxhash64("rep", F.lit(7)), n_chunks)})
-    to = F.when(F.col("mine") == 0, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("mine"))
-    first = cut.withColumn("other", F.explode(to))
-    first = first.withColumns({"group": F.concat_ws(":", F.lit("a"), "block", "other"), "known": F.col("rep"), "side": F.when(F.col("other") == F.col("mine"), 2).otherwise(0)})
+    """Links of the blocks with more than ``chunk`` sets, cut by size band and hash into chunks."""
+    bands = texts.groupBy("block", "band").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
+    cut = texts.join(bands, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")))
+    # Each chunk meets the first one of its band, and first chunks meet those of the next band.
+    others = F.when(F.col("mine") > 0, F.array("mine")).otherwise(F.concat(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), F.array(F.lit(-1).cast("long"))))
+    first = cut.withColumn("other", F.explode(others))
+    up = cut.where("mine = 0").withColumns({"other": F.lit(-1).cast("long"), "band": F.col("band") + 1})
+    first = first.unionByName(up).withColumns({"group": F.concat_ws(":", F.lit("a"), "block", "band", "other"), "known": F.col("rep"), "side": F.when((F.col("other") == F.col("mine")) | (F.col("other") < 0), 2).otherwise(0)})
     links = keep(join(first.select(cols)), "links")
     found = components(links)
     now = cut.join(found, F.col("rep") == found["node"], "left").withColumn("known", F.coalesce("component", "rep")).drop("node", "component")
     sizes = now.groupBy("block", "known").count()
     main = sizes.groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
     now = keep(now.join(main, "block"), "known")
-    probes = now.where("known <> main")
-    # Only chunks that hold a set outside the main component are met by the others.
-    open_chunks = probes.select("block", F.col("mine").alias("other")).distinct()
-    asks = probes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    asks = asks.withColumns({"group": F.concat_ws(":", F.lit("b"), "block", "mine", "other"), "side": F.when(F.col("mine") == F.col("other"), 2).otherwise(1)})
-    # A set outside the main component in its own chunk is stored and probes at once.
-    stored = now.join(open_chunks, "block").where((F.col("mine") != F.col("other")) | (F.col("known") == F.col("main")))
-    stored = stored.withColumns({"group": F.concat_ws(":", F.lit("b"), "block", "other", "mine"), "side": F.lit(0)})
-    return links.unionAll(join(asks.select(cols).unionAll(stored.select(cols))))
+    # What lies outside the block's largest component meets all chunks of its own and the neighbouring bands.
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    asked = now.where("known <> main").select("block", "band", "mine").distinct().withColumn("to", near)
+    asked = asked.join(bands.select("block", F.col("band").alias("to"), F.col("chunks").alias("m")), ["block", "to"])
+    asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    asked = keep(asked.withColumns({"group": F.concat_ws(":", F.lit("b"), "block", "band", "mine", "to", "other"), "self": (F.col("band") == F.col("to")) & (F.col("mine") == F.col("other"))}), "asked")
+    probes = now.where("known <> main").join(asked.select("block", "band", "mine", "group", "self"), ["block", "band", "mine"])
+    probes = probes.withColumn("side", F.when(F.col("self"), 2).otherwise(1))
+    stored = now.join(asked.select("block", F.col("to").alias("band"), F.col("other").alias("mine"), "group", "self"), ["block", "band", "mine"])
+    stored = stored.where(~F.col("self") | (F.col("known") == F.col("main"))).withColumn("side", F.lit(0))
+    return links.unionAll(join(probes.select(cols).unionAll(stored.select(cols))))
