@@ -38,6 +38,8 @@ from .shared import Union, components, keep, shingle_sets
 
 #: Sketches hold so many n-grams beyond those a linked set may lack, if the set has them.
 SKETCH_LEAST = 64
+#: Up to so many rows of five numbers (about 100 MB) are broadcast; their count is taken first.
+BROADCAST_ROWS = 2_000_000
 
 
 def least_overlap(s: int, t: int, num: int, den: int) -> int:
@@ -242,10 +244,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     members = members.join(sizes, "block").join(reps_n.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
     members = keep(members.withColumn("band", F.floor(F.log("n") / F.lit(math.log(den / num)))).drop("n"), "members")
     texts = source.dropDuplicates(["doc_id"]) if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() else source
-    texts = members.join(texts, members["rep"] == texts["doc_id"]).drop("doc_id")
+    # Few members go to where the texts are; more of them, and all texts meet by doc_id.
+    few = members.count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(members) if few else members, members["rep"] == texts["doc_id"]).drop("doc_id")
     texts = keep(texts, "texts")
     chars, large = texts.agg(F.sum(F.length("text")), F.max("of")).first()
-    join = lambda t: t.groupBy("group").applyInArrow(_join_block(n, num, den), "a long, b long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # By number, as AQE would gather small groups, which are much work, in one task.
+    join = lambda t: t.repartition(tasks, "group").groupBy("group").applyInArrow(_join_block(n, num, den), "a long, b long")
     cols = ["group", "block", "rep", "side", "known", "text"]
     groups = max(1, (chars or 0) // group_chars)
     small = texts.where(F.col("of") <= chunk).withColumns({"group": F.pmod(F.xxhash64("block"), F.lit(groups)).cast("string"), "side": F.lit(2), "known": F.col("rep")})
