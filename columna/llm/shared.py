@@ -59,7 +59,7 @@ def keep(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
+def pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
     """The column in runs of about ``most`` bytes; a longer text is a run of its own."""
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
