@@ -214,20 +214,20 @@ def chi2_test(observed: DataFrame, row: str, col: str, count: str | None = None,
     ``p`` is 1 - GammaCDF(chi2, df / 2) at scale 1; ``textbook`` takes scale 2, the true distribution.
     """
     n = F.sum(count) if count else F.count("*")
-    cell = observed.groupBy(row, col).agg(n.cast("double").alias("o"))
-    r, c = cell.groupBy(row).agg(F.sum("o").alias("r")), cell.groupBy(col).agg(F.sum("o").alias("c"))
-    total = r.agg(F.sum("r").alias("t"), F.count("*").alias("nr")).crossJoin(c.agg(F.count("*").alias("nc")))
+    cell = observed.groupBy(F.col(row).alias("_a"), F.col(col).alias("_b")).agg(n.cast("double").alias("_o"))
+    r, c = cell.groupBy("_a").agg(F.sum("_o").alias("_r")), cell.groupBy("_b").agg(F.sum("_o").alias("_c"))
+    total = r.agg(F.sum("_r").alias("_t"), F.count("*").alias("_nr")).crossJoin(c.agg(F.count("*").alias("_nc")))
     # Margins are small, and their product holds the empty cells too.
-    e = F.col("r") * F.col("c") / F.col("t")
-    full = r.crossJoin(c).join(cell, [row, col], "left").crossJoin(total)
-    o = F.coalesce("o", F.lit(0.0))
-    out = full.agg(F.sum((o - e) * (o - e) / e).alias("chi2"), ((F.max("nr") - 1) * (F.max("nc") - 1) / 2.0).alias("k"))
+    e = F.col("_r") * F.col("_c") / F.col("_t")
+    full = r.crossJoin(c).join(cell, ["_a", "_b"], "left").crossJoin(total)
+    o = F.coalesce("_o", F.lit(0.0))
+    out = full.agg(F.sum((o - e) * (o - e) / e).alias("chi2"), ((F.max("_nr") - 1) * (F.max("_nc") - 1) / 2.0).alias("k"))
     return out.select("chi2", (1.0 - gamma_cdf(F.col("chi2"), F.col("k"), 2.0 if textbook else 1.0)).alias("p"))
 
 
 def anova(groups: DataFrame, group: str, column: str) -> DataFrame:
     """F over groups: unweighted grand mean, within-group squares as sample variance times n; p as for chi2_test."""
-    per = groups.groupBy(group).agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.var_samp(column).alias("v"))
+    per = groups.groupBy(F.col(group).alias("_g")).agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.var_samp(column).alias("v"))
     grand = per.agg(F.avg("m").alias("g"))
     sums = per.crossJoin(grand).agg(F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("b"), F.sum(F.col("v") * F.col("n")).alias("w"), F.count("*").alias("k"), F.sum("n").alias("n"))
     f = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))

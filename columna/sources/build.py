@@ -15,6 +15,8 @@ def from_cols(spark: SparkSession, cols: list[list], names: list[str] | None = N
     if len({len(c) for c in cols}) > 1:
         raise ValueError("columns differ in length")
     names = names or [f"c{i}" for i in range(len(cols))]
+    if any(isinstance(v, float) for c in cols for v in c):  # one element type: whole numbers among doubles are doubles
+        cols = [[float(v) for v in c] for c in cols]
     return Matrix.over(spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*cols, strict=True))], [POS, *names]))
 
 
