@@ -87,6 +87,8 @@ class Crf:
 
     def mean_marginals(self, texts: pa.Array, most_words: int = 400_000) -> np.ndarray:
         """For each text the mean over its words of each language's probability."""
+        if not self.langs:
+            return np.zeros((len(texts), 0))
         row, word, kinds = distinct_words(texts)
         potential = self.emissions(kinds)
         potential = np.exp(potential - potential.max(1, keepdims=True)) if len(potential) else potential
@@ -238,7 +240,7 @@ def _predict(model: Crf):
 def _predicted(model: Crf, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     text, letter = batch.column("text"), np.asarray(batch.column("letter"))
     best, score = np.zeros(len(text), np.int64), np.zeros(len(text))
-    for at, part in pieces(text, 12_000_000):
+    for at, part in pieces(text, 4_000_000):
         mean = model.mean_marginals(part)
         if mean.shape[1]:
             best[at : at + len(part)], score[at : at + len(part)] = mean.argmax(1), mean.max(1)
