@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index, for the largest inner product.
 
-Every vector is represented by its ``prefix`` nearest pivots in order.  Pivots are a bounded sample
-(``pivots`` rows).  As nearness is the inner product, vectors get one more component that makes all lengths
+Every vector is represented by its ``prefix`` nearest pivots in order.  Pivots come from a bounded
+sample (four times ``pivots`` rows), of which those near another are left out.  As nearness is the inner product, vectors get one more component that makes all lengths
 equal to the largest, and queries a zero there; then nearest pivots, and nearest vectors, are those of the
 largest inner product.  Each pivot's inverted file posts the vectors that have it in their prefix, with the
 place.  A query reads the files of its own prefix and adds up, for each vector met, what their footrule
@@ -29,6 +29,21 @@ from .shared import keep
 from .vectors import marked, matrix, sample
 
 
+def apart(points: np.ndarray, most: int, nearest: float = 0.8) -> np.ndarray:
+    """The first ``most`` rows with a cosine of ``nearest`` or less to all taken before.
+
+    Copies among the pivots would fill the prefixes of what lies near them and say nothing.
+    """
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    taken: list[int] = []
+    for i in range(len(unit)):
+        if len(taken) == most:
+            break
+        if not taken or float((unit[taken] @ unit[i]).max()) <= nearest:
+            taken.append(i)
+    return points[taken]
+
+
 def _represent(pivots: np.ndarray, top: float, prefix: int):
     def run(batches):
         for batch in batches:
@@ -68,11 +83,11 @@ def _search(k: int, share: float, floor: int):
                     for i, p in enumerate(asked[j].tolist()):
                         s = slice(ends[p], ends[p + 1])
                         near[rows[s]] += gain[i, places[s]]
-                    found = np.sort(np.argpartition(-near, want - 1)[:want])
+                    found = np.flatnonzero(near >= np.partition(near, n - want)[n - want])  # with all ties
                 else:
                     found = np.arange(n)
                 found = found[xid[found] != ids[asks[j]]]
-                score = x[found] @ q[j]
+                score = (x[found] * q[j]).sum(1)  # row by row, so that equal vectors have equal scores
                 if len(found) > k:
                     least = np.partition(score, len(score) - k)[len(score) - k]
                     keepers = score >= least
@@ -94,8 +109,8 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     n, asks, top = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not asks or n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    piv = sample(rows, "vec_id", pivots, seed)
-    piv = np.hstack([piv, np.sqrt(np.maximum(top * top - (piv * piv).sum(1), 0))[:, None]])
+    piv = sample(rows, "vec_id", 4 * pivots, seed)
+    piv = apart(np.hstack([piv, np.sqrt(np.maximum(top * top - (piv * piv).sum(1), 0))[:, None]]), pivots)
     made = rows.mapInArrow(_represent(piv, top, min(prefix, len(piv))), "vec_id long, is_query boolean, vector binary, posted binary, asked binary")
     made = keep(made, "permutations")
     shards, blocks = -(-n // shard_rows), -(-asks // query_rows)
