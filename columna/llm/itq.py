@@ -130,7 +130,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 3
     spark = vectors.sparkSession
     links = spark.createDataFrame([], "a long, b long, n long")
     if n > 1:
-        x = sample(classes, "cls", fit_rows, seed)
+        x = sample(classes, "cls", fit_rows, seed, n)
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
         mean = x.mean(0)
         d = x.shape[1]

@@ -109,7 +109,7 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     n, asks, top = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not asks or n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    piv = sample(rows, "vec_id", 4 * pivots, seed)
+    piv = sample(rows, "vec_id", 4 * pivots, seed, n)
     piv = apart(np.hstack([piv, np.sqrt(np.maximum(top * top - (piv * piv).sum(1), 0))[:, None]]), pivots)
     made = rows.mapInArrow(_represent(piv, top, min(prefix, len(piv))), "vec_id long, is_query boolean, vector binary, posted binary, asked binary")
     made = keep(made, "permutations")

@@ -30,7 +30,13 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def sample(rows: DataFrame, key: str, most: int, seed: int) -> np.ndarray:
-    """The ``_v`` of the ``most`` rows that come first by seeded hash: a bounded sample, the same every time."""
-    got = rows.select(F.xxhash64(F.lit(seed), key).alias("h"), "_v").orderBy("h", "_v").limit(most).select("_v").toArrow()
+def sample(rows: DataFrame, key: str, most: int, seed: int, n: int) -> np.ndarray:
+    """The ``_v`` of the ``most`` of ``n`` rows that come first by seeded hash: a bounded sample, the same every time.
+
+    Only hashes below twice the sample's share are sorted, so that no partition sends ``most`` rows.
+    """
+    h = F.xxhash64(F.lit(seed), key)
+    bound = (1 << 64) * min(1.0, (2 * most + 64) / max(n, 1)) - (1 << 63)
+    few = rows.select(h.alias("h"), "_v").where(F.col("h") <= F.lit(min((1 << 63) - 1, int(bound))))
+    got = few.orderBy("h", "_v").limit(most).select("_v").toArrow()
     return matrix(got.column("_v"))
