@@ -91,5 +91,40 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN q IS NOT NULL AND
        source, (whole + CASE WHEN q IS NOT NULL AND upto - size / 2.0::DOUBLE <= target - certain THEN 1 ELSE 0 END)::BIGINT AS copies, h AS text_md5 FROM c
 """
 
-#: The others: a search or a model that SQL can't express, or (1, 7) too slow in SQL on whole tables; (4) needs CRC-32.
-ORACLES = {"op9_url_filter": _URL_SQL, "op6_pareto_mix": _MIX_SQL}
+_JOIN_SQL = """
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, len(w) AS m FROM texts WHERE len(w) >= 4),
+runs AS (SELECT r, i, m, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+grams AS (SELECT DISTINCT r, g FROM runs WHERE i <= m - 3 UNION ALL SELECT r, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 3),
+sized AS (SELECT r, g, count(*) OVER (PARTITION BY r) AS n, count(*) OVER (PARTITION BY g) AS df FROM grams JOIN texts USING (r) WHERE doc_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY df, g) AS k FROM sized),
+heads AS (SELECT * FROM ranked WHERE df > 1 AND k <= n - (85 * n + 99) // 100 + 1),
+met AS (SELECT DISTINCT a.r AS a, b.r AS b, a.n + b.n AS ns FROM heads a JOIN heads b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+pairs AS (SELECT m.a, m.b, ns, count(*) AS common FROM met m JOIN sized x ON x.r = m.a AND x.df > 1 JOIN sized y ON y.r = m.b AND y.g = x.g GROUP BY m.a, m.b, ns),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 85 * (ns - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT r, r FROM texts UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+found AS (SELECT node, min(doc_id) AS component_id FROM reach JOIN texts ON other = r GROUP BY node),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN component_id END::BIGINT AS component_id
+FROM texts JOIN found ON node = texts.r LEFT JOIN sizes ON sizes.r = texts.r
+"""
+
+_NEAR_SQL = """
+WITH RECURSIVE typed AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+fine AS (SELECT vec_id, label, x FROM typed WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0
+           AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+usual AS (SELECT len(x) AS d FROM fine GROUP BY d ORDER BY count(*) DESC, d LIMIT 1),
+v AS (SELECT fine.* FROM fine JOIN usual ON len(x) = d),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98::DOUBLE),
+reach(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+found AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id)::BIGINT AS component_id,
+       coalesce(e.vec_id = coalesce(component_id, e.vec_id), true) AS kept
+FROM embeddings e LEFT JOIN found ON found.node = e.vec_id LEFT JOIN many ON many.a = e.vec_id
+"""
+
+#: The others are a search or a model that SQL can't express, or sequential (10), or (4) need CRC-32.
+ORACLES = {"op1_ngram_join": _JOIN_SQL, "op6_pareto_mix": _MIX_SQL, "op7_itq_dedup": _NEAR_SQL, "op9_url_filter": _URL_SQL}
