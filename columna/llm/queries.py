@@ -112,18 +112,17 @@ FROM texts JOIN found ON node = texts.r LEFT JOIN sizes ON sizes.r = texts.r
 """
 
 _NEAR_SQL = """
-WITH RECURSIVE typed AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
-fine AS (SELECT vec_id, label, x FROM typed WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0
+WITH RECURSIVE typed AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+fine AS (SELECT r, label, x FROM typed WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0
            AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
 usual AS (SELECT len(x) AS d FROM fine GROUP BY d ORDER BY count(*) DESC, d LIMIT 1),
 v AS (SELECT fine.* FROM fine JOIN usual ON len(x) = d),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98::DOUBLE),
-reach(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
-found AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
-many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
-SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id)::BIGINT AS component_id,
-       coalesce(e.vec_id = coalesce(component_id, e.vec_id), true) AS kept
-FROM embeddings e LEFT JOIN found ON found.node = e.vec_id LEFT JOIN many ON many.a = e.vec_id
+links AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.98::DOUBLE),
+reach(node, other) AS (SELECT r, r FROM v UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+found AS (SELECT node, min(vec_id) AS c FROM reach JOIN typed ON other = r GROUP BY node),
+many AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id)::BIGINT AS component_id, coalesce(vec_id = coalesce(c, vec_id), true) AS kept
+FROM typed LEFT JOIN found ON node = r LEFT JOIN many ON a = r
 """
 
 #: The others are a search or a model that SQL can't express, or sequential (10), or (4) need CRC-32.
