@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, keep
+from .shared import SEEDED_BITS, WORD, keep, seeded_bits
 from .sharding import starts
 
 
@@ -47,9 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budge
 
 
 def seeded_uniform(seed: int, *key: Column) -> Column:
-    """In (0, 1), from 52 bits of the key's MD5 (which other engines have too)."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("-")) for k in key])), 1, 13), 16, 10)
-    return (bits.cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+    """In (0, 1)."""
+    return (seeded_bits(seed, *key) + F.lit(0.5)) / F.lit(float(1 << SEEDED_BITS))
 
 
 def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted: Column, key: list[str], seed: int = 29, cells: int = 1024) -> DataFrame:

@@ -125,5 +125,25 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id)::BIGINT AS
 FROM typed LEFT JOIN found ON node = r LEFT JOIN many ON a = r
 """
 
-#: The others are a search or a model that SQL can't express, or sequential (10), or (4) need CRC-32.
-ORACLES = {"op1_ngram_join": _JOIN_SQL, "op6_pareto_mix": _MIX_SQL, "op7_itq_dedup": _NEAR_SQL, "op9_url_filter": _URL_SQL}
+#: What each value of four bits adds to a CRC-32, by its rule (polynomial 0xEDB88320).
+_CRC_STEPS = [0]
+for _i in range(1, 16):
+    _c = _i
+    for _ in range(4):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC_STEPS.append(_c)
+_CRC_LOW = f"xor(xor(c, x) >> 4, ({_CRC_STEPS})[(xor(c, x) & 15) + 1])"
+_CRC_BYTE = f"xor({_CRC_LOW} >> 4, ({_CRC_STEPS})[({_CRC_LOW} & 15) + 1])"
+
+_SHARD_SQL = f"""
+WITH bytes AS (SELECT doc_id, source, text, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)) AS b FROM documents),
+d AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size,
+             CASE WHEN text IS NOT NULL THEN xor(list_reduce(b, lambda c, x: {_CRC_BYTE}), 4294967295::BIGINT) END AS text_crc32 FROM bytes),
+h AS (SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text_crc32::VARCHAR, '-') || ':' || size), 1, 13))::BIGINT AS h FROM d),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM h),
+o AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS LAST, h, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 8 // n)::INT AS shard, (place - ((place * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM o
+"""
+
+#: The others are a search or a model that SQL can't express, or (10) sequential.
+ORACLES = {"op1_ngram_join": _JOIN_SQL, "op4_stratified_shards": _SHARD_SQL, "op6_pareto_mix": _MIX_SQL, "op7_itq_dedup": _NEAR_SQL, "op9_url_filter": _URL_SQL}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import SEEDED_BITS, keep, seeded_bits
 
 #: Cells of the fractional rank: their table of counts is this long at every size of input.
 FRACTION_CELLS = 4096
@@ -37,10 +37,10 @@ def stratified_shards(rows: DataFrame, stratum: str, key: list[str], shards: int
 
     ``key``: columns that tell rows apart; rows equal in all of them are interchangeable.
     """
-    own = rows.withColumns({"_s": F.struct(F.col(stratum).isNull(), F.col(stratum)), "_h": F.xxhash64(F.lit(seed), *key)})
-    own = keep(own.withColumn("_cell", F.shiftrightunsigned("_h", 64 - HASH_BITS)), "hashed")
+    own = rows.withColumns({"_s": F.struct(F.col(stratum).isNull(), F.col(stratum)), "_h": seeded_bits(seed, *[F.col(k) for k in key])})
+    own = keep(own.withColumn("_cell", F.shiftright("_h", SEEDED_BITS - HASH_BITS)), "hashed")
     cells = starts(own.groupBy("_s", "_cell").count(), ["_s"], "_cell").withColumn("_n", F.sum("count").over(Window.partitionBy("_s"))).drop("count")
-    order = [F.shiftrightunsigned("_h", 1), "_h", *key]
+    order = ["_h", *key]
     w = Window.partitionBy("_s", "_cell").orderBy(*order)
     ranked = own.join(cells, ["_s", "_cell"]).withColumn("_rank", F.row_number().over(w) + F.col("start")).drop("start", "_cell")
     ranked = ranked.withColumn("_f", (F.col("_rank") - 0.5) / F.col("_n"))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -141,6 +141,16 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+#: Bits of :func:`seeded_bits`.
+SEEDED_BITS = 52
+
+
+def seeded_bits(seed: int, *key: Column) -> Column:
+    """52 bits (long) from the MD5 of the seed and the key, which other engines have too."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("-")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 class Union:
     """Disjoint sets of 0..n-1; the smaller member is the root."""
 
