@@ -6,8 +6,11 @@ turns.  Each rotation gives as many bits as vectors have components; several, fr
 ``tables`` substrings of ``b`` bits, b about the binary logarithm of the rows.
 
 Retrieval.  Each substring keys a Hamming table; vectors meet if a substring is equal, which codes within
-``tables - 1`` bits of each other must have, and farther ones nearly always: at cosine 0.98 a bit differs with
-probability 0.064, so a pair shares none of 32 substrings of 16 bits with probability 1.2e-6.
+``tables - 1`` bits of each other must have, and farther ones nearly always.  How many tables there are
+follows from the data: sample vectors are turned by the threshold's angle, the bits that this changes are
+counted, and there are as many tables as it takes for such a pair to share no substring with a probability
+of ``miss`` at most (at cosine 0.98, where the mean is near zero, 32 tables of 16 bits).  Vectors that crowd
+about their mean take more; beyond ``most_tables`` substrings get shorter instead.
 
 Rerank.  Vectors that meet are compared by the cosine of the original vectors in double precision, once per
 pair: only in the first table where their substrings are equal.  Equal vectors of a label are one class with
@@ -53,6 +56,27 @@ def substrings(x: np.ndarray, rotation: np.ndarray, tables: int, bits: int) -> n
     return (on * (1 << np.arange(bits, dtype=np.int64))).sum(2)
 
 
+def table_plan(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray, threshold: float, bits: int, miss: float, most_tables: int, seed: int) -> tuple[int, int]:
+    """(tables, bits) that pairs at the threshold share no substring of with a probability of ``miss`` or less.
+
+    ``x``: unit rows.  Each is turned by the threshold's angle in a random direction; the share of its code's
+    bits that change says how often a substring stays.
+    """
+    noise = np.random.default_rng(seed).standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-300)
+    turned = threshold * x + math.sqrt(1 - threshold * threshold) * noise
+    stays = 1 - (((x - mean) @ rotation >= 0) != ((turned - mean) @ rotation >= 0)).mean(1)
+    while True:
+        apart = 1 - stays**bits
+        for tables in range(1, most_tables + 1):
+            if (apart**tables).mean() <= miss:
+                return tables, bits
+        if bits <= 4:
+            return most_tables, bits
+        bits -= 1
+
+
 def _key_rows(rotation: np.ndarray, mean: np.ndarray, tables: int, bits: int):
     def run(batches):
         for batch in batches:
@@ -119,7 +143,7 @@ def _compare(threshold: float, tables: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 32, fit_rows: int = 8192, chunk: int = 2048, group_rows: int = 20_000, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-6, most_tables: int = 128, fit_rows: int = 8192, chunk: int = 2048, group_rows: int = 20_000, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: see the module's text."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.struct(F.col("label")).alias("label"))
     taken = F.col("vec_id").isNotNull() & F.col("label.label").isNotNull()
@@ -135,7 +159,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 3
         mean = x.mean(0)
         d = x.shape[1]
         bits = max(8, min(24, math.ceil(math.log2(n))))
-        rotation = np.hstack([learn_rotation(x - mean, seed + i) for i in range(-(-tables * bits // d))])
+        rotations = [learn_rotation(x - mean, seed + i) for i in range(-(-256 // d))]
+        tables, bits = table_plan(x, mean, np.hstack(rotations), threshold, bits, miss, most_tables, seed)
+        rotations += [learn_rotation(x - mean, seed + i) for i in range(len(rotations), -(-tables * bits // d))]
+        rotation = np.hstack(rotations)
         coded = keep(classes.mapInArrow(_key_rows(rotation, mean, tables, bits), _coded_schema(classes)), "codes")
         keyed = coded.select("cls", "label", F.posexplode("subs").alias("t", "sub"))
         keyed = keyed.select("cls", "t", F.xxhash64("t", "sub", "label").alias("bucket"))

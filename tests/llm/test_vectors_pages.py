@@ -121,6 +121,31 @@ def test_near_duplicates_query_and_empty(spark, rows, folder, table):
     assert itq.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_duplicates_far_from_zero(spark):
+    """Vectors that crowd about a mean: their codes change more at the same cosine, so there are more tables."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((240, 16)) * 0.5 + 1.0
+    near = base[:120] + rng.standard_normal((120, 16)) * 0.14
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([base, near]).astype(np.float32))]
+    want = linked(rows)
+    got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(n > 0 for n, _ in want.values()) > 150
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+def test_tables_follow_the_data():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16)) + 1.5
+    few, many = x - 1.5, x
+    plans = []
+    for v in (few, many):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        r = np.hstack([itq.learn_rotation(u - u.mean(0), i) for i in range(16)])
+        plans.append(itq.table_plan(u, u.mean(0), r, 0.98, 10, 1e-6, 256, 1))
+    assert plans[0][0] < plans[1][0]
+    assert itq.table_plan(u, u.mean(0), r, 0.98, 24, 1e-9, 16, 1)[1] < 24
+
+
 def test_rotation_is_orthogonal():
     x = np.random.default_rng(1).standard_normal((200, 8))
     r = itq.learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), 3)
