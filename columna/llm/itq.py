@@ -77,7 +77,7 @@ def table_plan(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray, threshold:
         bits -= 1
 
 
-def _key_rows(rotation: np.ndarray, mean: np.ndarray, tables: int, bits: int):
+def _key_rows(rotation: np.ndarray, mean: np.ndarray, tables: int, bits: int, kind: type):
     def run(batches):
         for batch in batches:
             x = matrix(batch.column("_v"))
@@ -87,20 +87,24 @@ def _key_rows(rotation: np.ndarray, mean: np.ndarray, tables: int, bits: int):
             unit = x / scale
             unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
             code = substrings(unit - mean, rotation, tables, bits).astype(np.int32)
-            blob = pa.array([c.tobytes() for c in code], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("label"), batch.column("of"), pa.array([v.tobytes() for v in x], pa.binary()), blob, pa.array(code.tolist(), pa.list_(pa.int32()))], ["cls", "label", "of", "vector", "code", "subs"])
+            blob = pa.array([c.tobytes() for c in code.astype(_code_kind(bits))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("label"), batch.column("of"), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), blob, pa.array(code.tolist(), pa.list_(pa.int32()))], ["cls", "label", "of", "vector", "code", "subs"])
 
     return run
 
 
-def _compare(threshold: float, tables: int):
+def _code_kind(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.int32
+
+
+def _compare(threshold: float, tables: int, bits: int, kind: type):
     """Partial link counts and connecting links of the buckets in one group."""
 
     def run(t: pa.Table) -> pa.Table:
         key, side = np.asarray(t.column("bucket")), np.asarray(t.column("side"))
         cls, of, table = np.asarray(t.column("cls")), np.asarray(t.column("of")), np.asarray(t.column("t"))
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int32).reshape(len(cls), tables)
-        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(cls), -1)
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), _code_kind(bits)).reshape(len(cls), tables)
+        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(cls), -1).astype(np.float64)
         scale = np.abs(x).max(1, keepdims=True)
         unit = x / scale
         unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
@@ -145,6 +149,8 @@ def _compare(threshold: float, tables: int):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-6, most_tables: int = 128, fit_rows: int = 8192, chunk: int = 2048, group_rows: int = 20_000, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: see the module's text."""
+    # Floats travel as floats, which is half; they are widened before anything is computed.
+    kind = np.float32 if vectors.select("embedding").dtypes[0][1] == "array<float>" else np.float64
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.struct(F.col("label")).alias("label"))
     taken = F.col("vec_id").isNotNull() & F.col("label.label").isNotNull()
     rows = keep(marked(rows.withColumn("embedding", F.when(taken, F.col("embedding")))).drop("embedding"), "vectors")
@@ -163,7 +169,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
         tables, bits = table_plan(x, mean, np.hstack(rotations), threshold, bits, miss, most_tables, seed)
         rotations += [learn_rotation(x - mean, seed + i) for i in range(len(rotations), -(-tables * bits // d))]
         rotation = np.hstack(rotations)
-        coded = keep(classes.mapInArrow(_key_rows(rotation, mean, tables, bits), _coded_schema(classes)), "codes")
+        coded = keep(classes.mapInArrow(_key_rows(rotation, mean, tables, bits, kind), _coded_schema(classes)), "codes")
         keyed = coded.select("cls", "label", F.posexplode("subs").alias("t", "sub"))
         keyed = keyed.select("cls", "t", F.xxhash64("t", "sub", "label").alias("bucket"))
         counts = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -177,7 +183,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
         side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
         large = large.withColumns({"side": side, "group": F.concat_ws(":", "bucket", F.least("mine", "other"), F.greatest("mine", "other"))})
         cols = ["group", "bucket", "side", "cls", "of", "t", "vector", "code"]
-        links = small.select(cols).unionAll(large.select(cols)).groupBy("group").applyInArrow(_compare(threshold, tables), "a long, b long, n long")
+        links = small.select(cols).unionAll(large.select(cols)).groupBy("group").applyInArrow(_compare(threshold, tables, bits, kind), "a long, b long, n long")
         links = keep(links, "links")
     found = components(links.where("n = 0").select("a", "b"))
     per = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))

@@ -130,6 +130,8 @@ def test_near_duplicates_far_from_zero(spark):
     want = linked(rows)
     got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sum(n > 0 for n, _ in want.values()) > 150
+    doubles = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_duplicates(doubles).collect()} == want
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
 
 
