@@ -171,10 +171,14 @@ class Matrix:
         pairs = [F.struct(F.lit(j).alias("j"), e.alias("v")) for j, e in enumerate(self.cells.values())]
         return self.source.select(F.col(POS).alias("i"), F.explode(F.array(*pairs)).alias("_c")).select("i", "_c.j", "_c.v")
 
+    def transpose_long(self) -> DataFrame:
+        """(i, j, v): one row a cell of the transpose, at any number of rows."""
+        return self.to_long().select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
     def transpose(self):
         n = self.rows()
         if n > MAX_TRANSPOSE:
-            raise ValueError(f"{n} rows would become columns; work on to_long() with i and j exchanged")
+            raise ValueError(f"{n} rows would become columns; transpose_long() takes any number")
         wide = self.to_long().groupBy(F.col("j").cast("long").alias(POS)).pivot("i", list(range(n))).agg(F.first("v"))
         return Matrix(wide, {f"c{i}": F.col(f"`{i}`") for i in range(n)})
 

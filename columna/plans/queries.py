@@ -193,6 +193,11 @@ def transpose_small(spark: SparkSession, sf: str) -> DataFrame:
     return Matrix(m.source.where(F.col(POS) < 3), m.cells).transpose().df
 
 
+@query("SELECT 0 AS i, p_partkey AS j, p_size::DOUBLE AS v FROM part UNION ALL SELECT 1, p_partkey, p_retailprice::DOUBLE FROM part")
+def transpose_part(spark: SparkSession, sf: str) -> DataFrame:
+    return _parts(spark, sf).transpose_long()
+
+
 @query("SELECT p_partkey AS __pos, round(p_size * 2 + p_retailprice * 3, 4) AS c0, round(p_size * -1 + p_retailprice * 0.5, 4) AS c1 FROM part")
 def matmul_literal(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.build import from_cols

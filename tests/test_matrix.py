@@ -180,3 +180,18 @@ def test_stream_projection(spark, tmp_path):
     q = on_stream(s, ["v"], lambda m: (m + 1.0) / 2.0).writeStream.format("memory").queryName("elementwise_out").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("elementwise_out").collect())) == [(1, 0.5), (2, 2.5)]
+
+
+def test_transpose_takes_the_whole_table(spark):
+    import duckdb
+
+    from columna.plans import queries
+
+    sf = "/root/testdata/sf0.1"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{sf}/part.parquet')")
+    got = queries.QUERIES["transpose_part"](spark, sf)
+    want = duck.execute(queries.SQL["transpose_part"])
+    assert got.columns == [c[0] for c in want.description]
+    rows = sorted(map(tuple, got.collect()))
+    assert len(rows) == 40_000 and rows == sorted(want.fetchall())
