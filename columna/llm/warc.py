@@ -27,9 +27,13 @@ from pyspark.sql import functions as F
 
 DATE = "1970-01-01T00:00:00Z"
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<(?:(!--)|(script|style|noscript|template|svg)(?=[\s/>]|\Z)[^>]*>?)", re.I)
+_END = {"!--": re.compile("-->")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg")}
+#: Without their end these take the rest of the page, as in a browser; of the others only the tag goes.
+_RAW = ("!--", "script", "style")
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>((?:<title\b[^>]*>.*?</title\s*>|[^<]+|<)*?)(?:(</head\s*>)|(?=<(?:body|address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b)|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -45,9 +49,25 @@ def one_line(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def _shown(page: str) -> str:
+    """The page without comments and elements that show no text."""
+    out, at, endless = [], 0, set()
+    while m := _HIDDEN.search(page, at):
+        name = (m[1] or m[2]).lower()
+        end = None if name in endless or name == "svg" and m[0].endswith("/>") else _END[name].search(page, m.end())
+        out += [page[at : m.start()], " "]
+        at = end.end() if end else len(page) if name in _RAW else m.end()
+        if not end and not m[0].endswith("/>"):
+            endless.add(name)
+    return _HEAD.sub(lambda m: " " if m[2] else _TITLE.sub(" ", m[1]), "".join([*out, page[at:]]))
+
+
 def plain_text(page: str) -> str:
-    """The readable text of a page, a line for each block element."""
-    text = _TAG.sub("", _BREAK.sub("\n", _GONE.sub(" ", page)))
+    """The readable text of a page, a line for each block element.
+
+    A head that is not closed ends at ``<body>`` or the first block element; what is not its title stays.
+    """
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(page)))
     if "&" in text:
         text = html.unescape(text)
     return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)

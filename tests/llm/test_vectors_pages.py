@@ -208,6 +208,25 @@ def test_derivatives(pages):
     assert warc.derive(warc.page_responses(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><body><p>Hello world</p></body></html>", "Hello world"),
+        ("<head><meta charset=u><title>a <p> b</title><p>Hello", "Hello"),
+        ("<head><title>T</title>Hello <b>you</b>", "Hello you"),
+        ("<head><script>'<p>'</script><title>T</title></head>x", "x"),
+        ("<p>a</p><svg><path d=x><p>b</p>", "a\nb"),
+        ("a <svg/> b <svg>c</svg> d", "a b d"),
+        ("a<noscript>b<p>c", "a b\nc"),
+        ("a<template>b<p>c", "a b\nc"),
+        ("a<noscript>b</noscript><noscript>c", "a c"),
+        ("a<style>b<p>c", "a"),
+    ],
+)
+def test_unclosed_elements_do_not_take_the_page(page, text):
+    assert warc.plain_text(page) == text
+
+
 def test_records_round_trip(pages):
     derived = warc.derive(warc.page_responses(pages))
     rows = sorted(derived.collect(), key=lambda r: (r["record_id"]))
