@@ -45,7 +45,7 @@ def op7_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return lm.pseudo_likelihood(docs, lm.fit(docs))
+    return lm.corpus_likelihood(docs, lm.fit(docs))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

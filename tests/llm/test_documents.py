@@ -256,6 +256,52 @@ def test_pseudo_likelihood(docs, rows, empty):
     assert lm.pseudo_likelihood(empty, lm.fit(empty)).count() == 0
 
 
+@pytest.mark.parametrize("part", [2_000_000, 500])
+def test_corpus_likelihood_is_exact(docs, rows, empty, monkeypatch, part):
+    """Against a count of all words and pairs in plain Python, in one part and in many."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "PART", part)
+    model = lm.fit(docs)
+    seen: Counter = Counter()
+    for _, t, *_ in rows:
+        w = ["", *words(t), ""]
+        if len(w) > 2:
+            seen.update(w[:-1])
+            seen.update(zip(w[:-1], w[1:], strict=True))
+    got = lm.corpus_likelihood(docs, model).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in rows)
+    for r in got:
+        t = next(t for i, t, *_ in rows if i == r["doc_id"])
+        w = ["", *words(t), ""]
+        assert r["n_tokens"] == len(w) - 2
+        if len(w) == 2:
+            assert (r["pll"], r["pll_per_token"]) == (0, None)
+            continue
+        bucket, _, tail = lm._tokens(pa.array([t]))
+        c = [lm.END, *lm._classes(bucket, tail, model.own).tolist(), lm.END]
+        want = 0.0
+        for i in range(1, len(c) - 1):
+            b = lm.ALPHA * np.exp(model.window[c[i - 1], c[i], c[i + 1]]) * seen[w[i]] / model.size[c[i]]
+            want += np.log(((seen[w[i - 1], w[i]] + b) / (seen[w[i - 1]] + lm.ALPHA) + (seen[w[i], w[i + 1]] + b) / (seen[w[i + 1]] + lm.ALPHA)) / 2)
+        assert r["pll"] == pytest.approx(want) and r["pll_per_token"] == pytest.approx(want / (len(w) - 2))
+    assert lm.corpus_likelihood(empty, lm.fit(empty)).count() == 0
+
+
+def test_likelihood_tells_words_of_one_bucket_apart(spark, tmp_path):
+    import pyarrow as pa
+
+    names = [f"w{i}" for i in range(3000)]
+    at: dict = {}
+    for name, bucket in zip(names, lm._tokens(pa.array([" ".join(names)]))[0].tolist(), strict=True):
+        at.setdefault(bucket, []).append(name)
+    often, once = next(v for v in at.values() if len(v) > 1)[:2]
+    spark.createDataFrame([*[(i, often) for i in range(50)], (50, once)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["pll"] for r in QUERIES["op8_pseudo_likelihood"](spark, str(tmp_path)).collect()}
+    assert got[0] > got[50] + 1
+
+
 def test_network_learns_the_counts():
     import numpy as np
 
