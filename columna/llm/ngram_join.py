@@ -1,7 +1,9 @@
 """N-gram Jaccard join by a prefix tree.
 
 Sets.  A document's set holds its distinct n-word shingles (hashed to 64 bits), globally ordered.  Equal
-sets are one class, found by a grouping that is pre-aggregated, so exact copies cost nothing further.
+sets are one class with a number of its own, found by a grouping that is pre-aggregated, so exact copies cost
+nothing further.  The text that stands for a class is named by doc_id and the text's 64-bit checksum, so that
+rows of one doc_id with different texts stay apart.
 
 Routing.  A whole trie fits no machine, so its upper levels say which sets can meet.  Of each set a sketch
 of its first ``s - ceil(t s) + l`` n-grams is kept (t: the threshold): linked sets share at least ``l``
@@ -11,15 +13,21 @@ first, and linked sets must share an n-gram among the first ``|sketch| - l_min +
 that only one set has lead nowhere and are not posted; texts without near copies end here.
 
 Joining.  Sets that share a posted n-gram, directly or by others, form a block.  In a block the sets are
-stored in a trie (sorted sets with the lengths of their common prefixes); each set walks it, carries the
-overlap and the misses of a shared path to all sets below it, leaves a subtree when its misses exceed what
-the remaining length allows, and skips sets that are already connected.  Blocks of more than ``chunk`` sets
-are cut by size and hash: chunks meet the first of their size band, then every set outside the largest component
-found so meets all chunks whose sizes can link with it.
+stored in a trie, whose nodes know the smallest and largest set below them.  Each set walks it, carries the
+overlap of a shared path to all sets below it, and leaves a subtree when what is missed so far, or what of the
+set itself lies behind, rules out every length that the subtree holds; sets already connected are not walked
+to.  Blocks of more than ``chunk`` sets, or ``chunk_chars`` characters, are cut by size and hash: chunks meet
+the first of their size band, then every set outside the largest component found so meets all chunks whose
+sizes can link with it.
+
+Memory.  A task holds a run of texts of a megabyte (or one longer text) with its sets, a batch of sketches of
+``PACK_BYTES``, a part of the n-grams, or a group of blocks of about ``group_chars`` characters.
 
 Defined cases.  A null or wordless text has an empty set (n_shingles 0) and is linked with nothing; a row
-without doc_id is returned with a null component.  Repeated rows are returned as often as they come.
-Only doc_id and text are read; other columns, whatever their names, are left alone.
+without doc_id is returned with a null component.  Repeated rows are returned as often as they come; rows of
+one doc_id with different texts are documents of their own that share a name.  Ties in size or in n-grams
+change no result.  Very long texts are whole sets.  An empty table gives no rows.  Only doc_id and text are
+read; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Union, components, keep, shingle_sets
+from .shared import Union, components, keep, pieces, release, shingle_sets
 
 
 #: Sketches hold so many n-grams beyond those a linked set may lack, if the set has them.
@@ -57,42 +65,95 @@ def sketch_extra(s: int, num: int, den: int) -> int:
 
 
 class Trie:
-    """Sorted sets; ``common[i]``: how many leading n-grams set i shares with set i - 1."""
+    """Sorted sets in a radix tree: a node's edge is a run of n-grams, its children differ in the first of theirs.
+
+    ``begin``/``end``: the depths of a node's edge; ``sample``: a set below it, whose n-grams the edge has;
+    ``least``/``most``: the sizes below it; ``here``: sets that end at it; ``below``: how many sets it holds.
+    """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        self.common = [0] * len(sets)
-        for i in range(1, len(sets)):
-            a, b = self.sets[i - 1], self.sets[i]
-            k = min(len(a), len(b))
-            off = np.flatnonzero(a[:k] != b[:k])
-            self.common[i] = int(off[0]) if len(off) else k
-        self.longest = max(map(len, self.sets), default=0)
+        self.sets = sets
+        self.begin, self.end, self.sample, self.least, self.most = [0], [0], [0], [0], [0]
+        self.children: list[list[int]] = [[]]
+        self.here: list[list[int]] = [[]]
+        self.below: list[list[int]] = [[]]
+        path = [0]
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        for k, i in enumerate(order):
+            shared = _common(sets[order[k - 1]], sets[i]) if k else 0
+            while self.begin[path[-1]] >= shared and len(path) > 1:
+                path.pop()
+            node = path[-1]
+            if self.end[node] > shared:  # the edge parts in its middle: the new node takes its upper half
+                upper = self._node(self.begin[node], shared, self.sample[node])
+                siblings = self.children[path[-2]]
+                siblings[siblings.index(node)] = upper
+                self.begin[node], self.children[upper] = shared, [node]
+                path[-1] = node = upper
+            if len(sets[i]) > shared or not k:
+                leaf = self._node(shared, len(sets[i]), i)
+                self.children[node].append(leaf)
+                path.append(leaf)
+                node = leaf
+            self.here[node].append(i)
+        self._measure()
+
+    def _node(self, begin: int, end: int, sample: int) -> int:
+        for x, v in ((self.begin, begin), (self.end, end), (self.sample, sample), (self.least, 0), (self.most, 0)):
+            x.append(v)
+        for y in (self.children, self.here, self.below):
+            y.append([])
+        return len(self.begin) - 1
+
+    def _measure(self) -> None:
+        order, at = [0], 0
+        while at < len(order):
+            order.extend(self.children[order[at]])
+            at += 1
+        for v in reversed(order):
+            kids = self.children[v]
+            self.below[v] = self.here[v] + [i for c in kids for i in self.below[c]]
+            own = [len(self.sets[i]) for i in self.here[v]]
+            self.least[v] = min(own + [self.least[c] for c in kids], default=0)
+            self.most[v] = max(own + [self.most[c] for c in kids], default=0)
 
     def links(self, probe: np.ndarray, num: int, den: int, skip) -> Iterator[int]:
         """Numbers of the stored sets that ``probe`` links with; ``skip(i)``: i need not be looked at."""
         s = len(probe)
-        most = min(self.longest, s * den // num)
-        allowed = most - least_overlap(s, most, num, den)  # misses; grows with a stored set's size
         if not s:
             return
-        misses = np.zeros(0, np.int64)  # along the path of the last set looked at
-        shared, cut = 0, math.inf
-        for k, y in enumerate(self.sets):
-            shared = min(shared, self.common[k]) if k else 0
-            i, t = self.order[k], len(y)
-            if shared >= cut or skip(i) or den * min(s, t) < num * max(s, t):
+        shortest, longest = -(-num * s // den), s * den // num
+        stack = [(c, 0) for c in self.children[0]]
+        while stack:
+            v, overlap = stack.pop()
+            low, high = max(self.least[v], shortest), min(self.most[v], longest)
+            if low > high or all(skip(i) for i in self.below[v]):
+                continue
+            a, b = self.begin[v], self.end[v]
+            # Misses on the path grow with the depth: the longest set below may miss most.
+            allowed = high - least_overlap(s, high, num, den) - (a - overlap)
+            if allowed < 0:
+                continue
+            edge = self.sets[self.sample[v]][a:b]
+            at = np.searchsorted(probe, edge)
+            hits = int(np.count_nonzero(probe[np.minimum(at, s - 1)] == edge))
+            if b - a - hits > allowed:
+                continue
+            overlap += hits
+            # What of the probe lies behind the path can't be met any more: the shortest set below needs least.
+            passed = int(np.searchsorted(probe, edge[-1], "right")) if b > a else 0
+            if overlap + s - passed < least_overlap(s, low, num, den):
                 continue
-            rest = y[shared:]
-            at = np.searchsorted(probe, rest)
-            new = np.cumsum(probe[np.minimum(at, s - 1)] != rest)
-            misses = np.concatenate((misses[:shared], new + (misses[shared - 1] if shared else 0)))
-            over = int(np.searchsorted(misses, allowed, "right"))
-            cut = over + 1 if over < t else math.inf
-            if t - int(misses[-1]) >= least_overlap(s, t, num, den):
-                yield i
-            shared = t
+            for i in self.here[v]:
+                if shortest <= b <= longest and overlap >= least_overlap(s, b, num, den) and not skip(i):
+                    yield i
+            stack.extend((c, overlap) for c in self.children[v])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    k = min(len(a), len(b))
+    off = np.flatnonzero(a[:k] != b[:k])
+    return int(off[0]) if len(off) else k
 
 
 def spanning_links(sets: list[np.ndarray], stored: list[int], probing: list[int], num: int, den: int, known: list[int] | None = None) -> list[tuple[int, int]]:
@@ -115,25 +176,38 @@ def spanning_links(sets: list[np.ndarray], stored: list[int], probing: list[int]
 def _sketches(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), n)
-            marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            short = [s[: len(s) - -(-num * len(s) // den) + sketch_extra(len(s), num, den)].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "sig1", "sig2", "sketch"])
+            ids, marks = batch.column("doc_id").cast(pa.int64()), batch.column("mark")
+            for at, part in pieces(batch.column("text")):
+                sets = shingle_sets(part, n)
+                sigs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                short = [s[: len(s) - -(-num * len(s) // den) + sketch_extra(len(s), num, den)].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), marks.slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array(short, pa.binary())], ["doc_id", "mark", "n_shingles", "sig1", "sig2", "sketch"])
 
     return run
 
 
+#: A row of sketches holds so many bytes of them, or one larger sketch.
+PACK_BYTES = 1 << 17
+_PACKED = "batch long, cls array<long>, sig1 array<long>, sig2 array<long>, doc_id array<long>, mark array<long>, n array<long>, lengths array<int>, grams binary"
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class representatives, 500 to a row."""
+    """Classes, numbered, with their sketches run together."""
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 36
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            b = batch.slice(at, 500)
-            short = b.column("sketch").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.asarray(b.column("rep")).tobytes()]), pa.array([np.asarray(b.column("n")).tobytes()]), pa.array([np.array([len(x) // 8 for x in short]).tobytes()]), pa.array([b"".join(short)])], ["batch", "reps", "sizes", "lengths", "grams"])
-            number += 1
+        sizes = np.diff(np.frombuffer(batch.column("sketch").cast(pa.large_binary()).buffers()[1], np.int64)[batch.column("sketch").offset :][: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PACK_BYTES, "right")))
+            b = batch.slice(at, to - at)
+            one = lambda x: pa.array([x])
+            lists = [pa.array([np.asarray(b.column(c))], pa.list_(pa.int64())) for c in ("sig1", "sig2", "doc_id", "mark", "n")]
+            cls = pa.array([np.arange(number, number + to - at)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([one(number), cls, *lists, pa.array([(sizes[at:to] // 8).astype(np.int32)], pa.list_(pa.int32())), one(b"".join(b.column("sketch").to_pylist()))], [f.split()[0] for f in _PACKED.split(", ")])
+            number += to - at
+            at = to
 
 
 def _send(parts: int):
@@ -166,7 +240,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _post(parts: int, num: int, den: int):
-    """(gram, n, rep): the shared n-grams that can lead a set to a linked one."""
+    """(gram, n, cls): the shared n-grams that can lead a set to a linked one."""
     shift = 64 - int(math.log2(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +255,7 @@ def _post(parts: int, num: int, den: int):
                 total[np.argsort(part, kind="stable")] = np.frombuffer(got, np.uint8)
                 total = total[back]
                 g, n, r, at = [], [], [], 0
-                for rep, s, k in zip(np.frombuffer(row["reps"], np.int64).tolist(), np.frombuffer(row["sizes"], np.int64).tolist(), np.frombuffer(row["lengths"], np.int64).tolist(), strict=True):
+                for cls, s, k in zip(row["cls"], row["n"], row["lengths"], strict=True):
                     own, seen = grams[at : at + k], total[at : at + k]
                     at += k
                     fewest = sketch_extra(max(1, -(-num * s // den)), num, den)
@@ -189,8 +263,8 @@ def _post(parts: int, num: int, den: int):
                     lead = lead[seen[lead] > 1]
                     g.append(own[lead].view(np.int64))
                     n.append(np.full(len(lead), s))
-                    r.append(np.full(len(lead), rep))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (g, n, r)], ["gram", "n", "rep"])
+                    r.append(np.full(len(lead), cls))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (g, n, r)], ["gram", "n", "cls"])
 
     return run
 
@@ -202,82 +276,103 @@ def _join_block(n: int, num: int, den: int):
         table = table.combine_chunks()
         sets = shingle_sets(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), n)
         block, side = np.asarray(table.column("block")), np.asarray(table.column("side"))
-        rep, known = np.asarray(table.column("rep")), np.asarray(table.column("known"))
+        cls, known = np.asarray(table.column("cls")), np.asarray(table.column("known"))
         a, b = [], []
-        by = np.lexsort((rep, block))
+        by = np.lexsort((cls, block))
         for rows in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
             local = [sets[i] for i in rows]
             for p, q in spanning_links(local, [k for k, i in enumerate(rows) if side[i] != 1], [k for k, i in enumerate(rows) if side[i] != 0], num, den, known[rows].tolist()):
-                a.append(int(rep[rows[p]]))
-                b.append(int(rep[rows[q]]))
+                a.append(int(cls[rows[p]]))
+                b.append(int(cls[rows[q]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, chunk: int = 256, group_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``: see the module's text."""
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, chunk: int = 256, chunk_chars: int = 8_000_000, group_chars: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, mark, kept) for every row of ``docs``: see the module's text.
+
+    ``mark``: the text's 64-bit checksum.  ``kept``: whether the row is, by doc_id and mark, the first of its
+    component; true for rows that link with nothing.
+    """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = keep(source.mapInArrow(_sketches(n, num, den), "doc_id long, n_shingles long, sig1 long, sig2 long, sketch binary"), "sets")
-    ids = sets.select("doc_id", "n_shingles", "sig1", "sig2")
-    reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    packed = keep(reps.select("rep", "n", "sketch").mapInArrow(_pack, "batch long, reps binary, sizes binary, lengths binary, grams binary"), "batches")
-    reps_n = ids.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).select("rep", "n").groupBy("rep").agg(F.max("n").alias("n"))
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    sets = keep(source.mapInArrow(_sketches(n, num, den), "doc_id long, mark long, n_shingles long, sig1 long, sig2 long, sketch binary"), "sets")
+    ids = sets.drop("sketch")
+    first = F.min(F.struct("doc_id", "mark")).alias("rep")
+    distinct = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(first, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    packed = keep(distinct.select("sig1", "sig2", "rep.doc_id", "rep.mark", "n", "sketch").mapInArrow(_pack, _PACKED), "classes")
+    classes = packed.select(F.inline(F.arrays_zip("cls", "sig1", "sig2", "doc_id", "mark", "n")))
     total = packed.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
-    parts = 1 << max(0, math.ceil(math.log2(total / 8_000_000 + 1e-9)))
+    parts = 1 << max(0, math.ceil(math.log2(total / 4_000_000 + 1e-9)))
     sent = packed.select("batch", "grams").mapInArrow(_send(parts), "part long, batch long, grams binary, counts binary")
     totals = sent.groupBy("part").applyInArrow(_count, "batch long, part long, totals binary")
     back = totals.groupBy("batch").agg(F.collect_list(F.struct("part", "totals")).alias("got"))
-    posted = keep(packed.join(back, "batch").mapInArrow(_post(parts, num, den), "gram long, n long, rep long"), "posted")
+    posted = packed.select("batch", "cls", "n", "lengths", "grams").join(back, "batch")
+    posted = keep(posted.mapInArrow(_post(parts, num, den), "gram long, n long, cls long"), "posted")
 
     # Chains through each posted n-gram and size band (linked sets lie in one band or in neighbours; a set is
     # posted in its own and the next): within salted parts of it, then through what heads these parts.
     band = F.floor(F.log("n") / F.lit(math.log(den / num)))
-    salted = posted.withColumns({"band": F.explode(F.array(band, band + 1)), "salt": F.pmod(F.xxhash64("rep"), F.lit(32))})
-    w = Window.partitionBy("gram", "band", "salt").orderBy("n", "rep")
-    chained = salted.withColumn("to", F.when(F.lag("n").over(w) * den >= F.col("n") * num, F.lag("rep").over(w)))
-    heads = chained.where("to is null").withColumn("to", F.lag("rep").over(Window.partitionBy("gram", "band").orderBy("n", "rep")))
-    edges = chained.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")).unionAll(heads.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    members = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("block"))
-    sizes = members.groupBy("block").agg(F.count("*").alias("of"))
-    members = members.join(sizes, "block").join(reps_n.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
+    salted = posted.withColumns({"band": F.explode(F.array(band, band + 1)), "salt": F.pmod(F.xxhash64("cls"), F.lit(32))})
+    w = Window.partitionBy("gram", "band", "salt").orderBy("n", "cls")
+    chained = salted.withColumn("to", F.when(F.lag("n").over(w) * den >= F.col("n") * num, F.lag("cls").over(w)))
+    heads = chained.where("to is null").withColumn("to", F.lag("cls").over(Window.partitionBy("gram", "band").orderBy("n", "cls")))
+    edges = chained.where("to is not null").select(F.col("cls").alias("a"), F.col("to").alias("b")).unionAll(heads.where("to is not null").select(F.col("cls").alias("a"), F.col("to").alias("b")))
+    members = components(edges).select(F.col("node").alias("_cls"), F.col("component").alias("block"))
+    # A class is met once more for its size and for the text that stands for it.
+    members = classes.select("cls", "doc_id", "mark", "n").join(members, F.col("cls") == F.col("_cls")).drop("_cls")
     members = keep(members.withColumn("band", F.floor(F.log("n") / F.lit(math.log(den / num)))).drop("n"), "members")
-    texts = source.dropDuplicates(["doc_id"]) if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() else source
-    # Few members go to where the texts are; more of them, and all texts meet by doc_id.
-    few = members.count() <= BROADCAST_ROWS
-    texts = texts.join(F.broadcast(members) if few else members, members["rep"] == texts["doc_id"]).drop("doc_id")
+    release(posted)
+    many = members.count()
+    # Few members go to where the texts are; more of them, and all texts meet by doc_id and checksum.
+    texts = source.join(F.broadcast(members) if many <= BROADCAST_ROWS else members, ["doc_id", "mark"]).drop("doc_id", "mark")
     texts = keep(texts, "texts")
-    chars, large = texts.agg(F.sum(F.length("text")), F.max("of")).first()
+    if texts.count() > many:  # rows that come more than once
+        once = keep(texts.dropDuplicates(["cls"]), "texts")
+        release(texts)
+        texts = once
+    release(members)
+    sizes = keep(texts.groupBy("block").agg(F.count("*").alias("of"), F.sum(F.length("text")).alias("chars")), "blocks")
+    chars, large = sizes.agg(F.sum("chars"), F.count_if((F.col("of") > chunk) | (F.col("chars") > chunk_chars))).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # By number, as AQE would gather small groups, which are much work, in one task.
     join = lambda t: t.repartition(tasks, "group").groupBy("group").applyInArrow(_join_block(n, num, den), "a long, b long")
-    cols = ["group", "block", "rep", "side", "known", "text"]
-    groups = max(1, (chars or 0) // group_chars)
-    small = texts.where(F.col("of") <= chunk).withColumns({"group": F.pmod(F.xxhash64("block"), F.lit(groups)).cast("string"), "side": F.lit(2), "known": F.col("rep")})
+    cols = ["group", "block", "cls", "side", "known", "text"]
+    groups = max(tasks, (chars or 0) // group_chars)
+    cut = sizes.where((F.col("of") > chunk) | (F.col("chars") > chunk_chars)).select("block")
+    small = texts.join(cut, "block", "left_anti") if large else texts
+    small = small.withColumns({"group": F.pmod(F.xxhash64("block"), F.lit(groups)).cast("string"), "side": F.lit(2), "known": F.col("cls")})
     links = join(small.select(cols))
-    if (large or 0) > chunk:
-        links = links.unionAll(_large(texts.where(F.col("of") > chunk), join, cols, chunk))
+    if large:
+        links = links.unionAll(_large(texts.join(cut, "block", "left_semi"), join, cols, chunk, chunk_chars))
     labels = components(links)
-    label = F.coalesce("component", "rep")
-    classes = reps.select("sig1", "sig2", "rep").join(labels, F.col("rep") == labels["node"], "left").select("sig1", "sig2", label.alias("component_id"))
-    out = ids.where("n_shingles > 0 and doc_id is not null").join(classes, ["sig1", "sig2"]).select("doc_id", "n_shingles", "component_id")
-    rest = ids.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    release(texts, sizes)
+    # Components take the name of their first row.
+    linked = keep(classes.select("cls", F.struct("doc_id", "mark").alias("own")).join(labels, F.col("cls") == labels["node"]).select("cls", "own", "component"), "labels")
+    heads = linked.groupBy("component").agg(F.min("own").alias("head"))
+    named = linked.join(heads, "component").select(F.col("cls").alias("_cls"), "head")
+    own = classes.join(named, F.col("cls") == F.col("_cls"), "left").select("sig1", "sig2", F.coalesce("head", F.struct("doc_id", "mark")).alias("head"))
+    out = ids.where("n_shingles > 0 and doc_id is not null").join(own, ["sig1", "sig2"])
+    out = out.select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), "mark", ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))).alias("kept"))
+    rest = ids.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(True).alias("kept"))
     return out.unionAll(rest)
 
 
-def _large(texts: DataFrame, join, cols: list[str], chunk: int) -> DataFrame:
-    """Links of the blocks with more than ``chunk`` sets, cut by size band and hash into chunks."""
-    bands = texts.groupBy("block", "band").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
-    cut = texts.join(bands, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")))
+def _large(texts: DataFrame, join, cols: list[str], chunk: int, chunk_chars: int) -> DataFrame:
+    """Links of the blocks with more than ``chunk`` sets or ``chunk_chars`` characters, cut by size band and hash into chunks."""
+    pieces_of = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum(F.length("text")) / chunk_chars)).cast("long")
+    bands = texts.groupBy("block", "band").agg(pieces_of.alias("chunks"))
+    cut = texts.join(bands, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("chunks")))
     # Each chunk meets the first one of its band, and first chunks meet those of the next band.
     others = F.when(F.col("mine") > 0, F.array("mine")).otherwise(F.concat(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), F.array(F.lit(-1).cast("long"))))
     first = cut.withColumn("other", F.explode(others))
     up = cut.where("mine = 0").withColumns({"other": F.lit(-1).cast("long"), "band": F.col("band") + 1})
-    first = first.unionByName(up).withColumns({"group": F.concat_ws(":", F.lit("a"), "block", "band", "other"), "known": F.col("rep"), "side": F.when((F.col("other") == F.col("mine")) | (F.col("other") < 0), 2).otherwise(0)})
+    first = first.unionByName(up).withColumns({"group": F.concat_ws(":", F.lit("a"), "block", "band", "other"), "known": F.col("cls"), "side": F.when((F.col("other") == F.col("mine")) | (F.col("other") < 0), 2).otherwise(0)})
     links = keep(join(first.select(cols)), "links")
     found = components(links)
-    now = cut.join(found, F.col("rep") == found["node"], "left").withColumn("known", F.coalesce("component", "rep")).drop("node", "component")
+    now = cut.join(found, F.col("cls") == found["node"], "left").withColumn("known", F.coalesce("component", "cls")).drop("node", "component")
     sizes = now.groupBy("block", "known").count()
     main = sizes.groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
     now = keep(now.join(main, "block"), "known")

@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    found = ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="columna-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -52,11 +53,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder, below the application's name, and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/columna/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/columna/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _KEPT[id(back)] = (weakref.ref(back), path)
+    return back
+
+
+#: Where tables of :func:`keep` lie, while they are in use.
+_KEPT: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*kept: DataFrame) -> None:
+    """Deletes tables of :func:`keep` that nothing reads any more; other DataFrames are passed over."""
+    for df in kept:
+        ref, path = _KEPT.get(id(df), (lambda: None, ""))
+        if ref() is df:
+            del _KEPT[id(df)]
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
@@ -172,32 +198,63 @@ class Union:
         return True
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Up to so many edges (16 bytes each) are solved in one task; their count is taken first.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's edges as stars: (a, b) with b the smallest node that a reaches within the batch."""
+    for batch in batches:
+        ends = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
+        nodes, back = np.unique(ends, return_inverse=True)
+        groups = Union(len(nodes))
+        for a, b in back.reshape(2, -1).T.tolist():
+            groups.join(a, b)
+        roots = np.array([groups.find(i) for i in range(len(nodes))], np.int64)
+        leaf = roots != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[roots[leaf]] if len(nodes) else nodes)], ["a", "b"])
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of the one partition as stars."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        yield from _stars(iter(pa.Table.from_batches(got).combine_chunks().to_batches()))
+
+
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a long, b long) reaches.
 
-    Alternating large-star and small-star rounds: each groups by node for a minimum, which is
-    pre-aggregated, and joins it back, which AQE splits where one node has many edges.  Rounds are kept as
-    tables; nothing but two numbers a round comes to the driver.
+    Each batch of edges is made stars where it lies.  Up to ``one_task`` distinct edges are then solved in one
+    task.  More go through alternating large-star and small-star rounds: each groups by node for a minimum,
+    which is pre-aggregated, and joins it back, which AQE splits where one node has many edges; rounds end when
+    all stars are flat.  Rounds are kept as tables; nothing but two numbers a round comes to the driver.
     """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    short = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_stars, "a long, b long")
+    e = keep(short.distinct(), "edges")
     before = mark(e)
-    for _ in range(most_rounds if before[0] else 0):
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        e = keep(e.where("a <> b").distinct(), "edges")
-        after = mark(e)
-        if after == before:
-            break
-        before = after
+    if before[0] <= one_task:
+        done = keep(e.coalesce(1).mapInArrow(_solve, "a long, b long"), "components")
+        release(e)
+        e = done
     else:
-        if before[0]:
+        for _ in range(most_rounds):
+            both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a")
+            last, e = e, small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+            e = keep(e.where("a <> b").distinct(), "edges")
+            release(last)
+            after = mark(e)
+            if after == before:
+                break
+            before = after
+        else:
             raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

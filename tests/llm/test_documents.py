@@ -116,6 +116,32 @@ def test_join_query_and_empty(spark, folder, rows, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
+def test_join_keeps_texts_of_one_id_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(120)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "c " * 3), (4, "c " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_jaccard_join(docs, 4, 85, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+    assert sum(r["kept"] for r in got if r["doc_id"] == 1) == 2 and not any(r["kept"] for r in got if r["doc_id"] in (2, 3))
+
+
+def test_components_by_rounds(spark):
+    import random
+
+    from columna.llm.shared import Union, components
+
+    draw = random.Random(4)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(260)] + [(1000, k) for k in range(1001, 1040)]
+    groups = Union(2000)
+    for x, y in edges:
+        groups.join(x, y)
+    want = {(i, groups.find(i)) for e in edges if e[0] != e[1] for i in e}
+    for one_task in (0, 10**6):
+        got = components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()
+        assert {(r["node"], r["component"]) for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_trie_prunes_nothing_it_needs():
     import numpy as np
 
