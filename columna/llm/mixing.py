@@ -5,17 +5,22 @@ Targets.  Sources, by code point and null last, weigh 5, 2, 1, repeating; togeth
 others by weight until none is above: that is min(most * words, level * weight) at one level, found from
 running sums over the sources ordered by where they stop.
 
-Sampling.  A document is wanted ``target / words of its source`` times (times its own weight, if a weight
-column is given, scaled to the target).  The whole part is allocated for certain.  The rest, p, is its
-inclusion probability: with u uniform from its seeded hash, documents are ranked by the odds u / (1 - u)
-divided by p / (1 - p), and the lowest ranks are taken, a fixed number of words: up to the document whose
-middle passes what the source still lacks.
-
-The running sums are cut into cells of the rank, each summed alone, so that no source meets in one task.
-
-Defined cases.  A null text has no words and is never taken; a null source is a source of its own, the last;
-a null doc_id draws by its text alone.  Repeated rows are documents of their own: equal ranks are taken in
-any order, as they are alike.  A source without words has target 0.  Other columns are not read.
+Sampling.  A document is wanted ``target / words of its source`` times on the average of its source's words, fuller
+documents more: a document's weight is size / (size + 64) in whole thousandths, and what it differs from the
+source's mean weight by (mean by words), halved, moves it by that share of the nearer limit (0 or ``most``).  So the
+sum stays the target and no document is wanted over ``most`` times.  The whole part is allocated for certain.  The
+rest, p, is its inclusion probability: with u uniform from its seeded hash, documents are ranked by the odds
+u / (1 - u) divided by p / (1 - p), and the lowest ranks are taken, a fixed number of words: up to the document
+whose middle passes what the source still lacks.
+
+The running sums are cut into cells of the rank, each summed alone, so that no source meets in one task.  The
+logarithm of the rank has a logistic distribution about each p, whose density is 1/4 at most: cells of a width of
+4 / ``cells`` in it hold one ``cells``-th of a source at most, whatever the probabilities.
+
+Defined cases.  A null text, or one without words, has size 0 and is never taken; a null source is a source of its
+own, the last; a null doc_id draws by its text alone.  Repeated rows are documents of their own: equal ranks are
+taken in any order, as they are alike.  A source without words has target 0.  Very long texts count whole.  An empty
+table gives no rows.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -51,6 +56,15 @@ def seeded_uniform(seed: int, *key: Column) -> Column:
     return (seeded_bits(seed, *key) + F.lit(0.5)) / F.lit(float(1 << SEEDED_BITS))
 
 
+#: Words at which a document's weight is a half.
+HALF_WEIGHT = 64
+
+
+def wanted_times(rate: Column, weight: Column, mean: Column, most: float) -> Column:
+    """How many times a document of ``weight`` (0 to 1000) is wanted where the mean weight is wanted ``rate`` times."""
+    return rate + (weight - mean) / F.lit(2000.0) * F.least(rate, F.lit(float(most)) - rate)
+
+
 def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted: Column, key: list[str], seed: int = 29, cells: int = 1024) -> DataFrame:
     """``rows`` with ``copies`` (long), so that each source's size times copies comes near ``target``.
 
@@ -61,8 +75,10 @@ def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted:
     own = own.withColumn("_whole", F.floor("_wanted")).withColumn("_p", F.col("_wanted") - F.col("_whole"))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     own = keep(own.withColumn("_q", F.when((F.col("_p") > 0) & (F.col(size) > 0), odds)), "odds")
-    # q / (1 + q) lies in (0, 1) and grows with q; undrawn rows have a cell of their own, which isn't gathered.
-    own = own.withColumn("_cell", F.coalesce(F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * cells), F.lit(cells - 1)), F.lit(-1)))
+    # A cell a million rows for the largest tables, which their files' row counts tell.
+    width = max(cells, own.count() // 1_000_000) / 4
+    # Undrawn rows have no rank and a cell of their own, which isn't gathered.
+    own = own.withColumn("_cell", F.floor(F.log("_q") * F.lit(float(width))))
     sums = own.groupBy("_src", "_cell").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col(size)).otherwise(0)).alias("count"), F.sum(F.col("_whole") * F.col(size)).alias("_certain"))
     sums = starts(sums, ["_src"], "_cell").withColumn("_certain", F.sum("_certain").over(Window.partitionBy("_src"))).drop("count")
     w = Window.partitionBy("_src", "_cell").orderBy("_q", *key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -81,10 +97,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: f
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.col("text")).alias("text_md5"),
     )
-    rows = keep(rows, "sizes")
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    targets = targets.withColumnRenamed("source", "_source")
+    weight = F.expr(f"(1000 * size) div (size + {HALF_WEIGHT})")
+    rows = keep(rows.withColumn("_weight", weight), "sizes")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_weight")).alias("_weights"))
+    targets = source_targets(sums.drop("_weights"), weights, budget, most).withColumnRenamed("source", "_source")
+    targets = targets.join(sums.select(F.col("source").alias("_s"), "_weights"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["_source"])).drop("_source")
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = pareto_sample(rows, "source", "size", "target", wanted, ["doc_id", "text_md5"], seed)
+    times = wanted_times(F.col("target") / F.col("source_size"), F.col("_weight"), F.col("_weights") / F.col("source_size"), most)
+    out = pareto_sample(rows, "source", "size", "target", F.when(F.col("source_size") > 0, times).otherwise(0.0), ["doc_id", "text_md5"], seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "text_md5")

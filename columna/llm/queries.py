@@ -76,13 +76,13 @@ SELECT j.page_id, j.host, j.path, j.rule, coalesce((SELECT verdict FROM rules r
 
 _MIX_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(text) AS h FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * (1000 * size // (size + 64)))::BIGINT AS weights FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, (source_size * 2)::DOUBLE AS cap FROM s),
 r AS (SELECT *, cap / w AS stop FROM w),
 l AS (SELECT *, (least(sum(source_size) OVER () * 1.5::DOUBLE, sum(cap) OVER ()) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
       FROM r WINDOW b AS (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, stop) FROM l WHERE level <= stop) * w) AS target FROM l),
-p AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS wanted,
+t AS (SELECT source, source_size, weights, least(cap, (SELECT arg_min(level, stop) FROM l WHERE level <= stop) * w) AS target FROM l),
+p AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size + (1000 * size // (size + 64) - weights::DOUBLE / t.source_size) / 2000.0::DOUBLE * least(t.target / t.source_size, 2.0::DOUBLE - t.target / t.source_size) ELSE 0 END AS wanted,
              (('0x' || substr(md5('29:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || coalesce(d.h, '-')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, floor(wanted) AS whole, wanted - floor(wanted) AS frac FROM p),

@@ -170,6 +170,7 @@ def test_language_id(spark, docs, rows, folder, empty):
                 total += 1
                 right += lang == next(g for j, _, g, *_ in rows if j == i)
     assert total >= 5 and right / total > 0.9
+    assert langid.keep_confident(docs, langid.Crf([], *[None] * 3)).count() == sum(bool(r[1]) and any(c.isalpha() for c in r[1]) for r in rows)
     model = langid.fit(empty)
     assert langid.predict(empty, model).count() == 0
     assert {r["lang_pred"] for r in langid.predict(docs, model).collect()} == {"und"}
@@ -198,6 +199,24 @@ def test_marginals_follow_forward_backward():
     assert model.mean_marginals(pa.array([prose(rng, 30, "fr")]))[0, 1] > 0.9
 
 
+def test_language_of_long_texts_by_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    model = langid.Crf(["a", "b", "c"], rng.normal(0, 1, (1 << 12, 3)), rng.normal(0, 0.5, (3, 3)), rng.normal(0, 1, 3))
+    texts = pa.array([*(" ".join(rng.choice(["ab", "cdé", "fg h", "xyz", "q"], n)) for n in (3, 700, 1, 2000, 40, 513, 512)), None, ""])
+    monkeypatch.setattr(langid, "BLOCK", 10**6)
+    want = model.means(texts)
+    for block, run in ((64, 1500), (7, 200), (512, 10**6)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "RUN", run)
+        assert np.allclose(model.means(texts), want, atol=1e-12)
+    long = pa.array([" ".join(f"w{i % 5000}" for i in range(2_000_000))])
+    monkeypatch.setattr(langid, "RUN", 10**6)
+    assert model.mean_marginals(long).sum() == pytest.approx(1)
+
+
 def test_shards(docs, rows, empty):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(rows)
@@ -380,7 +399,8 @@ def test_pipeline(spark, docs, rows, folder):
     import corpus_pipeline as p
 
     assert len(p.STAGES) == 4 and p.ORACLE_SQL is None
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    clashing = ("_letter", "_text", "copies", "id", "rows", "text_md5", "_id", "_mark", "mark", "kept", "_row", "_copies", "_mix_id", "_MIX_copies", "_rest", "_gone", "size", "target")
+    plain = docs.select("*", *[F.lit(c).alias(c) for c in clashing if c not in docs.columns])
     one = p.STAGES[0][1](spark, plain, folder)
     kept = one.collect()
     assert one.columns == plain.columns and not {r["doc_id"] for r in kept} & {100, 101, 102, 103} and len(kept) >= len(rows) - 8
