@@ -1,7 +1,8 @@
 """A corpus pipeline: language ID, near-duplicate removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next one's ``docs``.  All but the last return the columns of ``documents``.
+next one's ``docs``.  All but the last return the columns of ``documents``.  In every stage columns that are added
+for a while get names that ``docs`` does not have; texts of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,45 +11,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from columna.llm import langid, mixing, ngram_join, packing
-from columna.llm.shared import keep
+from columna.llm.shared import free_name, keep, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language, or with one less probable than 0.3; the rest stay as they are."""
+    """Rejects documents without a letter, or whose words are labelled with less than 0.3 on the mean; the rest stay as they are.
+
+    Null and empty texts have no letter.  Repeated rows are judged alike.  Without any label nothing is learned, and
+    all texts with a letter stay.
+    """
     return langid.keep_confident(docs, langid.fit(docs), least=0.3)
 
 
+def _mark(docs: DataFrame):
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """Of rows with the same doc_id and text the smallest in the other columns; rows without doc_id or text stay."""
+    rest, row = [c for c in docs.columns if c not in ("doc_id", "text")], free_name(docs, "_row")
+    named = docs.where("doc_id is not null and text is not null")
+    once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest) if rest else F.lit(0)).alias(row))
+    once = once.select("doc_id", "text", *[F.col(f"{row}.`{c}`") for c in rest]).select(docs.columns)
+    return once.unionAll(docs.where("doc_id is null or text is null"))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id stays.
 
-    Of rows with the same doc_id one stays.  A document without words, or without doc_id, is no copy of anything.
+    Of rows with the same doc_id and text one stays; rows of one doc_id with different texts are documents of their
+    own.  A document without words, or without doc_id, is no copy of anything.
     """
     found = keep(ngram_join.ngram_jaccard_join(docs, n=5, num=80, den=100), "groups")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if twice:
-        named, rest = out.where("doc_id is not null"), out.where("doc_id is null")
-        out = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row")).select("doc_id", "_row.*").select(docs.columns).unionAll(rest)
-    return out
+    first = found.where("kept and doc_id is not null and n_shingles > 0")
+    twice = first.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
+    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_id"]) & (_mark(docs) == gone["_mark"])
+    out = docs.join(gone, same, "left_anti")
+    return _one_of_each(out) if twice else out
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: sources weigh 5, 2, 1, at most twice each document.
 
-    Rows with the same doc_id and text are alike: what the mix takes of them together comes from one of them.
+    Null and empty texts have no words and are not taken.  Rows with the same doc_id and text are alike: what the
+    mix takes of them together comes from one of them.
     """
-    taken = mixing.mix_sources(docs).groupBy("doc_id", "text_md5").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    taken = keep(taken.where("copies > 0").withColumnRenamed("doc_id", "id"), "copies")
-    if taken.where("rows > 1").limit(1).count():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        docs = docs.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(docs.columns)
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"]) & F.md5(docs["text"]).eqNullSafe(taken["text_md5"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    found = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = keep(found.where("_copies > 0"), "copies")
+    if taken.where("_rows > 1").limit(1).count():
+        docs = _one_of_each(docs)
+    # The other side's columns get names of their own before they stand beside those of docs.
+    id_, md5, copies, number = (free_name(docs, f"_mix_{x}") for x in ("id", "md5", "copies", "number"))
+    taken = taken.select(F.col("_id").alias(id_), F.col("_md5").alias(md5), F.col("_copies").alias(copies))
+    both = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & F.md5(docs["text"].cast("string")).eqNullSafe(F.col(md5)))
+    return both.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins."""
+    """The pieces of all documents with their bins; null and empty texts give a row without bin.
+
+    Repeated rows are documents of their own.
+    """
     return packing.pack_documents(docs)
 
 
@@ -62,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, last = keep(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        release(last)
     return STAGES[-1][1](spark, docs, sf_dir)
