@@ -10,11 +10,12 @@ Retrieval.  Each substring keys a Hamming table; vectors meet if a substring is
 follows from the data: sample vectors are turned by the threshold's angle, the bits that this changes are
 counted, and there are as many tables as it takes for such a pair to share no substring with a probability
 of ``miss`` at most (at cosine 0.98, where the mean is near zero, 32 tables of 16 bits).  Vectors that crowd
-about their mean take more; beyond ``most_tables`` substrings get shorter instead.
+about their mean take more; beyond ``most_tables`` substrings get shorter instead.  Where four bits are too many, codes
+tell nothing, and each label is one bucket, compared whole: that is exact.
 
 Rerank.  Vectors that meet are compared by the cosine of the original vectors in double precision, once per
 pair: only in the first table where their substrings are equal.  Equal vectors of a label are one class with
-a size.  Within a task the links of each class are added up and only those that connect something new are
+a number and a size; different vectors of one vec_id are different classes.  Within a task the links of each class are added up and only those that connect something new are
 sent on, so no list of pairs leaves it.  Buckets of more than ``chunk`` classes are compared in blocks of two
 chunks, in any number of tasks.
 
@@ -73,7 +74,7 @@ def table_plan(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray, threshold:
             if (apart**tables).mean() <= miss:
                 return tables, bits
         if bits <= 4:
-            return most_tables, bits
+            return 1, 0
         bits -= 1
 
 
@@ -155,12 +156,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     taken = F.col("vec_id").isNotNull() & F.col("label.label").isNotNull()
     rows = keep(marked(rows.withColumn("embedding", F.when(taken, F.col("embedding")))).drop("embedding"), "vectors")
     good = rows.where("_v is not null")
-    classes = keep(good.groupBy("label", "_v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("of")), "classes")
+    classes = keep(good.groupBy("label", "_v").agg(F.min("vec_id").alias("first"), F.count("*").alias("of")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     spark = vectors.sparkSession
     links = spark.createDataFrame([], "a long, b long, n long")
     if n > 1:
-        x = sample(classes, "cls", fit_rows, seed, n)
+        x = sample(classes, "first", fit_rows, seed, n)
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
         mean = x.mean(0)
         d = x.shape[1]
@@ -187,8 +188,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
         links = keep(links, "links")
     found = components(links.where("n = 0").select("a", "b"))
     per = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
-    info = classes.join(per, classes["cls"] == per["a"], "left").join(found, classes["cls"] == found["node"], "left")
-    info = info.select("label", "_v", (F.coalesce("n", F.lit(0)) + F.col("of") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    named = classes.select("cls", "first").join(found, F.col("cls") == found["node"]).select("node", "component", "first")
+    heads = named.groupBy("component").agg(F.min("first").alias("head"))
+    named = named.join(heads, "component").select("node", "head")
+    info = classes.join(per, classes["cls"] == per["a"], "left").join(named, classes["cls"] == named["node"], "left")
+    info = info.select("label", "_v", (F.coalesce("n", F.lit(0)) + F.col("of") - 1).alias("n_links"), F.coalesce("head", "first").alias("component_id"))
     linked = good.join(info, ["label", "_v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("_v is null")
     out = linked.unionAll(rest.select("vec_id", F.lit(0).cast("long"), "vec_id"))
