@@ -62,7 +62,10 @@ def test_search(spark, rows, folder):
     found: dict = {}
     for r in got:
         found.setdefault(r["query_id"], []).append(r)
-    assert set(found) == {i for i in by_id if i % 20 == 0}
+    # Two rows have the vec_id 440: each asks, and finds the other.
+    assert len(found[440]) == 40 and sum(r["vec_id"] == 440 for r in found[440]) == 2
+    del found[440]
+    assert set(found) == {i for i in by_id if i % 20 == 0 and i != 440}
     hit = 0
     for q, rs in found.items():
         rs.sort(key=lambda r: r["rank"])
@@ -77,14 +80,63 @@ def test_search(spark, rows, folder):
 
 
 def test_search_in_blocks_and_few_candidates(spark, table):
-    small = perm_index.permutation_search(table, F.pmod("vec_id", F.lit(20)) == 0, k=5, shard_rows=50, query_rows=7, share=0.5, floor=10)
-    assert small.groupBy("query_id").count().where("count <> 5").count() == 0
+    small = perm_index.permutation_search(table, F.pmod("vec_id", F.lit(20)) == 0, k=5, block_bytes=50 * 128, query_bytes=7 * 128)
+    assert small.groupBy("query_id").count().where("count <> if(query_id = 440, 10, 5)").count() == 0
     three = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [2.0, 0.0], 0)], SCHEMA)
     got = perm_index.permutation_search(three, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(2, 2.0), (1, 1.0)]
     assert perm_index.permutation_search(three.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def cloud(kind, rng):
+    if kind == "wide":
+        return rng.standard_normal((2500, 384))
+    if kind == "lengths":
+        return rng.standard_normal((4000, 64)) * rng.lognormal(0, 0.7, (4000, 1))
+    return rng.standard_normal((40, 32))[rng.integers(0, 40, 6000)] * 2 + rng.standard_normal((6000, 32))
+
+
+@pytest.mark.parametrize("kind", ["wide", "lengths", "clusters"])
+def test_recall_of_the_index(spark, tmp_path, kind):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = cloud(kind, np.random.default_rng(3))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), f"{tmp_path}/v.parquet")
+    table = spark.read.parquet(f"{tmp_path}/v.parquet")
+    got = perm_index.permutation_search(table, F.pmod("vec_id", F.lit(50)) == 0, block_bytes=1_000_000).toPandas()
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -INF
+        assert len(own) == 20
+        hit += len(set(own["vec_id"]) & set(np.argsort(-s)[:20].tolist()))
+    assert hit / len(got) >= 0.9
+
+
+def test_near_duplicates_keep_vectors_of_one_id_apart(spark):
+    v, w = np.random.default_rng(2).standard_normal((2, 16))
+    rows = [(1, v.tolist(), 0), (1, w.tolist(), 0), (2, (v + 1e-3).tolist(), 0), (3, (w + 1e-3).tolist(), 0)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_table_plan_falls_back_to_one_bucket():
+    x = np.ones((50, 8)) / np.sqrt(8) + np.random.default_rng(0).standard_normal((50, 8)) * 1e-9
+    assert itq.table_plan(x, x.mean(0), np.eye(8), 0.98, 8, 1e-30, 2, 1) == (1, 0)
+    assert itq.substrings(x, np.zeros((8, 0)), 1, 0).tolist() == [[0]] * 50
+
+
+def test_plan_reranks_a_share_of_clusters():
+    x = cloud("clusters", np.random.default_rng(3))
+    top = float(np.sqrt((x * x).sum(1)).max())
+    piv = perm_index.apart(x[:1024], 256)
+    piv = np.hstack([piv, np.sqrt(np.maximum(top * top - (piv * piv).sum(1), 0))[:, None]])
+    index = perm_index.plan(perm_index.Index(piv, top, min(64, len(piv))), x[:4096], 20, 0.98, 0.6)
+    assert 0 < index.share < 0.5 and 0 < index.route <= len(piv) and index.trial is not None
+    assert perm_index.shard_cells({0: 5, 1: 3, 3: 25}, 4, 10) == ([0, 0, 0, 1], [1, 1, 1, 3], 4)
+
+
 def linked(rows, threshold=0.98):
     fine = [(i, v / np.sqrt(v @ v), g) for i, v, g in good(rows) if g is not None]
     n, up = {}, {i: i for i, _, _ in rows if i is not None}
