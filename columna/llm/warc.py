@@ -8,7 +8,8 @@ from the response's identifier, so that a second run, or a task that runs again,
 
 Defined cases.  A response without payload (null) is taken as an empty one: an empty text, no title.  Without a
 target URI the header is left out.  A response without date takes ``DATE``.  Repeated responses give repeated,
-equal records.  An empty table gives no rows.  Only the columns named are read.
+equal records.  Very long pages are read whole, in linear time whatever their markup (:func:`read_page`).  An empty
+table gives no rows.  Only the columns named are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -27,16 +28,16 @@ from pyspark.sql import functions as F
 
 DATE = "1970-01-01T00:00:00Z"
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
-_HIDDEN = re.compile(r"<(?:(!--)|(script|style|noscript|template|svg)(?=[\s/>]|\Z)[^>]*>?)", re.I)
-_END = {"!--": re.compile("-->")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg")}
-#: Without their end these take the rest of the page, as in a browser; of the others only the tag goes.
-_RAW = ("!--", "script", "style")
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>((?:<title\b[^>]*>.*?</title\s*>|[^<]+|<)*?)(?:(</head\s*>)|(?=<(?:body|address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b)|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Elements whose text is not shown.  Without their end the first two take the rest of the page, as in a browser; of
+#: the others only the tag goes.
+_RAW, _UNSEEN = ("script", "style"), ("noscript", "template", "svg")
+_END = {x: re.compile(rf"</{x}\s*+>", re.I) for x in (*_RAW, *_UNSEEN, "title")}
+_BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)|<(?=[!?])|<(?=/[a-zA-Z])")
+#: What follows a tag's name, up to its ``>``; quoted values may hold one.  Possessive, so that nothing is tried twice.
+_REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_LANG = re.compile(r"[\w-]+")
 
 FIELDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, source_header string, block string"
 
@@ -49,28 +50,97 @@ def one_line(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def _shown(page: str) -> str:
-    """The page without comments and elements that show no text."""
-    out, at, endless = [], 0, set()
-    while m := _HIDDEN.search(page, at):
-        name = (m[1] or m[2]).lower()
-        end = None if name in endless or name == "svg" and m[0].endswith("/>") else _END[name].search(page, m.end())
-        out += [page[at : m.start()], " "]
-        at = end.end() if end else len(page) if name in _RAW else m.end()
-        if not end and not m[0].endswith("/>"):
-            endless.add(name)
-    return _HEAD.sub(lambda m: " " if m[2] else _TITLE.sub(" ", m[1]), "".join([*out, page[at:]]))
+def _attribute(tag: str, name: str) -> str | None:
+    """The first value of ``name`` among a tag's attributes."""
+    for m in _ATTRIBUTE.finditer(tag):
+        if m[1].lower() == name:
+            return next((x for x in m.groups()[1:] if x is not None), None)
+    return None
 
 
-def plain_text(page: str) -> str:
-    """The readable text of a page, a line for each block element.
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """(text, title, language, links) of a page, read once from left to right.
 
-    A head that is not closed ends at ``<body>`` or the first block element; what is not its title stays.
+    The text has a line for each block element, without comments and elements that show no text.  A head that is not
+    closed ends at ``<body>`` or the first block element; what is not its title stays.  A tag that never ends is text,
+    with all that follows.  The work is linear in the page: an end that was missing once is not looked for again.
     """
-    text = _TAG.sub("", _BREAK.sub("\n", _shown(page)))
+    out: list[str] = []
+    head: list[str] | None = None  # what an open head holds beside its title
+    title = lang = None
+    links: list[str] = []
+    endless: set[str] = set()
+    at, n = 0, len(page)
+    while at < n:
+        m = _OPEN.search(page, at)
+        if m is None:
+            break
+        (out if head is None else head).append(page[at : m.start()])
+        name = (m[2] or "").lower()
+        if page.startswith("!--", m.start() + 1):
+            end = page.find("-->", m.start() + 4)
+            at = n if end < 0 else end + 3
+            (out if head is None else head).append(" ")
+            continue
+        rest = _REST.match(page, m.end())
+        if rest is None:
+            if name in _RAW and not m[1]:
+                at = n
+                break
+            at = m.start()
+            break
+        at = rest.end()
+        if m[1]:
+            if name == "head" and head is not None:
+                head = None
+                out.append(" ")
+            elif name in _BLOCKS:
+                if head is not None:
+                    out.extend(head)
+                    head = None
+                out.append("\n")
+            continue
+        if name == "a":
+            href = _attribute(rest[1], "href")
+            if href is not None:
+                links.append(href)
+        elif name == "html" and lang is None:
+            found = _LANG.match(_attribute(rest[1], "lang") or "")
+            lang = found[0] if found else None
+        elif name in _END:
+            end = None if name in endless or rest[1].endswith("/") and name == "svg" else _END[name].search(page, at)
+            if end is None and not (name == "svg" and rest[1].endswith("/")):
+                endless.add(name)
+            if name == "title":
+                if end is not None:
+                    title = page[at : end.start()] if title is None else title
+                    if head is None:
+                        out.append(page[at : end.start()])
+                    at = end.end()
+            else:
+                (out if head is None else head).append(" ")
+                if end is not None and name in _UNSEEN:  # its links count; it holds no end of its own, so this goes three deep at most
+                    links += read_page(page[at : end.start()])[3]
+                at = end.end() if end is not None else n if name in _RAW else at
+        elif name == "head" and head is None:
+            head = []
+        elif name == "body" or name in _BLOCKS:
+            if head is not None:
+                out.extend(head)
+                head = None
+            if name != "body":
+                out.append("\n")
+    if head is not None:
+        out.extend(head)
+    text = "".join([*out, page[at:]])
     if "&" in text:
         text = html.unescape(text)
-    return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
+    return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x), title, lang, links
+
+
+def plain_text(page: str) -> str:
+    """The readable text of a page, a line for each block element."""
+    return read_page(page)[0]
 
 
 def page_responses(pages: DataFrame, header: str = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n") -> DataFrame:
@@ -87,13 +157,13 @@ def derive_one(record_id: str, target_uri: str | None, payload: str | None, http
     body = page.encode("utf-8", "surrogatepass")
     payload_digest = digest(body)
     head = http_header or ""
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    text, title, lang, links = read_page(page)
     fields = [("source-record-id", record_id), ("source-payload-digest", payload_digest), ("source-block-digest", digest(head.encode() + b"\r\n" + body)), ("source-payload-length", str(len(body)))]
     fields += [("source-header", line) for line in head.split("\r\n") if line]
-    fields += [("title", one_line(title[1]))] if title else []
-    fields += [("language", lang[1])] if lang else []
-    fields += [("outlink", one_line(next(x for x in m.groups() if x is not None))) for m in _LINK.finditer(page)]
-    return payload_digest, "".join(f"{k}: {v}\r\n" for k, v in fields), plain_text(page)
+    fields += [("title", one_line(title))] if title is not None else []
+    fields += [("language", lang)] if lang else []
+    fields += [("outlink", one_line(x)) for x in links]
+    return payload_digest, "".join(f"{k}: {v}\r\n" for k, v in fields), text
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +206,27 @@ def serialize(derived: DataFrame) -> DataFrame:
     return derived.mapInArrow(run, "page_id long, record_type string, record binary")
 
 
+def responses(files: DataFrame) -> DataFrame:
+    """Response rows, as :func:`derive` takes them, of the WARC files in ``files`` (path, content: as ``binaryFile`` reads).
+
+    A file's records are numbered from 0 in ``page_id``.  Records of other types are passed over.  A task holds a file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "record_id", "target_uri", "warc_date", "http_header", "payload"]
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = []
+                for i, (fields, block) in enumerate(parse(content.as_py()) if content.is_valid else []):
+                    if fields.get("WARC-Type") == "response":
+                        head, gap, body = block.partition(b"\r\n\r\n")
+                        head = head + b"\r\n" if gap else head
+                        rows.append((i, fields.get("WARC-Record-ID"), fields.get("WARC-Target-URI"), fields.get("WARC-Date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(6)], names)
+
+    return files.select("content").mapInArrow(run, "page_id long, record_id string, target_uri string, warc_date string, http_header string, payload string")
+
+
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """Headers and block of each record in the bytes of a (gzipped) WARC file."""
     raw, out = gzip.decompress(data), []

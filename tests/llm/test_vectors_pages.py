@@ -289,3 +289,115 @@ def test_records_round_trip(pages):
         assert block == r["block"].encode() and head["WARC-Record-ID"] == r["record_id"] and head["WARC-Refers-To"] == r["refers_to"] and head["WARC-Type"] == r["record_type"]
         assert head["WARC-Block-Digest"] == warc.digest(block) and head.get("WARC-Target-URI") == (None if r["target_uri"] is None else r["target_uri"].replace("\r", "%0D").replace("\n", "%0A"))
     assert warc.serialize(derived).count() == len(rows)
+
+
+class Reader:
+    """An independent reading of well-formed pages, on the standard library's parser."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        me = self
+        self.out, self.links, self.title, self.lang, self.hidden, self.in_title = [], [], None, None, [], False
+        blocks = {"p", "div", "li", "ul", "h1", "h2", "br", "td", "tr", "table", "section"}
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag == "a" and dict(attrs).get("href") is not None:
+                    me.links.append(" ".join(dict(attrs)["href"].split()))
+                if tag == "html" and me.lang is None:
+                    me.lang = dict(attrs).get("lang")
+                if tag in ("script", "style", "head", "noscript", "template"):
+                    me.hidden.append(tag)
+                me.in_title = tag == "title"
+                if tag in blocks and not me.hidden:
+                    me.out.append("\n")
+
+            def handle_endtag(self, tag):
+                if me.hidden and me.hidden[-1] == tag:
+                    me.hidden.pop()
+                me.in_title = False
+                if tag in blocks and not me.hidden:
+                    me.out.append("\n")
+
+            def handle_data(self, data):
+                if me.in_title and me.title is None:
+                    me.title = " ".join(data.split())
+                elif not me.hidden:
+                    me.out.append(data)
+
+            def handle_comment(self, data):
+                if not me.hidden:
+                    me.out.append(" ")
+
+        parser = Parser(convert_charrefs=True)
+        parser.feed(page)
+        parser.close()
+        lines = (" ".join(x.split()) for x in "".join(self.out).split("\n"))
+        self.text = "\n".join(x for x in lines if x)
+
+
+def made_pages(rng):
+    words = ["alpha", "b&amp;c", "&lt;tag&gt;", "é&eacute;", "x > y", "1 &#60; 2"]
+
+    def inner(depth):
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            kind = rng.integers(0, 7)
+            text = " ".join(rng.choice(words, 3))
+            if depth and kind < 3:
+                tag = rng.choice(["p", "div", "ul", "b", "SPAN", "h1", "noscript"])
+                out.append(f'<{tag} class="a > b" id=x>{inner(0) if tag == "noscript" else inner(depth - 1)}</{tag}>')
+            elif kind == 3:
+                out.append(f"<a title='>' HREF=\"/p?q={rng.integers(9)}&amp;r=1\">{text}</a>")
+            elif kind == 4:
+                out.append(f"<!-- {text} <a href=no> --><script>if (a < b) '<p>'</script>")
+            elif kind == 5:
+                out.append(f"<br/>{text}<a href=/bare{rng.integers(9)}>")
+            else:
+                out.append(text)
+        return "\n".join(out)
+
+    return [f"<!DOCTYPE html><html lang='{rng.choice(['de', 'en-US'])}'><head><meta charset=utf-8><title>T {i} &amp; co</title><style>p > a {{}}</style></head><body>{inner(3)}</body></html>" for i in range(60)]
+
+
+def test_derivatives_query_against_another_parser(spark, tmp_path):
+    pages = made_pages(np.random.default_rng(7))
+    spark.createDataFrame([(i, f"http://x/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op5_warc_derivatives"](spark, str(tmp_path)).collect()
+    assert len(got) == 120
+    for r in got:
+        page = pages[r["page_id"]]
+        want = Reader(page)
+        raw = hashlib.sha1(page.encode()).digest()
+        assert r["source_payload_digest"] == "sha1:" + base64.b32encode(raw).decode()
+        if r["record_type"] == "conversion":
+            assert r["block"] == want.text
+        else:
+            fields = [x.split(": ", 1) for x in r["block"].split("\r\n") if x]
+            assert [v for k, v in fields if k == "outlink"] == want.links
+            assert [v for k, v in fields if k in ("title", "language")] == [want.title, want.lang]
+
+
+@pytest.mark.parametrize("unit", ["<a", "<title>", "<html ", '<a href="', "<svg>", "<head>", "<p ='", "<a b='c' d=\"", "<head><title>x"])
+def test_pages_are_read_in_linear_time(unit):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        warc.read_page(unit * (n // len(unit)))
+        return time.process_time() - began
+
+    assert seconds(2_000_000) < max(1.0, 40 * seconds(200_000))
+
+
+def test_responses_from_files(spark, pages, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>hi"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n"
+    import gzip
+
+    other = b"".join(warc.record_bytes(r.asDict()) for r in warc.derive(warc.page_responses(pages)).limit(2).collect())
+    (tmp_path / "a.warc.gz").write_bytes(other + gzip.compress(head.encode() + block + b"\r\n\r\n"))
+    got = warc.responses(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [tuple(r) for r in got] == [(2, "<urn:uuid:1>", "http://x", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b\r\n", "<p>hi")]
+    assert warc.derive(warc.responses(spark.read.format("binaryFile").load(str(tmp_path)))).count() == 2
