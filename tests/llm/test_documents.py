@@ -278,44 +278,52 @@ def test_pareto_prefers_wanted_rows(spark):
     assert sure.where("id < 100 and copies < 2").count() == 0
 
 
-def test_pseudo_likelihood(docs, rows, empty):
+def softmaxes(model, around):
+    """P(class | window) for every class, in plain numpy."""
     import numpy as np
-    import pyarrow as pa
 
-    model = lm.fit(docs)
-    got = lm.pseudo_likelihood(docs, model).collect()
-    assert len(got) == len(rows)
-    assert np.allclose(np.exp(model.window).sum(1), 1)
-    for r in got:
-        t = next(t for i, t, *_ in rows if i == r["doc_id"])
-        assert r["n_tokens"] == len(words(t))
-        if t and words(t):
-            bucket, _, tail = lm._tokens(pa.array([t]))
-            c = [lm.END, *lm._classes(bucket, tail, model.own).tolist(), lm.END]
-            want = sum(model.window[c[i - 1], c[i], c[i + 1]] + model.word[bucket[i - 1]] - model.cls[c[i]] for i in range(1, len(c) - 1))
-            assert r["pll"] == pytest.approx(want) and r["pll_per_token"] == pytest.approx(want / len(words(t)))
-        else:
-            assert (r["pll"], r["pll_per_token"]) == (0, None)
-    junk = lm.pseudo_likelihood(docs.sparkSession.createDataFrame([(1, "the and thing with"), (2, "zzq kkv wwx qqj")], "doc_id long, text string"), model).orderBy("doc_id").collect()
-    assert junk[0]["pll"] > junk[1]["pll"]
-    assert lm.pseudo_likelihood(empty, lm.fit(empty)).count() == 0
+    w = [x.astype(float) for x in model.weights]
+    h = np.tanh(np.concatenate([w[0][j][c] for j, c in enumerate(around)]) @ w[1] + w[2])
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return np.concatenate([p * soft(h @ w[5][k] + w[6][k]) for k, p in enumerate(soft(h @ w[3] + w[4]))])
 
 
 @pytest.mark.parametrize("part", [2_000_000, 500])
-def test_corpus_likelihood_is_exact(docs, rows, empty, monkeypatch, part):
-    """Against a count of all words and pairs in plain Python, in one part and in many."""
+def test_likelihood_against_plain_counts(spark, rows, folder, empty, monkeypatch, part):
+    """The query against a count of all words and pairs in plain Python, in one part and in many; P sums to 1."""
     import numpy as np
     import pyarrow as pa
 
+    from columna.llm.shared import word_hashes
+
     monkeypatch.setattr(lm, "PART", part)
+    monkeypatch.setattr(lm, "WORDS", 100)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = lm.fit(docs)
     seen: Counter = Counter()
+    vocabulary: Counter = Counter()
     for _, t, *_ in rows:
         w = ["", *words(t), ""]
         if len(w) > 2:
+            vocabulary.update(w[1:-1])
             seen.update(w[:-1])
             seen.update(zip(w[:-1], w[1:], strict=True))
-    got = lm.corpus_likelihood(docs, model).collect()
+    names = sorted(vocabulary)
+    text = pa.array([" ".join(names)])
+    of = dict(zip(names, model.classes(word_hashes(text)[0], lm._tails(text)).tolist(), strict=True))
+    top = sorted(vocabulary.values())[-100:]
+    assert len(model.own) == 100 and sum(vocabulary[x] for x in names if of[x] < 100) == sum(top)
+    assert all(sum(vocabulary[x] for x in names if of[x] == c) == model.size[c] for c in set(of.values()))
+    end = model.clusters * model.members
+
+    def chance(w, i, x):
+        """P(x) in the place of w[i], from all other tokens."""
+        around = [of[w[j]] if 0 < j < len(w) - 1 else end for j in (i - 2, i - 1, i + 1, i + 2)]
+        b = lm.ALPHA * softmaxes(model, around)[of[x]] * (1 if of[x] < 100 else vocabulary[x] / model.size[of[x]])
+        less = x == w[i]
+        return ((seen[w[i - 1], x] - less + b) / (seen[w[i - 1]] - 1 + lm.ALPHA) + (seen[x, w[i + 1]] - less + b) / (seen[w[i + 1]] - 1 + lm.ALPHA)) / 2
+
+    got = QUERIES["op8_pseudo_likelihood"](spark, folder).collect() if part > 500 else lm.corpus_likelihood(docs, model).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in rows)
     for r in got:
         t = next(t for i, t, *_ in rows if i == r["doc_id"])
@@ -323,40 +331,44 @@ def test_corpus_likelihood_is_exact(docs, rows, empty, monkeypatch, part):
         assert r["n_tokens"] == len(w) - 2
         if len(w) == 2:
             assert (r["pll"], r["pll_per_token"]) == (0, None)
-            continue
-        bucket, _, tail = lm._tokens(pa.array([t]))
-        c = [lm.END, *lm._classes(bucket, tail, model.own).tolist(), lm.END]
-        want = 0.0
-        for i in range(1, len(c) - 1):
-            b = lm.ALPHA * np.exp(model.window[c[i - 1], c[i], c[i + 1]]) * seen[w[i]] / model.size[c[i]]
-            want += np.log(((seen[w[i - 1], w[i]] + b) / (seen[w[i - 1]] + lm.ALPHA) + (seen[w[i], w[i + 1]] + b) / (seen[w[i + 1]] + lm.ALPHA)) / 2)
-        assert r["pll"] == pytest.approx(want) and r["pll_per_token"] == pytest.approx(want / (len(w) - 2))
+        elif len(w) < 200:
+            want = sum(np.log(chance(w, i, w[i])) for i in range(1, len(w) - 1))
+            assert r["pll"] == pytest.approx(want, rel=1e-3) and r["pll_per_token"] == pytest.approx(want / (len(w) - 2), rel=1e-3)
+    w = ["", *words(rows[3][1]), ""]
+    for i in (1, len(w) // 2, len(w) - 2):
+        assert sum(chance(w, i, x) for x in names) == pytest.approx(1, abs=0.2 if i in (1, len(w) - 2) else 0.02)
     assert lm.corpus_likelihood(empty, lm.fit(empty)).count() == 0
 
 
-def test_likelihood_tells_words_of_one_bucket_apart(spark, tmp_path):
-    import pyarrow as pa
-
-    names = [f"w{i}" for i in range(3000)]
-    at: dict = {}
-    for name, bucket in zip(names, lm._tokens(pa.array([" ".join(names)]))[0].tolist(), strict=True):
-        at.setdefault(bucket, []).append(name)
-    often, once = next(v for v in at.values() if len(v) > 1)[:2]
-    spark.createDataFrame([*[(i, often) for i in range(50)], (50, once)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["pll"] for r in QUERIES["op8_pseudo_likelihood"](spark, str(tmp_path)).collect()}
-    assert got[0] > got[50] + 1
+def test_likelihood_tells_copies_and_rare_words(spark, tmp_path):
+    rng = random.Random(3)
+    stock = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(stock) for _ in range(60)) for _ in range(80)]
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts[:5])), (200, "zzq kkv wwx qqj")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["pll_per_token"] for r in QUERIES["op8_pseudo_likelihood"](spark, str(tmp_path)).collect()}
+    twice = [got[i] for i in (*range(5), *range(100, 105))]
+    once = [got[i] for i in range(5, 80)]
+    assert min(twice) > max(once) and got[200] < min(once)
 
 
-def test_network_learns_the_counts():
+def test_network_learns_both_sides():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    counts = np.zeros((6, 6, 6))
-    for _ in range(20_000):
-        a, b = rng.integers(0, 6, 2)
-        counts[a, (a + b) % 6 if rng.random() < 0.8 else rng.integers(0, 6), b] += 1
-    p = np.exp(lm.train_network(counts, steps=1500))
-    assert np.mean([p[a, (a + b) % 6, b] for a in range(6) for b in range(6)]) > 0.6
+    x = rng.integers(0, 6, (20_000, 3))
+    x[:, 1] = np.where(rng.random(len(x)) < 0.8, (x[:, 0] + x[:, 2]) % 6, x[:, 1])
+    model = lm.WindowNet.of(np.arange(6, dtype=np.uint64) << np.uint64(40), np.bincount(x[:, 1], minlength=6), 20_000)
+    around = np.full((len(x), 4), model.clusters * model.members)
+    around[:, 1], around[:, 2] = x[:, 0], x[:, 2]
+    before = model.log_p(around, x[:, 1]).mean()
+    seen = [np.full_like(w, 1e-8) for w in model.weights]
+    for _ in range(40):
+        for at in range(0, len(x), 2000):
+            model.learn(around[at : at + 2000], x[at : at + 2000, 1], seen)
+    assert model.log_p(around, x[:, 1]).mean() > before + 0.4
+    p = [np.exp(model.log_p(around[:1], np.array([c]))[0]) for c in range(model.clusters * model.members)]
+    assert sum(p) == pytest.approx(1, abs=1e-4)
 
 
 def test_packing(docs, rows, empty):
