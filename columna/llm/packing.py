@@ -7,11 +7,13 @@ that the bin is expected to hold: the piece, and the share of the remaining room
 come can fill.  At last each bin is cut down to the smallest capacity that holds its contents.
 
 Packing is sequential, so pieces are dealt by hash into groups of about ``group_pieces`` and each group is
-packed alone; at most one badly filled bin of each capacity a group is lost by that.
+packed alone; at most one badly filled bin of each capacity a group is lost by that.  :func:`packed_sequences` then
+brings the words of each bin together: a row a bin, its pieces' texts in the order of their offsets.
 
-Defined cases.  A text that is null or has no words gives one row with length 0 and no bin.  Rows of the same
-doc_id are documents of their own (dealt by their text's checksum too).  An empty table gives no rows.
-Other columns are not read.
+Defined cases.  A text that is null or has no words gives one row with length 0 and no bin, and is in no sequence.
+Rows of the same doc_id are documents of their own (dealt by their text's checksum too); rows equal in both are
+alike, and their pieces are interchangeable.  Ties in length go by doc_id, checksum and piece.  Very long texts are
+cut, and a task holds one of them.  An empty table gives no rows.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, keep
@@ -73,15 +75,15 @@ def _pack(capacities: tuple[int, ...], start_cost: float):
         offset[by] = begun - np.repeat(begun[firsts], np.diff(np.append(firsts, len(by))))
         group = np.asarray(table.column("group"))
         return pa.table({
-            "doc_id": table.column("doc_id"), "piece": table.column("piece"), "first_word": table.column("first_word"), "length": table.column("length"),
+            "doc_id": table.column("doc_id"), "crc": table.column("crc"), "piece": table.column("piece"), "first_word": table.column("first_word"), "length": table.column("length"),
             "bin_id": pa.array((group << 32) + where), "bin_capacity": pa.array(np.array(caps, np.int32)[where], pa.int32()), "bin_offset": pa.array(offset),
         })
 
     return run
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, start_cost: float = 16.0, group_pieces: int = 20_000) -> DataFrame:
-    """A row for each piece: doc_id, piece, first_word, length, bin_id, bin_capacity, bin_offset."""
+def pack_pieces(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, start_cost: float = 16.0, group_pieces: int = 20_000) -> DataFrame:
+    """A row for each piece: doc_id, crc (of its text), piece, first_word, length, bin_id, bin_capacity, bin_offset."""
     top = max(capacities)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("words"), F.coalesce(F.crc32(F.col("text")), F.lit(0)).alias("crc"))
     rows = keep(rows, "sizes")
@@ -90,7 +92,34 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, st
     cut = rows.where("words > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div {top}"))))
     cut = cut.select("doc_id", "crc", "piece", (F.col("piece") * top).alias("first_word"), F.least(F.lit(top), F.col("words") - F.col("piece") * top).cast("long").alias("length"))
     cut = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "doc_id", "crc", "piece"), F.lit(groups)))
-    schema = "doc_id long, piece long, first_word long, length long, bin_id long, bin_capacity int, bin_offset long"
+    schema = "doc_id long, crc long, piece long, first_word long, length long, bin_id long, bin_capacity int, bin_offset long"
     packed = cut.groupBy("group").applyInArrow(_pack(tuple(capacities), start_cost), schema)
-    none = rows.where("words = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_capacity"), F.lit(None).cast("long").alias("bin_offset"))
+    none = rows.where("words = 0").select("doc_id", "crc", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_capacity"), F.lit(None).cast("long").alias("bin_offset"))
     return packed.unionAll(none)
+
+
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, start_cost: float = 16.0, group_pieces: int = 20_000) -> DataFrame:
+    """A row for each piece: doc_id, piece, first_word, length, bin_id, bin_capacity, bin_offset."""
+    return pack_pieces(docs, capacities, start_cost, group_pieces).drop("crc")
+
+
+def packed_sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, start_cost: float = 16.0, group_pieces: int = 20_000) -> DataFrame:
+    """A row for each bin: bin_id, bin_capacity, length (words), doc_ids, ends (words up to each piece's end), text.
+
+    Words are joined by a blank.  Each piece's words are cut out where its text lies, and only they travel.
+    """
+    placed = keep(pack_pieces(docs, capacities, start_cost, group_pieces).where("bin_id is not null"), "placed")
+    # Rows alike in doc_id and checksum each take one of the pieces that are alike.
+    alike = Window.partitionBy("doc_id", "crc", "piece").orderBy("bin_id", "bin_offset")
+    placed = placed.withColumn("copy", F.row_number().over(alike))
+    text = F.col("text").cast("string")
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("crc"), F.regexp_extract_all(text, F.lit(f"({WORD})")).alias("words"))
+    words = words.where(F.size("words") > 0)
+    top = max(capacities)
+    cut = words.select("doc_id", "crc", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {top}").cast("int")), lambda i: F.array_join(F.slice("words", i * top + 1, top), " "))).alias("piece", "part"))
+    cut = keep(cut.withColumn("piece", F.col("piece").cast("long")), "parts")
+    cut = cut.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "crc", "piece").orderBy("part")))
+    same = F.col("p.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("p.crc") == F.col("c.crc")) & (F.col("p.piece") == F.col("c.piece")) & (F.col("p.copy") == F.col("c.copy"))
+    both = placed.alias("p").join(cut.alias("c"), same).select("p.bin_id", "p.bin_capacity", F.struct("p.bin_offset", "p.doc_id", "p.length", "c.part").alias("one"))
+    bins = both.groupBy("bin_id", "bin_capacity").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    return bins.select("bin_id", "bin_capacity", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), F.col("all.doc_id").alias("doc_ids"), F.transform("all", lambda x: x["bin_offset"] + x["length"]).alias("ends"), F.array_join("all.part", " ").alias("text"))

@@ -397,6 +397,66 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def plain_best_fit(pieces, caps, start_cost=16.0):
+    """The same rule by looking at every open bin and every capacity: (bin of each piece, capacity of each bin)."""
+    caps = sorted(caps)
+    left, bins, rooms, held = sum(pieces), [], [], []
+    for s in pieces:  # longest first
+        left -= s
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= s]
+        if fits:
+            b = min(fits)[1]
+        else:
+            def cost(c, s=s):
+                free = c - s
+                fill = min(left, free * free / (free + s / 2)) if free else 0
+                return (c + start_cost) / (s + fill)
+
+            b = len(rooms)
+            rooms.append(min((c for c in caps if c >= s), key=lambda c: (cost(c), c)))
+            held.append(0)
+        rooms[b] -= s
+        held[b] += s
+        bins.append(b)
+    return bins, [min(c for c in caps if c >= h) for h in held]
+
+
+def test_packing_query_against_plain_best_fit(spark, folder, rows):
+    caps = packing.CAPACITIES
+    made = []
+    for i, t, *_ in rows:
+        n = len(words(t))
+        made += [(-min(2048, n - at), i is not None, i or 0, zlib.crc32(t.encode()), k, i) for k, at in enumerate(range(0, n, 2048))]
+    made.sort()
+    bins, sizes = plain_best_fit([-x[0] for x in made], caps)
+    want = Counter((x[5], x[4], -x[0], b, sizes[b]) for x, b in zip(made, bins, strict=True))
+    got = QUERIES["op10_best_fit"](spark, folder).where("bin_id is not null").collect()
+    alike = lambda c: Counter((i, k, n, size) for (i, k, n, _, size), m in c.items() for _ in range(m))
+    mine = Counter((r["doc_id"], r["piece"], r["length"], r["bin_id"], r["bin_capacity"]) for r in got)
+    assert alike(mine) == alike(want)
+    assert mine == want  # one group, so bins have the same numbers
+
+
+def test_packed_sequences_hold_every_word(docs, rows, empty):
+    got = packing.packed_sequences(docs).collect()
+    text = {}
+    for i, t, *_ in rows:
+        text.setdefault(i, []).append(WORD.findall(t or ""))
+    per: dict = {}
+    for r in got:
+        w = r["text"].split(" ")
+        assert len(w) == r["length"] == r["ends"][-1] <= r["bin_capacity"]
+        at = 0
+        for i, end in zip(r["doc_ids"], r["ends"], strict=True):
+            per.setdefault(i, []).append(w[at:end])
+            at = end
+    for i, texts in text.items():
+        assert sorted(x for p in per.get(i, []) for x in p) == sorted(x for t in texts for x in t)
+        if len(texts) == 1 and texts[0]:
+            assert sorted(per[i]) == sorted(texts[0][k : k + 2048] for k in range(0, len(texts[0]), 2048))
+    assert packing.packed_sequences(empty).count() == 0
+
+
 def test_best_fit_is_tight():
     bins, caps = packing.best_fit([5, 5, 3, 3, 2, 2], (5, 10), 0.0)
     assert sum(caps) == 20 and len(bins) == 6
