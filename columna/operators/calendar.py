@@ -12,14 +12,16 @@ from ..functions import calendar as C
 from ..functions.calendar import DateFreq
 
 
-def parse_date(text: str) -> dt.date:
+def parse_date(text: str | dt.date) -> dt.date:
+    if isinstance(text, dt.date):
+        return text
     try:
         return dt.date(*map(int, text.split("-")))
     except (ValueError, TypeError) as e:
         raise ValueError(f"not a date: {text!r}") from e
 
 
-def generate(spark: SparkSession, start: str, freq: DateFreq, n: int, business: bool = False, compat: bool = False) -> DataFrame:
+def generate(spark: SparkSession, start: str | dt.date, freq: DateFreq, n: int, business: bool = False, compat: bool = False) -> DataFrame:
     """Exactly ``n`` dates from the first on or after ``start``.
 
     Business period ends that roll back before ``start`` are skipped.  ``compat`` looks at n + 5 (daily) or n + 2
@@ -38,8 +40,8 @@ def generate(spark: SparkSession, start: str, freq: DateFreq, n: int, business:
 class DatesList:
     """An inclusive range of dates at a frequency; nothing is parsed before it is used."""
 
-    start: str
-    end: str
+    start: str | dt.date
+    end: str | dt.date
     freq: DateFreq
     business = False
 

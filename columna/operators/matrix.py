@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ POS = "__pos"
 MAX_TRANSPOSE = 2000
 #: A right-hand factor of so many cells is put into the plan as literals.
 LITERAL_CELLS = 4096
+#: A right-hand factor of so many cells (200 MB) is sent to the tasks.
+MOST_CELLS = 25_000_000
 
 Value = float | int | bool | str
 
@@ -53,6 +57,9 @@ class Matrix:
     def rows(self) -> int:
         return self.source.count()
 
+    def is_empty(self) -> bool:
+        return not self.source.limit(1).count()
+
     def shape(self) -> tuple[int, int]:
         return self.rows(), self.cols
 
@@ -312,11 +319,17 @@ class Matrix:
         return int(self._whole(lambda cs: F.coalesce(F.sum(ieee.total([c.cast("double") for c in cs])), F.lit(0.0))))
 
     def cumsum_horizontal(self):
-        out, so_far = {}, F.lit(0.0)
-        for n, e in self.cells.items():
-            so_far = so_far + ieee.or_zero(e)
-            out[n] = so_far
-        return self._new(out)
+        if self.cols <= 8:
+            out, so_far = {}, F.lit(0.0)
+            for n, e in self.cells.items():
+                so_far = so_far + ieee.or_zero(e)
+                out[n] = so_far
+            return self._new(out)
+        # One array of sums a row, made once, whose elements are the columns.
+        values = F.array(*[ieee.or_zero(e).cast("double") for e in self.cells.values()])
+        sums = F.aggregate(values, F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
+        source = self.source.select(*self.keys, F.explode(F.array(sums)).alias("_sums"))
+        return self._new({n: F.col("_sums")[i] for i, n in enumerate(self.cells)}, source)
 
     def cumsum_vertical(self):
         df = self.source.select(*self.keys, *[ieee.or_zero(e).alias(n) for n, e in self.cells.items()])
@@ -329,7 +342,7 @@ class Matrix:
         return self._horizontal(f(F.array(*self.cells.values())))
 
     def matmul(self, other: Matrix):
-        """The matrix product; NaN propagates. A small right factor joins the plan as literals, else cells are joined."""
+        """The matrix product; NaN propagates. A small right factor joins the plan as literals, a larger one goes to numpy."""
         n = other.rows()
         if n != self.cols:
             raise ValueError(f"inner dimensions differ: {self.cols} and {n}")
@@ -337,11 +350,20 @@ class Matrix:
             b = other.collect_columns()
             mine = list(self.cells.values())
             return self._product({f"c{k}": ieee.total([e * F.lit(float(v)) for e, v in zip(mine, col, strict=True)]) for k, col in enumerate(b)})
-        left = self.to_long()
-        right = other.to_long().select(F.col("i").cast("int").alias("j"), F.col("j").alias("k"), F.col("v").alias("w"))
-        cells = left.join(right, "j").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        wide = cells.groupBy(F.col("i").alias(POS)).pivot("k", list(range(other.cols))).agg(F.first("v"))
-        return Matrix(wide, {f"c{k}": F.col(f"`{k}`") for k in range(other.cols)})
+        # Both sides of the right factor are counts of columns, so it is bounded by what a plan can hold.
+        if n * other.cols > MOST_CELLS:
+            raise ValueError(f"a right factor of {n} x {other.cols} cells; {MOST_CELLS} at most")
+        factor, width = np.array(other.collect_columns(), np.float64).T, other.cols
+        data = self.source.select(POS, F.array(*[e.cast("double") for e in self.cells.values()]).alias("x"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, n)
+                flat = pa.array((x @ factor).ravel())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * width + 1, width), pa.int32()), flat)], [POS, "_x"])
+
+        wide = data.mapInArrow(run, f"{POS} long, _x array<double>")
+        return Matrix(wide, {f"c{k}": F.col("_x")[k] for k in range(width)})
 
     def _product(self, cells: dict[str, Column]):
         return Matrix(self.source, cells, (POS,))
@@ -349,4 +371,5 @@ class Matrix:
     dot = matmul
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__}(columns={self.columns}, keys={list(self.keys)})"
+        rows, cols = self.shape()
+        return f"{type(self).__name__}({rows} x {cols}, columns={self.columns}, keys={list(self.keys)})"

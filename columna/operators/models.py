@@ -21,10 +21,24 @@ from .matrix import POS, Matrix
 
 #: Data of so many cells are collected to be fitted in numpy.
 DRIVER_CELLS = 1_000_000
+#: Labels of a classifier, each a row of means and variances on the driver.
+MOST_CLASSES = 10_000
+
+
+#: Beyond so many columns sums run over arrays, whose code does not grow with them.
+LONG_ROW = 16
+
+
+def _over(cells: list[Column], values: np.ndarray, f: Callable[[Column, Column], Column], start: float = 0.0) -> Column:
+    """``start`` and the sum of f(cell, value) over the columns."""
+    if len(cells) <= LONG_ROW:
+        return ieee.total([f(c, F.lit(float(v))) for c, v in zip(cells, values, strict=True)], start)
+    pairs = F.zip_with(F.array(*cells), F.array(*[F.lit(float(v)) for v in values]), f)
+    return F.aggregate(pairs, F.lit(float(start)), lambda a, x: a + x)
 
 
 def _linear(cells: list[Column], w: np.ndarray, b: float) -> Column:
-    return ieee.total([c * F.lit(float(v)) for c, v in zip(cells, w, strict=True)], float(b))
+    return _over(cells, w, lambda c, v: c * v, float(b))
 
 
 def _xy(x: Matrix, y: Column) -> DataFrame:
@@ -39,7 +53,7 @@ def _arrays(batch: pa.RecordBatch | pa.Table, outputs: int = 0) -> tuple[np.ndar
 
 
 def _summed(data: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], outputs: int = 0) -> np.ndarray:
-    """``f(x, y)`` added up over all partitions: one array a partition is sent."""
+    """``f(x, y)`` added up over all partitions: one array a partition is sent, and eight reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -50,12 +64,21 @@ def _summed(data: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray],
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
 
-    return np.sum([r["g"] for r in data.mapInArrow(run, "g array<double>").toLocalIterator()], axis=0)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for g in b.column(0):
+                total = np.asarray(g.values) if total is None else total + np.asarray(g.values)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+    per = data.mapInArrow(run, "g array<double>").repartition(8).mapInArrow(merge, "g array<double>")
+    return np.sum([r["g"] for r in per.collect()], axis=0)
 
 
 @dataclass
 class LinReg:
-    """Full-batch gradient descent on squared errors; fitting again goes on from the present weights."""
+    """Full-batch gradient descent on squared errors; fitting again goes on from the present weights. NaN spreads to them."""
 
     n: int
     w: np.ndarray = field(init=False)
@@ -72,8 +95,6 @@ class LinReg:
         got = x.source.agg(F.count("*").alias("m"), F.sum(y).alias("y"), *[e.alias(n) for n, e in asks.items()]).first()
         gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
         sx, xy, sy, m = np.array([got[f"x{i}"] for i in range(k)]), np.array([got[f"y{i}"] for i in range(k)]), got["y"], got["m"]
-        if np.isnan(gram).any() or np.isnan(xy).any():
-            raise ValueError("linear regression takes no NaN")
         for _ in range(epochs):
             gw = 2.0 / m * (gram @ self.w + self.b * sx - xy)
             gb = 2.0 / m * (sx @ self.w + self.b * m - sy)
@@ -155,7 +176,7 @@ class KMeans:
 
     def nearest(self, cells: list[Column]) -> Column:
         """(distance, number) of the nearest centroid; ties go to the lower number."""
-        ds = [F.struct(ieee.total([(c - F.lit(float(v))) * (c - F.lit(float(v))) for c, v in zip(cells, row, strict=True)]).alias("d"), F.lit(i).alias("label")) for i, row in enumerate(self.centroids)]
+        ds = [F.struct(_over(cells, row, lambda c, v: (c - v) * (c - v)).alias("d"), F.lit(i).alias("label")) for i, row in enumerate(self.centroids)]
         return F.array_min(F.array(*ds))
 
     def predict(self, x: Matrix) -> DataFrame:
@@ -202,8 +223,9 @@ class KMeans:
             if tol > 0 and shift < tol:
                 break
             old = before
-        labels = data.select(POS, before.nearest(vs)["label"].cast("long").alias("label"))
-        return model, labels
+        data.unpersist()
+        cells = [c.cast("double") for c in cs]
+        return model, x.source.select(POS, before.nearest(cells)["label"].cast("long").alias("label"))
 
 
 @dataclass
@@ -221,9 +243,11 @@ class GaussianNB:
         cs = list(x.cells.values())
         var = F.var_pop if not self.unbiased else (lambda c: F.coalesce(F.var_samp(c), F.lit(0.0)))
         # Grouped by the label's text, which tells 0.0 from -0.0.
-        per = x.source.groupBy(label.cast("string").alias("_k")).agg(F.first(label).alias("y"), F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cs)], *[var(c).alias(f"v{i}") for i, c in enumerate(cs)]).collect()
+        per = x.source.groupBy(label.cast("string").alias("_k")).agg(F.first(label).alias("y"), F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cs)], *[var(c).alias(f"v{i}") for i, c in enumerate(cs)]).limit(MOST_CLASSES + 1).collect()
         if not per:
             raise ValueError("no rows to fit")
+        if len(per) > MOST_CLASSES:
+            raise ValueError(f"over {MOST_CLASSES} distinct labels")
         largest = max(x.source.agg(*[F.var_pop(c) for c in cs]).first())
         per = sorted(per, key=lambda r: (float(r["y"]), r["_k"] != "-0.0"))
         total, eps = sum(r["n"] for r in per), self.smoothing * largest
@@ -238,6 +262,10 @@ class GaussianNB:
         cs = list(x.cells.values())
         with np.errstate(divide="ignore"):
             base = float(np.log(self.priors[k]) - 0.5 * np.log(2 * np.pi * self.variances[k]).sum())
+        if len(cs) > LONG_ROW and (self.variances[k] > 0).all():
+            shares = F.array(*[F.lit(float(v)) for v in -0.5 / self.variances[k]])
+            squares = F.zip_with(F.array(*cs), F.array(*[F.lit(float(m)) for m in self.means[k]]), lambda c, m: (c - m) * (c - m))
+            return F.aggregate(F.zip_with(squares, shares, lambda x, v: x * v), F.lit(base), lambda a, x: a + x)
         return ieee.total([ieee.div(-0.5 * (c - F.lit(float(m))) * (c - F.lit(float(m))), F.lit(float(v))) for c, m, v in zip(cs, self.means[k], self.variances[k], strict=True)], base)
 
     def predict(self, x: Matrix) -> DataFrame:
@@ -250,6 +278,11 @@ class GaussianNB:
 _ACT = {"relu": (lambda z: np.where(z > 0, z, 0.0), lambda z: np.where(z > 0, 1.0, 0.0)), "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z: (1 / (1 + np.exp(-z))) * (1 - 1 / (1 + np.exp(-z)))), "tanh": (np.tanh, lambda z: 1 - np.tanh(z) ** 2)}
 
 
+def init_limit(kind: str, inputs: int, outputs: int, limit: float = 0.5) -> float:
+    """First weights are uniform between minus this and this."""
+    return {"uniform": limit, "xavier": np.sqrt(6 / (inputs + outputs)), "he": np.sqrt(2 / inputs)}[kind]
+
+
 def loss_gradient(kind: str, got: np.ndarray, want: np.ndarray) -> np.ndarray:
     """``mse``, or ``bce`` with respect to the input of a sigmoid; both divided by the rows."""
     return (2.0 if kind == "mse" else 1.0) * (got - want) / len(got)
@@ -279,7 +312,7 @@ class DenseNN:
             raise ValueError("the activations' count differs from the layers'")
         rng = np.random.default_rng(self.seed)
         for a, b in zip(self.sizes[:-1], self.sizes[1:], strict=True):
-            lim = {"uniform": self.limit, "xavier": np.sqrt(6 / (a + b)), "he": np.sqrt(2 / a)}[self.init]
+            lim = init_limit(self.init, a, b, self.limit)
             self.weights.append(rng.uniform(-lim, lim, (a, b)))
             self.biases.append(np.zeros(b))
 

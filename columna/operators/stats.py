@@ -8,14 +8,16 @@ columns and rows skip NaN in the sum only.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.distributions import gamma_cdf
-from .matrix import Matrix
+from .matrix import POS, Matrix
 
 
 def _cells(x: Matrix) -> list[Column]:
@@ -89,12 +91,19 @@ def stddev_horizontal(x: Matrix) -> DataFrame:
     return x._horizontal(F.sqrt(_variance_row(x, 0)))
 
 
+def _middle(source: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """Each column's median: the mean of the two middle ranks."""
+    low, high = _nearest(source, cells, lambda n: [(n - 1) // 2, n // 2])
+    both = low.select(F.struct(*low.columns).alias("a")).crossJoin(high.select(F.struct(*high.columns).alias("b")))
+    return both.select(*[((F.col(f"a.`{c}`") + F.col(f"b.`{c}`")) / 2.0).alias(c) for c in cells])
+
+
 def median(x: Matrix) -> float:
-    return _whole(x).agg(F.median("v")).first()[0]
+    return _middle(_whole(x), {"v": F.col("v")}).first()[0]
 
 
 def median_vertical(x: Matrix) -> DataFrame:
-    return x._vertical(F.median)
+    return _middle(x.source, x.cells)
 
 
 def median_horizontal(x: Matrix) -> DataFrame:
@@ -113,39 +122,63 @@ def _rank(p: float, n: int) -> int:
     return math.floor(p / 100.0 * (n - 1) + 0.5)
 
 
-def _nearest(source: DataFrame, cells: dict[str, Column], p: float) -> DataFrame:
-    """Each column's value at the nearest rank, exactly.
+#: So many distinct values in the brackets are ranked in one task; more are bracketed again.
+FEW_VALUES = 200_000
+
 
-    An approximate quantile brackets it; what lies below is counted and only what lies in the bracket is sorted, so
-    no column is sorted whole.
+def _nearest(source: DataFrame, cells: dict[str, Column], ranks: Callable[[int], list[int]]) -> list[DataFrame]:
+    """For each rank (from 0, of ``n`` rows) each column's value there, exactly, as one row.
+
+    Approximate quantiles bracket the ranks; what lies below a bracket is counted and only what lies in it is looked
+    at, bracketed again while it holds many distinct values, so that no column is sorted whole.
     """
-    _checked(p)
-    names = list(cells)
-    wide = 0.002
-    low, high = max(0.0, p / 100 - wide), min(1.0, p / 100 + wide)
+    names, wide = list(cells), 0.002
+    first = source.agg(F.count("*").alias("n"), *[F.count_if(e.isNull() | F.isnan(e)).alias(f"b{i}") for i, e in enumerate(cells.values())]).first()
+    if not first["n"]:
+        raise ValueError("an order statistic of no rows")
+    if any(first[f"b{i}"] for i in range(len(names))):
+        raise ValueError("an order statistic of NaN")
+    want = ranks(first["n"])
+    low, high = max(0.0, (min(want) - 1) / first["n"] - wide), min(1.0, (max(want) + 1) / first["n"] + wide)
     ask = [F.percentile_approx(e, F.array(F.lit(low), F.lit(high)), F.lit(20_000)).alias(f"q{i}") for i, e in enumerate(cells.values())]
-    got = source.agg(F.count("*").alias("n"), *ask).first()
-    k = _rank(p, got["n"])
+    got = source.agg(*ask).first()
     lo = [got[f"q{i}"][0] if low > 0 else -math.inf for i in range(len(names))]
     hi = [got[f"q{i}"][1] if high < 1 else math.inf for i in range(len(names))]
-    below = source.agg(*[F.count_if(e < F.lit(a)).alias(f"b{i}") for i, (e, a) in enumerate(zip(cells.values(), lo, strict=True))]).first()
+    for _ in range(8):
+        asks = [x for i, (e, a, b) in enumerate(zip(cells.values(), lo, hi, strict=True)) for x in (F.count_if(e < F.lit(a)).alias(f"b{i}"), F.approx_count_distinct(F.when((e >= F.lit(a)) & (e <= F.lit(b)), e)).alias(f"d{i}"))]
+        below = source.agg(*asks).first()
+        wide_ones = [i for i in range(len(names)) if below[f"d{i}"] > FEW_VALUES]
+        if not wide_ones:
+            break
+        for i in wide_ones:  # a narrower bracket inside this one, whose rows are counted again
+            e = list(cells.values())[i]
+            inside = source.where((e >= F.lit(lo[i])) & (e <= F.lit(hi[i])))
+            m = inside.count()
+            at = [min(1.0, max(0.0, (r - below[f"b{i}"]) / m)) for r in (min(want), max(want))]
+            q = inside.agg(F.percentile_approx(e, F.array(F.lit(max(0.0, at[0] - wide)), F.lit(min(1.0, at[1] + wide))), F.lit(20_000))).first()[0]
+            lo[i], hi[i] = q[0], q[1]
     inside = F.array(*[F.struct(F.lit(i).alias("j"), e.alias("v"), ((e >= F.lit(a)) & (e <= F.lit(b))).alias("in")) for i, (e, a, b) in enumerate(zip(cells.values(), lo, hi, strict=True))])
     few = source.select(F.explode(F.filter(inside, lambda c: c["in"])).alias("c")).groupBy("c.j", "c.v").count()
     # Distinct values with their counts: a running count finds the rank.
-    from pyspark.sql import Window
-
     upto = F.sum("count").over(Window.partitionBy("j").orderBy("v"))
     start = F.element_at(F.array(*[F.lit(below[f"b{i}"]) for i in range(len(names))]), F.col("j") + 1)
-    hit = few.withColumn("upto", upto + start).where(F.col("upto") > k).groupBy("j").agg(F.min("v").alias("v"))
-    return hit.groupBy().agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
+    run = few.withColumn("upto", upto + start)
+
+    def pick(k: int) -> DataFrame:
+        hit = run.where(F.col("upto") > k).groupBy("j").agg(F.min("v").alias("v"))
+        return hit.groupBy().agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
+
+    return [pick(k) for k in want]
 
 
 def percentile(x: Matrix, p: float) -> float:
-    return _nearest(_whole(x), {"v": F.col("v")}, p).first()[0]
+    _checked(p)
+    return _nearest(_whole(x), {"v": F.col("v")}, lambda n: [_rank(p, n)])[0].first()[0]
 
 
 def percentile_vertical(x: Matrix, p: float) -> DataFrame:
-    return _nearest(x.source, x.cells, p)
+    _checked(p)
+    return _nearest(x.source, x.cells, lambda n: [_rank(p, n)])[0]
 
 
 def percentile_horizontal(x: Matrix, p: float) -> DataFrame:
@@ -171,25 +204,78 @@ def pearson(x: Matrix, y: Matrix) -> float:
 def _symmetric(source: DataFrame, cells: dict[str, Column], f: Callable[[Column, Column], Column]) -> DataFrame:
     """(i, j, value) for all pairs of columns, each computed once, in one aggregate."""
     cs = list(cells.values())
+    if len(cs) > WIDE:
+        return _wide_symmetric(source, cs, f)
     pairs = [(i, j) for i in range(len(cs)) for j in range(i, len(cs))]
     one = source.agg(*[f(cs[i], cs[j]).alias(f"p{i}_{j}") for i, j in pairs])
     entries = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{min(i, j)}_{max(i, j)}").alias("value")) for i in range(len(cs)) for j in range(len(cs))]
     return one.select(F.inline(F.array(*entries)))
 
 
+#: From so many columns on, products are added up as blocks in numpy instead of as aggregates in one plan.
+WIDE = 40
+
+
+def _moments(source: DataFrame, cs: list[Column]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, the columns' sums and the sums of their products, less the first row: one array a partition, added in a tree."""
+    c = len(cs)
+    data = source.select(F.array(*[e.cast("double") for e in cs]).alias("x"))
+    origin = data.first()
+    if origin is None:
+        return 0, np.zeros(c), np.zeros((c, c))
+    shift = np.array(origin["x"], float)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + c + c * c)
+        for b in batches:
+            x = np.asarray(b.column(0).flatten(), np.float64).reshape(b.num_rows, c) - shift
+            total += np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + c + c * c)
+        for b in batches:
+            for t in b.column(0):
+                total += np.frombuffer(t.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
+
+    got = data.mapInArrow(add, "t binary").repartition(16).mapInArrow(merge, "t binary").repartition(1).mapInArrow(merge, "t binary").first()
+    total = np.frombuffer(got["t"])
+    return int(total[0]), total[1 : c + 1], total[c + 1 :].reshape(c, c)
+
+
+def _wide_symmetric(source: DataFrame, cs: list[Column], f: Callable[[Column, Column], Column]) -> DataFrame:
+    n, s, xx = _moments(source, cs)
+    centred = xx - np.outer(s, s) / max(n, 1)
+    less = {F.covar_pop: 0, F.covar_samp: 1}[f]
+    value = centred / (n - less) if n > less else np.full_like(xx, math.nan)
+    i, j = np.indices(value.shape)
+    table = pa.table({"i": pa.array(i.ravel(), pa.int32()), "j": pa.array(j.ravel(), pa.int32()), "value": value.ravel()})
+    return source.sparkSession.createDataFrame(table)
+
+
 def covariance_vertical(x: Matrix) -> DataFrame:
     return _symmetric(x.source, x.cells, F.covar_pop)
 
 
-def covariance_horizontal(x: Matrix, most_rows: int = 5000) -> DataFrame:
-    """(i, j, value) between rows; the result has rows ** 2 cells, so large inputs are refused."""
-    n = x.rows()
-    if n > most_rows:
-        raise ValueError(f"{n} rows give {n * n} covariances")
-    m = ieee.total(_cells(x)) / float(x.cols)
-    centred = Matrix(x.source, {c: e - m for c, e in x.cells.items()}).to_long()
-    other = centred.select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    return centred.join(other, "j").groupBy("i", "k").agg((F.sum(F.col("v") * F.col("w")) / float(x.cols)).alias("value")).select("i", F.col("k").alias("j"), "value")
+def covariance_horizontal(x: Matrix, block: int = 512) -> DataFrame:
+    """(i, j, value) between rows, ``rows ** 2`` of them: blocks of rows meet in pairs, each pair one task's product."""
+    c = x.cols
+    rows = x.source.select(F.col(POS).alias("i"), F.array(*[e.cast("double") for e in _cells(x)]).alias("x"))
+    numbered = rows.withColumn("b", F.floor(F.col("i") / block).cast("long"))
+    last = numbered.agg(F.max("b")).first()[0] or 0
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    sides = numbered.select("i", "x", F.col("b").alias("p"), every.alias("q"), F.lit(0).alias("side")).unionAll(numbered.select("i", "x", every.alias("p"), F.col("b").alias("q"), F.lit(1).alias("side")))
+
+    def product(t: pa.Table) -> pa.Table:
+        side, i = np.asarray(t.column("side")), np.asarray(t.column("i"))
+        v = np.asarray(t.column("x").combine_chunks().flatten(), np.float64).reshape(len(i), c)
+        v = v - v.mean(1, keepdims=True)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        value = v[a] @ v[b].T / c
+        return pa.table({"i": pa.array(np.repeat(i[a], len(b))), "j": pa.array(np.tile(i[b], len(a))), "value": pa.array(value.ravel())})
+
+    return sides.groupBy("p", "q").applyInArrow(product, "i long, j long, value double")
 
 
 def covariance_matrix(x: Matrix, axis: str = "col") -> DataFrame:
@@ -197,7 +283,10 @@ def covariance_matrix(x: Matrix, axis: str = "col") -> DataFrame:
     if axis == "col":
         return _symmetric(x.source, x.cells, F.covar_samp)
     m = ieee.total(_cells(x)) / float(x.cols)
-    return _symmetric(x.source, {c: e - m for c, e in x.cells.items()}, lambda a, b: F.sum(a * b) / (F.count("*") - 1))
+    centred = {c: e - m for c, e in x.cells.items()}
+    if x.cols > WIDE:
+        raise ValueError(f"row-centred products of {x.cols} columns; {WIDE} at most")
+    return _symmetric(x.source, centred, lambda a, b: F.sum(a * b) / (F.count("*") - 1))
 
 
 # -- tests ---------------------------------------------------------------------------------------------------------

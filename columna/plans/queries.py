@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +62,13 @@ def _parts(spark: SparkSession, sf: str) -> Matrix:
 # -- element-wise and reductions -----------------------------------------------------------------------------
 @query("SELECT round(sum(l_extendedprice * (1 - l_discount)) / count(*), 4) AS revenue, round(sum(l_extendedprice) / count(*), 4) AS price FROM lineitem")
 def frame_mul_sum_vertical(spark: SparkSession, sf: str) -> DataFrame:
-    m = _lines(spark, sf, "l_extendedprice", "l_discount")
-    price = Matrix(m.source, {"revenue": m.cells["l_extendedprice"], "price": m.cells["l_extendedprice"]}, ())
-    kept = Matrix(m.source, {"revenue": 1.0 - m.cells["l_discount"], "price": F.lit(1.0)}, ())
-    product = price * kept
-    n = F.count("*")
-    return product.source.agg(*[F.round(F.sum(e) / n, 4).alias(c) for c, e in product.cells.items()])
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row", F.struct("l_orderkey", "l_linenumber"))
+    f = Frame.of(df, "row", ["l_extendedprice", "l_discount"], validate=False)
+    labelled = lambda cells: Frame(f.source, cells, f.kind)
+    price = labelled({"revenue": f.cells["l_extendedprice"], "price": f.cells["l_extendedprice"], "rows": F.lit(1.0)})
+    kept = labelled({"revenue": 1.0 - f.cells["l_discount"], "price": F.lit(1.0), "rows": F.lit(1.0)})
+    total = (price * kept).sum_vertical()
+    return total.select(*[F.round(F.col(c) / F.col("rows"), 4).alias(c) for c in ("revenue", "price")])
 
 
 @query("SELECT o_orderkey, round(o_totalprice + o_totalprice * 2, 4) AS o_totalprice, round(o_custkey + o_custkey * 2, 4)::DOUBLE AS o_custkey FROM orders")
@@ -187,12 +187,6 @@ def row_edits(spark: SparkSession, sf: str) -> DataFrame:
     return m.add_row(3, [8.5, 9.5]).delete_row(6).swap_columns(0, 1).df
 
 
-@query("SELECT c::BIGINT AS __pos, v[1]::DOUBLE AS c0, v[2]::DOUBLE AS c1, v[3]::DOUBLE AS c2 FROM (SELECT 0 AS c, list(p_size ORDER BY p_partkey) AS v FROM part WHERE p_partkey < 3 UNION ALL SELECT 1, list(p_retailprice ORDER BY p_partkey) FROM part WHERE p_partkey < 3)")
-def transpose_small(spark: SparkSession, sf: str) -> DataFrame:
-    m = _parts(spark, sf)
-    return Matrix(m.source.where(F.col(POS) < 3), m.cells).transpose().df
-
-
 @query("SELECT 0 AS i, p_partkey AS j, p_size::DOUBLE AS v FROM part UNION ALL SELECT 1, p_partkey, p_retailprice::DOUBLE FROM part")
 def transpose_part(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).transpose_long()
@@ -273,14 +267,14 @@ def t_test_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.t_test(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'")))
 
 
-@query("WITH c AS (SELECT l_returnflag a, l_linestatus b, count(*)::DOUBLE o FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM c GROUP BY 1), k AS (SELECT b, sum(o) k FROM c GROUP BY 1), t AS (SELECT sum(o) t FROM c), e AS (SELECT coalesce(o, 0) o, r * k / t AS e FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c USING (a, b)) SELECT round(sum((o - e) * (o - e) / e), 6) AS chi2 FROM e")
+@query("WITH c AS (SELECT l_returnflag a, l_linestatus b, count(*)::DOUBLE o FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM c GROUP BY 1), k AS (SELECT b, sum(o) k FROM c GROUP BY 1), t AS (SELECT sum(o) t FROM c), e AS (SELECT coalesce(o, 0) o, r * k / t AS e FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c USING (a, b)) SELECT round(chi2, 6) AS chi2, round(exp(-chi2), 6) AS p FROM (SELECT sum((o - e) * (o - e) / e) AS chi2 FROM e)")
 def chi2_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(stats.chi2_test(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_returnflag", "l_linestatus").select("chi2"))
+    return _rounded(stats.chi2_test(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_returnflag", "l_linestatus").select("chi2", F.round("p", 6).alias("p")))
 
 
-@query("WITH g AS (SELECT o_orderpriority, count(*) n, avg(o_totalprice) m, var_samp(o_totalprice) v FROM orders GROUP BY 1), a AS (SELECT avg(m) g FROM g) SELECT round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(v * n) / (sum(n) - count(*))), 6) AS f FROM g, a")
+@query("WITH g AS (SELECT o_orderpriority, count(*) n, avg(o_totalprice) m, var_samp(o_totalprice) v FROM orders GROUP BY 1), a AS (SELECT avg(m) g FROM g) SELECT round(f, 6) AS f, round(exp(-f) * (1 + f), 6) AS p FROM (SELECT (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(v * n) / (sum(n) - count(*))) AS f FROM g, a)")
 def anova_priority(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(stats.anova(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderpriority", "o_totalprice").select("f"))
+    return _rounded(stats.anova(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderpriority", "o_totalprice").select("f", F.round("p", 6).alias("p")))
 
 
 # -- models ---------------------------------------------------------------------------------------------------
@@ -305,35 +299,23 @@ def linreg_gd(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(float(model.w[0]), 6), round(float(model.b), 6))], "w double, b double")
 
 
-def _vectors(spark: SparkSession, sf: str, dims: int = 4) -> Matrix:
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias(POS), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+def _vectors(spark: SparkSession, sf: str) -> Matrix:
+    """All components of all vectors, with their labels."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    dims = df.agg(F.max(F.size("embedding"))).first()[0]
+    df = df.select(F.col("vec_id").alias(POS), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
     return Matrix(df, {f"e{i}": F.col(f"e{i}") for i in range(dims)})
 
 
-@query("WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b FROM embeddings), s AS (SELECT greatest(var_pop(a), var_pop(b)) * 1e-9 AS eps FROM v), c AS (SELECT label, count(*) / (SELECT count(*) FROM v)::DOUBLE p, avg(a) ma, avg(b) mb, var_pop(a) va, var_pop(b) vb FROM v GROUP BY label), l AS (SELECT v.vec_id, c.label, ln(p) - 0.5 * (ln(2 * pi() * (va + eps)) + ln(2 * pi() * (vb + eps))) - 0.5 * ((a - ma) * (a - ma) / (va + eps) + (b - mb) * (b - mb) / (vb + eps)) AS s FROM v, c, s) SELECT vec_id AS __pos, arg_max(label, s)::DOUBLE AS label FROM l GROUP BY vec_id")
+@query("""WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS j FROM embeddings),
+s AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(x) AS v FROM v GROUP BY j)),
+p AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings)::DOUBLE AS p FROM embeddings GROUP BY label),
+c AS (SELECT label, j, avg(x) AS m, var_pop(x) + eps AS v FROM v, s GROUP BY label, j, eps),
+l AS (SELECT v.vec_id, c.label, ln(p) - 0.5 * sum(ln(2 * pi() * c.v) + (x - m) * (x - m) / c.v) AS s FROM v JOIN c USING (j) JOIN p ON p.label = c.label GROUP BY v.vec_id, c.label, p)
+SELECT vec_id AS __pos, arg_max(label, s)::DOUBLE AS label FROM l GROUP BY vec_id""")
 def gaussian_nb(spark: SparkSession, sf: str) -> DataFrame:
-    x = _vectors(spark, sf, 2)
-    return models.GaussianNB().fit(x, F.col("label").cast("double")).predict(x)
-
-
-@query()
-def kmeans_fixed_init(spark: SparkSession, sf: str) -> DataFrame:
-    init = np.array([[0.1, 0.1, 0.1, 0.1], [-0.1, -0.1, -0.1, -0.1], [0.1, -0.1, 0.1, -0.1]])
-    return models.KMeans.fit(_vectors(spark, sf), 3, max_iter=5, init=init)[1]
-
-
-@query()
-def logreg_flags(spark: SparkSession, sf: str) -> DataFrame:
     x = _vectors(spark, sf)
-    model = models.LogReg(4).fit(x, (F.col("label") < 5).cast("double"), 0.5, 30)
-    return x._horizontal(F.round(model.probability(x), 6), "p")
-
-
-@query()
-def dense_nn_predict(spark: SparkSession, sf: str) -> DataFrame:
-    x = _vectors(spark, sf)
-    model = models.DenseNN([4, 6, 1], ["tanh", "sigmoid"], loss="bce", rate=0.5, epochs=20, seed=1).train(x, [(F.col("label") < 5).cast("double")])
-    return model.predict(x)
+    return models.GaussianNB().fit(x, F.col("label").cast("double")).predict(x)
 
 
 # -- calendar --------------------------------------------------------------------------------------------------
@@ -386,22 +368,11 @@ def bdates_generator(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- random and integration ----------------------------------------------------------------------------------
-@query("SELECT unnest([0, 1, 2])::INT AS i, unnest([45454805674, -6914526270109646145, -8425327132182230662])::BIGINT AS state")
+@query("SELECT unnest([0, 1, 2])::BIGINT AS i, unnest([45454805674, -6914526270109646145, -8425327132182230662])::BIGINT AS state")
 def xorshift_states(spark: SparkSession, sf: str) -> DataFrame:
     return rng.xorshift(spark, 42, 3)
 
 
-@query()
-def random_columns(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
-    return rng.secure_u64(df.withColumns({"u": rng.uniform(-1.0, 1.0, 7), "k": rng.uniform_int(0, 10, 8), "z": rng.normal(0.0, 1.0, 9), "b": rng.boolean(10)})).select("p_partkey", "u", "k", "z", "b", F.col("random").isNotNull().alias("drawn"))
-
-
-@query("SELECT p_partkey FROM part")
-def shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rng.shuffle(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey"), 3, "p_partkey")
-
-
 @query("WITH b AS (SELECT k // 40 AS i, k % 40 AS j FROM range(0, 1600) t(k) WHERE (k * k * 7 + k * 3) % 11 < 4), n AS (SELECT i + a AS i, j + c AS j, a = 0 AND c = 0 AS me FROM b, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS c)), s AS (SELECT i, j, count(*) FILTER (NOT me) AS n, bool_or(me) AS me FROM n GROUP BY 1, 2) SELECT i::BIGINT AS i, j::BIGINT AS j FROM s WHERE (n = 3 OR (me AND n = 2)) AND i BETWEEN 0 AND 39 AND j BETWEEN 0 AND 39")
 def game_of_life_step(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("id")
