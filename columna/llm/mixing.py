@@ -15,7 +15,8 @@ whose middle passes what the source still lacks.
 
 The running sums are cut into cells of the rank, each summed alone, so that no source meets in one task.  The
 logarithm of the rank has a logistic distribution about each p, whose density is 1/4 at most: cells of a width of
-4 / ``cells`` in it hold one ``cells``-th of a source at most, whatever the probabilities.
+4 / ``cells`` in it hold one ``cells``-th of a source at most, whatever the probabilities.  Equal rows, which share a
+rank, are summed as one with their count, and told apart after that.
 
 Defined cases.  A null text, or one without words, has size 0 and is never taken; a null source is a source of its
 own, the last; a null doc_id draws by its text alone.  Repeated rows are documents of their own: equal ranks are
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SEEDED_BITS, WORD, keep, seeded_bits
+from .shared import SEEDED_BITS, WORD, counted, each_copy, keep, seeded_bits
 from .sharding import starts
 
 
@@ -71,22 +72,24 @@ def pareto_sample(rows: DataFrame, source: str, size: str, target: str, wanted:
     ``wanted``: how many times each row is wanted; its whole part is allocated, the rest sampled.
     """
     u = seeded_uniform(seed, *[F.col(k) for k in key])
-    own = rows.withColumns({"_src": F.struct(F.col(source).isNull(), F.col(source)), "_wanted": wanted, "_u": u})
+    own = counted(rows, "_rows").withColumns({"_src": F.struct(F.col(source).isNull(), F.col(source)), "_wanted": wanted, "_u": u})
     own = own.withColumn("_whole", F.floor("_wanted")).withColumn("_p", F.col("_wanted") - F.col("_whole"))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     own = keep(own.withColumn("_q", F.when((F.col("_p") > 0) & (F.col(size) > 0), odds)), "odds")
-    # A cell a million rows for the largest tables, which their files' row counts tell.
-    width = max(cells, own.count() // 1_000_000) / 4
+    # A cell a million rows for the largest tables.
+    number, most = own.agg(F.sum("_rows"), F.max("_rows")).first()
+    width = max(cells, (number or 0) // 1_000_000) / 4
     # Undrawn rows have no rank and a cell of their own, which isn't gathered.
     own = own.withColumn("_cell", F.floor(F.log("_q") * F.lit(float(width))))
-    sums = own.groupBy("_src", "_cell").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col(size)).otherwise(0)).alias("count"), F.sum(F.col("_whole") * F.col(size)).alias("_certain"))
+    sums = own.groupBy("_src", "_cell").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col(size) * F.col("_rows")).otherwise(0)).alias("count"), F.sum(F.col("_whole") * F.col(size) * F.col("_rows")).alias("_certain"))
     sums = starts(sums, ["_src"], "_cell").withColumn("_certain", F.sum("_certain").over(Window.partitionBy("_src"))).drop("count")
     w = Window.partitionBy("_src", "_cell").orderBy("_q", *key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = own.where("_q is not null").join(sums, ["_src", "_cell"]).withColumn("_to", F.sum(size).over(w) + F.col("start"))
+    drawn = own.where("_q is not null").join(sums, ["_src", "_cell"]).withColumn("_to", F.sum(F.col(size) * F.col("_rows")).over(w) + F.col("start"))
+    drawn = each_copy(drawn, "_rows", "_copy", most or 0).withColumn("_to", F.col("_to") - F.col("_copy") * F.col(size))
     take = F.col("_to") - F.col(size) / 2 <= F.col(target) - F.col("_certain")
     drawn = drawn.withColumn("copies", F.col("_whole") + take.cast("long")).drop("start", "_to", "_certain")
-    rest = own.where("_q is null").withColumn("copies", F.col("_whole"))
-    return drawn.unionByName(rest).drop("_src", "_wanted", "_u", "_whole", "_p", "_q", "_cell")
+    rest = each_copy(own.where("_q is null"), "_rows", "_copy", most or 0).withColumn("copies", F.col("_whole"))
+    return drawn.unionByName(rest).drop("_copy", "_src", "_wanted", "_u", "_whole", "_p", "_q", "_cell")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 29) -> DataFrame:

@@ -6,8 +6,8 @@ at the capacity of least cost, where a capacity's cost is what its words and its
 that the bin is expected to hold: the piece, and the share of the remaining room that the pieces still to
 come can fill.  At last each bin is cut down to the smallest capacity that holds its contents.
 
-Packing is sequential, so pieces are dealt by hash into groups of about ``group_pieces`` and each group is
-packed alone; at most one badly filled bin of each capacity a group is lost by that.  :func:`packed_sequences` then
+Packing is sequential, so pieces are dealt by hash (and, of equal rows, by their number, for which these are
+counted first) into groups of about ``group_pieces`` and each group is packed alone; at most one badly filled bin of each capacity a group is lost by that.  :func:`packed_sequences` then
 brings the words of each bin together: a row a bin, its pieces' texts in the order of their offsets.
 
 Defined cases.  A text that is null or has no words gives one row with length 0 and no bin, and is in no sequence.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, keep
+from .shared import WORD, counted, each_copy, keep
 
 CAPACITIES = (256, 512, 1024, 2048)
 
@@ -86,12 +86,13 @@ def pack_pieces(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, start
     """A row for each piece: doc_id, crc (of its text), piece, first_word, length, bin_id, bin_capacity, bin_offset."""
     top = max(capacities)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("words"), F.coalesce(F.crc32(F.col("text")), F.lit(0)).alias("crc"))
-    rows = keep(rows, "sizes")
-    n = rows.agg(F.sum(F.ceil(F.col("words") / top))).first()[0] or 0
-    groups = max(1, -(-int(n) // group_pieces))
+    rows = keep(counted(rows, "_rows"), "sizes")
+    n, most = rows.agg(F.sum(F.ceil(F.col("words") / top) * F.col("_rows")), F.max("_rows")).first()
+    rows = each_copy(rows, "_rows", "_copy", most or 0)
+    groups = max(1, -(-int(n or 0) // group_pieces))
     cut = rows.where("words > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div {top}"))))
-    cut = cut.select("doc_id", "crc", "piece", (F.col("piece") * top).alias("first_word"), F.least(F.lit(top), F.col("words") - F.col("piece") * top).cast("long").alias("length"))
-    cut = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "doc_id", "crc", "piece"), F.lit(groups)))
+    cut = cut.select("doc_id", "crc", "_copy", "piece", (F.col("piece") * top).alias("first_word"), F.least(F.lit(top), F.col("words") - F.col("piece") * top).cast("long").alias("length"))
+    cut = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "doc_id", "crc", "_copy", "piece"), F.lit(groups))).drop("_copy")
     schema = "doc_id long, crc long, piece long, first_word long, length long, bin_id long, bin_capacity int, bin_offset long"
     packed = cut.groupBy("group").applyInArrow(_pack(tuple(capacities), start_cost), schema)
     none = rows.where("words = 0").select("doc_id", "crc", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_capacity"), F.lit(None).cast("long").alias("bin_offset"))

@@ -5,7 +5,8 @@ source, are sorted by it, and the sorted rows are cut into equal runs.  Law ``ro
 differ by one at most, and so do the counts of any source in them, but for rounding at the cuts.
 
 No source is brought together to be ranked.  The seeded hash splits a source into even cells; a cell's rows
-are numbered alone and start at the sum of the cells before, from a pre-aggregated table of counts.  The
+are numbered alone and start at the sum of the cells before, from a pre-aggregated table of counts.  Equal rows,
+which no hash splits, are ranked as one with their count, and told apart by their ranks after that.  The
 sort by fractional rank goes the same way, by cells of the fraction.
 
 Defined cases.  A null text has size 1 and a null text_crc32.  A null source is a source of its own, after
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SEEDED_BITS, keep, seeded_bits
+from .shared import SEEDED_BITS, counted, each_copy, keep, seeded_bits
 
 #: Cells of the fractional rank: their table of counts is this long at every size of input.
 FRACTION_CELLS = 4096
@@ -37,13 +38,15 @@ def stratified_shards(rows: DataFrame, stratum: str, key: list[str], shards: int
 
     ``key``: columns that tell rows apart; rows equal in all of them are interchangeable.
     """
-    own = rows.withColumns({"_s": F.struct(F.col(stratum).isNull(), F.col(stratum)), "_h": seeded_bits(seed, *[F.col(k) for k in key])})
+    own = counted(rows, "_rows").withColumns({"_s": F.struct(F.col(stratum).isNull(), F.col(stratum)), "_h": seeded_bits(seed, *[F.col(k) for k in key])})
     own = keep(own.withColumn("_cell", F.shiftright("_h", SEEDED_BITS - HASH_BITS)), "hashed")
-    cells = starts(own.groupBy("_s", "_cell").count(), ["_s"], "_cell").withColumn("_n", F.sum("count").over(Window.partitionBy("_s"))).drop("count")
+    cells = starts(own.groupBy("_s", "_cell").agg(F.sum("_rows").alias("count")), ["_s"], "_cell").withColumn("_n", F.sum("count").over(Window.partitionBy("_s"))).drop("count")
     order = ["_h", *key]
-    w = Window.partitionBy("_s", "_cell").orderBy(*order)
-    ranked = own.join(cells, ["_s", "_cell"]).withColumn("_rank", F.row_number().over(w) + F.col("start")).drop("start", "_cell")
-    ranked = ranked.withColumn("_f", (F.col("_rank") - 0.5) / F.col("_n"))
+    w = Window.partitionBy("_s", "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = own.join(cells, ["_s", "_cell"]).withColumn("_rank", F.sum("_rows").over(w) + F.col("start")).drop("start", "_cell")
+    # The rank of the last of equal rows; the others have those before.
+    ranked = each_copy(ranked, "_rows", "_copy", own.agg(F.max("_rows")).first()[0] or 0)
+    ranked = ranked.withColumn("_f", (F.col("_rank") - F.col("_copy") - 0.5) / F.col("_n"))
     ranked = keep(ranked.withColumn("_cell", F.floor(F.col("_f") * FRACTION_CELLS)), "ranked")
     counts = starts(ranked.groupBy("_cell").count(), [], "_cell").withColumn("_all", F.sum("count").over(Window.partitionBy())).drop("count")
     w = Window.partitionBy("_cell").orderBy("_f", "_s", *order)
@@ -51,7 +54,7 @@ def stratified_shards(rows: DataFrame, stratum: str, key: list[str], shards: int
     # Shard k takes the places from ceil(k * all / shards): integer arithmetic only.
     placed = placed.withColumn("shard", F.expr(f"(_at * {shards}) div _all").cast("int"))
     placed = placed.withColumn("slot", F.col("_at") - F.expr(f"(shard * _all + {shards - 1}) div {shards}"))
-    return placed.drop("_s", "_h", "_n", "_rank", "_f", "_cell", "start", "_all", "_at")
+    return placed.drop("_s", "_h", "_n", "_rank", "_copy", "_f", "_cell", "start", "_all", "_at")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:

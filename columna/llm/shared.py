@@ -85,6 +85,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Copies of a row that are made in one go; beyond that they are dealt to all tasks.
+COPY_RUN = 1 << 16
+
+
+def counted(rows: DataFrame, count: str) -> DataFrame:
+    """The distinct rows with their number as ``count``, pre-aggregated, so equal rows meet in no task."""
+    return rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias(count))
+
+
+def each_copy(rows: DataFrame, count: str, number: str, most: int) -> DataFrame:
+    """``rows``, each ``count`` times, with ``number`` (long, from 0) for ``count``; ``most``: the largest count."""
+    runs = rows.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {COPY_RUN}"))))
+    if most > COPY_RUN:
+        runs = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col(number) * COPY_RUN
+    copies = F.explode(F.sequence(first, F.least(first + F.lit(COPY_RUN), F.col(count)) - 1))
+    return runs.withColumn(number, copies).drop(count)
+
+
 def pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
     """The column in runs of about ``most`` bytes; a longer text is a run of its own."""
     texts = texts.cast(pa.large_string())
