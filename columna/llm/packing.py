@@ -19,13 +19,15 @@ cut, and a task holds one of them.  An empty table gives no rows.  Other columns
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, counted, each_copy, keep
+from .sharding import starts
 
 CAPACITIES = (256, 512, 1024, 2048)
 
@@ -107,20 +109,32 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, st
 def packed_sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, start_cost: float = 16.0, group_pieces: int = 20_000) -> DataFrame:
     """A row for each bin: bin_id, bin_capacity, length (words), doc_ids, ends (words up to each piece's end), text.
 
-    Words are joined by a blank.  Each piece's words are cut out where its text lies, and only they travel.
+    Words are joined by a blank.  Each piece's words are cut out where its text lies, and only they travel, once for
+    equal pieces and group of bins.  Equal pieces are numbered within each group, so they meet in no task.
     """
-    placed = keep(pack_pieces(docs, capacities, start_cost, group_pieces).where("bin_id is not null"), "placed")
-    # Rows alike in doc_id and checksum each take one of the pieces that are alike.
-    alike = Window.partitionBy("doc_id", "crc", "piece").orderBy("bin_id", "bin_offset")
-    placed = placed.withColumn("copy", F.row_number().over(alike))
+    key = ["doc_id", "crc", "piece", "length"]
+    placed = pack_pieces(docs, capacities, start_cost, group_pieces).where("bin_id is not null")
+    placed = keep(placed.withColumn("group", F.shiftright("bin_id", 32)), "placed")
     text = F.col("text").cast("string")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("crc"), F.regexp_extract_all(text, F.lit(f"({WORD})")).alias("words"))
     words = words.where(F.size("words") > 0)
     top = max(capacities)
     cut = words.select("doc_id", "crc", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {top}").cast("int")), lambda i: F.array_join(F.slice("words", i * top + 1, top), " "))).alias("piece", "part"))
-    cut = keep(cut.withColumn("piece", F.col("piece").cast("long")), "parts")
-    cut = cut.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "crc", "piece").orderBy("part")))
-    same = F.col("p.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("p.crc") == F.col("c.crc")) & (F.col("p.piece") == F.col("c.piece")) & (F.col("p.copy") == F.col("c.copy"))
-    both = placed.alias("p").join(cut.alias("c"), same).select("p.bin_id", "p.bin_capacity", F.struct("p.bin_offset", "p.doc_id", "p.length", "c.part").alias("one"))
+    # Equal parts are counted; a key has several only where checksums of different texts agree.
+    cut = cut.withColumns({"piece": F.col("piece").cast("long"), "length": F.regexp_count("part", F.lit(WORD)).cast("long")})
+    cut = keep(counted(cut, "count"), "parts")
+    cut = starts(cut, key, "part").select(*key, "part", F.col("start").alias("first"), (F.col("start") + F.col("count")).alias("end"))
+    # The pieces of a key in one group of bins start where those in the groups before end, and are numbered there.
+    cells = starts(placed.groupBy(*key, "group").count(), key, "group").select(*key, "group", "start", (F.col("start") + F.col("count")).alias("stop"))
+
+    def alike(*names: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
+
+    meet = alike(*key) & (F.col("a.start") < F.col("b.end")) & (F.col("b.first") < F.col("a.stop"))
+    parts = cells.alias("a").join(cut.alias("b"), meet).select("a.*", "b.part", "b.first", "b.end")
+    number = F.row_number().over(Window.partitionBy(*key, "group").orderBy("bin_id", "bin_offset")) - 1
+    own = F.col("a.number") + F.col("b.start")
+    both = placed.withColumn("number", number).alias("a").join(parts.alias("b"), alike(*key, "group") & (own >= F.col("b.first")) & (own < F.col("b.end")))
+    both = both.select("a.bin_id", "a.bin_capacity", F.struct("a.bin_offset", "a.doc_id", "a.length", "b.part").alias("one"))
     bins = both.groupBy("bin_id", "bin_capacity").agg(F.array_sort(F.collect_list("one")).alias("all"))
     return bins.select("bin_id", "bin_capacity", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), F.col("all.doc_id").alias("doc_ids"), F.transform("all", lambda x: x["bin_offset"] + x["length"]).alias("ends"), F.array_join("all.part", " ").alias("text"))

@@ -457,6 +457,23 @@ def test_packed_sequences_hold_every_word(docs, rows, empty):
     assert packing.packed_sequences(empty).count() == 0
 
 
+def test_packed_sequences_of_equal_pieces(spark, monkeypatch):
+    """Copies in many groups of bins, and other texts under their doc_id and checksum."""
+    monkeypatch.setattr(packing.F, "crc32", lambda c: F.lit(7).cast("long"))
+    texts = [(1, "a b c")] * 90 + [(1, "d e f")] * 31 + [(1, "x y")] * 15 + [(None, "g h")] * 40 + [(2, "i"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = packing.packed_sequences(docs, capacities=(4, 8), group_pieces=20).collect()
+    found = Counter()
+    for r in got:
+        w, at = r["text"].split(" "), 0
+        for i, end in zip(r["doc_ids"], r["ends"], strict=True):
+            found[i, " ".join(w[at:end])] += 1
+            at = end
+        assert at == len(w) == r["length"] <= r["bin_capacity"]
+    assert found == Counter(x for x in texts if x[1])
+    assert len({r["bin_id"] >> 32 for r in got}) > 3
+
+
 def test_best_fit_is_tight():
     bins, caps = packing.best_fit([5, 5, 3, 3, 2, 2], (5, 10), 0.0)
     assert sum(caps) == 20 and len(bins) == 6
