@@ -5,7 +5,7 @@ other words share ``REST`` classes by their last two bytes, within which a word
 A window network (embeddings of the ``SIDE`` words to either side, by place; a tanh layer; a softmax of two levels over
 the classes: cluster, then class in it) gives P(class | both sides).  It is trained in numpy where the texts lie: each
 partition starts from the same weights, whose biases are the classes' frequencies, and goes once through its texts by
-Adagrad, with every ``EVERY``-th window of each text; the partitions' weights are averaged by their windows.
+Adagrad, with the window of every token; the partitions' weights are averaged by their windows.
 
 Counts.  The network is of one size; the exact counts of every word and of every pair of neighbours, which grow with the
 corpus (:func:`pair_counts`), lie above it.  A token is predicted from all other tokens: its own occurrence is taken off
@@ -39,11 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, mix, pieces, release, word_bounds, word_hashes
+from .shared import hashes_of, keep, mix, pieces, release, word_bounds, word_hashes
 
 _U = np.uint64
-#: Words and rest classes of the softmax, words to either side, and which windows of a text are trained on.
-WORDS, REST, SIDE, EVERY = 4096 - 256, 256, 2, 8
+#: Words and rest classes of the softmax, and words to either side.
+WORDS, REST, SIDE = 4096 - 256, 256, 2
 WIDTH, HIDDEN, BATCH, CHUNK, RATE = 8, 32, 2048, 1 << 15, 0.05
 #: Keys of a part, bytes of a piece, and how many sightings of a neighbour the network's word is worth.
 PART, PIECE, ALPHA = 2_000_000, 4_000_000, 2.0
@@ -52,7 +52,10 @@ _END_WORD = _U(0x5851F42D4C957F2D)
 
 def _tails(texts: pa.Array) -> np.ndarray:
     """A hash of each word's last two bytes."""
-    chars, starts, lengths, _ = word_bounds(texts)
+    return _tails_of(*word_bounds(texts)[:3])
+
+
+def _tails_of(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     last = starts + lengths - 1
@@ -70,6 +73,11 @@ class WindowNet:
     weights: list[np.ndarray]  # embeddings by place, hidden, its bias, clusters, their bias, members, their bias
     size: np.ndarray | None = None  # tokens by class
 
+    def __post_init__(self) -> None:
+        # One array holds the members' weights and, as a last row, their bias, for one product a cluster.
+        self.inner = np.concatenate((self.weights[5], self.weights[6][:, None]), 1)
+        self.weights = [*self.weights[:5], self.inner[:, :-1], self.inner[:, -1]]
+
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, tokens: int, seed: int = 1) -> WindowNet:
         """Untrained: ``words`` by falling ``counts``, the biases their frequencies among ``tokens``."""
@@ -108,7 +116,8 @@ class WindowNet:
         return out
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.concatenate([self.weights[0][j][around[:, j]] for j in range(2 * SIDE)], 1)
+        places = around + np.arange(2 * SIDE) * self.weights[0].shape[1]
+        x = self.weights[0].reshape(-1, WIDTH).take(places, 0).reshape(-1, 2 * SIDE * WIDTH)
         return x, np.tanh(x @ self.weights[1] + self.weights[2])
 
     def log_p(self, around: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -118,48 +127,115 @@ class WindowNet:
         return out
 
     def _log_p(self, around: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        _, h = self.hidden(around)
-        group, place = np.divmod(cls, self.members)
-        out = _log_softmax(h @ self.weights[3] + self.weights[4])[np.arange(len(cls)), group]
-        for k, some in _groups(group):
-            out[some] += _log_softmax(h[some] @ self.weights[5][k] + self.weights[6][k])[np.arange(len(some)), place[some]]
+        # By clusters, so that each one's rows lie together; BATCH rows at a time stay near the processor.
+        by = _order(cls // self.members)
+        out = np.empty(len(cls))
+        for at in range(0, len(cls), BATCH):
+            some = by[at : at + BATCH]
+            group, place = np.divmod(cls[some], self.members)
+            _, h = self.hidden(around.take(some, 0))
+            out[some] = _log_of(self._clusters(h), group) + _log_of(self._members(_with_1(h), _groups(group)), place)
         return out
 
+    def _clusters(self, h: np.ndarray) -> np.ndarray:
+        """Each cluster's logit (a row) in each window (a column)."""
+        z = np.matmul(self.weights[3].T, h.T)
+        z += self.weights[4][:, None]
+        return z
+
+    def _members(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """The logits (rows) of the classes in each window's cluster; ``h`` with a last column of 1, windows by clusters."""
+        z = np.empty((self.members, len(h)), h.dtype)
+        for k, a, b in runs:
+            np.matmul(self.inner[k].T, h[a:b].T, out=z[:, a:b])
+        return z
+
     def learn(self, around: np.ndarray, cls: np.ndarray, seen: list[np.ndarray]) -> None:
         """One Adagrad step on the mean log-likelihood; ``seen``: the squares so far."""
+        by = _order(cls // self.members)
+        around, (group, place) = around.take(by, 0), np.divmod(cls[by], self.members)
         x, h = self.hidden(around)
-        w, n = self.weights, len(cls)
-        group, place = np.divmod(cls, self.members)
-        dz = -np.exp(_log_softmax(h @ w[3] + w[4])) / n
-        dz[np.arange(n), group] += 1 / n
-        dh = dz @ w[3].T
-        grads = [None, None, None, h.T @ dz, dz.sum(0), np.zeros_like(w[5]), np.zeros_like(w[6])]
-        for k, some in _groups(group):
-            d = -np.exp(_log_softmax(h[some] @ w[5][k] + w[6][k])) / n
-            d[np.arange(len(some)), place[some]] += 1 / n
-            grads[5][k], grads[6][k] = h[some].T @ d, d.sum(0)
-            dh[some] += d @ w[5][k].T
+        w = self.weights
+        with_1, runs = _with_1(h), _groups(group)
+        dz, d = _slope(self._clusters(h), group), _slope(self._members(with_1, runs), place)
+        dh = dz.T @ w[3].T
+        inner, back = np.empty((len(runs), *self.inner.shape[1:]), h.dtype), np.empty_like(h)
+        for i, (k, a, b) in enumerate(runs):
+            np.matmul(with_1[a:b].T, d[:, a:b].T, out=inner[i])
+            np.matmul(d[:, a:b].T, w[5][k].T, out=back[a:b])
+        dh += back
         dh *= 1 - h * h
-        grads[1], grads[2] = x.T @ dh, dh.sum(0)
-        dx = (dh @ w[1].T).reshape(n, 2 * SIDE, WIDTH)
-        grads[0] = np.zeros_like(w[0])
-        for j in range(2 * SIDE):
-            np.add.at(grads[0][j], around[:, j], dx[:, j])
-        for p, g, s in zip(w, grads, seen, strict=True):
-            s += g * g
-            p += RATE * g / np.sqrt(s + 1e-12)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def _groups(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    by = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[by])) + 1
-    for some in np.split(by, cuts) if len(by) else []:
-        yield int(group[some[0]]), some
+        # Embeddings and clusters that the batch doesn't have get no gradient, and stay as they are.
+        met = (around + np.arange(2 * SIDE) * w[0].shape[1]).ravel()
+        at = _order(met)
+        met = met[at]
+        begins = _begins(met)
+        outer = np.add.reduceat((dh @ w[1].T).reshape(-1, WIDTH).take(at, 0), begins)
+        _step(w[0].reshape(-1, WIDTH), seen[0].reshape(-1, WIDTH), outer, met[begins])
+        for i, g in ((1, x.T @ dh), (2, dh.sum(0)), (3, (dz @ h).T), (4, dz.sum(1))):
+            _step(w[i], seen[i], g)
+        some = None if len(runs) == self.clusters else np.array([k for k, *_ in runs])
+        _step(w[5], seen[5], inner[:, :-1], some)
+        _step(w[6], seen[6], inner[:, -1], some)
+
+
+def _step(weight: np.ndarray, seen: np.ndarray, g: np.ndarray, some: np.ndarray | None = None) -> None:
+    """Adagrad on the whole array, or on some of its rows."""
+    step = g * g
+    if some is None:
+        seen += step
+        np.sqrt(seen, out=step)
+    else:
+        step += seen.take(some, 0)
+        seen[some] = step
+        np.sqrt(step, out=step)
+    np.divide(g, step, out=step)
+    step *= RATE
+    if some is None:
+        weight += step
+    else:
+        step += weight.take(some, 0)
+        weight[some] = step
+
+
+def _with_1(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each column's log-softmax the value at its place."""
+    z -= z.max(0)
+    own = z[at, np.arange(len(at))]
+    return own - np.log(np.exp(z, out=z).sum(0))
+
+
+def _slope(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient by z of the mean of :func:`_log_of`."""
+    n = len(at)
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z *= -1 / (n * z.sum(0))
+    z[at, np.arange(n)] += 1 / n
+    return z
+
+
+def _order(of: np.ndarray) -> np.ndarray:
+    """An order that brings equal numbers together; short numbers are sorted faster."""
+    return np.argsort(of.astype(np.uint16) if of.max(initial=0) < 1 << 16 else of, kind="stable")
+
+
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
+def _groups(ordered: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of one number: it, where its run begins and where it ends."""
+    begins = _begins(ordered)
+    return list(zip(ordered[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(ordered)], strict=True))
 
 
 def _summed(rows: DataFrame, parts: int) -> list:
@@ -190,16 +266,15 @@ def train(texts: DataFrame, model: WindowNet) -> WindowNet:
         size = np.zeros(own.clusters * own.members, np.int64)
         for batch in batches:
             for _, part in pieces(batch.column("text")):
-                hashes, row = word_hashes(part)
-                cls = own.classes(hashes, _tails(part))
+                bounds = word_bounds(part)
+                row = bounds[3]
+                cls = own.classes(hashes_of(*bounds[:3]), _tails_of(*bounds[:3]))
                 size += np.bincount(cls, minlength=len(size))
                 around = own.windows(cls, row)
-                first = np.searchsorted(row, row)  # each text's first token
-                some = np.flatnonzero((np.arange(len(cls)) - first) % EVERY == EVERY // 2)
-                some = np.random.default_rng(len(some)).permutation(some)
-                for at in range(0, len(some), BATCH):
-                    own.learn(around[some[at : at + BATCH]], cls[some[at : at + BATCH]], seen)
-                n += len(some)
+                mixed = np.random.default_rng(len(cls)).permutation(len(cls))
+                for at in range(0, len(cls), BATCH):
+                    own.learn(around[mixed[at : at + BATCH]], cls[mixed[at : at + BATCH]], seen)
+                n += len(cls)
         flat = np.concatenate([x.ravel() for x in own.weights]).astype(np.float64) * n
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary()), pa.array([size.tobytes()], pa.binary())], ["n", "weights", "size"])
 
@@ -336,7 +411,9 @@ def corpus_likelihood(docs: DataFrame, model: WindowNet) -> DataFrame:
 
     def score(packed: pa.Table, counted: pa.Table) -> pa.Table:
         ids, texts = (packed.column(c).combine_chunks().flatten() for c in ("ids", "texts"))
-        hashes, row = word_hashes(texts)
+        bounds = word_bounds(texts)
+        hashes, tails, row = hashes_of(*bounds[:3]), _tails_of(*bounds[:3]), bounds[3]
+        del bounds
         at = _Pairs.of(hashes, row)
         keys, place = np.unique(at.keys, return_inverse=True)
         parts = sorted(zip(*(counted.column(c).to_pylist() for c in ("part", "mark", "wide", "counts")), strict=True))
@@ -347,7 +424,7 @@ def corpus_likelihood(docs: DataFrame, model: WindowNet) -> DataFrame:
         if len(n):
             word, left, right, before, after = at.sides(n[place])
             del keys, place, at
-            cls = model.classes(hashes, _tails(texts))
+            cls = model.classes(hashes, tails)
             b = np.exp(model.log_p(model.windows(cls, row), cls))
             b = ALPHA * np.where(cls < len(model.own), b, b * word / np.maximum(model.size[cls], 1))
             value = np.log(((before - 1 + b) / (left - 1 + ALPHA) + (after - 1 + b) / (right - 1 + ALPHA)) / 2)

@@ -149,14 +149,19 @@ def word_bounds(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Each word's 64-bit hash and row, in order."""
     chars, starts, lengths, row = word_bounds(texts, lower)
+    return hashes_of(chars, starts, lengths), row
+
+
+def hashes_of(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hashes of words as :func:`word_bounds` gives them."""
     if not len(starts):
-        return np.zeros(0, np.uint64), row
+        return np.zeros(0, np.uint64)
     place = np.arange(len(chars)) - np.repeat(starts, lengths)
     value = _TABLE[((place & 63) << 8) | chars]
     with np.errstate(over="ignore"):
         if lengths.max() > 64:
             value = value * (2 * (place >> 6) + 1).astype(np.uint64)
-        return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64)), row
+        return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:

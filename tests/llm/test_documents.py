@@ -371,6 +371,33 @@ def test_network_learns_both_sides():
     assert sum(p) == pytest.approx(1, abs=1e-4)
 
 
+def test_network_is_trained_on_every_window(spark, rows, docs, monkeypatch):
+    """Each token of every text counts once, and texts shorter than eight words teach the network too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from columna.llm.shared import word_hashes
+
+    windows, summed = [], lm._summed
+
+    def spy(*args):
+        got = summed(*args)
+        windows.append(sum(n for n, *_ in got))
+        return got
+
+    monkeypatch.setattr(lm, "_summed", spy)
+    lm.fit(docs)
+    assert windows == [sum(len(words(t)) for _, t, *_ in rows)]
+    short = ["a b c", "d e f"] * 300
+    model = lm.fit(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string"))
+    assert windows[1] == 3 * len(short)
+    hashes, row = word_hashes(pa.array(short[:2]))
+    fresh = lm.WindowNet.of(model.own[np.argsort(model.order)], np.full(6, 300), 3 * len(short))
+    cls = model.classes(hashes, hashes)
+    before, after = (net.log_p(net.windows(cls, row), cls) for net in (fresh, model))
+    assert (after > before + 0.1).all()
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack_documents(docs, (64, 256, 1024)).collect()
     binned = [r for r in got if r["bin_id"] is not None]
