@@ -320,7 +320,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     chained = salted.withColumn("to", F.when(F.lag("n").over(w) * den >= F.col("n") * num, F.lag("cls").over(w)))
     heads = chained.where("to is null").withColumn("to", F.lag("cls").over(Window.partitionBy("gram", "band").orderBy("n", "cls")))
     edges = chained.where("to is not null").select(F.col("cls").alias("a"), F.col("to").alias("b")).unionAll(heads.where("to is not null").select(F.col("cls").alias("a"), F.col("to").alias("b")))
-    members = components(edges).select(F.col("node").alias("_cls"), F.col("component").alias("block"))
+    # Two sets that share many n-grams are chained by each of them; one edge says as much.
+    members = components(edges.distinct()).select(F.col("node").alias("_cls"), F.col("component").alias("block"))
     # A class is met once more for its size and for the text that stands for it.
     members = classes.select("cls", "doc_id", "mark", "n").join(members, F.col("cls") == F.col("_cls")).drop("_cls")
     members = keep(members.withColumn("band", F.floor(F.log("n") / F.lit(math.log(den / num)))).drop("n"), "members")

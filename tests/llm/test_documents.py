@@ -125,6 +125,35 @@ def test_join_keeps_texts_of_one_id_apart(spark):
     assert sum(r["kept"] for r in got if r["doc_id"] == 1) == 2 and not any(r["kept"] for r in got if r["doc_id"] in (2, 3))
 
 
+def test_join_makes_rows_by_pairs_not_by_shared_ngrams(spark, monkeypatch, tmp_path):
+    """However many n-grams near copies share, and in however many batches, they are chained by an edge or two."""
+    import uuid
+
+    from columna.llm import shared
+
+    stars, log = shared._stars, str(tmp_path)
+
+    def spy(batches):
+        for batch in stars(batches):
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    monkeypatch.setattr(shared, "_stars", spy)
+    pairs = 150
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(j, 300))) for i in range(pairs) for j in (0, 1)]
+    docs, batch = spark.createDataFrame(rows, "doc_id long, text string"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(batch)
+    spark.conf.set(batch, "500")
+    try:
+        got = ngram_join.ngram_jaccard_join(docs).collect()
+    finally:
+        spark.conf.set(batch, was)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, k - k % 2) for k in range(2 * pairs)}
+    made = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 2 * pairs <= made <= 3 * pairs
+
+
 def test_components_by_rounds(spark):
     import random
 
