@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import itq, langid, lm, mixing, ngram_join, packing, perm_index, sharding, urlfilter, warc
+from . import itq, langid, lm, merkle, mixing, ngram_join, packing, perm_index, recompress, sharding, urlfilter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,20 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_permutation_index, op4_stratified_shards, op5_warc_derivatives, op6_pareto_mix, op7_itq_dedup, op8_pseudo_likelihood, op9_url_filter, op10_best_fit)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompress.substring_dedup(_table(spark, sf_dir, "documents"), window=20, texts=False)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_permutation_index, op4_stratified_shards, op5_warc_derivatives, op6_pareto_mix, op7_itq_dedup, op8_pseudo_likelihood, op9_url_filter, op10_best_fit, op11_substring_dedup, op12_merkle_manifest, op13_vector_codes)}
 
 _URL_SQL = """
 WITH rules(text, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'block'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
@@ -126,6 +139,19 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id)::BIGINT AS
 FROM typed LEFT JOIN found ON node = r LEFT JOIN many ON a = r
 """
 
+_REPEAT_SQL = """
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents),
+docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM texts),
+windows AS (SELECT r, i, array_to_string(w[i : i + 19], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)),
+again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS n FROM windows) WHERE n > 1),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+marked AS (SELECT words.r, words.i, word, coalesce(bool_or(again.i IS NOT NULL) OVER (PARTITION BY words.r ORDER BY words.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM words LEFT JOIN again ON words.r = again.r AND words.i = again.i),
+kept AS (SELECT r, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM marked GROUP BY r)
+SELECT d.doc_id, len(docs.w)::BIGINT AS n_words, coalesce(kept.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM documents d JOIN docs ON d.doc_id IS NOT DISTINCT FROM docs.doc_id AND d.text IS NOT DISTINCT FROM docs.text LEFT JOIN kept ON kept.r = docs.r
+"""
+
+
 #: What each value of four bits adds to a CRC-32, by its rule (polynomial 0xEDB88320).
 _CRC_STEPS = [0]
 for _i in range(1, 16):
@@ -146,5 +172,56 @@ o AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS LAST, h, doc_id NULL
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 8 // n)::INT AS shard, (place - ((place * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM o
 """
 
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+_LEAF = lambda n: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', n, 'text')))})"
+
+#: The trees are made bottom up; then each leaf's digest, its siblings and the digest of its altered row go up together.
+_TREE_SQL = f"""
+WITH RECURSIVE marked AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: {_CRC_BYTE}) AS crc FROM documents),
+leaves AS (
+  SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, {_LEAF("(n_chars::HUGEINT + CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0 THEN 1 ELSE 0 END)")} AS altered FROM marked),
+placed AS (SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(lang, n, i, level, h) AS (
+  SELECT lang, n, i, 0, leaf FROM placed
+  UNION ALL SELECT lang, (n + 1) // 2, i // 2, level + 1, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, n, i // 2, level),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(n, i, level, h) AS (
+  SELECT n, i, 0, subroot FROM subroots
+  UNION ALL SELECT (n + 1) // 2, i // 2, level + 1, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY n, i // 2, level),
+climb(r, lang, n, i, level, d, proof) AS (
+  SELECT r, lang, n, i, 0, altered, '' FROM placed
+  UNION ALL SELECT c.r, c.lang, (c.n + 1) // 2, c.i // 2, c.level + 1, CASE WHEN s.h IS NULL THEN sha256(d) WHEN c.i % 2 = 1 THEN sha256(s.h || d) ELSE sha256(d || s.h) END, proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1),
+above(r, n, i, level, d, proof) AS (
+  SELECT c.r, s.n, s.i, 0, c.d, c.proof FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL SELECT c.r, (c.n + 1) // 2, c.i // 2, c.level + 1, CASE WHEN s.h IS NULL THEN sha256(d) WHEN c.i % 2 = 1 THEN sha256(s.h || d) ELSE sha256(d || s.h) END, proof || coalesce(s.h, '')
+  FROM above c LEFT JOIN tops s ON s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1)
+SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(a.proof) AS proof_sha256, a.d AS folded_root, a.d = t.h AS verified
+FROM placed p JOIN above a ON a.r = p.r AND a.n = 1 JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops t ON t.n = 1
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Each round's assignment and means, one after another."""
+    assign = lambda k: f"a{k} AS MATERIALIZED (SELECT r, p, first(x) AS x, arg_min(e, [d, e]) AS e, min(d) AS d FROM (SELECT r, v.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))::BIGINT AS d FROM parts v JOIN b{k} USING (p)) GROUP BY r, p)"
+    move = lambda k: f"s{k} AS (SELECT p, e, list(m ORDER BY j) AS c FROM (SELECT p, e, j, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM (SELECT p, e, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS y FROM a{k}) GROUP BY p, e, j) GROUP BY p, e), b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.c, b.c)::BIGINT[] AS c FROM b{k} b LEFT JOIN s{k} s USING (p, e))"
+    steps = ", ".join(f"{assign(k)}, {move(k)}" for k in range(rounds)) + f", {assign(rounds)}"
+    return f"""
+WITH typed AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0),
+fine AS (SELECT * FROM typed WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+usual AS (SELECT len(x) AS width FROM fine GROUP BY len(x) ORDER BY count(*) DESC, len(x) LIMIT 1),
+whole AS (SELECT r, vec_id, label, x AS v, list_transform(x, lambda e: floor(e * 1024)::BIGINT) AS x, len(x) AS width FROM fine JOIN usual ON len(x) = width),
+cut AS (SELECT p, [p * (width // 4) + least(p, width % 4) + 1, (p + 1) * (width // 4) + least(p + 1, width % 4)] AS s FROM usual, (SELECT unnest(range(4)) AS p)),
+parts AS MATERIALIZED (SELECT r, p, x[s[1] : s[2]] AS x FROM whole, cut),
+begin AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM whole),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN begin USING (r) WHERE e < 256),
+{steps},
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT r, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN whole USING (r), digest
+"""
+
+
 #: The others are a search or a model that SQL can't express, or (10) sequential.
-ORACLES = {"op1_ngram_join": _JOIN_SQL, "op4_stratified_shards": _SHARD_SQL, "op6_pareto_mix": _MIX_SQL, "op7_itq_dedup": _NEAR_SQL, "op9_url_filter": _URL_SQL}
+ORACLES = {"op1_ngram_join": _JOIN_SQL, "op4_stratified_shards": _SHARD_SQL, "op6_pareto_mix": _MIX_SQL, "op7_itq_dedup": _NEAR_SQL, "op9_url_filter": _URL_SQL, "op11_substring_dedup": _REPEAT_SQL, "op12_merkle_manifest": _TREE_SQL, "op13_vector_codes": _codes_sql()}
