@@ -40,71 +40,75 @@ from pyspark.sql import functions as F
 from .shared import each_copy, hashes_of, keep, mix, pieces, release, word_bounds
 
 _U = np.uint64
-_FAR = np.int64(1) << 40
+_FAR = 1 << 30
 #: Symbols of so many words or more, made of smaller ones, are looked up to rule windows out.
-LEAST = 8
+LEAST = 4
 #: Runs are named in the first round and from this round on; between them pairs alone keep what a symbol depends on short.
 RUNS_FROM = 6
 #: Records that a task holds before it aggregates and sends them.
-RUN = 1 << 19
+RUN = 1 << 20
 _LEFT, _RIGHT, _BASE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
 class Symbols:
-    """Symbols made in a piece: name, first word and end, and whether they rule out (small) or settle (window or longer)."""
+    """Symbols made in a piece: name, first word and end, the words it depends on, and whether it is ``window`` words or longer."""
 
     def __init__(self, words: np.ndarray, row: np.ndarray, window: int) -> None:
-        self.window, self.words = window, words
-        self._made: list[tuple[np.ndarray, ...]] = []
+        self.window = window
+        self._made: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 4)]
         with np.errstate(over="ignore"):
-            self._compress(words, row)
-        cols = zip(*self._made, strict=True) if self._made else [[np.zeros(0, np.uint64)], *[[np.zeros(0, np.int64)]] * 4]
-        self.name, self.start, self.end, self.low, self.high = (np.concatenate(c) for c in cols)
+            self._compress(words, row.astype(np.int32))
+        self.name, self.start, self.end, self.low, self.high = (np.concatenate(c) for c in zip(*self._made, strict=True))
         self.long = self.end - self.start >= window
 
-    def _found(self, name, start, end, low, high, parts) -> None:
-        size = end - start
-        use = (size >= self.window) | ((size >= LEAST) & (parts < LEAST) & (high - low <= self.window))
-        if use.any():
+    def _found(self, at, name, start, end, low, high, parts) -> None:
+        size = end[at] - start[at]
+        use = at[(size >= self.window) | ((size >= LEAST) & (parts < LEAST) & (high[at] - low[at] <= self.window))]
+        if len(use):
             self._made.append((name[use], start[use], end[use], low[use], high[use]))
 
     def _compress(self, name: np.ndarray, d: np.ndarray) -> None:
-        start = np.arange(len(name), dtype=np.int64)
-        end, low, high = start + 1, start, start + 1
+        start = np.arange(len(name), dtype=np.int32)
+        end, low, high = start + np.int32(1), start, start + np.int32(1)
         for r in range(96):
             if len(name) < 2:
                 return
             near = d[1:] == d[:-1]  # neighbours of one document
+            before, after = np.full(len(name), -_FAR, np.int32), np.full(len(name), _FAR, np.int32)
+            before[1:][near], after[:-1][near] = low[:-1][near], high[1:][near]
             if r == 0 or r >= RUNS_FROM:
                 # Whether a symbol is a run, and how long, depends on what stands on both sides.
-                before, after = np.full(len(name), -_FAR), np.full(len(name), _FAR)
+                low, high = before, after
+                same = near & (name[1:] == name[:-1])
+                if same.any():
+                    first = np.flatnonzero(np.concatenate(([True], ~same)))
+                    many = np.diff(np.append(first, len(name)))
+                    last, run = first + many - 1, np.flatnonzero(many > 1)
+                    one = (end - start)[first[run]]
+                    name, d, start, end, low, high = name[first], d[first], start[first], end[last], low[first], high[last]
+                    name[run] = mix(name[run] * _RIGHT + many[run].astype(np.uint64) + _U(2 * r + 1))
+                    self._found(run, name, start, end, low, high, one)
+                    near = d[1:] == d[:-1]
+                before, after = np.full(len(name), -_FAR, np.int32), np.full(len(name), _FAR, np.int32)
                 before[1:][near], after[:-1][near] = low[:-1][near], high[1:][near]
-                first = np.flatnonzero(np.concatenate(([True], ~(near & (name[1:] == name[:-1])))))
-                many = np.diff(np.append(first, len(name)))
-                last = first + many - 1
-                run = many > 1
-                one = end[first] - start[first]
-                name, d, start, end, low, high = name[first], d[first], start[first], end[last], before[first], after[last]
-                if run.any():
-                    name[run] = mix(mix(name[run] * _RIGHT + many[run].astype(np.uint64)) + _U(2 * r + 1))
-                    self._found(name[run], start[run], end[run], low[run], high[run], one[run])
-                near = d[1:] == d[:-1]
-            left = (mix(name + _U(r) * _LEFT) >> _U(63)) == 0
-            pair = np.zeros(len(name), bool)
-            pair[:-1] = left[:-1] & ~left[1:] & near
-            second = np.concatenate(([False], pair[:-1]))
-            # A left symbol stays alone because of what follows it, a right one because of what precedes it.
-            after, before = np.full(len(name), _FAR), np.full(len(name), -_FAR)
-            before[1:][near], after[:-1][near] = low[:-1][near], high[1:][near]
-            high, low = np.where(left & ~pair, after, high), np.where(~left & ~second, before, low)
+            # A name is a mixed fingerprint, so each round takes another bit of it.
+            right = (name >> _U(r & 63)).astype(np.uint8) & 1 == 1
+            pair = near & right[1:]
+            pair &= ~right[:-1]
             a = np.flatnonzero(pair)
+            first, second = np.zeros(len(name), bool), np.zeros(len(name), bool)
+            first[a], second[a + 1] = True, True
+            # A left symbol stays alone because of what follows it, a right one because of what precedes it.
+            high = np.where(right | first, high, after)
+            low = np.where(right & ~second, before, low)
             if len(a):
                 b = a + 1
-                name[a] = mix(mix(name[a] * _LEFT + name[b]) + _U(2 * r + 2))
+                name = name.copy() if r == 0 else name
+                name[a] = mix(name[a] * _LEFT + name[b] + _U(2 * r + 2))
                 parts = np.maximum(end[a] - start[a], end[b] - start[b])
                 end[a], high[a] = end[b], high[b]
-                self._found(name[a], start[a], end[a], low[a], high[a], parts)
+                self._found(a, name, start, end, low, high, parts)
             stay = ~second
             if r % 4 == 3:  # documents that have become one symbol are done
                 kept = np.flatnonzero(stay)
@@ -139,14 +143,17 @@ _RECORD = np.dtype([("name", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("mark",
 
 def _first(records: np.ndarray) -> np.ndarray:
     """Of each name the record of the first document, with ``more`` set if there are several occurrences."""
-    by = np.lexsort((records["mark"], records["doc"], records["check"], records["name"]))
-    records = records[by]
-    new = np.ones(len(records), bool)
-    new[1:] = (records["name"][1:] != records["name"][:-1]) | (records["check"][1:] != records["check"][:-1])
-    first = np.flatnonzero(new)
+    records = records[np.argsort(records["name"])]
+    same = records["name"][1:] == records["name"][:-1]
+    if (records["mark"].any() or (records["check"][1:] != records["check"][:-1])[same].any()) and same.any():
+        records = records[np.lexsort((records["mark"], records["doc"], records["check"], records["name"]))]
+        same = (records["name"][1:] == records["name"][:-1]) & (records["check"][1:] == records["check"][:-1])
+    first = np.flatnonzero(np.concatenate(([len(records) > 0], ~same)))
     if not len(first):
         return records
     out = records[first]
+    if not records["mark"].any():
+        out["doc"] = np.minimum.reduceat(records["doc"], first)
     out["more"] = np.maximum(np.maximum.reduceat(records["more"], first), np.diff(np.append(first, len(records))) > 1)
     return out
 
@@ -208,12 +215,17 @@ class _Looked:
         return self._has(self.alone, tokens)
 
 
-def _records(name: np.ndarray, prints: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
+def _records(name: np.ndarray, check: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
     out = np.zeros(len(name), _RECORD)
-    out["name"], out["check"], out["doc"], out["mark"] = name, prints >> _U(32), doc, mark
+    out["name"], out["check"], out["doc"], out["mark"] = name, check, doc, mark
     return out
 
 
+def _check(prints: np.ndarray) -> np.ndarray:
+    """32 bits of a second fingerprint, never 0."""
+    return (prints >> _U(32)).astype(np.uint32) | np.uint32(1)
+
+
 def _sent(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Records in runs, each aggregated, by buckets of names."""
     held: list[np.ndarray] = []
@@ -233,12 +245,13 @@ def _looked_up(names: DataFrame, buckets: int) -> DataFrame:
 
     def owners(table: pa.Table) -> pa.Table:
         got = _first(_unpack(table.column("data"), _RECORD))
+        got = got[(got["more"] == 0) | (got["check"] > 0)]  # of a small symbol only that nobody else has it matters
         home = _home(got["doc"], got["mark"])
         back = np.zeros(len(got), _Looked.KIND)
         back["token"], back["more"] = _token(got["name"], got["check"], home), got["more"]
         return pa.Table.from_batches(_dealt((home % _U(buckets)).astype(np.int64), back), pa.schema([("b", pa.int64()), ("data", pa.binary())]))
 
-    return keep(names.groupBy("b").applyInArrow(owners, "b long, data binary"), "names")
+    return names.groupBy("b").applyInArrow(owners, "b long, data binary")
 
 
 class _Piece:
@@ -259,9 +272,16 @@ class _Piece:
             fits[: n - window + 1] = self.row[: n - window + 1] == self.row[window - 1 :]
         return fits
 
+    def symbols(self, window: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+        """Symbols, their checks (0 for small ones, which can't remove anything), and the documents where they are."""
+        s = Symbols(self.words, self.row, window)
+        check = np.zeros(len(s.name), np.uint32)
+        check[s.long] = _check(self.prints.of(s.start[s.long], s.end[s.long]))
+        return s, check, self.row[s.start]
+
     def windows(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Names and checks of the windows that begin there."""
-        check = self.prints.of(at, at + window)
+        check = _check(self.prints.of(at, at + window))
         with np.errstate(over="ignore"):
             name = np.zeros(len(at), np.uint64)
             for j in range(window):
@@ -283,9 +303,7 @@ class _Piece:
 def _spread(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Places that lie in any of the ranges [begin, end)."""
     some = begins < ends
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, begins[some], 1)
-    np.add.at(change, ends[some], -1)
+    change = np.bincount(begins[some], minlength=n + 1) - np.bincount(ends[some], minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -298,6 +316,10 @@ def _pieces_of(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, _Pi
         yield at, to, _Piece(part, doc[at:to], mark[at:to])
 
 
+#: Bytes of documents that a task holds before it compresses and sends them.
+HELD = 64_000_000
+_DOC = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("missing", pa.bool_()), ("text", pa.large_string()), ("copies", pa.int64())])
+_BITS = pa.schema([("settled", pa.binary()), ("open", pa.binary())])
 _OUT = {"doc": pa.int64(), "mark": pa.int64(), "missing": pa.bool_(), "copies": pa.int64(), "n_words": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.string()}
 _OUT_SQL = "doc long, mark long, missing boolean, copies long, n_words long, removed array<struct<start:long,end:long>>, kept string"
 
@@ -325,7 +347,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
     text, missing = F.col("text").cast("string"), F.col("doc_id").isNull()
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
     rows = docs.select(known, F.shiftrightunsigned(F.xxhash64(text, missing, text.isNull()), 32).alias("mark"), missing.alias("missing"), text.alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
+    ids = rows.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64).alias("size"))
+    size, most = ids.agg(F.sum("size"), F.max("n")).first()
+    size = size or 0
+    if (most or 0) < 2:  # no two rows share a doc_id
+        rows = rows.withColumn("mark", F.lit(0).cast("long"))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     homes, names = max(least, -(-size // bucket_bytes)), max(least, -(-size // (4 * bucket_bytes)))
 
@@ -333,116 +359,108 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
         def found() -> Iterator[np.ndarray]:
             for batch in batches:
                 for _, _, piece in _pieces_of(batch):
-                    s = Symbols(piece.words, piece.row, window)
-                    of = piece.row[s.start]
-                    yield _records(s.name, piece.prints.of(s.start, s.end), piece.doc[of], piece.mark[of])
+                    s, check, of = piece.symbols(window)
+                    yield _records(s.name, check, piece.doc[of], piece.mark[of])
 
         return _sent(found(), names)
 
     looked = _looked_up(rows.select("doc", "mark", "text").mapInArrow(symbols, "b long, data binary"), homes)
 
-    kind = pa.schema([("b", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("missing", pa.bool_()), ("text", pa.string()), ("copies", pa.int64())])
-
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each different document that the task has, once, with its number of rows, and the bucket where it belongs."""
+        """Each different document that the task has, once, with its number of rows, compressed, by buckets."""
 
-        def placed(doc, mark, missing, text, copies) -> pa.RecordBatch:
-            b = _home(np.asarray(doc), np.asarray(mark).astype(np.uint32)) % _U(homes)
-            return pa.RecordBatch.from_arrays([pa.array(b.astype(np.int64)), doc, mark, missing, text.cast(pa.string()), copies], schema=kind)
+        def placed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            b = (_home(np.asarray(t.column("doc")), np.asarray(t.column("mark")).astype(np.uint32)) % _U(homes)).astype(np.int64)
+            by = np.argsort(b, kind="stable")
+            t, b = t.take(pa.array(by)), b[by]
+            cuts = np.flatnonzero(np.diff(b, prepend=-1)).tolist()
+            for x, y in zip(cuts, [*cuts[1:], len(b)][: len(cuts)], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(b[x : x + 1]), pa.array([_squeezed(t.slice(x, y - x))], pa.binary())], ["b", "data"])
 
         seen: dict[tuple, int] = {}
+        held: list[pa.Table] = []
         for batch in batches:
             new = []
             for k in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "missing")), strict=True):
                 new.append(k not in seen)
                 seen[k] = seen.get(k, 0) + 1
-            yield placed(*batch.columns, pa.array(np.ones(len(new), np.int64))).filter(pa.array(new))
+            held.append(pa.Table.from_arrays([*batch.columns[:3], batch.column("text").cast(pa.large_string()), pa.array(np.ones(len(new), np.int64))], schema=_DOC).filter(pa.array(new)))
+            if sum(t.nbytes for t in held) > HELD:
+                yield from placed(pa.concat_tables(held))
+                held = []
         more = [(*k, None, n - 1) for k, n in seen.items() if n > 1]
-        if more:
-            yield placed(*(pa.array(c, f.type) for c, f in zip(zip(*more, strict=True), list(kind)[1:], strict=True)))
+        held.append(pa.Table.from_arrays([pa.array([m[i] for m in more], f.type) for i, f in enumerate(_DOC)], schema=_DOC))
+        yield from placed(pa.concat_tables(held))
 
-    placed = rows.mapInArrow(home, "b long, doc long, mark long, missing boolean, text string, copies long")
+    placed = rows.mapInArrow(home, "b long, data binary")
 
-    def judge(table: pa.Table, names_back: pa.Table) -> pa.Table:
+    def judge(sent: pa.Table, names_back: pa.Table) -> pa.Table:
         """Each document's result, or, where windows are open, what is known of them."""
-        b = table.column("b")[0].as_py() if table.num_rows else 0
-        table = _once(table)
-        known = _Looked(names_back)
-        out: dict[str, list] = {k: [] for k in ("n_words", "removed", "kept", "text", "settled", "open")}
-        column = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        table, known = _once(_loose(sent)), _Looked(names_back)
+        out: dict[str, list] = {k: [] for k in ("n_words", "removed", "kept")}
+        waits, settled_bits, open_bits = np.zeros(table.num_rows, bool), [], []
         for at, to, piece in _pieces_of(table):
             n = len(piece.words)
-            s = Symbols(piece.words, piece.row, window)
-            of = piece.row[s.start] if n else s.start
-            tokens = _token(s.name, (piece.prints.of(s.start, s.end) >> _U(32)).astype(np.uint32), piece.home[of])
-            first, lone = known.first(tokens), known.lone(tokens)
+            s, check, of = piece.symbols(window)
+            tokens = _token(s.name, check, piece.home[of])
             # Of a name that a document is the first to have, its first place there is the first of all.
-            order = np.lexsort((s.start, s.name, of))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = (s.name[order[1:]] == s.name[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
-            settles = s.long & (~first | again)
+            settles = s.long & (~known.first(tokens) | _again(s.name, of, s.start))
+            never = ~s.long & known.lone(tokens)
             fits = piece.inside(window)
             settled = _spread(s.start[settles], s.end[settles] - window + 1, n) & fits
-            never = ~s.long & lone
             ruled = _spread(np.maximum(s.high[never] - window, 0), s.low[never] + 1, n)
             undecided = fits & ~settled & ~ruled
             begins = np.flatnonzero(settled)
-            gone = _spread(begins, begins + window, n)
-            words, spans, kept = _result(piece, gone, texts)
-            waits = np.zeros(to - at, bool)
-            waits[piece.row[undecided]] = True
-            part = column.slice(at, to - at).to_pylist()
-            for i in range(to - at):
+            for k, v in zip(out, _result(piece, _spread(begins, begins + window, n), texts), strict=True):
+                out[k] += v
+            waits[at + piece.row[undecided]] = True
+            for i in np.flatnonzero(waits[at:to]).tolist():
                 a, e = int(piece.ends[i]), int(piece.ends[i + 1])
-                w = bool(waits[i])
-                out["n_words"].append(words[i])
-                out["removed"].append(None if w else spans[i])
-                out["kept"].append(None if w else kept[i])
-                out["text"].append(part[i] if w else None)
-                out["settled"].append(np.packbits(settled[a:e]).tobytes() if w else None)
-                out["open"].append(np.packbits(undecided[a:e]).tobytes() if w else None)
-        n = table.num_rows
-        return pa.table({"b": pa.array([b] * n, pa.int64()), **{c: table.column(c) for c in ("doc", "mark", "missing", "copies")}, "n_words": pa.array(out["n_words"], pa.int64()), "removed": pa.array(out["removed"], _OUT["removed"]), "kept": pa.array(out["kept"], pa.string()), "text": pa.array(out["text"], pa.string()), "settled": pa.array(out["settled"], pa.binary()), "open": pa.array(out["open"], pa.binary())})
-
-    judged = keep(placed.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(judge, f"b long, {_OUT_SQL}, text string, settled binary, open binary"), "judged")
-    release(looked)
-    waiting = judged.where("text is not null")
+                settled_bits.append(np.packbits(settled[a:e]).tobytes())
+                open_bits.append(np.packbits(undecided[a:e]).tobytes())
+        done = pa.array(~waits)
+        ended = pa.table({**{c: table.column(c) for c in ("doc", "mark", "missing", "copies")}, **{k: pa.array(v, _OUT[k]) for k, v in out.items()}}).select(list(_OUT)).filter(done)
+        if not waits.any():
+            return _with_bucket(ended, sent, [])
+        later = table.filter(pa.array(waits)).append_column("settled", pa.array(settled_bits, pa.binary())).append_column("open", pa.array(open_bits, pa.binary()))
+        return _with_bucket(ended, sent, [_squeezed(later)])
+
+    judged = keep(placed.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(judge, f"b long, {_OUT_SQL}, data binary"), "judged")
+    waiting = judged.where("data is not null").select("b", "data")
 
     def window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
             for batch in batches:
-                opened = batch.column("open").to_pylist()
-                for at, to, piece in _pieces_of(batch):
-                    where = np.flatnonzero(_bits(opened[at:to], piece.ends))
-                    name, check = piece.windows(where, window)
-                    of = piece.row[where]
-                    yield _records(name, check, piece.doc[of], piece.mark[of])
+                for blob in batch.column("data"):
+                    table = _loose(pa.table({"data": [blob]}))
+                    opened = table.column("open").to_pylist()
+                    for at, to, piece in _pieces_of(table):
+                        where = np.flatnonzero(_bits(opened[at:to], piece.ends))
+                        of = piece.row[where]
+                        yield _records(*piece.windows(where, window), piece.doc[of], piece.mark[of])
 
         return _sent(found(), names)
 
-    looked = _looked_up(waiting.select("doc", "mark", "text", "open").mapInArrow(window_names, "b long, data binary"), homes)
+    looked = _looked_up(waiting.select("data").mapInArrow(window_names, "b long, data binary"), homes)
 
-    def finish(table: pa.Table, names_back: pa.Table) -> pa.Table:
-        known = _Looked(names_back)
+    def finish(sent: pa.Table, names_back: pa.Table) -> pa.Table:
+        table, known = _loose(sent), _Looked(names_back)
         out: dict[str, list] = {k: [] for k in ("n_words", "removed", "kept")}
         opened, settled = table.column("open").to_pylist(), table.column("settled").to_pylist()
         for at, to, piece in _pieces_of(table):
             where = np.flatnonzero(_bits(opened[at:to], piece.ends))
             name, check = piece.windows(where, window)
             of = piece.row[where]
-            first = known.first(_token(name, (check >> _U(32)).astype(np.uint32), piece.home[of]))
-            order = np.lexsort((where, name, of))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = (name[order[1:]] == name[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
-            begins = np.concatenate((where[~first | again], np.flatnonzero(_bits(settled[at:to], piece.ends))))
+            first = known.first(_token(name, check, piece.home[of]))
+            begins = np.concatenate((where[~first | _again(name, of, where)], np.flatnonzero(_bits(settled[at:to], piece.ends))))
             for k, v in zip(out, _result(piece, _spread(begins, begins + window, len(piece.words)), texts), strict=True):
                 out[k] += v
         return pa.table({**{c: table.column(c) for c in ("doc", "mark", "missing", "copies")}, **{k: pa.array(v, _OUT[k]) for k, v in out.items()}}).select(list(_OUT))
 
     columns = list(_OUT)
     ended = waiting.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(finish, _OUT_SQL)
-    done = keep(judged.where("text is null").select(*columns).unionAll(ended.select(*columns)), "deduplicated")
-    release(judged, looked)
+    done = keep(judged.where("data is null").select(*columns).unionAll(ended.select(*columns)), "deduplicated")
+    release(judged)
     most = done.agg(F.max("copies")).first()[0] or 0
     each = done if most < 2 else each_copy(done, "copies", "_copy", most)
     size = lambda x: x["end"] - x["start"]
@@ -450,6 +468,35 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
     return each.select(F.when(~F.col("missing"), F.col("doc")).alias("doc_id"), "n_words", removed.alias("n_removed"), "removed", "kept")
 
 
+def _squeezed(table: pa.Table) -> bytes:
+    """The table as compressed bytes: less to shuffle than rows of text."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def _loose(sent: pa.Table) -> pa.Table:
+    got = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in sent.column("data")]
+    return pa.concat_tables(got).combine_chunks() if got else pa.table({f.name: pa.array([], f.type) for f in [*_DOC, *_BITS]})
+
+
+def _with_bucket(ended: pa.Table, sent: pa.Table, blobs: list[bytes]) -> pa.Table:
+    """Results, and a row for the documents that wait."""
+    b = sent.column("b")[0].as_py() if sent.num_rows else 0
+    rows = {"b": pa.array([b] * ended.num_rows, pa.int64()), **{c: ended.column(c) for c in _OUT}, "data": pa.nulls(ended.num_rows, pa.binary())}
+    wait = {"b": pa.array([b] * len(blobs), pa.int64()), **{c: pa.nulls(len(blobs), k) for c, k in _OUT.items()}, "data": pa.array(blobs, pa.binary())}
+    return pa.concat_tables([pa.table(rows), pa.table(wait)])
+
+
+def _again(name: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of these names stand at an earlier place of the same document, too."""
+    order = np.lexsort((at, name, of))
+    out = np.zeros(len(order), bool)
+    out[order[1:]] = (name[order[1:]] == name[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+    return out
+
+
 def _once(table: pa.Table) -> pa.Table:
     """Documents that several tasks sent, once, with the rows of all."""
     keys = list(zip(table.column("doc").to_pylist(), table.column("mark").to_pylist(), table.column("missing").to_pylist(), strict=True))
