@@ -317,7 +317,7 @@ def _pieces_of(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, _Pi
 
 
 #: Bytes of documents that a task holds before it compresses and sends them.
-HELD = 64_000_000
+HELD = 24_000_000
 _DOC = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("missing", pa.bool_()), ("text", pa.large_string()), ("copies", pa.int64())])
 _BITS = pa.schema([("settled", pa.binary()), ("open", pa.binary())])
 _OUT = {"doc": pa.int64(), "mark": pa.int64(), "missing": pa.bool_(), "copies": pa.int64(), "n_words": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.string()}
