@@ -18,12 +18,12 @@ from ..functions import ieee
 from ..plans.prefix import running_sums
 
 POS = "__pos"
-#: Beyond so many rows a transpose into columns is refused.
+#: Beyond so many rows a transpose is a matrix in blocks.
 MAX_TRANSPOSE = 2000
 #: A right-hand factor of so many cells is put into the plan as literals.
 LITERAL_CELLS = 4096
-#: A right-hand factor of so many cells (200 MB) is sent to the tasks.
-MOST_CELLS = 25_000_000
+#: A right-hand factor of so many cells (8 MB) is sent to the tasks; products with a larger one are made in blocks.
+SENT_CELLS = 1_000_000
 
 Value = float | int | bool | str
 
@@ -182,10 +182,19 @@ class Matrix:
         """(i, j, v): one row a cell of the transpose, at any number of rows."""
         return self.to_long().select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
+    def blocks(self, side: int | None = None):
+        """The cells as a :class:`BlockMatrix`."""
+        from .blocks import SIDE, BlockMatrix
+
+        return BlockMatrix.of(self, side or SIDE)
+
     def transpose(self):
-        n = self.rows()
+        """Of up to ``MAX_TRANSPOSE`` rows, which become columns of a plan, a Matrix; of more, a :class:`BlockMatrix`."""
+        n, last = self.source.agg(F.count("*"), F.max(POS)).first()
+        if n and last + 1 != n:
+            raise ValueError(f"positions are not dense: {n} rows, the last one is {last}")
         if n > MAX_TRANSPOSE:
-            raise ValueError(f"{n} rows would become columns; transpose_long() takes any number")
+            return self.blocks().transpose()
         wide = self.to_long().groupBy(F.col("j").cast("long").alias(POS)).pivot("i", list(range(n))).agg(F.first("v"))
         return Matrix(wide, {f"c{i}": F.col(f"`{i}`") for i in range(n)})
 
@@ -342,7 +351,11 @@ class Matrix:
         return self._horizontal(f(F.array(*self.cells.values())))
 
     def matmul(self, other: Matrix):
-        """The matrix product; NaN propagates. A small right factor joins the plan as literals, a larger one goes to numpy."""
+        """The matrix product; NaN propagates.
+
+        A small right factor joins the plan as literals, one of up to ``SENT_CELLS`` is sent to the tasks, and with a
+        larger one the product is made in blocks, of which nothing is collected.
+        """
         n = other.rows()
         if n != self.cols:
             raise ValueError(f"inner dimensions differ: {self.cols} and {n}")
@@ -350,9 +363,8 @@ class Matrix:
             b = other.collect_columns()
             mine = list(self.cells.values())
             return self._product({f"c{k}": ieee.total([e * F.lit(float(v)) for e, v in zip(mine, col, strict=True)]) for k, col in enumerate(b)})
-        # Both sides of the right factor are counts of columns, so it is bounded by what a plan can hold.
-        if n * other.cols > MOST_CELLS:
-            raise ValueError(f"a right factor of {n} x {other.cols} cells; {MOST_CELLS} at most")
+        if n * other.cols > SENT_CELLS:
+            return self.blocks().matmul(other.blocks()).to_matrix()
         factor, width = np.array(other.collect_columns(), np.float64).T, other.cols
         data = self.source.select(POS, F.array(*[e.cast("double") for e in self.cells.values()]).alias("x"))
 

@@ -199,6 +199,23 @@ def matmul_literal(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_parts(spark, sf).matmul(from_cols(spark, [[2.0, 3.0], [-1.0, 0.5]])).df, 4)
 
 
+@query("SELECT a.j AS i, b.j AS j, sum(a.x * b.x)::DOUBLE AS v FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS j, floor(unnest(embedding)::DOUBLE * 1024) AS x FROM embeddings) a JOIN (SELECT vec_id, unnest(range(0, len(embedding))) AS j, floor(unnest(embedding)::DOUBLE * 1024) AS x FROM embeddings) b USING (vec_id) GROUP BY a.j, b.j")
+def matmul_gram_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """The transpose of all embeddings times all embeddings, in blocks; components as whole numbers, whose sums are exact."""
+    m = _vectors(spark, sf)
+    x = m.map(lambda c: F.floor(c * 1024).cast("double")).blocks()
+    return x.transpose().matmul(x).to_long()
+
+
+@query("WITH r AS (SELECT p_partkey AS i, p_size::DOUBLE AS s, floor(p_retailprice)::DOUBLE AS p FROM part) SELECT 'sum' AS what, i, NULL::BIGINT AS j, s + p AS v FROM r UNION ALL SELECT 'product', 0, 0, sum(s * s) FROM r UNION ALL SELECT 'product', 0, 1, sum(s * p) FROM r UNION ALL SELECT 'product', 1, 0, sum(s * p) FROM r UNION ALL SELECT 'product', 1, 1, sum(p * p) FROM r")
+def transpose_then_product_part(spark: SparkSession, sf: str) -> DataFrame:
+    """All of part transposed (two rows, a column a part): the sum of each column, and its product with part."""
+    m = _parts(spark, sf).map(F.floor).map(lambda c: c.cast("double"))
+    t = m.blocks().transpose()
+    sums = t.sum_vertical().select(F.lit("sum").alias("what"), F.col("j").alias("i"), F.lit(None).cast("long").alias("j"), F.col("value").alias("v"))
+    return sums.unionAll(t.matmul(m).to_long().select(F.lit("product").alias("what"), "i", "j", "v"))
+
+
 # -- statistics -----------------------------------------------------------------------------------------------
 @query("SELECT round(var_pop(l_quantity), 6) AS pop_q, round(var_samp(l_quantity), 6) AS samp_q, round(stddev_pop(l_quantity), 6) AS sd_q FROM lineitem")
 def variance_stddev_vertical(spark: SparkSession, sf: str) -> DataFrame:
