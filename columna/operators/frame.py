@@ -8,12 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from .matrix import POS, Matrix, Value
 
 INDEX = "__idx"
 
 
 class Frame(Matrix):
+    def __repr__(self) -> str:
+        """Shape, labels, and the index with its first and last key."""
+        rows, low, high = self.source.agg(F.count("*"), F.min(INDEX), F.max(INDEX)).first()
+        span = f"{low}..{high}" if rows else "empty"
+        return f"Frame({rows} x {self.cols}, columns={self.columns}, index={self.kind} {span})"
+
     def __init__(self, source: DataFrame, cells: dict[str, Column], kind: str = "range") -> None:
         if kind not in ("int", "date", "range"):
             raise ValueError(f"unknown index kind: {kind}")
@@ -21,11 +28,12 @@ class Frame(Matrix):
         self.kind = kind
 
     @classmethod
-    def of(cls, df: DataFrame, index: str | None = None, columns: list[str] | None = None, kind: str = "int", pos: str | None = None, validate: bool = True) -> Frame:
-        """A frame over ``df``. ``index``: its unique key (else ``pos``, or a range from 0 in no particular order).
+    def of(cls, df: DataFrame, index: str | None = None, columns: list[str] | None = None, kind: str = "int", pos: str | None = None, validate: bool = True, order: list[str] | None = None) -> Frame:
+        """A frame over ``df``. ``index``: its unique key (else ``pos``, or a range 0, 1, ... over the rows).
 
-        ``pos``: a column of dense positions; without it positions are the index itself.  ``validate`` counts
-        once whether the index is unique.
+        ``pos``: a column of dense positions; without it positions are the index itself.  With neither, rows are
+        numbered without a gap, in the order in which ``df`` gives them or in that of the columns ``order``; for that they are
+        written once.  ``validate`` counts once whether the index is unique.
         """
         names = columns or [c for c in df.columns if c not in (index, pos)]
         if len(set(names)) != len(names):
@@ -34,8 +42,8 @@ class Frame(Matrix):
         if missing:
             raise KeyError(f"unknown column label: {missing[0]}")
         if index is None:
-            key = F.col(pos) if pos else F.monotonically_increasing_id()
-            source = df.withColumns({POS: key, INDEX: key})
+            source = df.withColumn(POS, F.col(pos)) if pos else numbered(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, *(order or [])])]), POS, order)
+            source = source.withColumn(INDEX, F.col(POS))
             return cls(source, {c: F.col(f"`{c}`") for c in names}, "range")
         if validate:
             n, distinct, nulls = df.agg(F.count("*"), F.count_distinct(index), F.count_if(F.col(index).isNull())).first()
@@ -109,18 +117,20 @@ class Frame(Matrix):
     def sort_columns(self) -> Frame:
         return self._new({n: self.cells[n] for n in sorted(self.cells, key=lambda n: n.encode())})
 
+    def dense(self) -> Frame:
+        """The same rows, labels and index, with positions 0, 1, ... in the order of the present ones."""
+        return self._over(numbered(self.df.withColumnRenamed(POS, "_was"), POS, ["_was"]).drop("_was"))
+
     def transpose(self) -> Matrix:  # type: ignore[override]
-        return self.matrix.transpose()
+        """Without labels and index.  Where positions have gaps (an index without ``pos``), rows count in their order."""
+        n, last = self.source.agg(F.count("*"), F.max(POS)).first()
+        return (self.dense() if n and last + 1 != n else self).matrix.transpose()
 
     # -- aligned arithmetic ----------------------------------------------------------------------------------------
-    def _beside(self, other: Matrix, on: tuple[str, ...] = (INDEX,), strict: bool = True):
-        if isinstance(other, Frame) and strict and self.source is not other.source:
-            if self.kind != other.kind:
-                raise ValueError("row indexes differ in kind")
-            off = self.index().join(other.index().withColumnRenamed(POS, "_p"), INDEX, "full").where(~F.col(POS).eqNullSafe(F.col("_p"))).limit(1).count()
-            if off:
-                raise ValueError("row indexes differ")
-        return super()._beside(other, on if isinstance(other, Frame) else (POS,), strict=not isinstance(other, Frame))
+    def _beside(self, other: Matrix, on: str = INDEX, strict: bool = True):
+        if isinstance(other, Frame) and strict and self.kind != other.kind:
+            raise ValueError("row indexes differ in kind")
+        return super()._beside(other, on if isinstance(other, Frame) else POS, strict)
 
     def _binary(self, other, f: Callable[[Column, Column], Column]):
         if isinstance(other, Frame) and self.columns != other.columns:
@@ -131,7 +141,7 @@ class Frame(Matrix):
 
     def frame_zip(self, other: Frame, f: Callable[[Column, Column], Column]) -> Frame:
         """Only dimensions must agree; labels and index are those of this frame."""
-        source, left, right = Matrix._beside(self, other, (POS,))
+        source, left, right = Matrix._beside(self, other, POS)
         return self._new({n: f(a, b) for n, a, b in zip(self.columns, left, right, strict=True)}, source)
 
     def map(self, f: Callable[[Column], Column]) -> Matrix:

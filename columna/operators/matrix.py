@@ -7,9 +7,11 @@ others are joined by position.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,17 @@ SENT_CELLS = 1_000_000
 Value = float | int | bool | str
 
 
+@contextmanager
+def told() -> Iterator[None]:
+    """What a job found wrong with its matrices, as the error that the same finding has elsewhere."""
+    try:
+        yield
+    except SparkRuntimeException as e:
+        if e.getCondition() != "USER_RAISED_EXCEPTION":
+            raise
+        raise ValueError(e.getMessageParameters()["errorMessage"]) from e
+
+
 class Matrix:
     def __init__(self, source: DataFrame, cells: dict[str, Column], keys: tuple[str, ...] = (POS,)) -> None:
         self.source, self.cells, self.keys = source, dict(cells), keys
@@ -76,14 +89,16 @@ class Matrix:
         return self.columns[c]
 
     def row(self, r: int) -> list:
-        got = self.df.where(F.col(POS) == r).first()
+        with told():
+            got = self.df.where(F.col(POS) == r).first()
         if got is None:
             raise IndexError(f"row {r} is out of bounds")
         return [got[c] for c in self.columns]
 
     def get(self, r: int, c: int):
         name = self._name(c)
-        got = self.df.where(F.col(POS) == r).select(name).first()
+        with told():
+            got = self.df.where(F.col(POS) == r).select(name).first()
         if got is None:
             raise IndexError(f"row {r} is out of bounds")
         return got[0]
@@ -103,7 +118,8 @@ class Matrix:
 
     def collect_columns(self) -> list[list]:
         """All cells on the driver, column by column."""
-        got = self.df.orderBy(POS).collect()
+        with told():
+            got = self.df.orderBy(POS).collect()
         return [[r[c] for r in got] for c in self.columns]
 
     def to_vec(self) -> list:
@@ -199,17 +215,28 @@ class Matrix:
         return Matrix(wide, {f"c{i}": F.col(f"`{i}`") for i in range(n)})
 
     # -- element-wise -----------------------------------------------------------------------------------------
-    def _beside(self, other: Matrix, on: tuple[str, ...] = (POS,), strict: bool = True):
-        """A source that holds both, and the cells of each over it."""
+    def _beside(self, other: Matrix, on: str = POS, strict: bool = True):
+        """A source that holds both, and the cells of each over it.
+
+        Sources that differ are joined once, fully, on positions or index; with ``strict``, a row that only one side has, or
+        whose positions differ, stops the job that computes the result.
+        """
         if self.cols != other.cols:
             raise ValueError(f"dimensions differ: {self.cols} and {other.cols} columns")
         if self.source is other.source:
             return self.source, list(self.cells.values()), list(other.cells.values())
-        if strict and self.rows() != other.rows():
-            raise ValueError("dimensions differ: row counts")
         left = self.source.select(*self.keys, *[e.alias(f"_l{i}") for i, e in enumerate(self.cells.values())])
-        right = other.source.select(*on, *[e.alias(f"_r{i}") for i, e in enumerate(other.cells.values())])
-        return left.join(right, list(on)), [F.col(f"_l{i}") for i in range(self.cols)], [F.col(f"_r{i}") for i in range(self.cols)]
+        # Sides that stand on one index need their positions compared, too.
+        theirs = {on: "_on", POS: "_at"} if on != POS else {POS: "_on"}
+        right = other.source.select(*[F.col(k).alias(n) for k, n in theirs.items()], *[e.alias(f"_r{i}") for i, e in enumerate(other.cells.values())])
+        both = left.join(right, F.col(on) == F.col("_on"), "full" if strict else "inner")
+        if strict:
+            same = F.col(on).isNotNull() & F.col("_on").isNotNull()
+            same = same & F.col(POS).eqNullSafe(F.col("_at")) if on != POS else same
+            said = "row indexes differ" if on != POS else "dimensions differ: row counts"
+            both = both.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit(said)).cast("boolean")))
+        both = both.drop("_on", "_at")
+        return both, [F.col(f"_l{i}") for i in range(self.cols)], [F.col(f"_r{i}") for i in range(self.cols)]
 
     def _binary(self, other, f: Callable[[Column, Column], Column]):
         if not isinstance(other, Matrix):

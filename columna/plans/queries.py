@@ -199,6 +199,17 @@ def matmul_literal(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_parts(spark, sf).matmul(from_cols(spark, [[2.0, 3.0], [-1.0, 0.5]])).df, 4)
 
 
+@query("WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, event_id, value FROM events) SELECT i AS __idx, event_id::DOUBLE AS event_id, round(sum(value) OVER (ORDER BY i), 4) AS value, NULL::BIGINT AS j FROM e UNION ALL SELECT i, event_id::DOUBLE, round(value, 4), 0 FROM e")
+def frame_default_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in the order of time as a frame without index: running sums by its rows, and its transpose, a row a cell."""
+    df = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_id", F.col("event_id").cast("double").alias("id"), "value")
+    f = Frame.of(df.repartition(7, "event_id").orderBy("ts", "event_id"), columns=["id", "value"])
+    sums = f.cumsum_vertical().df.select("__idx", "value").join(f.df.select("__idx", "id"), "__idx")
+    sums = sums.select("__idx", F.col("id").alias("event_id"), F.round("value", 4).alias("value"), F.lit(None).cast("long").alias("j"))
+    across = f.matrix.blocks().transpose().to_long().groupBy("j").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("event_id"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("value"))
+    return sums.unionAll(across.select("j", "event_id", F.round("value", 4), F.lit(0).cast("long")))
+
+
 @query("SELECT a.j AS i, b.j AS j, sum(a.x * b.x)::DOUBLE AS v FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS j, floor(unnest(embedding)::DOUBLE * 1024) AS x FROM embeddings) a JOIN (SELECT vec_id, unnest(range(0, len(embedding))) AS j, floor(unnest(embedding)::DOUBLE * 1024) AS x FROM embeddings) b USING (vec_id) GROUP BY a.j, b.j")
 def matmul_gram_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """The transpose of all embeddings times all embeddings, in blocks; components as whole numbers, whose sums are exact."""

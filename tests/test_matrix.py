@@ -195,3 +195,31 @@ def test_transpose_takes_the_whole_table(spark):
     assert got.columns == [c[0] for c in want.description]
     rows = sorted(map(tuple, got.collect()))
     assert len(rows) == 40_000 and rows == sorted(want.fetchall())
+
+
+def test_a_frame_without_index_counts_its_rows(spark):
+    df = spark.range(40).select((F.col("id") * 7 % 40).cast("double").alias("a"), F.col("id").cast("double").alias("b")).repartition(4)
+    given = [tuple(r) for r in df.collect()]
+    f = Frame.of(df)
+    assert [r["__idx"] for r in f.df.orderBy("__pos").collect()] == list(range(40))
+    assert [(f.get_row(i)["a"], f.get_row(i)["b"]) for i in (0, 5, 39)] == [given[i] for i in (0, 5, 39)]
+    assert f.transpose().df.orderBy("__pos").first()["c39"] == given[39][0]
+    by = Frame.of(df, columns=["b"], order=["a"])
+    assert [r["b"] for r in by.df.orderBy("__pos").collect()] == [b for _, b in sorted(given)]
+    assert "index=range 0..39" in repr(f) and "empty" in repr(Frame.of(df.where("a < 0")))
+
+
+def test_transpose_of_an_index_with_gaps_loses_no_cell(spark):
+    df = spark.createDataFrame([(10, 1.0, 2.0), (30, 3.0, 4.0), (20, 5.0, 6.0)], "k long, a double, b double")
+    rows = Frame.of(df, "k").transpose().df.orderBy("__pos").collect()
+    assert [[r[f"c{i}"] for i in range(3)] for r in rows] == [[1, 5, 3], [2, 6, 4]]
+
+
+def test_rows_that_only_one_side_has_stop_the_job(spark):
+    make = lambda keys: Frame.of(spark.createDataFrame([(k, p, float(k)) for p, k in enumerate(keys)], "k long, p long, v double"), "k", pos="p")
+    assert (make([3, 5]) - make([3, 5])).to_vec() == [0, 0]
+    for a, b in (([3, 5], [3, 6]), ([3, 5], [3]), ([3], [3, 5]), ([3, 5], [5, 3])):
+        with pytest.raises(Exception, match="row indexes differ"):
+            (make(a) + make(b)).sum_vertical().collect()
+    with pytest.raises(Exception, match="row counts"):
+        make([3, 5]).frame_zip(make([3]), lambda x, y: x + y).df.collect()
