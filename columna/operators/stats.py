@@ -216,19 +216,26 @@ def _symmetric(source: DataFrame, cells: dict[str, Column], f: Callable[[Column,
 WIDE = 40
 
 
-def _moments(source: DataFrame, cs: list[Column]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, the columns' sums and the sums of their products, less the first row: one array a partition, added in a tree."""
+def _moments(source: DataFrame, cs: list[Column], shifted: bool = True, centred: bool = False) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, the columns' sums and the sums of their products: one array a task, added in a tree.
+
+    ``shifted``: of all rows less the first one.  ``centred``: of each row less its own mean.
+    """
     c = len(cs)
     data = source.select(F.array(*[e.cast("double") for e in cs]).alias("x"))
-    origin = data.first()
-    if origin is None:
-        return 0, np.zeros(c), np.zeros((c, c))
-    shift = np.array(origin["x"], float)
+    shift = np.zeros(c)
+    if shifted:
+        origin = data.first()
+        if origin is None:
+            return 0, np.zeros(c), np.zeros((c, c))
+        shift = np.array(origin["x"], float)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + c + c * c)
         for b in batches:
             x = np.asarray(b.column(0).flatten(), np.float64).reshape(b.num_rows, c) - shift
+            if centred:
+                x -= x.mean(1, keepdims=True)
             total += np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
 
@@ -244,48 +251,61 @@ def _moments(source: DataFrame, cs: list[Column]) -> tuple[int, np.ndarray, np.n
     return int(total[0]), total[1 : c + 1], total[c + 1 :].reshape(c, c)
 
 
+def _square(source: DataFrame, value: np.ndarray) -> DataFrame:
+    i, j = np.indices(value.shape)
+    return source.sparkSession.createDataFrame(pa.table({"i": pa.array(i.ravel(), pa.int32()), "j": pa.array(j.ravel(), pa.int32()), "value": value.ravel()}))
+
+
 def _wide_symmetric(source: DataFrame, cs: list[Column], f: Callable[[Column, Column], Column]) -> DataFrame:
     n, s, xx = _moments(source, cs)
     centred = xx - np.outer(s, s) / max(n, 1)
     less = {F.covar_pop: 0, F.covar_samp: 1}[f]
     value = centred / (n - less) if n > less else np.full_like(xx, math.nan)
-    i, j = np.indices(value.shape)
-    table = pa.table({"i": pa.array(i.ravel(), pa.int32()), "j": pa.array(j.ravel(), pa.int32()), "value": value.ravel()})
-    return source.sparkSession.createDataFrame(table)
+    return _square(source, value)
 
 
 def covariance_vertical(x: Matrix) -> DataFrame:
     return _symmetric(x.source, x.cells, F.covar_pop)
 
 
-def covariance_horizontal(x: Matrix, block: int = 512) -> DataFrame:
-    """(i, j, value) between rows, ``rows ** 2`` of them: blocks of rows meet in pairs, each pair one task's product."""
+def covariance_horizontal(x: Matrix, block: int = 1024) -> DataFrame:
+    """(i, j, value) between rows, ``rows ** 2`` of them: blocks of rows meet in pairs, each pair once, its product mirrored.
+
+    Of ``b`` blocks each row is sent ``b`` times, to the pairs of its block with those at or behind it and with those before it.
+    """
     c = x.cols
     rows = x.source.select(F.col(POS).alias("i"), F.array(*[e.cast("double") for e in _cells(x)]).alias("x"))
     numbered = rows.withColumn("b", F.floor(F.col("i") / block).cast("long"))
     last = numbered.agg(F.max("b")).first()[0] or 0
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
-    sides = numbered.select("i", "x", F.col("b").alias("p"), every.alias("q"), F.lit(0).alias("side")).unionAll(numbered.select("i", "x", every.alias("p"), F.col("b").alias("q"), F.lit(1).alias("side")))
+    every = lambda a, z: F.explode(F.sequence(a, z))
+    left = numbered.select("i", "x", F.col("b").alias("p"), every(F.col("b"), F.lit(last).cast("long")).alias("q"), F.lit(0).alias("side"))
+    right = numbered.where("b > 0").select("i", "x", every(F.lit(0).cast("long"), F.col("b") - 1).alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"))
 
     def product(t: pa.Table) -> pa.Table:
         side, i = np.asarray(t.column("side")), np.asarray(t.column("i"))
         v = np.asarray(t.column("x").combine_chunks().flatten(), np.float64).reshape(len(i), c)
         v = v - v.mean(1, keepdims=True)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a = np.flatnonzero(side == 0)
+        same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
+        b = a if same else np.flatnonzero(side == 1)
         value = v[a] @ v[b].T / c
-        return pa.table({"i": pa.array(np.repeat(i[a], len(b))), "j": pa.array(np.tile(i[b], len(a))), "value": pa.array(value.ravel())})
+        at, to, cells = np.repeat(i[a], len(b)), np.tile(i[b], len(a)), value.ravel()
+        if not same:
+            at, to, cells = np.concatenate((at, to)), np.concatenate((to, at)), np.concatenate((cells, cells))
+        return pa.table({"i": pa.array(at), "j": pa.array(to), "value": pa.array(cells)})
 
-    return sides.groupBy("p", "q").applyInArrow(product, "i long, j long, value double")
+    return left.unionAll(right).groupBy("p", "q").applyInArrow(product, "i long, j long, value double")
 
 
 def covariance_matrix(x: Matrix, axis: str = "col") -> DataFrame:
     """Columns x columns over rows - 1, centred by column means or (``row``) by row means."""
     if axis == "col":
         return _symmetric(x.source, x.cells, F.covar_samp)
+    if x.cols > WIDE:
+        n, _, products = _moments(x.source, _cells(x), shifted=False, centred=True)
+        return _square(x.source, products / (n - 1) if n > 1 else np.full_like(products, math.nan))
     m = ieee.total(_cells(x)) / float(x.cols)
     centred = {c: e - m for c, e in x.cells.items()}
-    if x.cols > WIDE:
-        raise ValueError(f"row-centred products of {x.cols} columns; {WIDE} at most")
     return _symmetric(x.source, centred, lambda a, b: F.sum(a * b) / (F.count("*") - 1))
 
 

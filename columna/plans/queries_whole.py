@@ -167,6 +167,18 @@ def covariance_horizontal(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.covariance_horizontal(Matrix.over(df), block=10))
 
 
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT vec_id, list_transform(x, lambda e: e - list_avg(x)) AS x FROM v) SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.x, b.x) / len(a.x), 6) AS value FROM c a, c b")
+def covariance_horizontal_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Between all pairs of embeddings."""
+    return _rounded(stats.covariance_horizontal(_vectors(spark, sf)))
+
+
+@query("WITH v AS (SELECT vec_id, unnest(list_transform(embedding::DOUBLE[], lambda e: e - list_avg(embedding::DOUBLE[]))) AS x, unnest(range(0, len(embedding)))::INT AS j FROM embeddings) SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x) / (count(*) - 1), 8) AS value FROM v a JOIN v b USING (vec_id) GROUP BY a.j, b.j")
+def covariance_matrix_row_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """All 64 components, each row less its own mean."""
+    return _rounded(stats.covariance_matrix(_vectors(spark, sf), "row"), 8)
+
+
 @query("WITH c AS (SELECT p_size - (p_size + p_retailprice) / 2 AS a, p_retailprice - (p_size + p_retailprice) / 2 AS b FROM part) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum({'ab'[i]} * {'ab'[j]}) / (count(*) - 1), 4) AS value FROM c" for i in (0, 1) for j in (0, 1)))
 def covariance_matrix_row(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.covariance_matrix(_parts(spark, sf), "row"), 4)

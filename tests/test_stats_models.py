@@ -92,7 +92,7 @@ def test_activations(spark):
     assert one(spark, A.dtanh(F.lit(1.0))) == pytest.approx(0.41997434161)
 
 
-def test_regressions(spark):
+def test_regressions(spark, monkeypatch):
     x = from_vec(spark, [1.0, 2, 3, 4], 4, 1)
     y = F.col("__pos") + 2.0
     m = models.LinReg(1).fit(x, y, 0.01, 100)
@@ -101,12 +101,12 @@ def test_regressions(spark):
     t = (F.col("__pos") >= 2).cast("double")
     g = models.LogReg(1).fit(x, t, 0.1, 100)
     assert (g.w[0], g.b) == (pytest.approx(0.6877918896), pytest.approx(-1.2158512498))
-    old, models.DRIVER_CELLS = models.DRIVER_CELLS, 0
-    try:
-        d = models.LogReg(1).fit(x, t, 0.1, 3)
-    finally:
-        models.DRIVER_CELLS = old
+    d = models.LogReg(1).fit(x, t, 0.1, 3, held=False)
     assert d.w[0] == pytest.approx(models.LogReg(1).fit(x, t, 0.1, 3).w[0])
+    monkeypatch.setattr(models, "TASK_CELLS", 2)
+    e = models.LogReg(1).fit(x, t, 0.1, 3)  # in several tasks
+    assert (e.w[0], e.b) == (pytest.approx(d.w[0]), pytest.approx(d.b))
+    monkeypatch.undo()
     assert h(models.LogReg(1).fit(x, t, 0.01, 10_000).predict(x)) == [0, 0, 1, 1]
 
 
@@ -135,7 +135,7 @@ def test_gaussian_nb(spark):
     assert h(m.predict(from_vec(spark, [1.1, 3.1, float("nan")], 3, 1))) == [0, 1, 0]
 
 
-def test_dense_nn(spark):
+def test_dense_nn(spark, monkeypatch):
     assert models.loss_gradient("bce", np.array([0.1, 0.9, 0.4]), np.array([0, 1, 0.5])).tolist() == pytest.approx([0.1 / 3, -0.1 / 3, -0.1 / 3])
     with pytest.raises(ValueError):
         models.DenseNN([1, 2, 1], ["relu"])
@@ -143,12 +143,12 @@ def test_dense_nn(spark):
     y = [(F.col("__pos") == 3).cast("double")]
     make = lambda: models.DenseNN([2, 3, 1], ["tanh", "sigmoid"], loss="bce", rate=1.0, epochs=5, seed=2)
     near = make().train(x, y)
-    old, models.DRIVER_CELLS = models.DRIVER_CELLS, 0
-    try:
-        far = make().train(x, y)
-    finally:
-        models.DRIVER_CELLS = old
-    assert all(np.allclose(a, b) for a, b in zip(near.weights + near.biases, far.weights + far.biases, strict=True))
+    far = make().train(x, y, held=False)
+    monkeypatch.setattr(models, "TASK_CELLS", 3)
+    wide = make().train(x, y)  # in several tasks
+    monkeypatch.undo()
+    for other in (far, wide):
+        assert all(np.allclose(a, b) for a, b in zip(near.weights + near.biases, other.weights + other.biases, strict=True))
     assert len(h(near.predict(x))) == 4
 
 

@@ -76,6 +76,69 @@ def test_models_over_long_rows(spark, wide):
     assert [r["label"] for r in fitted.predict(some).orderBy(POS).collect()] == score.argmax(1).tolist()
 
 
+def test_fits_over_long_rows(spark, wide):
+    """64 columns: products are added up in numpy, not as aggregates in one plan."""
+    m, x = wide
+    some, v = Matrix(m.source, {f"c{j}": m.cells[f"c{j}"] for j in range(64)}), x[:, :64]
+    y = np.arange(60) % 7 / 2.0
+    fitted = models.LinReg(64).fit(some, F.col(POS) % 7 / 2.0, 0.0005, 20)
+    w, b = np.zeros(64), 0.0
+    for _ in range(20):
+        e = v @ w + b - y
+        w, b = w - 0.0005 * 2 / 60 * (v.T @ e), b - 0.0005 * 2 / 60 * e.sum()
+    assert np.allclose(fitted.w, w) and fitted.b == pytest.approx(b)
+    p = models.PCA.fit(some, 3)
+    assert np.allclose(p.components, np.cov(v.T)[:3]) and np.allclose(p.mean, v.mean(0))
+
+
+def test_row_centred_covariance_of_long_rows(spark, wide):
+    m, x = wide
+    some, v = Matrix(m.source, {f"c{j}": m.cells[f"c{j}"] for j in range(64)}), x[:, :64]
+    got = np.zeros((64, 64))
+    for r in stats.covariance_matrix(some, "row").collect():
+        got[r["i"], r["j"]] = r["value"]
+    c = v - v.mean(1, keepdims=True)
+    assert np.allclose(got, c.T @ c / 59)
+
+
+def test_a_thousand_centroids(spark):
+    rng_ = np.random.default_rng(5)
+    v = np.round(rng_.normal(size=(3000, 64)), 2)
+    v[2000:2400] = v[:400]  # ties
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], f"{POS} long, x array<double>").repartition(4)
+    m = Matrix(df, {f"c{j}": F.col("x")[j] for j in range(64)})
+    init = v[:1000].copy()
+    init[7] = init[3]  # an empty cluster
+    model, labels = models.KMeans.fit(m, 1000, max_iter=2, tol=0.0, init=init)
+    cent = init
+    for _ in range(2):
+        d = ((v[:, None] - cent) ** 2).sum(2)
+        near = d.argmin(1)
+        n = np.bincount(near, minlength=1000)
+        new = cent.copy()
+        for k in np.flatnonzero(n):
+            new[k] = v[near == k].mean(0)
+        for k, far in zip(np.flatnonzero(n == 0), np.lexsort((np.arange(3000), -d.min(1))), strict=False):
+            new[k] = v[far]
+        cent = new
+    assert [r["label"] for r in labels.orderBy(POS).collect()] == near.tolist() and np.allclose(model.centroids, cent)
+
+
+def test_ten_thousand_labels(spark):
+    v = (np.arange(40_000)[:, None] * np.arange(1, 9)) % 997 / 7.0 + (np.arange(40_000) % 10_000)[:, None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], f"{POS} long, x array<double>").repartition(4)
+    m = Matrix(df, {f"c{j}": F.col("x")[j] for j in range(8)})
+    fitted = models.GaussianNB().fit(m, (F.col(POS) % 10_000).cast("double"))
+    assert fitted.classes == [float(i) for i in range(10_000)]
+    y = np.arange(40_000) % 10_000
+    mean = np.array([v[y == k].mean(0) for k in (0, 77, 9999)])
+    assert np.allclose(fitted.means[[0, 77, 9999]], mean)
+    got = np.array([r["label"] for r in fitted.predict(m).where(f"{POS} % 500 = 0").orderBy(POS).collect()])
+    some = v[::500]
+    score = np.stack([np.log(fitted.priors[k]) - 0.5 * np.log(2 * np.pi * fitted.variances[k]).sum() - 0.5 * ((some - fitted.means[k]) ** 2 / fitted.variances[k]).sum(1) for k in range(10_000)], 1)
+    assert got.tolist() == score.argmax(1).tolist()
+
+
 def test_random_sequences(spark):
     g = rng.Prng(42)
     want = [g.next_u64() for _ in range(1000)]
