@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.distributions import gamma_cdf
+from ..plans.numbering import durable
 from .matrix import POS, Matrix
 
 
@@ -93,9 +94,7 @@ def stddev_horizontal(x: Matrix) -> DataFrame:
 
 def _middle(source: DataFrame, cells: dict[str, Column]) -> DataFrame:
     """Each column's median: the mean of the two middle ranks."""
-    low, high = _nearest(source, cells, lambda n: [(n - 1) // 2, n // 2])
-    both = low.select(F.struct(*low.columns).alias("a")).crossJoin(high.select(F.struct(*high.columns).alias("b")))
-    return both.select(*[((F.col(f"a.`{c}`") + F.col(f"b.`{c}`")) / 2.0).alias(c) for c in cells])
+    return _nearest(source, cells, 0.5, lambda n: ((n - 1) // 2, n // 2))
 
 
 def median(x: Matrix) -> float:
@@ -122,63 +121,65 @@ def _rank(p: float, n: int) -> int:
     return math.floor(p / 100.0 * (n - 1) + 0.5)
 
 
-#: So many distinct values in the brackets are ranked in one task; more are bracketed again.
+#: So many distinct values in the brackets are ranked in one task a column; more are cut into ranges first.
 FEW_VALUES = 200_000
+#: A bracket's half width as a share of the rows: ten times the error of the sketch that gives it.
+BRACKET, ACCURACY = 0.0005, 20_000
 
 
-def _nearest(source: DataFrame, cells: dict[str, Column], ranks: Callable[[int], list[int]]) -> list[DataFrame]:
-    """For each rank (from 0, of ``n`` rows) each column's value there, exactly, as one row.
+def _nearest(source: DataFrame, cells: dict[str, Column], near: float, ranks: Callable[[int], tuple[int, int]]) -> DataFrame:
+    """Each column's mean of its values at two ranks (from 0, of ``n`` rows; they may be one), exactly, as one row.
 
-    Approximate quantiles bracket the ranks; what lies below a bracket is counted and only what lies in it is looked
-    at, bracketed again while it holds many distinct values, so that no column is sorted whole.
+    The first scan counts rows and NaN and sketches quantiles about ``near``, which bracket the ranks.  The second one counts
+    what lies below a bracket, and how often each value in it occurs.  So no column is sorted whole.
     """
-    names, wide = list(cells), 0.002
-    first = source.agg(F.count("*").alias("n"), *[F.count_if(e.isNull() | F.isnan(e)).alias(f"b{i}") for i, e in enumerate(cells.values())]).first()
-    if not first["n"]:
+    names, es = list(cells), list(cells.values())
+    share = F.array(F.lit(max(0.0, near - BRACKET)), F.lit(min(1.0, near + BRACKET)))
+    first = source.agg(F.count("*").alias("n"), *[x for i, e in enumerate(es) for x in (F.count_if(e.isNull() | F.isnan(e)).alias(f"b{i}"), F.percentile_approx(e, share, F.lit(ACCURACY)).alias(f"q{i}"))]).first()
+    n = first["n"]
+    if not n:
         raise ValueError("an order statistic of no rows")
     if any(first[f"b{i}"] for i in range(len(names))):
         raise ValueError("an order statistic of NaN")
-    want = ranks(first["n"])
-    low, high = max(0.0, (min(want) - 1) / first["n"] - wide), min(1.0, (max(want) + 1) / first["n"] + wide)
-    ask = [F.percentile_approx(e, F.array(F.lit(low), F.lit(high)), F.lit(20_000)).alias(f"q{i}") for i, e in enumerate(cells.values())]
-    got = source.agg(*ask).first()
-    lo = [got[f"q{i}"][0] if low > 0 else -math.inf for i in range(len(names))]
-    hi = [got[f"q{i}"][1] if high < 1 else math.inf for i in range(len(names))]
-    for _ in range(8):
-        asks = [x for i, (e, a, b) in enumerate(zip(cells.values(), lo, hi, strict=True)) for x in (F.count_if(e < F.lit(a)).alias(f"b{i}"), F.approx_count_distinct(F.when((e >= F.lit(a)) & (e <= F.lit(b)), e)).alias(f"d{i}"))]
-        below = source.agg(*asks).first()
-        wide_ones = [i for i in range(len(names)) if below[f"d{i}"] > FEW_VALUES]
-        if not wide_ones:
+    low, high = ranks(n)
+    # Ranks lie a row or so off the share; few rows are looked at whole.
+    whole = n * BRACKET < 4
+    lo = [-math.inf if whole or near - BRACKET <= 0 else first[f"q{i}"][0] for i in range(len(names))]
+    hi = [math.inf if whole or near + BRACKET >= 1 else first[f"q{i}"][1] for i in range(len(names))]
+    for _ in range(2):
+        # Values below a bracket are counted as null.
+        seen = [F.struct(F.lit(i).alias("j"), F.when(e >= F.lit(a), e).alias("v"), (e <= F.lit(b)).alias("in")) for i, (e, a, b) in enumerate(zip(es, lo, hi, strict=True))]
+        few = durable(source.select(F.explode(F.filter(F.array(*seen), lambda c: c["in"])).alias("c")).groupBy("c.j", "c.v").count(), "ranks")
+        held = {r["j"]: r for r in few.groupBy("j").agg(F.sum(F.when(F.col("v").isNull(), F.col("count"))).alias("below"), F.sum("count").alias("upto"), F.count("*").alias("values")).collect()}
+        missed = [i for i in range(len(names)) if i not in held or not (held[i]["below"] or 0) <= low <= high < held[i]["upto"]]
+        if not missed:
             break
-        for i in wide_ones:  # a narrower bracket inside this one, whose rows are counted again
-            e = list(cells.values())[i]
-            inside = source.where((e >= F.lit(lo[i])) & (e <= F.lit(hi[i])))
-            m = inside.count()
-            at = [min(1.0, max(0.0, (r - below[f"b{i}"]) / m)) for r in (min(want), max(want))]
-            q = inside.agg(F.percentile_approx(e, F.array(F.lit(max(0.0, at[0] - wide)), F.lit(min(1.0, at[1] + wide))), F.lit(20_000))).first()[0]
-            lo[i], hi[i] = q[0], q[1]
-    inside = F.array(*[F.struct(F.lit(i).alias("j"), e.alias("v"), ((e >= F.lit(a)) & (e <= F.lit(b))).alias("in")) for i, (e, a, b) in enumerate(zip(cells.values(), lo, hi, strict=True))])
-    few = source.select(F.explode(F.filter(inside, lambda c: c["in"])).alias("c")).groupBy("c.j", "c.v").count()
-    # Distinct values with their counts: a running count finds the rank.
-    upto = F.sum("count").over(Window.partitionBy("j").orderBy("v"))
-    start = F.element_at(F.array(*[F.lit(below[f"b{i}"]) for i in range(len(names))]), F.col("j") + 1)
-    run = few.withColumn("upto", upto + start)
-
-    def pick(k: int) -> DataFrame:
-        hit = run.where(F.col("upto") > k).groupBy("j").agg(F.min("v").alias("v"))
-        return hit.groupBy().agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
-
-    return [pick(k) for k in want]
+        for i in missed:  # the sketch missed: all values count
+            lo[i], hi[i] = -math.inf, math.inf
+    by, ranked = ["j"], few
+    if max(r["values"] for r in held.values()) > FEW_VALUES:
+        by = ["j", "part"]
+        ranked = durable(few.repartitionByRange("j", "v").withColumn("part", F.spark_partition_id()), "ranges")
+        sums = ranked.groupBy("j", "part").agg(F.sum("count").alias("of"))
+        starts = sums.select("j", "part", (F.sum("of").over(Window.partitionBy("j").orderBy("part")) - F.col("of")).alias("start"))
+        ranked = ranked.join(starts, by)
+    else:
+        ranked = ranked.withColumn("start", F.lit(0).cast("long"))
+    # A running count finds the ranks; nulls come first.
+    run = ranked.withColumn("upto", F.col("start") + F.sum("count").over(Window.partitionBy(*by).orderBy("v"))).where("v is not null")
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    hit = run.groupBy("j").agg(((at(low) + at(high)) / 2.0 if low != high else at(low)).alias("v"))
+    return hit.groupBy().agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(c) for i, c in enumerate(names)])
 
 
 def percentile(x: Matrix, p: float) -> float:
     _checked(p)
-    return _nearest(_whole(x), {"v": F.col("v")}, lambda n: [_rank(p, n)])[0].first()[0]
+    return _nearest(_whole(x), {"v": F.col("v")}, p / 100.0, lambda n: (_rank(p, n),) * 2).first()[0]
 
 
 def percentile_vertical(x: Matrix, p: float) -> DataFrame:
     _checked(p)
-    return _nearest(x.source, x.cells, lambda n: [_rank(p, n)])[0]
+    return _nearest(x.source, x.cells, p / 100.0, lambda n: (_rank(p, n),) * 2)
 
 
 def percentile_horizontal(x: Matrix, p: float) -> DataFrame:

@@ -55,6 +55,14 @@ def test_order_statistics(spark, monkeypatch):
     want = np.sort((np.arange(20_001) * 7919) % 20_011)
     monkeypatch.setattr(stats, "FEW_VALUES", 20)
     assert stats.median_vertical(many).first()[0] == want[10_000] and stats.percentile_vertical(many, 99.9).first()[0] == want[19_980]
+    for p in (0, 0.004, 37.3, 50, 100):
+        assert stats.percentile_vertical(many, p).first()[0] == want[math.floor(p / 100 * 20_000 + 0.5)]
+    ties = Matrix(spark.range(30_000).select(F.col("id").alias(POS), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 11 * 1.0).alias("a"), F.lit(2.5).alias("b")), {"a": F.col("a"), "b": F.col("b")})
+    v = np.sort([5.0 if i % 3 == 0 else float(i % 11) for i in range(30_000)])
+    assert tuple(stats.percentile_vertical(ties, 62.0).first()) == (v[math.floor(0.62 * 29_999 + 0.5)], 2.5) and stats.median_vertical(ties).first()[0] == (v[14_999] + v[15_000]) / 2
+    monkeypatch.setattr(stats, "BRACKET", 0.0003)
+    monkeypatch.setattr(stats, "ACCURACY", 2)  # a sketch that misses: all values are looked at
+    assert stats.percentile_vertical(many, 37.3).first()[0] == want[math.floor(0.373 * 20_000 + 0.5)]
     for bad in (from_vec(spark, [1.0, math.nan, 3, 4], 4, 1), Matrix(many.source.where("c0 < 0"), many.cells)):
         for f in (stats.median, stats.median_vertical, lambda m: stats.percentile(m, 100), lambda m: stats.percentile_vertical(m, 50)):
             with pytest.raises(ValueError):
