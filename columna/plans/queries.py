@@ -5,6 +5,7 @@ Floating results are rounded, as sums depend on their order.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -282,11 +283,15 @@ def gamma_functions(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("p_partkey", F.round(D.gamma_cdf(F.col("x"), 2.0, 1.0), 8).alias("cdf"), F.round(D.gamma_pdf(F.col("x"), 2.0, 1.0), 8).alias("pdf"), F.round(D.gamma(F.col("x") + 0.3), 4).alias("g"))
 
 
-@query("WITH b AS (SELECT k, round(gamma(21) / (gamma(k + 1) * gamma(21 - k)), 0) * power(0.3, k) * power(0.7, 20 - k) AS pmf, power(4.0, k) * exp(-4) / gamma(k + 1) AS poi FROM range(0, 20) t(k)) SELECT k::BIGINT AS k, round(pmf, 8) AS pmf, round(sum(pmf) OVER (ORDER BY k), 8) AS cdf, round(poi, 8) AS poi, round(sum(poi) OVER (ORDER BY k), 8) AS pcdf FROM b")
+@query("""WITH d AS (SELECT p_partkey, p_size % 11 AS k, p_size % 20 AS q FROM part),
+b AS (SELECT i, factorial(10)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((10 - i)::INT)::DOUBLE) * power(0.3::DOUBLE, i) * power(0.7::DOUBLE, 10 - i) AS f FROM range(0, 11) t(i)),
+p AS (SELECT i, power(4.0::DOUBLE, i) * exp(-4.0::DOUBLE) / factorial(i::INT)::DOUBLE AS f FROM range(0, 20) t(i))
+SELECT p_partkey, round((SELECT f FROM b WHERE i = k), 8) AS b_pmf, round((SELECT sum(f) FROM b WHERE i <= k), 8) AS b_cdf, round((SELECT f FROM p WHERE i = q), 8) AS p_pmf, round((SELECT sum(f) FROM p WHERE i <= q), 8) AS p_cdf FROM d""")
 def binomial_poisson(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("k")
-    df = spark.range(20).select(F.col("id").alias("k"))
-    return _rounded(df.select("k", D.binomial_pmf(20, k, 0.3).alias("pmf"), D.binomial_cdf(20, k, 0.3).alias("cdf"), D.poisson_pmf(4.0, k).alias("poi"), D.poisson_cdf(4.0, k).alias("pcdf")), 8)
+    """At numbers that all parts give."""
+    k, q = F.col("p_size") % 11, F.col("p_size") % 20
+    df = spark.read.parquet(f"{sf}/part.parquet")
+    return _rounded(df.select("p_partkey", D.binomial_pmf(10, k, 0.3).alias("b_pmf"), D.binomial_cdf(10, k, 0.3).alias("b_cdf"), D.poisson_pmf(4.0, q).alias("p_pmf"), D.poisson_cdf(4.0, q).alias("p_cdf")), 8)
 
 
 @query("WITH a AS (SELECT avg(o_totalprice) m, var_samp(o_totalprice) v, count(*) n FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT avg(o_totalprice) m, var_samp(o_totalprice) v, count(*) n FROM orders WHERE o_orderstatus = 'O') SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, 0.5::DOUBLE AS p FROM a, b")
@@ -350,8 +355,21 @@ def gaussian_nb(spark: SparkSession, sf: str) -> DataFrame:
 _STARTS = {"MS": ("month", "s"), "ME": ("month", "e"), "QS": ("quarter", "s"), "QE": ("quarter", "e"), "YS": ("year", "s"), "YE": ("year", "e")}
 
 
+FIRST_DAY, LAST_DAY = ("(SELECT min(o_orderdate)::DATE FROM orders)", "(SELECT max(o_orderdate)::DATE FROM orders)")
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, n): how many orders each day has."""
+    return spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count("*").alias("n"))
+
+
+def _span(spark: SparkSession, sf: str) -> tuple[dt.date, dt.date]:
+    """The first and the last day of the orders."""
+    return tuple(_days(spark, sf).agg(F.min("date"), F.max("date")).first())
+
+
 def _dates_sql() -> str:
-    days = "SELECT unnest(generate_series(DATE '2019-02-11', DATE '2024-11-20', INTERVAL 1 DAY))::DATE AS d"
+    days = f"SELECT unnest(generate_series({FIRST_DAY}, {LAST_DAY}, INTERVAL 1 DAY))::DATE AS d"
     parts = ["SELECT 'D' AS freq, d FROM days", "SELECT 'W', d FROM days WHERE isodow(d) = 1", "SELECT 'WF', d FROM days WHERE isodow(d) = 5"]
     for code, (unit, side) in _STARTS.items():
         short = DateFreq.parse(code).code
@@ -360,27 +378,32 @@ def _dates_sql() -> str:
     return f"WITH days AS ({days}), a AS ({' UNION ALL '.join(parts)}) "
 
 
-def _lists(spark: SparkSession, kind: type[cal.DatesList]) -> DataFrame:
+def _lists(spark: SparkSession, sf: str, kind: type[cal.DatesList]) -> DataFrame:
+    """All frequencies' dates over the span of the orders, with the orders of each date."""
+    first, last = _span(spark, sf)
     out = None
     for f in DateFreq:
-        one = kind("2019-02-11", "2024-11-20", f).list(spark).select(F.lit(f.code).alias("freq"), "date")
+        one = kind(first, last, f).list(spark).select(F.lit(f.code).alias("freq"), "date")
         out = one if out is None else out.unionAll(one)
-    return out
+    return out.join(_days(spark, sf), "date", "left").select("freq", "date", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
-@query(_dates_sql() + "SELECT freq, d AS date FROM a")
+_COUNTED = ", c AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1), l AS ({}) SELECT freq, date, coalesce(n, 0)::BIGINT AS orders FROM l LEFT JOIN c ON c.d = date"
+
+
+@query(_dates_sql().rstrip() + _COUNTED.format("SELECT freq, d AS date FROM a"))
 def dates_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return _lists(spark, cal.DatesList)
+    return _lists(spark, sf, cal.DatesList)
 
 
-@query(_dates_sql() + "SELECT freq, CASE WHEN freq LIKE 'W%' OR isodow(d) < 6 THEN d WHEN freq LIKE '%E' THEN d - (isodow(d) - 5)::INT ELSE d + (8 - isodow(d))::INT END AS date FROM a WHERE freq <> 'D' OR isodow(d) < 6")
+@query(_dates_sql().rstrip() + _COUNTED.format("SELECT freq, CASE WHEN freq LIKE 'W%' OR isodow(d) < 6 THEN d WHEN freq LIKE '%E' THEN d - (isodow(d) - 5)::INT ELSE d + (8 - isodow(d))::INT END AS date FROM a WHERE freq <> 'D' OR isodow(d) < 6"))
 def bdates_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return _lists(spark, cal.BDatesList)
+    return _lists(spark, sf, cal.BDatesList)
 
 
 @query(_dates_sql() + "SELECT isoyear(d)::INT AS year, week(d)::INT AS part, count(*) AS n, min(d) AS first FROM a WHERE freq = 'W' GROUP BY 1, 2")
 def date_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.DatesList("2019-02-11", "2024-11-20", DateFreq.WEEKLY_MONDAY).groups(spark).select("year", "part", F.size("dates").cast("long").alias("n"), F.element_at("dates", 1).alias("first"))
+    return cal.DatesList(*_span(spark, sf), DateFreq.WEEKLY_MONDAY).groups(spark).select("year", "part", F.size("dates").cast("long").alias("n"), F.element_at("dates", 1).alias("first"))
 
 
 @query("SELECT o_orderkey, d AS date, isodow(d) < 6 AS business, CASE isodow(d) WHEN 6 THEN d + 2 WHEN 7 THEN d + 1 ELSE d END AS forward, CASE isodow(d) WHEN 6 THEN d - 1 WHEN 7 THEN d - 2 ELSE d END AS back, quarter(d)::INT AS quarter FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
@@ -390,19 +413,33 @@ def business_days_orders(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("o_orderkey", "date", C.is_business_day(d).alias("business"), C.roll_forward(d).alias("forward"), C.roll_back(d).alias("back"), C.month_to_quarter(F.month(d)).alias("quarter"))
 
 
-@query("SELECT unnest([DATE '2023-10-31', DATE '2023-11-30', DATE '2023-12-29', DATE '2024-01-31']) AS date")
+@query(f"WITH o AS (SELECT {FIRST_DAY} AS a), m AS (SELECT a, ((date_trunc('month', a) + to_months(k::INT + 1))::DATE - 1) AS d FROM o, range(0, 40) t(k)), b AS (SELECT a, CASE isodow(d) WHEN 6 THEN d - 1 WHEN 7 THEN d - 2 ELSE d END AS d FROM m) SELECT d AS date FROM b WHERE d >= a ORDER BY d LIMIT 24")
 def bdates_generator(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.generate(spark, "2023-09-30", DateFreq.MONTH_END, 4, business=True)
+    """The last business days of 24 months from the first order on."""
+    return cal.generate(spark, _span(spark, sf)[0], DateFreq.MONTH_END, 24, business=True)
 
 
 # -- random and integration ----------------------------------------------------------------------------------
-@query("SELECT unnest([0, 1, 2])::BIGINT AS i, unnest([45454805674, -6914526270109646145, -8425327132182230662])::BIGINT AS state")
+_MASK = "18446744073709551615::UHUGEINT"
+
+
+def xorshift_sql(x: str) -> str:
+    """The next state of an UHUGEINT below 2 ** 64."""
+    a = f"xor({x}, ({x} << 13) & {_MASK})"
+    b = f"xor({a}, {a} >> 7)"
+    return f"xor({b}, ({b} << 17) & {_MASK})"
+
+
+@query(f"WITH RECURSIVE n AS (SELECT count(*)::UHUGEINT AS n FROM part), s(i, x) AS (SELECT 0, {xorshift_sql('n')} FROM n UNION ALL SELECT i + 1, {xorshift_sql('x')} FROM s WHERE i + 1 < (SELECT n FROM n)) SELECT i::BIGINT AS i, (CASE WHEN x >= 9223372036854775808::UHUGEINT THEN x::HUGEINT - 18446744073709551616::HUGEINT ELSE x::HUGEINT END)::BIGINT AS state FROM s")
 def xorshift_states(spark: SparkSession, sf: str) -> DataFrame:
-    return rng.xorshift(spark, 42, 3)
+    """As many states as there are parts, from their number as seed, in blocks that are jumped to."""
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    return rng.xorshift(spark, n, n, block=700)
 
 
-@query("WITH b AS (SELECT k // 40 AS i, k % 40 AS j FROM range(0, 1600) t(k) WHERE (k * k * 7 + k * 3) % 11 < 4), n AS (SELECT i + a AS i, j + c AS j, a = 0 AND c = 0 AS me FROM b, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS c)), s AS (SELECT i, j, count(*) FILTER (NOT me) AS n, bool_or(me) AS me FROM n GROUP BY 1, 2) SELECT i::BIGINT AS i, j::BIGINT AS j FROM s WHERE (n = 3 OR (me AND n = 2)) AND i BETWEEN 0 AND 39 AND j BETWEEN 0 AND 39")
+@query("WITH d AS (SELECT count(*) // 40 AS rows FROM part), b AS (SELECT p_partkey // 40 AS i, p_partkey % 40 AS j FROM part WHERE p_size % 3 = 0), n AS (SELECT i + a AS i, j + c AS j, a = 0 AND c = 0 AS me FROM b, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS c)), s AS (SELECT i, j, count(*) FILTER (NOT me) AS n, bool_or(me) AS me FROM n GROUP BY 1, 2) SELECT i::BIGINT AS i, j::BIGINT AS j FROM s, d WHERE (n = 3 OR (me AND n = 2)) AND i BETWEEN 0 AND rows - 1 AND j BETWEEN 0 AND 39")
 def game_of_life_step(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("id")
-    board = spark.range(1600).where((k * k * 7 + k * 3) % 11 < 4).select(F.floor(k / 40).alias("i"), (k % 40).alias("j"))
-    return life.step(board, 40, 40)
+    """On a board with a cell for each part, alive where its size divides by 3."""
+    df = spark.read.parquet(f"{sf}/part.parquet")
+    board = df.where("p_size % 3 = 0").select(F.floor(F.col("p_partkey") / 40).alias("i"), (F.col("p_partkey") % 40).alias("j"))
+    return life.step(board, df.count() // 40, 40)

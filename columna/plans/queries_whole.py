@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from ..operators import models, rng, stats
 from ..operators.frame import Frame
 from ..operators.matrix import POS, Matrix
 from ..sources import build
-from .queries import _events, _lines, _orders, _parts, _rounded, _vectors, query
+from .queries import FIRST_DAY, LAST_DAY, _events, _lines, _orders, _parts, _rounded, _span, _vectors, query, xorshift_sql
 
 
 def _bools(spark: SparkSession, sf: str) -> tuple[Frame, Frame]:
@@ -28,13 +31,24 @@ def _named(spark: SparkSession, kind: str, **values) -> DataFrame:
 
 
 # -- construction and access ---------------------------------------------------------------------------------
-@query("SELECT name, i::BIGINT AS i, j::INT AS j, v::DOUBLE AS v FROM (VALUES ('cols', 0, 0, 1.0), ('cols', 1, 0, 2.0), ('cols', 0, 1, 3.0), ('cols', 1, 1, 4.0), ('rows', 0, 0, 1.0), ('rows', 0, 1, 2.0), ('rows', 1, 0, 3.0), ('rows', 1, 1, 4.0), ('nine', 0, 0, 9.0), ('nine', 0, 1, 9.0), ('zero', 0, 0, 0.0), ('one', 0, 0, 1.0), ('again', 0, 0, 5.0), ('again', 1, 0, 5.0), ('again', 2, 0, 5.0), ('wide', 0, 0, 5.0), ('wide', 1, 0, 5.0)) t(name, i, j, v)")
+@query("""WITH n AS (SELECT n_nationkey::BIGINT AS i, n_nationkey::DOUBLE AS a, n_regionkey::DOUBLE AS b FROM nation), p AS (SELECT p_partkey AS i FROM part), f AS (SELECT p_size::DOUBLE AS s, p_retailprice AS r FROM part WHERE p_partkey = 0), s AS (SELECT row_number() OVER () - 1 AS i FROM supplier)
+SELECT name, i::BIGINT AS i, j::INT AS j, v::DOUBLE AS v FROM (
+SELECT 'cols' AS name, i, 0 AS j, a AS v FROM n UNION ALL SELECT 'cols', i, 1, b FROM n UNION ALL SELECT 'rows', i, 0, a FROM n UNION ALL SELECT 'rows', i, 1, b FROM n
+UNION ALL SELECT 'nine', i, 0, 9 FROM p UNION ALL SELECT 'nine', i, 1, 9 FROM p UNION ALL SELECT 'zero', i, 0, 0 FROM p UNION ALL SELECT 'one', i, 0, 1 FROM p UNION ALL SELECT 'nan', i, 0, 'nan'::DOUBLE FROM p
+UNION ALL SELECT 'again', i, 0, s FROM f, s UNION ALL SELECT 'again', i, 1, r FROM f, s UNION ALL SELECT 'wide', i, 0, s FROM f, s UNION ALL SELECT 'wide', i, 1, r FROM f, s)""")
 def matrix_constructors(spark: SparkSession, sf: str) -> DataFrame:
-    five = build.filled(spark, 1, 1, 5.0)
-    made = {"cols": build.from_vec(spark, [1.0, 2, 3, 4], 2, 2), "rows": build.from_rows_vec(spark, [1.0, 2, 3, 4], 2, 2), "nine": build.filled(spark, 1, 2, 9.0), "zero": build.zeros(spark, 1, 1), "one": build.ones(spark, 1, 1), "again": five.repeat_rows(3), "wide": five.broadcast_row(2, 1)}
+    """From values of nation, constants for each part, and the first part as often as there are suppliers."""
+    nation = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").select(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")).collect()
+    n, suppliers = spark.read.parquet(f"{sf}/part.parquet").count(), spark.read.parquet(f"{sf}/supplier.parquet").count()
+    m = _parts(spark, sf)
+    first = Matrix(m.source.where(F.col(POS) == 0), m.cells)
+    made = {
+        "cols": build.from_vec(spark, [r[c] for c in (0, 1) for r in nation], len(nation), 2), "rows": build.from_rows_vec(spark, [v for r in nation for v in r], len(nation), 2),
+        "nine": build.filled(spark, n, 2, 9.0), "zero": build.zeros(spark, n, 1), "one": build.ones(spark, n, 1), "nan": build.nans(spark, n, 1), "again": m.repeat_rows(suppliers), "wide": first.broadcast_row(suppliers, 2),
+    }
     out = None
-    for name, m in made.items():
-        one = m.to_long().select(F.lit(name).alias("name"), "i", "j", "v")
+    for name, x in made.items():
+        one = x.to_long().select(F.lit(name).alias("name"), "i", "j", "v")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -76,11 +90,32 @@ def column_edits(spark: SparkSession, sf: str) -> DataFrame:
     return m.add_column(1, m.cells["size"] * 2.0, "twice").delete_column(2).set_row(2, [8.5, 9.5]).df
 
 
-@query("SELECT __pos, a, b FROM (VALUES (0::BIGINT, 1.0::DOUBLE, 5.0::DOUBLE), (1, 2.0, 6.0)) t(__pos, a, b)")
+@query("SELECT n_nationkey::BIGINT AS __pos, n_nationkey::DOUBLE AS a, n_regionkey::DOUBLE AS b FROM nation")
 def literal_column(spark: SparkSession, sf: str) -> DataFrame:
-    first, second = build.from_vec(spark, [1.0, 2, 5, 6], 2, 2).iter_columns()
-    whole = [r[1] for r in second.orderBy(POS).collect()]
-    return build.from_cols(spark, [[r[1] for r in first.orderBy(POS).collect()]], ["a"]).add_column(1, whole, "b").df
+    """A column of values in memory, those of nation, beside another."""
+    nation = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()
+    return build.from_cols(spark, [[float(r["n_nationkey"]) for r in nation]], ["a"]).add_column(1, [float(r["n_regionkey"]) for r in nation], "b").df
+
+
+@query("SELECT p_partkey AS __pos, 0 AS j, p_size::DOUBLE AS v FROM part UNION ALL SELECT p_partkey, 1, p_retailprice FROM part")
+def iter_columns_part(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for j, c in enumerate(_parts(spark, sf).iter_columns()):
+        one = c.select(POS, F.lit(j).alias("j"), F.col(c.columns[1]).alias("v"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT p_partkey AS i, p_size::DOUBLE AS size, p_retailprice AS price FROM part")
+def iter_rows_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as they come one after another, in order, made a table again."""
+    rows = _parts(spark, sf).iter_rows()
+    return spark.createDataFrame([(i, r["size"], r["price"]) for i, r in enumerate(rows)], "i long, size double, price double")
+
+
+@query("SELECT 'Frame(' || count(*) || ' x 2, columns=[''o_totalprice'', ''o_custkey''], index=int ' || min(o_orderkey) || '..' || max(o_orderkey) || ')' AS shown, 'Matrix(' || (SELECT count(*) FROM part) || ' x 2, columns=[''size'', ''price''], keys=[''__pos''])' AS matrix FROM orders")
+def printed(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(repr(_orders(spark, sf)), repr(_parts(spark, sf)))], "shown string, matrix string")
 
 
 # -- element-wise -----------------------------------------------------------------------------------------------
@@ -249,13 +284,14 @@ def kmeans_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return labels.join(model.predict(x).withColumnRenamed("label", "next"), POS)
 
 
-def _network_sql(epochs: int, rate: float) -> str:
+def _network_sql(epochs: int, rate: float, loss: str = "bce", init: str = "xavier") -> str:
     """One input, one tanh unit, one sigmoid output, as the operator starts and steps."""
-    net = models.DenseNN([1, 1, 1], ["tanh", "sigmoid"], loss="bce", seed=1)
+    net = models.DenseNN([1, 1, 1], ["tanh", "sigmoid"], init=init, loss=loss, seed=1)
+    error = "(o - y) / m" if loss == "bce" else "2 * (o - y) / m * o * (1 - o)"
     w, v = float(net.weights[0][0, 0]), float(net.weights[1][0, 0])
     steps = ["d AS MATERIALIZED (SELECT p_partkey, (p_size - 25) / 25.0::DOUBLE AS x, (p_retailprice > 1200)::DOUBLE AS y FROM part), m AS MATERIALIZED (SELECT count(*) AS m FROM d)", f"w0 AS MATERIALIZED (SELECT {w!r}::DOUBLE AS w, 0.0::DOUBLE AS a, {v!r}::DOUBLE AS v, 0.0::DOUBLE AS b)"]
     for k in range(epochs):
-        steps.append(f"o{k} AS MATERIALIZED (SELECT x, h, (1 / (1 + exp(-(h * v + b))) - y) / m AS e FROM (SELECT *, tanh(x * w + a) AS h FROM d, w{k}, m))")
+        steps.append(f"o{k} AS MATERIALIZED (SELECT x, h, {error} AS e FROM (SELECT *, 1 / (1 + exp(-(h * v + b))) AS o FROM (SELECT *, tanh(x * w + a) AS h FROM d, w{k}, m)))")
         steps.append(f"u{k} AS MATERIALIZED (SELECT v - {rate}::DOUBLE * (SELECT sum(h * e) FROM o{k}) / m AS v, b - {rate}::DOUBLE * (SELECT sum(e) FROM o{k}) / m AS b FROM w{k}, m)")
         steps.append(f"w{k + 1} AS MATERIALIZED (SELECT w - {rate}::DOUBLE * (SELECT sum(x * e * u.v * (1 - h * h)) FROM o{k}, u{k} u) / m AS w, a - {rate}::DOUBLE * (SELECT sum(e * u.v * (1 - h * h)) FROM o{k}, u{k} u) / m AS a, u{k}.v, u{k}.b FROM w{k}, u{k}, m)")
     return f"WITH {', '.join(steps)} SELECT p_partkey AS __pos, round(1 / (1 + exp(-(tanh(x * w + a) * v + b))), 6) AS value FROM d, w{epochs}"
@@ -269,12 +305,40 @@ def dense_nn_part(spark: SparkSession, sf: str) -> DataFrame:
     return model.predict(x).select(POS, F.round(F.col("value")[0], 6).alias("value"))
 
 
-@query("SELECT name, round(bound, 8)::DOUBLE AS bound FROM (VALUES ('uniform', 0.5), ('xavier', 1.0), ('he', 0.5773502691896257), ('mse', 1.0), ('bce', 0.5)) t(name, bound)")
+def _network(spark: SparkSession, sf: str, loss: str, init: str) -> DataFrame:
+    m = _parts(spark, sf)
+    x = Matrix(m.source, {"x": (m.cells["size"] - 25) / F.lit(25.0)})
+    model = models.DenseNN([1, 1, 1], ["tanh", "sigmoid"], init=init, loss=loss, rate=50.0, epochs=3, seed=1).train(x, [(m.cells["price"] > 1200).cast("double")])
+    return model.predict(x).select(POS, F.round(F.col("value")[0], 6).alias("value"))
+
+
+@query(_network_sql(3, 50.0, "mse", "he"))
+def dense_nn_mse_part(spark: SparkSession, sf: str) -> DataFrame:
+    return _network(spark, sf, "mse", "he")
+
+
+@query(_network_sql(3, 50.0, "bce", "uniform"))
+def dense_nn_uniform_part(spark: SparkSession, sf: str) -> DataFrame:
+    return _network(spark, sf, "bce", "uniform")
+
+
+@query("WITH n AS (SELECT (SELECT count(*) FROM region)::DOUBLE AS r, (SELECT count(*) FROM nation)::DOUBLE AS n), p AS (SELECT p_size / 50.0::DOUBLE AS a, p_retailprice / 2000 AS b FROM part), c AS (SELECT count(*)::DOUBLE AS m FROM part) SELECT 'uniform' AS name, 0.5::DOUBLE AS bound UNION ALL SELECT 'xavier', round(sqrt(6 / (n + r)), 8) FROM n UNION ALL SELECT 'he', round(sqrt(2 / n), 8) FROM n UNION ALL SELECT 'mse', round(sum(abs(2 * (a - b) / m)), 8) FROM p, c UNION ALL SELECT 'bce', round(sum(abs((a - b) / m)), 8) FROM p, c")
 def initializers_and_losses(spark: SparkSession, sf: str) -> DataFrame:
-    """Bounds of first weights between 6 and 0 or 3 units (6 = the inputs and outputs of Xavier), and gradients at 1 for 0 over two rows."""
-    limits = {"uniform": models.init_limit("uniform", 3, 3, 0.5), "xavier": models.init_limit("xavier", 3, 3), "he": models.init_limit("he", 6, 1)}
-    losses = {k: float(models.loss_gradient(k, np.array([[1.0], [1.0]]), np.zeros((2, 1)))[0, 0]) for k in ("mse", "bce")}
-    return spark.createDataFrame([(k, round(float(v), 8)) for k, v in {**limits, **losses}.items()], "name string, bound double")
+    """Bounds of first weights between as many units as nations and regions; absolute gradients of both losses summed over part."""
+    regions, nations = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("region", "nation"))
+    limits = {"uniform": models.init_limit("uniform", nations, regions), "xavier": models.init_limit("xavier", nations, regions), "he": models.init_limit("he", nations, regions)}
+    made = spark.createDataFrame([(k, round(float(v), 8)) for k, v in limits.items()], "name string, bound double")
+    m = _parts(spark, sf)
+    data, rows = m.source.select((F.col("size") / 50.0).alias("a"), (F.col("price") / 2000.0).alias("b")), m.rows()
+
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got, want = np.asarray(b.column(0))[:, None], np.asarray(b.column(1))[:, None]
+            sums = [float(np.abs(models.loss_gradient(k, got, want, rows)).sum()) for k in ("mse", "bce")]
+            yield pa.RecordBatch.from_arrays([pa.array(["mse", "bce"]), pa.array(sums)], ["name", "g"])
+
+    found = data.mapInArrow(gradients, "name string, g double").groupBy("name").agg(F.round(F.sum("g"), 8).alias("bound"))
+    return made.unionAll(found)
 
 
 # -- calendar ----------------------------------------------------------------------------------------------------
@@ -293,17 +357,18 @@ def dates_generator(spark: SparkSession, sf: str) -> DataFrame:
     return generated.join(made.list(spark), "date").withColumn("n", F.lit(made.count(spark)).cast("long"))
 
 
-@query("WITH days AS (SELECT unnest(generate_series(DATE '2023-03-03', DATE '2024-12-31', INTERVAL 1 DAY))::DATE AS d), b AS (SELECT d FROM days WHERE isodow(d) < 6 ORDER BY d LIMIT 200) SELECT year(d)::INT AS year, dayofyear(d)::INT AS part, 1::BIGINT AS n, d AS first FROM b")
+@query(f"WITH days AS (SELECT unnest(generate_series({FIRST_DAY}, {FIRST_DAY} + 300, INTERVAL 1 DAY))::DATE AS d), b AS (SELECT d FROM days WHERE isodow(d) < 6 ORDER BY d LIMIT 200) SELECT year(d)::INT AS year, dayofyear(d)::INT AS part, 1::BIGINT AS n, d AS first FROM b")
 def bdates_from_n_periods(spark: SparkSession, sf: str) -> DataFrame:
-    made = cal.BDatesList.from_n_periods(spark, "2023-03-03", DateFreq.DAILY, 200)
+    """200 business days from the first order on."""
+    made = cal.BDatesList.from_n_periods(spark, _span(spark, sf)[0].isoformat(), DateFreq.DAILY, 200)
     return made.groups(spark).select("year", "part", F.size("dates").cast("long").alias("n"), F.element_at("dates", 1).alias("first"))
 
 
-@query(f"WITH d AS (SELECT unnest(generate_series(DATE '2019-02-11', DATE '2024-11-20', INTERVAL 1 DAY))::DATE AS d) SELECT 'M' AS kind, year(d)::INT AS year, month(d)::INT AS part, count(*) AS n FROM d WHERE d = date_trunc('month', d) GROUP BY ALL UNION ALL SELECT 'Q', year(d)::INT, quarter(d)::INT, count(*) FROM d WHERE d + 1 = date_trunc('quarter', d + 1) GROUP BY ALL UNION ALL SELECT 'Y', year(d)::INT, 0, count(*) FROM d WHERE d = date_trunc('year', d) GROUP BY ALL")
+@query(f"WITH d AS (SELECT unnest(generate_series({FIRST_DAY}, {LAST_DAY}, INTERVAL 1 DAY))::DATE AS d) SELECT 'M' AS kind, year(d)::INT AS year, month(d)::INT AS part, count(*) AS n FROM d WHERE d = date_trunc('month', d) GROUP BY ALL UNION ALL SELECT 'Q', year(d)::INT, quarter(d)::INT, count(*) FROM d WHERE d + 1 = date_trunc('quarter', d + 1) GROUP BY ALL UNION ALL SELECT 'Y', year(d)::INT, 0, count(*) FROM d WHERE d = date_trunc('year', d) GROUP BY ALL")
 def date_groups_by_period(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for kind, freq in (("M", DateFreq.MONTH_START), ("Q", DateFreq.QUARTER_END), ("Y", DateFreq.YEAR_START)):
-        spec = cal.DatesList("2019-02-11", "2024-11-20", freq)
+        spec = cal.DatesList(*_span(spark, sf), freq)
         one = cal.DatesList(spec.start_date, spec.end_date, spec.freq).groups(spark).select(F.lit(kind).alias("kind"), "year", "part", F.size("dates").cast("long").alias("n"))
         out = one if out is None else out.unionAll(one)
     return out
@@ -315,10 +380,19 @@ def shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
     return rng.shuffle(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey"), 3, "p_partkey")
 
 
-@query("WITH s AS (SELECT unnest([0, 1, 2])::INT AS i, unnest([45454805674, 11532217803599905471, 10021416941527320954])::UBIGINT AS state) SELECT i, (5 + state % 10)::BIGINT AS k, round(state::DOUBLE / 18446744073709551615::DOUBLE * 2 - 1, 12) AS u, state % 2 = 1 AS b FROM s")
+@query(f"WITH s AS (SELECT p_partkey, {xorshift_sql('(p_partkey + 1)::UHUGEINT')} AS x FROM part), t AS (SELECT *, {xorshift_sql('x')} AS y FROM s), u AS (SELECT *, {xorshift_sql('y')} AS z FROM t) SELECT p_partkey, (5 + x % 10)::BIGINT AS k, round(-1 + y::DOUBLE / 18446744073709551615::DOUBLE * 2, 12) AS u, z % 2 = 1 AS b FROM u")
 def prng_samples(spark: SparkSession, sf: str) -> DataFrame:
-    ints, floats, bools = rng.Prng(42), rng.Prng(42), rng.Prng(42)
-    return spark.createDataFrame([(i, ints.range_int(5, 15), round(floats.range_float(-1.0, 1.0), 12), bools.gen_bool()) for i in range(3)], "i int, k long, u double, b boolean")
+    """For each part a generator seeded by its key draws a whole number, a float and a bool."""
+    df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            drawn = [(g.range_int(5, 15), round(g.range_float(-1.0, 1.0), 12), g.gen_bool()) for g in (rng.Prng(k + 1) for k in keys)]
+            k, u, t = zip(*drawn, strict=True) if drawn else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.int64()), pa.array(u, pa.float64()), pa.array(t, pa.bool_())], ["p_partkey", "k", "u", "b"])
+
+    return df.mapInArrow(draw, "p_partkey long, k long, u double, b boolean")
 
 
 @query("SELECT p_partkey, true AS inside, true AS whole, true AS flag, true AS drawn FROM part")
