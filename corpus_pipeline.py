@@ -27,12 +27,22 @@ def _mark(docs: DataFrame):
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _one_of_each(docs: DataFrame) -> DataFrame:
-    """Of rows with the same doc_id and text the smallest in the other columns; rows without doc_id or text stay."""
+    """Of rows with the same doc_id and text the smallest in the other columns; rows without doc_id or text stay.
+
+    Columns that have no order (maps, variants) are compared as JSON text.
+    """
     rest, row = [c for c in docs.columns if c not in ("doc_id", "text")], free_name(docs, "_row")
+    whole = F.struct(*[F.col(_quoted(c)) for c in rest]) if rest else F.lit(0)
+    orderless = any(x in docs.schema[c].dataType.simpleString() for c in rest for x in ("map<", "variant"))
+    least = F.min_by(whole, F.to_json(whole)) if orderless else F.min(whole)
     named = docs.where("doc_id is not null and text is not null")
-    once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest) if rest else F.lit(0)).alias(row))
-    once = once.select("doc_id", "text", *[F.col(f"{row}.`{c}`") for c in rest]).select(docs.columns)
+    once = named.groupBy("doc_id", "text").agg(least.alias(row))
+    once = once.select("doc_id", "text", *[F.col(f"{row}.{_quoted(c)}").alias(c) for c in rest]).select(*[_quoted(c) for c in docs.columns])
     return once.unionAll(docs.where("doc_id is null or text is null"))
 
 
@@ -65,7 +75,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     id_, md5, copies, number = (free_name(docs, f"_mix_{x}") for x in ("id", "md5", "copies", "number"))
     taken = taken.select(F.col("_id").alias(id_), F.col("_md5").alias(md5), F.col("_copies").alias(copies))
     both = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & F.md5(docs["text"].cast("string")).eqNullSafe(F.col(md5)))
-    return both.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return both.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(_quoted(c)) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
