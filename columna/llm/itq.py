@@ -22,6 +22,7 @@ chunks, in any number of tasks.
 Defined cases.  Vectors that are null, zero or hold null or non-finite components, or are not of the commonest
 length, and rows with a null label, link with nothing (n_links 0, own component).  A row without vec_id is
 returned with null component and kept true.  Repeated rows are vectors of their own, linked with each other.
+Components of any finite size count, as vectors are scaled by their largest one first.  An empty table gives no rows.
 Other columns are not read.
 """
 
@@ -162,6 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     links = spark.createDataFrame([], "a long, b long, n long")
     if n > 1:
         x = sample(classes, "first", fit_rows, seed, n)
+        x = x / np.abs(x).max(1, keepdims=True)  # squares of tiny or huge components would vanish or overflow
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
         mean = x.mean(0)
         d = x.shape[1]

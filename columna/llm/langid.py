@@ -6,8 +6,7 @@ each language.  Transitions between the languages of neighbouring words are lear
 gives each word the probability of each language, so that a text may switch its language anywhere.
 
 Training.  Per language at most about ``per_lang`` labelled texts are sampled (by seeded hash; texts over
-``most_bytes`` bytes are left out of this sample only, and of ``most_langs`` languages or more those with the most
-texts are learned).  The driver holds at most ``most_sample`` bytes of them: beyond that fewer are drawn.  Each gives up to ``spans`` runs of 8 to 40 words, spread
+``most_bytes`` bytes are left out of this sample only).  All languages are learned.  The driver holds at most ``most_sample`` bytes of them: beyond that fewer are drawn.  Each gives up to ``spans`` runs of 8 to 40 words, spread
 over the whole text, and runs of all languages are shuffled into code-switched sequences whose words' languages
 are known; on these the log-likelihood is maximised by Adagrad in numpy.
 
@@ -325,11 +324,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = 300, most_bytes: int = 200_000, most_langs: int = 200, most_sample: int = 200_000_000, seed: int = 3, **options) -> Crf:
-    """A model from the labelled documents that aren't held out, through a sample bounded per language and in all."""
+def fit(docs: DataFrame, per_lang: int = 300, most_bytes: int = 200_000, most_sample: int = 200_000_000, seed: int = 3, **options) -> Crf:
+    """A model from the labelled documents that aren't held out, of all their languages.
+
+    The sample is bounded by ``per_lang`` texts (in the mean 1.2 times as many) a language and ``most_sample`` bytes in all.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= most_bytes))
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").collect()
     if not seen:
         return train([], [])
     share = {r["lang"]: min(1.0, 1.2 * per_lang / r["n"]) for r in seen}

@@ -88,9 +88,12 @@ class Index:
     share: float = 1.0
     route: int = 0
     trial: Files | None = None
+    #: By which vectors are multiplied, a power of two, so that squares of their components are finite.
+    scale: float = 1.0
 
     def represent(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Prefixes of the rows as data and, with a zero in the added component, as queries (all their pivots)."""
+        x = x * self.scale
         base = x @ self.pivots[:, :-1].T
         near = base + np.sqrt(np.maximum(self.top * self.top - (x * x).sum(1), 0))[:, None] * self.pivots[None, :, -1]
         return tuple(np.argsort(-a, axis=1, kind="stable").astype(np.uint16) for a in (near, base))
@@ -172,11 +175,13 @@ def _search(k: int, pivots: int):
             for j, a in enumerate(asks.tolist()):
                 found = np.flatnonzero(files.sums(asked[j]) >= least[a]) if least[a] else np.arange(len(data))
                 found = found[xrow[found] != own[a]]
-                score = (x[found] * q[j]).sum(1)  # row by row, so that equal vectors have equal scores
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (x[found] * q[j]).sum(1)  # row by row, so that equal vectors have equal scores
+                order = np.where(np.isnan(score), -np.inf, score)  # infinities of both signs come last
                 if len(found) > k:
-                    last = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= last], score[score >= last]
-                best = np.lexsort((xid[found], -score))[:k]
+                    near = order >= np.partition(order, len(order) - k)[len(order) - k]
+                    found, score, order = found[near], score[near], order[near]
+                best = np.lexsort((xid[found], -order))[:k]
                 out.append((np.full(len(best), own[a]), np.full(len(best), ids[a]), xid[found[best]], score[best]))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4)]
         return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("row", "query_id", "vec_id"), cols, strict=False)} | {"score": pa.array(cols[3].astype(np.float64))})
@@ -190,13 +195,18 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     rows = marked(rows).where("_v is not null").select(F.monotonically_increasing_id().alias("row"), "vec_id", "_v", F.coalesce(is_query, F.lit(False)).alias("_query"))
     rows = keep(rows, "vectors")
-    n, asks, d, top = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.size("_v")), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n, asks, d, big = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.size("_v")), F.max(F.array_max(F.transform("_v", F.abs)))).first()
     if not asks or n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    few = sample(rows, "vec_id", max(trial, 4 * pivots), seed, n)
+    # Products of components up to 1 are safe; scores are computed from the vectors as they are.
+    scale = 2.0 ** -min(1000, max(-1000, int(np.frexp(big)[1])))
+    squares = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x * F.lit(scale)) * (x * F.lit(scale)))
+    top = rows.agg(F.max(F.sqrt(squares))).first()[0]
+    few = sample(rows, "vec_id", max(trial, 4 * pivots), seed, n) * scale
     piv = apart(few[: 4 * pivots], pivots)
     piv = np.hstack([piv, np.sqrt(np.maximum(top * top - (piv * piv).sum(1), 0))[:, None]])
     index = plan(Index(piv, top, min(prefix, len(piv))), few[:trial], k, recall, scan)
+    index.scale = scale
     made = keep(rows.mapInArrow(_represent(index), "row long, vec_id long, is_query boolean, vector binary, posted binary, asked binary, cell int, cells array<int>, least int"), "permutations")
     release(rows)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,7 +226,8 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
         data = made.select(spread(F.col("cell")).alias("shard"), every.alias("block"), F.lit(0).alias("role"), "row", "vec_id", "vector", F.col("posted").alias("perm"), F.lit(0).alias("least"))
         groups = data.select(cols).unionAll(asked.select(cols)).repartition(min(max(tasks, shards), 100_000), "shard", "block").groupBy("shard", "block")
         found = groups.applyInArrow(_search(k, len(piv)), "row long, query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+        order = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+        rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc(order), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
     found = keep(search(made.where("is_query"), asks, goes, F.col("least")), "nearest")

@@ -10,8 +10,8 @@ which no hash splits, are ranked as one with their count, and told apart by thei
 sort by fractional rank goes the same way, by cells of the fraction.
 
 Defined cases.  A null text has size 1 and a null text_crc32.  A null source is a source of its own, after
-all others.  A null doc_id sorts first.  Repeated rows are rows; equal rows are interchangeable.  An empty
-table gives an empty result.  Other columns are not read.
+all others.  A null doc_id sorts first.  Repeated rows are rows; equal rows are interchangeable.  Very long texts
+are read for their size and checksum alone and never travel.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from .shared import SEEDED_BITS, counted, each_copy, keep, seeded_bits
 
-#: Cells of the fractional rank: their table of counts is this long at every size of input.
-FRACTION_CELLS = 4096
-#: A source has 2 ** HASH_BITS cells of the hash at most, which share its rows evenly.
-HASH_BITS = 10
+#: Cells of the fractional rank, and bits of the hash that make a source's cells; both grow with the rows, so that a cell
+#: holds about ``CELL_ROWS`` of them at most.
+FRACTION_CELLS, HASH_BITS, CELL_ROWS = 4096, 10, 100_000
 
 
 def starts(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -39,18 +38,23 @@ def stratified_shards(rows: DataFrame, stratum: str, key: list[str], shards: int
     ``key``: columns that tell rows apart; rows equal in all of them are interchangeable.
     """
     own = counted(rows, "_rows").withColumns({"_s": F.struct(F.col(stratum).isNull(), F.col(stratum)), "_h": seeded_bits(seed, *[F.col(k) for k in key])})
-    own = keep(own.withColumn("_cell", F.shiftright("_h", SEEDED_BITS - HASH_BITS)), "hashed")
+    own = keep(own, "hashed")
+    number, most = own.agg(F.sum("_rows"), F.max("_rows")).first()
+    many = max(1, (number or 0) // CELL_ROWS)
+    bits, fractions = max(HASH_BITS, (many - 1).bit_length()), max(FRACTION_CELLS, many)
+    own = own.withColumn("_cell", F.shiftright("_h", SEEDED_BITS - bits))
     cells = starts(own.groupBy("_s", "_cell").agg(F.sum("_rows").alias("count")), ["_s"], "_cell").withColumn("_n", F.sum("count").over(Window.partitionBy("_s"))).drop("count")
     order = ["_h", *key]
     w = Window.partitionBy("_s", "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = own.join(cells, ["_s", "_cell"]).withColumn("_rank", F.sum("_rows").over(w) + F.col("start")).drop("start", "_cell")
     # The rank of the last of equal rows; the others have those before.
-    ranked = each_copy(ranked, "_rows", "_copy", own.agg(F.max("_rows")).first()[0] or 0)
+    ranked = each_copy(ranked, "_rows", "_copy", most or 0)
     ranked = ranked.withColumn("_f", (F.col("_rank") - F.col("_copy") - 0.5) / F.col("_n"))
-    ranked = keep(ranked.withColumn("_cell", F.floor(F.col("_f") * FRACTION_CELLS)), "ranked")
+    ranked = keep(ranked.withColumn("_cell", F.floor(F.col("_f") * fractions)), "ranked")
     counts = starts(ranked.groupBy("_cell").count(), [], "_cell").withColumn("_all", F.sum("count").over(Window.partitionBy())).drop("count")
     w = Window.partitionBy("_cell").orderBy("_f", "_s", *order)
-    placed = ranked.join(F.broadcast(counts), "_cell").withColumn("_at", F.row_number().over(w) + F.col("start") - 1)
+    # A row a cell: some thousand, or one for 100,000 rows; only few are broadcast.
+    placed = ranked.join(F.broadcast(counts) if fractions <= 1_000_000 else counts, "_cell").withColumn("_at", F.row_number().over(w) + F.col("start") - 1)
     # Shard k takes the places from ceil(k * all / shards): integer arithmetic only.
     placed = placed.withColumn("shard", F.expr(f"(_at * {shards}) div _all").cast("int"))
     placed = placed.withColumn("slot", F.col("_at") - F.expr(f"(shard * _all + {shards - 1}) div {shards}"))

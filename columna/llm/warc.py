@@ -9,7 +9,9 @@ from the response's identifier, so that a second run, or a task that runs again,
 Defined cases.  A response without payload (null) is taken as an empty one: an empty text, no title.  Without a
 target URI the header is left out.  A response without date takes ``DATE``.  Repeated responses give repeated,
 equal records.  Very long pages are read whole, in linear time whatever their markup (:func:`read_page`).  An empty
-table gives no rows.  Only the columns named are read, whatever the others are called.
+table gives no rows.  Only the columns named are read, whatever the others are called.  Digests, charset and bytes of
+responses that are read from WARC files (:func:`responses`) are those of the source.  A task holds a batch of pages, or a
+file and its records.
 """
 
 from __future__ import annotations
@@ -151,14 +153,31 @@ def page_responses(pages: DataFrame, header: str = "HTTP/1.1 200 OK\r\nContent-T
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">")).alias("record_id"), url.alias("target_uri"), F.lit(DATE).alias("warc_date"), F.lit(header).alias("http_header"), body.alias("payload"))
 
 
-def derive_one(record_id: str, target_uri: str | None, payload: str | None, http_header: str | None) -> tuple[str, str, str]:
-    """Of one response: its payload's digest, the metadata block and the conversion block."""
-    page = payload or ""
-    body = page.encode("utf-8", "surrogatepass")
-    payload_digest = digest(body)
+_CHARSET = re.compile(r"^content-type\s*:[^\r\n]*?charset\s*=\s*[\"']?([\w.:-]+)", re.I | re.M)
+
+
+def decoded(payload: bytes, http_header: str | None) -> str:
+    """The payload's text, in the charset that its header names, else in UTF-8; what that doesn't read, in Latin-1."""
+    named = _CHARSET.search(http_header or "")
+    for charset in (named.group(1) if named else "utf-8", "utf-8"):
+        try:
+            return payload.decode(charset)
+        except (LookupError, ValueError):
+            continue
+    return payload.decode("latin-1")
+
+
+def derive_one(record_id: str, target_uri: str | None, payload: str | bytes | None, http_header: str | None, payload_digest: str | None = None, block_digest: str | None = None) -> tuple[str, str, str]:
+    """Of one response: its payload's digest, the metadata block and the conversion block.
+
+    Digests that the source gives are kept as they are; missing ones are computed from its bytes.
+    """
     head = http_header or ""
+    page = decoded(payload, head) if isinstance(payload, bytes) else payload or ""
+    body = payload if isinstance(payload, bytes) else page.encode("utf-8", "surrogatepass")
+    payload_digest = payload_digest or digest(body)
     text, title, lang, links = read_page(page)
-    fields = [("source-record-id", record_id), ("source-payload-digest", payload_digest), ("source-block-digest", digest(head.encode() + b"\r\n" + body)), ("source-payload-length", str(len(body)))]
+    fields = [("source-record-id", record_id), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest or digest(head.encode() + b"\r\n" + body)), ("source-payload-length", str(len(body)))]
     fields += [("source-header", line) for line in head.split("\r\n") if line]
     fields += [("title", one_line(title))] if title is not None else []
     fields += [("language", lang)] if lang else []
@@ -166,11 +185,15 @@ def derive_one(record_id: str, target_uri: str | None, payload: str | None, http
     return payload_digest, "".join(f"{k}: {v}\r\n" for k, v in fields), text
 
 
+_READ = ("page_id", "record_id", "target_uri", "warc_date", "http_header", "payload")
+_GIVEN = ("payload_digest", "block_digest")
+
+
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(12)]
-        for page_id, rid, uri, date, head, payload in zip(*(batch.column(c).to_pylist() for c in ("page_id", "record_id", "target_uri", "warc_date", "http_header", "payload")), strict=True):
-            payload_digest, meta, text = derive_one(rid, uri, payload, head)
+        for page_id, rid, uri, date, head, payload, *given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            payload_digest, meta, text = derive_one(rid, uri, payload, head, *given)
             for kind, block, mime in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
                 raw = block.encode("utf-8", "surrogatepass")
                 new = f"<urn:uuid:{uuid.uuid5(_SPACE_ID, f'{kind} of {rid}')}>"
@@ -181,8 +204,9 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two rows a response, with the columns of ``FIELDS``."""
-    return responses.select("page_id", "record_id", "target_uri", "warc_date", "http_header", "payload").mapInArrow(_derive, FIELDS)
+    """Two rows a response, with the columns of ``FIELDS``; payloads are strings or, as :func:`responses` gives them, bytes."""
+    given = _GIVEN if {*_GIVEN} <= {*responses.columns} and responses.schema["payload"].dataType.simpleString() == "binary" else ()
+    return responses.select(*_READ, *given).mapInArrow(_derive, FIELDS)
 
 
 def record_bytes(row: dict) -> bytes:
@@ -209,36 +233,48 @@ def serialize(derived: DataFrame) -> DataFrame:
 def responses(files: DataFrame) -> DataFrame:
     """Response rows, as :func:`derive` takes them, of the WARC files in ``files`` (path, content: as ``binaryFile`` reads).
 
-    A file's records are numbered from 0 in ``page_id``.  Records of other types are passed over.  A task holds a file.
+    Payloads stay bytes, and the records' own digests come along.  A file's records are numbered from 0 in ``page_id``.
+    Records of other types are passed over.  A task holds a file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "record_id", "target_uri", "warc_date", "http_header", "payload"]
+        names = [*_READ, *_GIVEN]
+        kinds = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.string(), pa.string()]
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
                 for i, (fields, block) in enumerate(parse(content.as_py()) if content.is_valid else []):
-                    if fields.get("WARC-Type") == "response":
+                    named = {k.lower(): v for k, v in fields.items()}
+                    if named.get("warc-type") == "response":
                         head, gap, body = block.partition(b"\r\n\r\n")
-                        head = head + b"\r\n" if gap else head
-                        rows.append((i, fields.get("WARC-Record-ID"), fields.get("WARC-Target-URI"), fields.get("WARC-Date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(6)], names)
+                        text = (head + b"\r\n" if gap else head).decode("utf-8", "replace")
+                        rows.append((i, named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-date"), text, body, named.get("warc-payload-digest"), named.get("warc-block-digest") or digest(block)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return files.select("content").mapInArrow(run, "page_id long, record_id string, target_uri string, warc_date string, http_header string, payload string")
+    schema = "page_id long, record_id string, target_uri string, warc_date string, http_header string, payload binary, payload_digest string, block_digest string"
+    return files.select("content").mapInArrow(run, schema)
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record in the bytes of a (gzipped) WARC file."""
-    raw, out = gzip.decompress(data), []
-    while raw:
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-        if lines[0] != "WARC/1.1":
-            raise ValueError("not a WARC/1.1 record")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(fields["Content-Length"])
-        if rest[n : n + 4] != b"\r\n\r\n":
+    """Headers and block of each record in the bytes of a WARC file (1.0 or 1.1, gzipped or not), in linear time."""
+    raw, out, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, [], 0
+    while at < len(raw):
+        gap = raw.find(b"\r\n\r\n", at)
+        lines = raw[at : gap if gap >= 0 else len(raw)].decode("utf-8", "replace").split("\r\n")
+        if gap < 0 or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+            raise ValueError("not a WARC/1.0 or WARC/1.1 record")
+        fields: dict[str, str] = {}
+        last = ""
+        for line in lines[1:]:
+            if line[:1] in " \t" and last:  # a folded line goes on with the one before
+                fields[last] += " " + line.strip()
+            elif ":" in line:
+                last, _, value = line.partition(":")
+                fields[last] = value.strip()
+        n = int(next(v for k, v in fields.items() if k.lower() == "content-length"))
+        at = gap + 4 + n
+        if raw[at : at + 4] != b"\r\n\r\n":
             raise ValueError("a record does not end where its length says")
-        out.append((fields, rest[:n]))
-        raw = rest[n + 4 :]
+        out.append((fields, raw[gap + 4 : at]))
+        at += 4
     return out

@@ -562,3 +562,13 @@ def test_pipeline(spark, docs, rows, folder):
     assert copies == +taken
     out = p.run(spark, folder)
     assert out.where("length > 0").count() > 0
+
+
+def test_pipeline_stages_with_odd_columns_on_repeated_rows(spark, docs, folder):
+    import corpus_pipeline as p
+
+    odd = docs.select("*", F.lit("x").alias("meta.url"), F.create_map(F.lit("k"), F.col("lang")).alias("tags"), F.lit(1).alias("back`tick"))
+    odd = odd.unionAll(odd.where("doc_id % 3 = 0"))
+    for _, stage in p.STAGES[:3]:
+        got = stage(spark, odd, folder)
+        assert got.columns == odd.columns and got.count() > 0 and {r["meta.url"] for r in got.select("`meta.url`").collect()} == {"x"}

@@ -399,5 +399,47 @@ def test_responses_from_files(spark, pages, tmp_path):
     other = b"".join(warc.record_bytes(r.asDict()) for r in warc.derive(warc.page_responses(pages)).limit(2).collect())
     (tmp_path / "a.warc.gz").write_bytes(other + gzip.compress(head.encode() + block + b"\r\n\r\n"))
     got = warc.responses(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert [tuple(r) for r in got] == [(2, "<urn:uuid:1>", "http://x", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b\r\n", "<p>hi")]
+    assert [tuple(r) for r in got] == [(2, "<urn:uuid:1>", "http://x", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b\r\n", b"<p>hi", None, warc.digest(block))]
     assert warc.derive(warc.responses(spark.read.format("binaryFile").load(str(tmp_path)))).count() == 2
+
+
+def test_source_bytes_digests_and_charset_stay(spark, tmp_path):
+    """A Latin-1 page of a WARC/1.0 file without blanks behind its colons, not gzipped."""
+    body = "<title>caf\xe9</title><p>na\xefve".encode("latin-1")
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + body
+    head = f"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID:<urn:uuid:7>\r\nWARC-Payload-Digest:{warc.digest(body)}\r\nWARC-Block-Digest: sha1:GIVEN\r\nWARC-Note: one\r\n two\r\nContent-Length:{len(block)}\r\n\r\n"
+    (tmp_path / "b.warc").write_bytes(head.encode() + block + b"\r\n\r\n")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert warc.parse((tmp_path / "b.warc").read_bytes())[0][0]["WARC-Note"] == "one two"
+    rows = {r["record_type"]: r for r in warc.derive(warc.responses(files)).collect()}
+    assert rows["conversion"]["block"] == "caf\xe9\nna\xefve" or rows["conversion"]["block"].endswith("na\xefve")
+    assert f"source-payload-digest: {warc.digest(body)}\r\n" in rows["metadata"]["block"] and "source-block-digest: sha1:GIVEN\r\n" in rows["metadata"]["block"]
+    assert "title: caf\xe9\r\n" in rows["metadata"]["block"] and rows["conversion"]["source_payload_digest"] == warc.digest(body)
+    with pytest.raises(ValueError):
+        warc.parse(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_warc_files_are_parsed_in_linear_time():
+    import time
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4000\r\n\r\n" + b"x" * 4000 + b"\r\n\r\n"
+    began = time.time()
+    assert len(warc.parse(one * 20_000)) == 20_000
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("scale", [1e-170, 1.0, 1e200])
+def test_tiny_and_huge_vectors(spark, scale):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 12))
+    x[30:40] = x[:10] + rng.normal(size=(10, 12)) * 1e-3
+    df = spark.createDataFrame([(i, (v * scale).tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in itq.near_duplicates(df).collect()}
+    assert got == {i: i - 30 if 30 <= i < 40 else i for i in range(60)}
+    found = perm_index.permutation_search(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    assert len(found) == 15
+    if scale != 1.0:
+        return  # products are 0 or infinite in double precision: only their number is defined
+    for q in (0, 20, 40):
+        want = [i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:5]
+        assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == want
