@@ -353,7 +353,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
     if (most or 0) < 2:  # no two rows share a doc_id
         rows = rows.withColumn("mark", F.lit(0).cast("long"))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    homes, names = max(least, -(-size // bucket_bytes)), max(least, -(-size // (4 * bucket_bytes)))
+    homes, names = max(least, -(-size // bucket_bytes)), max(least, -(-size // (2 * bucket_bytes)))
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
