@@ -180,7 +180,7 @@ _TREE_SQL = f"""
 WITH RECURSIVE marked AS (
   SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: {_CRC_BYTE}) AS crc FROM documents),
 leaves AS (
-  SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, {_LEAF("(n_chars::HUGEINT + CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0 THEN 1 ELSE 0 END)")} AS altered FROM marked),
+  SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, {_LEAF("(n_chars::HUGEINT + CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295::BIGINT) % 7 = 0 THEN 1 ELSE 0 END)")} AS altered FROM marked),
 placed AS (SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
 nodes(lang, n, i, level, h) AS (
   SELECT lang, n, i, 0, leaf FROM placed
