@@ -1,24 +1,28 @@
 """Masked pseudo-likelihood: every token predicted from both sides.
 
-Network.  The most frequent words (up to ``WORDS``, of the vocabulary counted over all texts) are classes of their own;
-other words share ``REST`` classes by their last two bytes, within which a word has its exact share of the corpus counts.
-A window network (embeddings of the ``SIDE`` words to either side, by place; a tanh layer; a softmax of two levels over
-the classes: cluster, then class in it) gives P(class | both sides).  It is trained in numpy where the texts lie: each
-partition starts from the same weights, whose biases are the classes' frequencies, and goes once through its texts by
-Adagrad, with the window of every token; the partitions' weights are averaged by their windows.
-
-Counts.  The network is of one size; the exact counts of every word and of every pair of neighbours, which grow with the
-corpus (:func:`pair_counts`), lie above it.  A token is predicted from all other tokens: its own occurrence is taken off
-the counts.  From each side a word w beside x has (n(x, w) + ALPHA * b) / (n(x) + ALPHA), n without the token itself and
-b the network's P(w | both sides), and P(w | both sides) is the mean of the two.  That sums to 1 over all words.  A
-text's score is the sum of log P over its tokens.  Texts that occur again are thus predicted by their copies, and a corpus
-that is doubled makes every text such a one; the network does not depend on how often the corpus is repeated, but
-for the steps that it takes.  A text's end counts as a word, once a text.
+Network.  The most frequent words are classes of their own, OWN for each square root of the vocabulary counted over all
+texts, so they grow with it; other words share a sixteenth as many rest classes by their last two bytes, within which a
+word has its exact share of the corpus counts.  A window network (embeddings of the ``SIDE`` words to either side, by
+place; a tanh layer; a softmax of two levels over the classes: cluster, then class in it) gives P(class | both sides).  It
+is trained in numpy where the texts lie: each task starts from the same weights, whose biases are the classes'
+frequencies, and goes once through its texts by Adagrad, with the window of every token; the tasks' weights are averaged
+by their windows.  A task has at least ``SHARE`` bytes of text for each byte of weights, so averaging stays a fraction of
+the input; weights travel in slices, and each slice is summed in one task as it comes.
+
+Counts.  The exact counts of every word and of every pair of neighbours (:func:`pair_counts`) correct the network where
+the corpus has seen more than its classes tell.  A token is predicted from all other tokens: its own occurrence is taken
+off the counts.  From each side a word w beside x has (n(x, w) + ALPHA * b) / (n(x) + ALPHA), n without the token itself
+and b the network's P(w | both sides).  P(w | both sides) is LEAD * b + (1 - LEAD) * the mean of the two sides, which sums
+to 1 over all words; LEAD is above one half at every size of corpus, so the network leads.  A text's score is the sum of
+log P over its tokens.  Texts that occur again are helped by their copies.  A text's end counts as a word, once a text.
+:func:`held_out_likelihood` scores other texts by the counts of a corpus that they are not in; there a word never seen
+counts as half a sighting in its class.
 
 Words and pairs are known by 48 bits of a hash and the number of their part, parts holding about ``PART`` keys: a key
 meets another with a probability of 1e-8, at any size.
 
-What comes to the driver is bounded: ``WORDS`` frequent words, one set of weights, and the class counts.  A task holds one
+What comes to the driver: the frequent words and one set of weights (65 numbers a class; 10^10 different words make
+200,000 classes and 52 MB), and the class counts.  A task holds one set of weights with its gradients' squares, one
 part's keys, or one piece of texts (``PIECE`` bytes, or one longer text) with its counts; a longer text's windows go
 through the network ``CHUNK`` at a time.  The table is read twice in one order, as files are; a piece that differs the
 second time raises an error.
@@ -31,10 +35,11 @@ scored whole.  An empty table gives no rows.  Only doc_id and text are read, wha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +47,23 @@ from pyspark.sql import functions as F
 from .shared import hashes_of, keep, mix, pieces, release, word_bounds, word_hashes
 
 _U = np.uint64
-#: Words and rest classes of the softmax, and words to either side.
-WORDS, REST, SIDE = 4096 - 256, 256, 2
-WIDTH, HIDDEN, BATCH, CHUNK, RATE = 8, 32, 2048, 1 << 15, 0.05
+#: Words with a class of their own for each square root of the vocabulary, and words to either side.
+OWN, SIDE = 2.0, 2
+WIDTH, HIDDEN, BATCH, CHUNK, RATE = 8, 32, 4096, 1 << 15, 0.05
 #: Keys of a part, bytes of a piece, and how many sightings of a neighbour the network's word is worth.
 PART, PIECE, ALPHA = 2_000_000, 4_000_000, 2.0
+#: The network's share of each prediction.
+LEAD = 0.6
+#: Bytes of text to a byte of weights in a training task, and numbers in a slice of weights.
+SHARE, SLICE = 8, 1024
 _END_WORD = _U(0x5851F42D4C957F2D)
 
 
+def own_words(vocabulary: int) -> int:
+    """How many words have a class of their own."""
+    return 64 + int(np.ceil(OWN * vocabulary**0.5))
+
+
 def _tails(texts: pa.Array) -> np.ndarray:
     """A hash of each word's last two bytes."""
     return _tails_of(*word_bounds(texts)[:3])
@@ -70,6 +84,7 @@ class WindowNet:
     order: np.ndarray  # and their classes
     clusters: int
     members: int  # classes in a cluster
+    rest: int  # classes that all other words share
     weights: list[np.ndarray]  # embeddings by place, hidden, its bias, clusters, their bias, members, their bias
     size: np.ndarray | None = None  # tokens by class
 
@@ -81,13 +96,14 @@ class WindowNet:
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, tokens: int, seed: int = 1) -> WindowNet:
         """Untrained: ``words`` by falling ``counts``, the biases their frequencies among ``tokens``."""
-        n = len(words) + REST
+        rest = 16 + len(words) // 16
+        n = len(words) + rest
         members = int(np.ceil(np.sqrt(n)))
         clusters = -(-n // members)
         rng = np.random.default_rng(seed)
         freq = np.zeros(clusters * members)
         freq[: len(words)] = counts
-        freq[len(words) : n] = max(float(tokens - counts.sum()), 1.0) / REST
+        freq[len(words) : n] = max(float(tokens - counts.sum()), 1.0) / rest
         freq[:n] += 1e-6 * max(tokens, 1) / n
         with np.errstate(divide="ignore"):
             inner = np.maximum(np.log(freq.reshape(clusters, members)), -80.0)
@@ -96,10 +112,10 @@ class WindowNet:
         # The last embedding is the text's end.
         w = [rng.normal(0, 0.3, (2 * SIDE, clusters * members + 1, WIDTH)), rng.normal(0, 0.2, (2 * SIDE * WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.05, (HIDDEN, clusters)), outer - outer.max(), rng.normal(0, 0.05, (clusters, HIDDEN, members)), inner - inner.max(1, keepdims=True)]
         by = np.argsort(words)
-        return cls(words[by], by, clusters, members, [x.astype(np.float32) for x in w])
+        return cls(words[by], by, clusters, members, rest, [x.astype(np.float32) for x in w])
 
     def classes(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        rest = len(self.own) + (tails % _U(REST)).astype(np.int64)
+        rest = len(self.own) + (tails % _U(self.rest)).astype(np.int64)
         if not len(self.own):
             return rest
         at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
@@ -238,30 +254,37 @@ def _groups(ordered: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(ordered[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(ordered)], strict=True))
 
 
-def _summed(rows: DataFrame, parts: int) -> list:
-    """One row (n, weights, size): of all rows the sums, in two steps; a task holds one sum."""
+def _summed(rows: DataFrame, tasks: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of rows (slice, n, weights, size) the sum of n, the mean weights by n and the summed sizes; a task sums its slices as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, weights, size = 0, None, None
+        sums: dict[int, list] = {}
         for batch in batches:
-            for a, w, z in zip(*(batch.column(c) for c in ("n", "weights", "size")), strict=True):
-                w, z = np.frombuffer(w.as_buffer(), np.float64), np.frombuffer(z.as_buffer(), np.int64)
-                weights, size = (w.copy(), z.copy()) if weights is None else (weights + w, size + z)
-                n += a.as_py()
-        if weights is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([weights.tobytes()], pa.binary()), pa.array([size.tobytes()], pa.binary())], ["n", "weights", "size"])
+            for at, n, w, z in zip(*(batch.column(c) for c in ("slice", "n", "weights", "size")), strict=True):
+                w, z = np.frombuffer(w.as_buffer(), np.float32), np.frombuffer(z.as_buffer(), np.int64)
+                own = sums.setdefault(at.as_py(), [0, np.zeros(len(w)), np.zeros(len(z), np.int64)])
+                own[0] += n.as_py()
+                own[1] += w * float(n.as_py())
+                own[2] += z
+        for at, (n, w, z) in sums.items():
+            mean = (w / max(n, 1)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())], ["slice", "n", "weights", "size"])
+
+    got = sorted(rows.repartition(tasks, "slice").mapInArrow(run, _SLICES).collect(), key=lambda r: r["slice"])
+    weights, size = (np.frombuffer(b"".join(r[c] for r in got), k) for c, k in (("weights", np.float32), ("size", np.int64)))
+    return (got[0]["n"] if got else 0), weights, size
 
-    schema = "n long, weights binary, size binary"
-    some = rows.repartition(max(1, int(parts**0.5))).mapInArrow(run, schema)
-    return some.repartition(1).mapInArrow(run, schema).collect()
 
+_SLICES = "slice int, n long, weights binary, size binary"
 
-def train(texts: DataFrame, model: WindowNet) -> WindowNet:
-    """``model`` trained on ``texts`` (text), with the counts of its classes over all of them."""
+
+def train(texts: DataFrame, model: WindowNet, length: int = 0) -> WindowNet:
+    """``model`` trained on ``texts`` (text, of ``length`` bytes in all), with the counts of its classes over all of them."""
     shapes = [x.shape for x in model.weights]
+    total = sum(x.size for x in model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WindowNet(model.own, model.order, model.clusters, model.members, [x.copy() for x in model.weights])
+        own = replace(model, weights=[x.copy() for x in model.weights])
         seen, n = [np.full_like(x, 1e-8) for x in own.weights], 0
         size = np.zeros(own.clusters * own.members, np.int64)
         for batch in batches:
@@ -275,18 +298,21 @@ def train(texts: DataFrame, model: WindowNet) -> WindowNet:
                 for at in range(0, len(cls), BATCH):
                     own.learn(around[mixed[at : at + BATCH]], cls[mixed[at : at + BATCH]], seen)
                 n += len(cls)
-        flat = np.concatenate([x.ravel() for x in own.weights]).astype(np.float64) * n
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary()), pa.array([size.tobytes()], pa.binary())], ["n", "weights", "size"])
-
-    got = _summed(texts.mapInArrow(run, "n long, weights binary, size binary"), 64)
-    weights, size = model.weights, np.zeros(model.clusters * model.members, np.int64)
-    for n, flat, counted in got:
-        size = np.frombuffer(counted, np.int64)
-        if n:
-            flat = np.frombuffer(flat, np.float64) / n
-            ends = np.cumsum([int(np.prod(s)) for s in shapes])
-            weights = [flat[e - int(np.prod(s)) : e].reshape(s).astype(np.float32) for s, e in zip(shapes, ends, strict=True)]
-    return WindowNet(model.own, model.order, model.clusters, model.members, weights, size)
+        flat = np.concatenate([x.ravel() for x in own.weights])
+        # Slice i of the weights has slice i of the counts beside it, as long as there are any.
+        for i in range(-(-len(flat) // SLICE)):
+            of = slice(i * SLICE, (i + 1) * SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[of].tobytes()], pa.binary()), pa.array([size[of].tobytes()], pa.binary())], ["slice", "n", "weights", "size"])
+
+    least = texts.sparkSession.sparkContext.defaultParallelism
+    some = texts.coalesce(max(least, length // (SHARE * 4 * total)))
+    n, flat, size = _summed(some.mapInArrow(run, _SLICES), min(2048, max(1, total // (SLICE * 64))))
+    if not len(size):
+        size = np.zeros(model.clusters * model.members, np.int64)
+    if not n:
+        return replace(model, size=size)
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    return replace(model, weights=[flat[e - int(np.prod(s)) : e].reshape(s).copy() for s, e in zip(shapes, ends, strict=True)], size=size)
 
 
 @dataclass
@@ -335,17 +361,22 @@ def _mark(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(keys)).astype(np.int64)) if len(keys) else 0
 
 
-def pair_counts(rows: DataFrame, bits: int) -> DataFrame:
-    """(piece, part, mark, wide, counts): the corpus counts of each piece's distinct keys in order, by 2 ** ``bits`` parts."""
+def pair_counts(rows: DataFrame, bits: int, corpus: DataFrame | None = None) -> DataFrame:
+    """(piece, part, mark, wide, counts): the counts of each piece's distinct keys in order, by 2 ** ``bits`` parts.
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The counts are those of ``rows`` themselves or, where it is given, of ``corpus`` alone."""
+
+    alone = corpus is None
+
+    def send(batches: Iterator[pa.RecordBatch], asks: bool = True, tells: bool = alone) -> Iterator[pa.RecordBatch]:
         for piece, _, texts in _numbered(batches):
+            piece = piece if asks else -1
             keys, n = np.unique(_Pairs.of(*word_hashes(texts)).keys, return_counts=True)
             mark, part = _mark(keys), (keys >> _U(1)) >> _U(63 - bits)
             cut = np.flatnonzero(np.diff(part)) + 1
             begins = np.append(0, cut) if len(keys) else cut
             low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6]
-            out = [(int(part[i]), low[i:j].tobytes(), n[i:j].astype(np.int32).tobytes()) for i, j in zip(begins, np.append(cut, len(keys)), strict=False)]
+            out = [(int(part[i]), low[i:j].tobytes(), (n[i:j] * tells).astype(np.int32).tobytes()) for i, j in zip(begins, np.append(cut, len(keys)), strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([piece] * len(out), pa.int64()), pa.array([mark] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["part", "piece", "mark", "keys", "n"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -358,14 +389,18 @@ def pair_counts(rows: DataFrame, bits: int) -> DataFrame:
         total = np.bincount(place, n).astype(np.int64)[place]
         ends = np.cumsum([len(b) // 6 for b in blobs])
         small = total.astype(np.uint32) if total.max(initial=0) < 1 << 32 else total
-        return pa.table({"piece": table.column("piece"), "part": table.column("part"), "mark": table.column("mark"), "wide": pa.array([small.itemsize] * len(blobs), pa.int32()), "counts": pa.array([small[j - len(b) // 6 : j].tobytes() for b, j in zip(blobs, ends, strict=True)], pa.binary())})
+        out = pa.table({"piece": table.column("piece"), "part": table.column("part"), "mark": table.column("mark"), "wide": pa.array([small.itemsize] * len(blobs), pa.int32()), "counts": pa.array([small[j - len(b) // 6 : j].tobytes() for b, j in zip(blobs, ends, strict=True)], pa.binary())})
+        return out if alone else out.filter(pc.greater_equal(out.column("piece"), 0))
 
-    sent = rows.mapInArrow(send, "part long, piece long, mark long, keys binary, n binary")
+    kinds = "part long, piece long, mark long, keys binary, n binary"
+    sent = rows.mapInArrow(send, kinds)
+    if corpus is not None:
+        sent = sent.unionAll(corpus.mapInArrow(lambda batches: send(batches, False, True), kinds))
     return sent.groupBy("part").applyInArrow(add, "piece long, part long, mark long, wide int, counts binary")
 
 
 def frequent_words(texts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The hashes of up to ``WORDS`` of the most frequent words, their exact counts, and the tokens of all texts."""
+    """The hashes of the most frequent words (:func:`own_words`), their exact counts, and the tokens of all texts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,13 +415,14 @@ def frequent_words(texts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray,
         words, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("words", np.uint64), ("n", np.int64)))
         kinds, back = np.unique(words, return_inverse=True)
         total = np.bincount(back, n).astype(np.int64)
-        top = np.lexsort((kinds, -total))[:WORDS]
-        # Under the word 0 stands what all words of the part have together.
-        return pa.table({"word": pa.array(np.append(kinds[top].view(np.int64), 0)), "n": pa.array(np.append(total[top], total.sum())), "sum": pa.array([False] * len(top) + [True])})
+        # Parts are dealt by hash, so the vocabulary is about this part's as often as there are parts; four times that is enough.
+        top = np.lexsort((kinds, -total))[: own_words(len(kinds) << (bits + 2))]
+        # In a row of their own stand the part's words and what they have together.
+        return pa.table({"word": pa.array(np.append(kinds[top].view(np.int64), len(kinds))), "n": pa.array(np.append(total[top], total.sum())), "sum": pa.array([False] * len(top) + [True])})
 
     found = keep(texts.mapInArrow(send, "part long, words binary, n binary").groupBy("part").applyInArrow(add, "word long, n long, sum boolean"), "words")
-    tokens = found.where("sum").agg(F.sum("n")).first()[0] or 0
-    top = found.where("not sum").orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    tokens, vocabulary = (x or 0 for x in found.where("sum").agg(F.sum("n"), F.sum("word")).first())
+    top = found.where("not sum").orderBy(F.desc("n"), "word").limit(own_words(vocabulary)).collect()
     release(found)
     return np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64), int(tokens)
 
@@ -396,13 +432,26 @@ def fit(docs: DataFrame) -> WindowNet:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     length = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words, counts, tokens = frequent_words(texts, max(0, int(np.ceil(np.log2(max(1, length / 32_000_000))))))
-    return train(texts, WindowNet.of(words, counts, tokens))
+    return train(texts, WindowNet.of(words, counts, tokens), length)
 
 
 def corpus_likelihood(docs: DataFrame, model: WindowNet) -> DataFrame:
     """doc_id, n_tokens, pll, pll_per_token of every document of the corpus that ``model`` is of."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = max(0, int(np.ceil(np.log2(max(1, 2 * int(model.size.sum()) / PART)))))
+    return _scored(docs, model, None).drop("pll_counts")
+
+
+def held_out_likelihood(docs: DataFrame, model: WindowNet, corpus: DataFrame) -> DataFrame:
+    """The same of documents outside ``corpus``, which ``model`` is of; pll_counts: by the pair counts without the network."""
+    return _scored(docs, model, corpus)
+
+
+def _scored(docs: DataFrame, model: WindowNet, corpus: DataFrame | None) -> DataFrame:
+    own = int(corpus is None)
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    known = None if corpus is None else corpus.select(F.lit(None).cast("long").alias("doc_id"), text)
+    all_tokens = int(model.size.sum())
+    bits = max(0, int(np.ceil(np.log2(max(1, 2 * all_tokens / PART)))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, ids, texts in _numbered(batches):
@@ -420,17 +469,26 @@ def corpus_likelihood(docs: DataFrame, model: WindowNet) -> DataFrame:
         n = np.concatenate([np.frombuffer(c, np.uint32 if w == 4 else np.int64).astype(np.float64) for *_, w, c in parts] or [np.zeros(0)])
         if packed.num_rows != 1 or len(n) != len(keys) or {p[1] for p in parts} - {_mark(keys)}:
             raise RuntimeError("the documents came in another order when they were read again")
-        tokens, pll = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        tokens, pll, plain = np.zeros(len(texts), np.int64), np.zeros(len(texts)), None
         if len(n):
             word, left, right, before, after = at.sides(n[place])
             del keys, place, at
             cls = model.classes(hashes, tails)
             b = np.exp(model.log_p(model.windows(cls, row), cls))
-            b = ALPHA * np.where(cls < len(model.own), b, b * word / np.maximum(model.size[cls], 1))
-            value = np.log(((before - 1 + b) / (left - 1 + ALPHA) + (after - 1 + b) / (right - 1 + ALPHA)) / 2)
-            tokens, pll = np.bincount(row, minlength=len(texts)), np.bincount(row, value, len(texts))
+            if own:
+                b = np.where(cls < len(model.own), b, b * word / np.maximum(model.size[cls], 1))
+            else:
+                b = np.where(cls < len(model.own), b, b * np.maximum(word, 0.5) / (model.size[cls] + 0.5))
+
+            def sides(b: np.ndarray) -> np.ndarray:
+                return ((before - own + ALPHA * b) / (left - own + ALPHA) + (after - own + ALPHA * b) / (right - own + ALPHA)) / 2
+
+            tokens = np.bincount(row, minlength=len(texts))
+            pll = np.bincount(row, np.log(LEAD * b + (1 - LEAD) * sides(b)), len(texts))
+            if not own:
+                plain = np.bincount(row, np.log(sides(np.maximum(word, 0.5) / (all_tokens + 0.5))), len(texts))
         mean = pa.array(np.divide(pll, tokens, out=np.zeros(len(pll)), where=tokens > 0), mask=tokens == 0)
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(tokens, pa.int64()), "pll": pa.array(pll), "pll_per_token": mean})
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(tokens, pa.int64()), "pll": pa.array(pll), "pll_per_token": mean, "pll_counts": pa.array([None] * len(texts) if own else np.zeros(len(texts)) if plain is None else plain, pa.float64())})
 
     packed = rows.mapInArrow(pack, "piece long, ids array<long>, texts array<string>")
-    return packed.groupBy("piece").cogroup(pair_counts(rows, bits).groupBy("piece")).applyInArrow(score, "doc_id long, n_tokens long, pll double, pll_per_token double")
+    return packed.groupBy("piece").cogroup(pair_counts(rows, bits, known).groupBy("piece")).applyInArrow(score, "doc_id long, n_tokens long, pll double, pll_per_token double, pll_counts double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -326,7 +327,7 @@ def test_likelihood_against_plain_counts(spark, rows, folder, empty, monkeypatch
     from columna.llm.shared import word_hashes
 
     monkeypatch.setattr(lm, "PART", part)
-    monkeypatch.setattr(lm, "WORDS", 100)
+    monkeypatch.setattr(lm, "own_words", lambda vocabulary: 100)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = lm.fit(docs)
     seen: Counter = Counter()
@@ -348,9 +349,10 @@ def test_likelihood_against_plain_counts(spark, rows, folder, empty, monkeypatch
     def chance(w, i, x):
         """P(x) in the place of w[i], from all other tokens."""
         around = [of[w[j]] if 0 < j < len(w) - 1 else end for j in (i - 2, i - 1, i + 1, i + 2)]
-        b = lm.ALPHA * softmaxes(model, around)[of[x]] * (1 if of[x] < 100 else vocabulary[x] / model.size[of[x]])
+        b = softmaxes(model, around)[of[x]] * (1 if of[x] < 100 else vocabulary[x] / model.size[of[x]])
         less = x == w[i]
-        return ((seen[w[i - 1], x] - less + b) / (seen[w[i - 1]] - 1 + lm.ALPHA) + (seen[x, w[i + 1]] - less + b) / (seen[w[i + 1]] - 1 + lm.ALPHA)) / 2
+        counts = ((seen[w[i - 1], x] - less + lm.ALPHA * b) / (seen[w[i - 1]] - 1 + lm.ALPHA) + (seen[x, w[i + 1]] - less + lm.ALPHA * b) / (seen[w[i + 1]] - 1 + lm.ALPHA)) / 2
+        return lm.LEAD * b + (1 - lm.LEAD) * counts
 
     got = QUERIES["op8_pseudo_likelihood"](spark, folder).collect() if part > 500 else lm.corpus_likelihood(docs, model).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in rows)
@@ -369,6 +371,51 @@ def test_likelihood_against_plain_counts(spark, rows, folder, empty, monkeypatch
     assert lm.corpus_likelihood(empty, lm.fit(empty)).count() == 0
 
 
+def test_classes_grow_with_the_vocabulary(spark):
+    """Every word that the rule gives a class of its own has one, in one part and in many."""
+    rng = random.Random(1)
+    texts = [" ".join(f"v{int(rng.paretovariate(0.6))}" for _ in range(300)) for _ in range(100)]
+    seen = Counter(w for t in texts for w in t.split())
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    own = lm.own_words(len(seen))
+    assert lm.own_words(4 * len(seen)) - 64 == pytest.approx(2 * (own - 64), abs=1)
+    for bits in (0, 3):
+        words, counts, tokens = lm.frequent_words(docs, bits)
+        assert tokens == sum(seen.values()) and len(words) == own
+        assert counts.tolist() == sorted(seen.values(), reverse=True)[:own]
+
+
+def test_network_leads_on_held_out_texts(spark):
+    """Words that follow from both neighbours together: the mixture beats the pair counts alone on texts it has not seen."""
+    assert lm.LEAD > 0.5
+    rng = random.Random(5)
+
+    def text(n):
+        w = [rng.randrange(12)]
+        while len(w) < n:
+            far = rng.randrange(12)
+            w += [(w[-1] * 5 + far) % 12 if rng.random() < 0.9 else rng.randrange(12), far]
+        return " ".join(f"w{x}" for x in w)
+
+    docs = spark.createDataFrame([(i, text(200)) for i in range(600)], "doc_id long, text string")
+    new = spark.createDataFrame([(9, "never seen w1 w2"), (10, None), *((i, text(200)) for i in range(11, 40))], "doc_id long, text string")
+    model = lm.fit(docs)
+    got = {r["doc_id"]: r for r in lm.held_out_likelihood(new, model, docs).collect()}
+    assert sorted(got) == [*range(9, 40)] and (got[10]["pll"], got[10]["pll_counts"]) == (0, 0)
+    assert all(math.isfinite(r["pll"]) and math.isfinite(r["pll_counts"]) for r in got.values())
+    assert sum(r["pll"] for r in got.values()) > sum(r["pll_counts"] for r in got.values())
+    # A text that the counts hold is not held out: there its own tokens are taken off.
+    assert "pll_counts" not in lm.corpus_likelihood(docs, model).columns
+
+
+def test_weights_are_averaged_by_windows(spark):
+    import numpy as np
+
+    rows = [(s, n, np.full(4, v, np.float32).tobytes(), np.full(2, n, np.int64).tobytes()) for s in range(5) for n, v in ((1, 8.0 + s), (3, 4.0 + s), (0, 99.0))]
+    n, weights, size = lm._summed(spark.createDataFrame(rows, lm._SLICES).repartition(4), 3)
+    assert n == 4 and weights.tolist() == [5.0 + s for s in range(5) for _ in range(4)] and size.tolist() == [4] * 10
+
+
 def test_likelihood_tells_copies_and_rare_words(spark, tmp_path):
     rng = random.Random(3)
     stock = [f"w{i}" for i in range(400)]
@@ -411,7 +458,7 @@ def test_network_is_trained_on_every_window(spark, rows, docs, monkeypatch):
 
     def spy(*args):
         got = summed(*args)
-        windows.append(sum(n for n, *_ in got))
+        windows.append(got[0])
         return got
 
     monkeypatch.setattr(lm, "_summed", spy)
