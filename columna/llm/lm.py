@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood: every token predicted from both sides.
 
-Network.  The most frequent words are classes of their own, OWN for each square root of the vocabulary counted over all
-texts, so they grow with it; other words share a sixteenth as many rest classes by their last two bytes, within which a
-word has its exact share of the corpus counts.  A window network (embeddings of the ``SIDE`` words to either side, by
+Network.  The most frequent words are classes of their own, so many that they grow with the cube root of the vocabulary
+counted over all texts (:func:`own_words`); other words share a sixteenth as many rest classes by their last two bytes,
+within which a word has its exact share of the corpus counts.  A window network (embeddings of the ``SIDE`` words to either side, by
 place; a tanh layer; a softmax of two levels over the classes: cluster, then class in it) gives P(class | both sides).  It
 is trained in numpy where the texts lie: each task starts from the same weights, whose biases are the classes'
 frequencies, and goes once through its texts by Adagrad, with the window of every token; the tasks' weights are averaged
@@ -22,7 +22,7 @@ Words and pairs are known by 48 bits of a hash and the number of their part, par
 meets another with a probability of 1e-8, at any size.
 
 What comes to the driver: the frequent words and one set of weights (65 numbers a class; 10^10 different words make
-200,000 classes and 52 MB), and the class counts.  A task holds one set of weights with its gradients' squares, one
+46,000 classes and 12 MB), and the class counts.  A task holds one set of weights with its gradients' squares, one
 part's keys, or one piece of texts (``PIECE`` bytes, or one longer text) with its counts; a longer text's windows go
 through the network ``CHUNK`` at a time.  The table is read twice in one order, as files are; a piece that differs the
 second time raises an error.
@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from .shared import hashes_of, keep, mix, pieces, release, word_bounds, word_hashes
 
 _U = np.uint64
-#: Words with a class of their own for each square root of the vocabulary, and words to either side.
-OWN, SIDE = 2.0, 2
+#: Words with a class of their own for each cube root of the vocabulary, and words to either side.
+OWN, SIDE = 20.0, 2
 WIDTH, HIDDEN, BATCH, CHUNK, RATE = 8, 32, 4096, 1 << 15, 0.05
 #: Keys of a part, bytes of a piece, and how many sightings of a neighbour the network's word is worth.
 PART, PIECE, ALPHA = 2_000_000, 4_000_000, 2.0
@@ -61,7 +61,7 @@ _END_WORD = _U(0x5851F42D4C957F2D)
 
 def own_words(vocabulary: int) -> int:
     """How many words have a class of their own."""
-    return 64 + int(np.ceil(OWN * vocabulary**0.5))
+    return 64 + int(np.ceil(OWN * vocabulary ** (1 / 3)))
 
 
 def _tails(texts: pa.Array) -> np.ndarray:
@@ -144,13 +144,13 @@ class WindowNet:
 
     def _log_p(self, around: np.ndarray, cls: np.ndarray) -> np.ndarray:
         # By clusters, so that each one's rows lie together; BATCH rows at a time stay near the processor.
-        by = _order(cls // self.members)
+        by, low = _order(cls // self.members), self.low()
         out = np.empty(len(cls))
         for at in range(0, len(cls), BATCH):
             some = by[at : at + BATCH]
             group, place = np.divmod(cls[some], self.members)
             _, h = self.hidden(around.take(some, 0))
-            out[some] = _log_of(self._clusters(h), group) + _log_of(self._members(_with_1(h), _groups(group)), place)
+            out[some] = _log_of(self._clusters(h), group, low) + _log_of(self._members(_with_1(h), _groups(group)), place, low)
         return out
 
     def _clusters(self, h: np.ndarray) -> np.ndarray:
@@ -166,6 +166,13 @@ class WindowNet:
             np.matmul(self.inner[k].T, h[a:b].T, out=z[:, a:b])
         return z
 
+    def low(self) -> bool:
+        """Whether no logit can be so large that its exponential needs a shift; the hidden layer's values are within 1."""
+        outer, inner = np.abs(self.weights[3]).sum(0), np.abs(self.weights[5]).sum(1)
+        most = max((outer + self.weights[4]).max(), (inner + self.weights[6]).max())
+        least = min((self.weights[4] - outer).max(), (self.weights[6] - inner).max(1).min())
+        return bool(most < 40 and least > -40)
+
     def learn(self, around: np.ndarray, cls: np.ndarray, seen: list[np.ndarray]) -> None:
         """One Adagrad step on the mean log-likelihood; ``seen``: the squares so far."""
         by = _order(cls // self.members)
@@ -173,7 +180,8 @@ class WindowNet:
         x, h = self.hidden(around)
         w = self.weights
         with_1, runs = _with_1(h), _groups(group)
-        dz, d = _slope(self._clusters(h), group), _slope(self._members(with_1, runs), place)
+        low = self.low()
+        dz, d = _slope(self._clusters(h), group, low), _slope(self._members(with_1, runs), place, low)
         dh = dz.T @ w[3].T
         inner, back = np.empty((len(runs), *self.inner.shape[1:]), h.dtype), np.empty_like(h)
         for i, (k, a, b) in enumerate(runs):
@@ -220,17 +228,19 @@ def _with_1(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each column's log-softmax the value at its place."""
-    z -= z.max(0)
+def _log_of(z: np.ndarray, at: np.ndarray, low: bool) -> np.ndarray:
+    """Of each column's log-softmax the value at its place; ``low``: the exponentials need no shift."""
+    if not low:
+        z -= z.max(0)
     own = z[at, np.arange(len(at))]
     return own - np.log(np.exp(z, out=z).sum(0))
 
 
-def _slope(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _slope(z: np.ndarray, at: np.ndarray, low: bool) -> np.ndarray:
     """The gradient by z of the mean of :func:`_log_of`."""
     n = len(at)
-    z -= z.max(0)
+    if not low:
+        z -= z.max(0)
     np.exp(z, out=z)
     z *= -1 / (n * z.sum(0))
     z[at, np.arange(n)] += 1 / n
