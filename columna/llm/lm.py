@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: every token predicted from both sides.
 
-Network.  The most frequent words are classes of their own, so many that they grow with the cube root of the vocabulary
-counted over all texts (:func:`own_words`); other words share a sixteenth as many rest classes by their last two bytes,
+Network.  The most frequent words are classes of their own: ``LEAST`` at least, and so many that they grow with the cube
+root of the vocabulary counted over all texts (:func:`own_words`); other words share a sixteenth as many rest classes by their last two bytes,
 within which a word has its exact share of the corpus counts.  A window network (embeddings of the ``SIDE`` words to either side, by
 place; a tanh layer; a softmax of two levels over the classes: cluster, then class in it) gives P(class | both sides).  It
 is trained in numpy where the texts lie: each task starts from the same weights, whose biases are the classes'
@@ -22,7 +22,7 @@ Words and pairs are known by 48 bits of a hash and the number of their part, par
 meets another with a probability of 1e-8, at any size.
 
 What comes to the driver: the frequent words and one set of weights (65 numbers a class; 10^10 different words make
-46,000 classes and 12 MB), and the class counts.  A task holds one set of weights with its gradients' squares, one
+57,000 classes and 15 MB), and the class counts.  A task holds one set of weights with its gradients' squares, one
 part's keys, or one piece of texts (``PIECE`` bytes, or one longer text) with its counts; a longer text's windows go
 through the network ``CHUNK`` at a time.  The table is read twice in one order, as files are; a piece that differs the
 second time raises an error.
@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from .shared import hashes_of, keep, mix, pieces, release, word_bounds, word_hashes
 
 _U = np.uint64
-#: Words with a class of their own for each cube root of the vocabulary, and words to either side.
-OWN, SIDE = 20.0, 2
+#: Words with a class of their own, at least and for each cube root of the vocabulary; words to either side.
+LEAST, OWN, SIDE = 3840, 25.0, 2
 WIDTH, HIDDEN, BATCH, CHUNK, RATE = 8, 32, 4096, 1 << 15, 0.05
 #: Keys of a part, bytes of a piece, and how many sightings of a neighbour the network's word is worth.
 PART, PIECE, ALPHA = 2_000_000, 4_000_000, 2.0
@@ -61,7 +61,7 @@ _END_WORD = _U(0x5851F42D4C957F2D)
 
 def own_words(vocabulary: int) -> int:
     """How many words have a class of their own."""
-    return 64 + int(np.ceil(OWN * vocabulary ** (1 / 3)))
+    return max(LEAST, int(np.ceil(OWN * vocabulary ** (1 / 3))))
 
 
 def _tails(texts: pa.Array) -> np.ndarray:

@@ -371,14 +371,16 @@ def test_likelihood_against_plain_counts(spark, rows, folder, empty, monkeypatch
     assert lm.corpus_likelihood(empty, lm.fit(empty)).count() == 0
 
 
-def test_classes_grow_with_the_vocabulary(spark):
+def test_classes_grow_with_the_vocabulary(spark, monkeypatch):
     """Every word that the rule gives a class of its own has one, in one part and in many."""
+    assert lm.own_words(1000) == lm.LEAST < lm.own_words(10**8) < lm.own_words(10**10)
+    monkeypatch.setattr(lm, "LEAST", 64)
     rng = random.Random(1)
     texts = [" ".join(f"v{int(rng.paretovariate(0.6))}" for _ in range(300)) for _ in range(100)]
     seen = Counter(w for t in texts for w in t.split())
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
     own = lm.own_words(len(seen))
-    assert lm.own_words(8 * len(seen)) - 64 == pytest.approx(2 * (own - 64), abs=1)
+    assert 64 < own < len(seen) and lm.own_words(8 * len(seen)) == pytest.approx(2 * own, abs=1)
     for bits in (0, 3):
         words, counts, tokens = lm.frequent_words(docs, bits)
         assert tokens == sum(seen.values()) and len(words) == own
