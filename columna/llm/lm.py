@@ -89,9 +89,18 @@ class WindowNet:
     size: np.ndarray | None = None  # tokens by class
 
     def __post_init__(self) -> None:
-        # One array holds the members' weights and, as a last row, their bias, for one product a cluster.
-        self.inner = np.concatenate((self.weights[5], self.weights[6][:, None]), 1)
-        self.weights = [*self.weights[:5], self.inner[:, :-1], self.inner[:, -1]]
+        # One array holds the clusters' weights and, as a last row, their bias; another one the members', for one product a cluster.
+        w = self.weights
+        self.outer, self.inner = np.concatenate((w[3], w[4][None])), np.concatenate((w[5], w[6][:, None]), 1)
+        self.weights = [*w[:3], self.outer[:-1], self.outer[-1], self.inner[:, :-1], self.inner[:, -1]]
+        self._kept: dict[str, np.ndarray] = {}
+
+    def _room(self, of: str, n: int, *shape: int) -> np.ndarray:
+        """An array to fill, the same from batch to batch, as memory that is new each time costs as much as the sums."""
+        got = self._kept.get(of)
+        if got is None or len(got) < n or got.shape[1:] != shape:
+            got = self._kept[of] = np.empty((n, *shape), np.float32)
+        return got[:n]
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, tokens: int, seed: int = 1) -> WindowNet:
@@ -124,7 +133,7 @@ class WindowNet:
     def windows(self, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(tokens, 2 * SIDE): the classes around each token, the end's beyond its text."""
         end = self.clusters * self.members
-        out = np.full((len(cls), 2 * SIDE), end)
+        out = np.full((len(cls), 2 * SIDE), end, np.int32)
         for j in range(1, min(SIDE, len(cls) - 1) + 1):
             same = row[j:] == row[:-j]
             out[j:, SIDE - j] = np.where(same, cls[:-j], end)
@@ -133,8 +142,21 @@ class WindowNet:
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = around + np.arange(2 * SIDE) * self.weights[0].shape[1]
-        x = self.weights[0].reshape(-1, WIDTH).take(places, 0).reshape(-1, 2 * SIDE * WIDTH)
-        return x, np.tanh(x @ self.weights[1] + self.weights[2])
+        x = self._room("x", len(around), 2 * SIDE, WIDTH)
+        x = self.weights[0].reshape(-1, WIDTH).take(places, 0, x, "clip").reshape(-1, 2 * SIDE * WIDTH)
+        h = np.matmul(x, self.weights[1], out=self._room("h", len(x), HIDDEN))
+        h += self.weights[2]
+        return x, np.tanh(h, out=h)
+
+    def _with_1(self, h: np.ndarray) -> np.ndarray:
+        """``h`` with a last column of 1."""
+        out = self._room("with_1", len(h), HIDDEN + 1)
+        out[:, :-1], out[:, -1] = h, 1
+        return out
+
+    def _clusters(self, h: np.ndarray) -> np.ndarray:
+        """Each cluster's logit (a column) in each window."""
+        return np.matmul(h, self.outer, out=self._room("clusters", len(h), self.clusters))
 
     def log_p(self, around: np.ndarray, cls: np.ndarray) -> np.ndarray:
         out = np.empty(len(cls))
@@ -149,21 +171,15 @@ class WindowNet:
         for at in range(0, len(cls), BATCH):
             some = by[at : at + BATCH]
             group, place = np.divmod(cls[some], self.members)
-            _, h = self.hidden(around.take(some, 0))
-            out[some] = _log_of(self._clusters(h), group, low) + _log_of(self._members(_with_1(h), _groups(group)), place, low)
+            h = self._with_1(self.hidden(around.take(some, 0))[1])
+            out[some] = _log_of(self._clusters(h), group, low) + _log_of(self._members(h, _groups(group)), place, low)
         return out
 
-    def _clusters(self, h: np.ndarray) -> np.ndarray:
-        """Each cluster's logit (a row) in each window (a column)."""
-        z = np.matmul(self.weights[3].T, h.T)
-        z += self.weights[4][:, None]
-        return z
-
     def _members(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
-        """The logits (rows) of the classes in each window's cluster; ``h`` with a last column of 1, windows by clusters."""
-        z = np.empty((self.members, len(h)), h.dtype)
+        """The logits (columns) of the classes in each window's cluster; ``h`` with a last column of 1, windows by clusters."""
+        z = self._room("members", len(h), self.members)
         for k, a, b in runs:
-            np.matmul(self.inner[k].T, h[a:b].T, out=z[:, a:b])
+            np.matmul(h[a:b], self.inner[k], out=z[a:b])
         return z
 
     def low(self) -> bool:
@@ -173,30 +189,33 @@ class WindowNet:
         least = min((self.weights[4] - outer).max(), (self.weights[6] - inner).max(1).min())
         return bool(most < 40 and least > -40)
 
-    def learn(self, around: np.ndarray, cls: np.ndarray, seen: list[np.ndarray]) -> None:
-        """One Adagrad step on the mean log-likelihood; ``seen``: the squares so far."""
+    def learn(self, around: np.ndarray, cls: np.ndarray, seen: list[np.ndarray], low: bool | None = None) -> None:
+        """One Adagrad step on the mean log-likelihood; ``seen``: the squares so far, ``low``: what :meth:`low` tells."""
+        low = self.low() if low is None else low
         by = _order(cls // self.members)
         around, (group, place) = around.take(by, 0), np.divmod(cls[by], self.members)
         x, h = self.hidden(around)
         w = self.weights
-        with_1, runs = _with_1(h), _groups(group)
-        low = self.low()
-        dz, d = _slope(self._clusters(h), group, low), _slope(self._members(with_1, runs), place, low)
-        dh = dz.T @ w[3].T
-        inner, back = np.empty((len(runs), *self.inner.shape[1:]), h.dtype), np.empty_like(h)
+        with_1, runs = self._with_1(h), _groups(group)
+        dz, d = _slope(self._clusters(with_1), group, low), _slope(self._members(with_1, runs), place, low)
+        dh = np.matmul(dz, w[3].T, out=self._room("dh", *h.shape))
+        inner, back = self._room("inner", len(runs), *self.inner.shape[1:]), self._room("back", *h.shape)
         for i, (k, a, b) in enumerate(runs):
-            np.matmul(with_1[a:b].T, d[:, a:b].T, out=inner[i])
-            np.matmul(d[:, a:b].T, w[5][k].T, out=back[a:b])
+            np.matmul(with_1[a:b].T, d[a:b], out=inner[i])
+            np.matmul(d[a:b], w[5][k].T, out=back[a:b])
         dh += back
-        dh *= 1 - h * h
+        h *= h
+        dh -= np.multiply(dh, h, out=h)
         # Embeddings and clusters that the batch doesn't have get no gradient, and stay as they are.
         met = (around + np.arange(2 * SIDE) * w[0].shape[1]).ravel()
         at = _order(met)
         met = met[at]
         begins = _begins(met)
-        outer = np.add.reduceat((dh @ w[1].T).reshape(-1, WIDTH).take(at, 0), begins)
+        dx = np.matmul(dh, w[1].T, out=self._room("dx", *x.shape)).reshape(-1, WIDTH)
+        outer = np.add.reduceat(dx.take(at, 0, self._room("dx by class", *dx.shape), "clip"), begins)
         _step(w[0].reshape(-1, WIDTH), seen[0].reshape(-1, WIDTH), outer, met[begins])
-        for i, g in ((1, x.T @ dh), (2, dh.sum(0)), (3, (dz @ h).T), (4, dz.sum(1))):
+        outer = with_1.T @ dz
+        for i, g in ((1, x.T @ dh), (2, dh.sum(0)), (3, outer[:-1]), (4, outer[-1])):
             _step(w[i], seen[i], g)
         some = None if len(runs) == self.clusters else np.array([k for k, *_ in runs])
         _step(w[5], seen[5], inner[:, :-1], some)
@@ -222,28 +241,27 @@ def _step(weight: np.ndarray, seen: np.ndarray, g: np.ndarray, some: np.ndarray
         weight[some] = step
 
 
-def _with_1(h: np.ndarray) -> np.ndarray:
-    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
-    out[:, :-1] = h
-    return out
-
-
 def _log_of(z: np.ndarray, at: np.ndarray, low: bool) -> np.ndarray:
-    """Of each column's log-softmax the value at its place; ``low``: the exponentials need no shift."""
+    """Of each row's log-softmax the value at its place; ``low``: the exponentials need no shift."""
     if not low:
-        z -= z.max(0)
-    own = z[at, np.arange(len(at))]
-    return own - np.log(np.exp(z, out=z).sum(0))
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(at)), at]
+    return own - np.log(_sums(np.exp(z, out=z)))
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    """The sum of each row; a product is faster than a sum of short rows."""
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def _slope(z: np.ndarray, at: np.ndarray, low: bool) -> np.ndarray:
     """The gradient by z of the mean of :func:`_log_of`."""
     n = len(at)
     if not low:
-        z -= z.max(0)
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= -1 / (n * z.sum(0))
-    z[at, np.arange(n)] += 1 / n
+    z *= (-1 / (n * _sums(z)))[:, None]
+    z[np.arange(n), at] += 1 / n
     return z
 
 
@@ -295,7 +313,7 @@ def train(texts: DataFrame, model: WindowNet, length: int = 0) -> WindowNet:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replace(model, weights=[x.copy() for x in model.weights])
-        seen, n = [np.full_like(x, 1e-8) for x in own.weights], 0
+        seen, n, steps, low = [np.full_like(x, 1e-8) for x in own.weights], 0, 0, False
         size = np.zeros(own.clusters * own.members, np.int64)
         for batch in batches:
             for _, part in pieces(batch.column("text")):
@@ -306,7 +324,11 @@ def train(texts: DataFrame, model: WindowNet, length: int = 0) -> WindowNet:
                 around = own.windows(cls, row)
                 mixed = np.random.default_rng(len(cls)).permutation(len(cls))
                 for at in range(0, len(cls), BATCH):
-                    own.learn(around[mixed[at : at + BATCH]], cls[mixed[at : at + BATCH]], seen)
+                    # A step moves no weight by more than RATE, so no logit by more than 1.65: within 40 they stay within 67.
+                    if steps % 16 == 0:
+                        low = own.low()
+                    steps += 1
+                    own.learn(around[mixed[at : at + BATCH]], cls[mixed[at : at + BATCH]], seen, low)
                 n += len(cls)
         flat = np.concatenate([x.ravel() for x in own.weights])
         # Slice i of the weights has slice i of the counts beside it, as long as there are any.

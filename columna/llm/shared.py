@@ -23,10 +23,6 @@ from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,26 +120,28 @@ def word_bounds(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint8), none, none, none
     data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    inside = ~_SPACE[data]
-    first = inside.copy()
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # Words end with their text, too.
     begins = ends[:-1][ends[:-1] < len(data)]
     first[begins] |= inside[begins]
+    begins = begins[begins > 0]
+    last[begins - 1] |= inside[begins - 1]
     begun = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) - begun + 1
     chars = data[inside]
     if lower:
-        chars = _LOWER[chars]
-    starts = np.flatnonzero(first[inside])
-    lengths = np.diff(np.append(starts, len(chars)))
-    row = np.searchsorted(ends, begun, "right") - 1
+        chars |= (chars - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(begun, ends)))
     if texts.null_count:
         valid = ~np.asarray(texts.is_null())
         if not valid[row].all():  # Arrow may leave bytes below a null
             live = valid[row]
             kept = np.repeat(live, lengths)
             chars, lengths, row = chars[kept], lengths[live], row[live]
-            starts = np.cumsum(lengths) - lengths
-    return chars, starts, lengths, row
+    return chars, np.cumsum(lengths) - lengths, lengths, row
 
 
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +154,28 @@ def hashes_of(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     """The hashes of words as :func:`word_bounds` gives them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(chars)) - np.repeat(starts, lengths)
-    value = _TABLE[((place & 63) << 8) | chars]
-    with np.errstate(over="ignore"):
-        if lengths.max() > 64:
-            value = value * (2 * (place >> 6) + 1).astype(np.uint64)
-        return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
+    # Place by place over the words that reach it, the longest first.
+    short = np.minimum(lengths, 65).astype(np.uint8)
+    by = np.argsort(short, kind="stable")[::-1]
+    at, sums, reach = starts[by], lengths[by].astype(np.uint64), len(by) - np.cumsum(np.bincount(short, minlength=66))
+    for j in range(min(int(lengths[by[0]]), 64)):
+        sums[: reach[j]] += _TABLE[j << 8 : (j + 1) << 8].take(chars.take(at[: reach[j]]))
+        at += 1
+    out = np.empty_like(sums)
+    out[by] = sums
+    if reach[64]:
+        long = by[: reach[64]]
+        out[long] = _long_sums(chars, starts[long], lengths[long])
+    return mix(out)
+
+
+def _long_sums(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What :func:`hashes_of` mixes, for words of over 64 bytes."""
+    begins = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(begins, lengths)
+    value = _TABLE[((place & 63) << 8) | chars[place + np.repeat(starts, lengths)]]
+    value *= (2 * (place >> 6) + 1).astype(np.uint64)
+    return np.add.reduceat(value, begins) + lengths.astype(np.uint64)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
