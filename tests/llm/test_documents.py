@@ -635,3 +635,32 @@ def test_pipeline_stages_with_odd_columns_on_repeated_rows(spark, docs, folder):
     for _, stage in p.STAGES[:3]:
         got = stage(spark, odd, folder)
         assert got.columns == odd.columns and got.count() > 0 and {r["meta.url"] for r in got.select("`meta.url`").collect()} == {"x"}
+
+
+def test_kinds_are_those_of_numpy():
+    """Few and many keys, repeats, and keys that differ in their last bits alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 5000):
+        for keys in (rng.integers(0, 3, n), rng.integers(0, 1 << 62, n), rng.integers(0, 1 << 20, n) << 40):
+            keys = np.concatenate((keys, keys[: n // 2], keys[: n // 3] + 1)).astype(np.uint64)
+            for got, want in zip(lm._kinds(keys), np.unique(keys, return_inverse=True), strict=True):
+                assert np.array_equal(got, want)
+
+
+def test_words_are_found_and_hashed_alike_in_any_place():
+    """A word has one hash, whatever stands around it, up to and beyond 64 bytes; texts end words; slices and nulls count."""
+    import pyarrow as pa
+
+    from columna.llm.shared import word_bounds, word_hashes
+
+    words = ["a", "Zoë", "@[`{", "\x1f", "x" * 63, "x" * 64, "x" * 65, "y" * 200]
+    texts = pa.array(["skipped", *words, " \t\x0b".join(words), None, "", *words[::-1]]).slice(1)
+    hashes, row = word_hashes(texts)
+    assert row.tolist() == [*range(8), *[8] * 8, *range(11, 19)]
+    assert hashes[:8].tolist() == hashes[8:16].tolist() == hashes[:15:-1].tolist() and len(set(hashes.tolist())) == 8
+    for lower in (True, False):
+        chars, starts, lengths, _ = word_bounds(texts, lower)
+        got = [chars[a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True)]
+        assert got[:8] == [w.encode().lower() if lower else w.encode() for w in words]
