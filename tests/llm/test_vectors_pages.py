@@ -234,6 +234,20 @@ def test_url_rules(spark, inline):
     assert {r["verdict"] for r in urlfilter.filter_urls(df, ()).collect()} == {"allow"}
 
 
+#: The contract's words, apart from the code's.
+CONTRACT = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+@pytest.mark.parametrize("inline", [256, 0])
+def test_verdicts_of_the_contract(spark, inline):
+    assert {r.text: r.verdict for r in urlfilter.RULES} == CONTRACT
+    urls = {f"http://{sub}{rule}{more}": rule for rule in CONTRACT for sub in ("", "www.") for more in ("", "x")}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for default in ("allow", "block"):
+        got = urlfilter.filter_urls(df, default=default, inline=inline).collect()
+        assert {list(urls)[r["page_id"]]: (r["rule"], r["verdict"]) for r in got} == {u: (rule, CONTRACT[rule]) for u, rule in urls.items()}
+
+
 PAGE = "<html lang='fr'><head><title>A &amp; B</title><style>p{}</style></head><body><p>One  two<b>!</b></p><script>x<y</script><a href=\"/u?a=1&amp;b=2\">go</a><!-- gone --> 3 &lt; 4</body></html>"
 
 
