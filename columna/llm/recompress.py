@@ -17,7 +17,8 @@ document is which of its symbols it is the first to have, and which nobody else
 
 What bounds a task's memory: names are pre-aggregated in runs of ``RUN`` records, so that a name that a third of all
 documents have is sent once a run; lookups and documents are dealt to buckets by hash, so many that each holds
-``bucket_bytes`` of text or what comes of it.  Documents are read in pieces of 1 MB; a longer text is a piece of its
+``bucket_bytes`` of text or what comes of it.  What a task has freed it gives back to the system, as Spark keeps its
+Python workers, and beside them the next tasks may run in others.  Documents are read in pieces of 1 MB; a longer text is a piece of its
 own.  Nothing but three numbers comes to the driver.
 
 Defined cases.  A null text has no words.  Documents are ordered by doc_id (null last), then by a hash of the text:
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import each_copy, hashes_of, keep, mix, pieces, release, word_bounds
+from .shared import each_copy, give_back, giving_back, hashes_of, keep, mix, pieces, release, word_bounds
 
 _U = np.uint64
 _FAR = 1 << 30
@@ -229,15 +230,24 @@ def _check(prints: np.ndarray) -> np.ndarray:
 def _sent(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Records in runs, each aggregated, by buckets of names."""
     held: list[np.ndarray] = []
+
+    def joined() -> np.ndarray:
+        out = np.concatenate(held)
+        held.clear()  # before they are sorted, as they are as large again
+        return out
+
+    def run() -> Iterator[pa.RecordBatch]:
+        some = _first(joined())
+        yield from _dealt((mix(some["name"]) % _U(buckets)).astype(np.int64), some)
+
     for records in found:
         held.append(records)
+        del records
         if sum(map(len, held)) >= RUN:
-            some = _first(np.concatenate(held))
-            held = []
-            yield from _dealt((mix(some["name"]) % _U(buckets)).astype(np.int64), some)
+            yield from run()
     if held:
-        some = _first(np.concatenate(held))
-        yield from _dealt((mix(some["name"]) % _U(buckets)).astype(np.int64), some)
+        yield from run()
+    give_back()
 
 
 def _looked_up(names: DataFrame, buckets: int) -> DataFrame:
@@ -251,7 +261,7 @@ def _looked_up(names: DataFrame, buckets: int) -> DataFrame:
         back["token"], back["more"] = _token(got["name"], got["check"], home), got["more"]
         return pa.Table.from_batches(_dealt((home % _U(buckets)).astype(np.int64), back), pa.schema([("b", pa.int64()), ("data", pa.binary())]))
 
-    return names.groupBy("b").applyInArrow(owners, "b long, data binary")
+    return names.groupBy("b").applyInArrow(lambda t: giving_back(owners, t), "b long, data binary")
 
 
 class _Piece:
@@ -391,6 +401,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
         more = [(*k, None, n - 1) for k, n in seen.items() if n > 1]
         held.append(pa.Table.from_arrays([pa.array([m[i] for m in more], f.type) for i, f in enumerate(_DOC)], schema=_DOC))
         yield from placed(pa.concat_tables(held))
+        held, seen = [], {}
+        give_back()
 
     placed = rows.mapInArrow(home, "b long, data binary")
 
@@ -425,7 +437,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
         later = table.filter(pa.array(waits)).append_column("settled", pa.array(settled_bits, pa.binary())).append_column("open", pa.array(open_bits, pa.binary()))
         return _with_bucket(ended, sent, [_squeezed(later)])
 
-    judged = keep(placed.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(judge, f"b long, {_OUT_SQL}, data binary"), "judged")
+    judged = keep(placed.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(lambda a, b: giving_back(judge, a, b), f"b long, {_OUT_SQL}, data binary"), "judged")
     waiting = judged.where("data is not null").select("b", "data")
 
     def window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +470,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = True, bucke
         return pa.table({**{c: table.column(c) for c in ("doc", "mark", "missing", "copies")}, **{k: pa.array(v, _OUT[k]) for k, v in out.items()}}).select(list(_OUT))
 
     columns = list(_OUT)
-    ended = waiting.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(finish, _OUT_SQL)
+    ended = waiting.groupBy("b").cogroup(looked.groupBy("b")).applyInArrow(lambda a, b: giving_back(finish, a, b), _OUT_SQL)
     done = keep(judged.where("data is null").select(*columns).unionAll(ended.select(*columns)), "deduplicated")
     release(judged)
     most = done.agg(F.max("copies")).first()[0] or 0

@@ -11,10 +11,11 @@ lower-cased.  Words are hashed to 64 bits by tabulation, straight from Arrow's b
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,21 @@ def release(*kept: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def give_back() -> None:
+    """Memory that numpy and Arrow have freed goes back to the system: a Python worker outlives its task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(f: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """``f(*tables)``, and :func:`give_back` when what it held is freed."""
+    out = f(*tables)
+    give_back()
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
