@@ -269,10 +269,28 @@ def covariance_vertical(x: Matrix) -> DataFrame:
     return _symmetric(x.source, x.cells, F.covar_pop)
 
 
-def covariance_horizontal(x: Matrix, block: int = 1024) -> DataFrame:
+def _round_half_up(v: np.ndarray, digits: int) -> np.ndarray:
+    """``v`` rounded, halves away from zero, zeros without sign."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = v * 10.0**digits
+        out = np.rint(scaled)
+        half = np.abs(scaled - out) == 0.5
+        if half.any():
+            s = scaled[half]
+            # Of what lies below half of the last digit, the product alone was rounded up to it.
+            out[half] = np.where(np.abs(v[half]) < 0.5 / 10.0**digits, 0.0, s + np.copysign(0.5, s))
+        out /= 10.0**digits
+        out += 0.0
+        whole = np.isfinite(scaled)
+    return out if whole.all() else np.where(whole, out, v)
+
+
+def covariance_horizontal(x: Matrix, block: int = 1024, digits: int | None = None) -> DataFrame:
     """(i, j, value) between rows, ``rows ** 2`` of them: blocks of rows meet in pairs, each pair once, its product mirrored.
 
     Of ``b`` blocks each row is sent ``b`` times, to the pairs of its block with those at or behind it and with those before it.
+    With ``digits`` values are rounded where they are made, each pair once: so many are made that rounding them
+    one by one behind takes most of the time.
     """
     c = x.cols
     rows = x.source.select(F.col(POS).alias("i"), F.array(*[e.cast("double") for e in _cells(x)]).alias("x"))
@@ -289,11 +307,17 @@ def covariance_horizontal(x: Matrix, block: int = 1024) -> DataFrame:
         a = np.flatnonzero(side == 0)
         same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
         b = a if same else np.flatnonzero(side == 1)
-        value = v[a] @ v[b].T / c
-        at, to, cells = np.repeat(i[a], len(b)), np.tile(i[b], len(a)), value.ravel()
+        value = v[a] @ v[b].T
+        value /= c
+        if digits is not None:
+            value = _round_half_up(value, digits)
+        # Each side of the diagonal is filled where it goes, without a copy between.
+        sides = 1 if same else 2
+        at, to, cells = np.empty((sides, *value.shape), i.dtype), np.empty((sides, *value.shape), i.dtype), np.empty((sides, *value.shape))
+        at[0], to[0], cells[:] = i[a][:, None], i[b], value
         if not same:
-            at, to, cells = np.concatenate((at, to)), np.concatenate((to, at)), np.concatenate((cells, cells))
-        return pa.table({"i": pa.array(at), "j": pa.array(to), "value": pa.array(cells)})
+            at[1], to[1] = to[0], at[0]
+        return pa.table({"i": pa.array(at.ravel()), "j": pa.array(to.ravel()), "value": pa.array(cells.ravel())})
 
     return left.unionAll(right).groupBy("p", "q").applyInArrow(product, "i long, j long, value double")
 

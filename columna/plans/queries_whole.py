@@ -205,8 +205,7 @@ def covariance_horizontal(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT vec_id, list_transform(x, lambda e: e - list_avg(x)) AS x FROM v) SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN abs(list_dot_product(a.x, b.x) / len(a.x)) < 5e-7 THEN 0 ELSE round(list_dot_product(a.x, b.x) / len(a.x), 6) END AS value FROM c a, c b")
 def covariance_horizontal_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """Between all pairs of embeddings."""
-    value = F.col("value")  # no signs of zeros
-    return stats.covariance_horizontal(_vectors(spark, sf)).select("i", "j", F.when(F.abs(value) < 5e-7, F.lit(0.0)).otherwise(F.round(value, 6)).alias("value"))
+    return stats.covariance_horizontal(_vectors(spark, sf), digits=6)
 
 
 @query("WITH v AS (SELECT vec_id, unnest(list_transform(embedding::DOUBLE[], lambda e: e - list_avg(embedding::DOUBLE[]))) AS x, unnest(range(0, len(embedding)))::INT AS j FROM embeddings) SELECT a.j AS i, b.j AS j, round(sum(a.x * b.x) / (count(*) - 1), 8) AS value FROM v a JOIN v b USING (vec_id) GROUP BY a.j, b.j")

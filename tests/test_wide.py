@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from columna.operators import models, rng, stats
 from columna.operators.matrix import POS, Matrix
+from columna.plans import queries_whole
 from columna.sources.build import from_cols, from_vec
 
 
@@ -49,6 +50,22 @@ def test_row_covariance_in_blocks(spark, wide):
     assert len(got) == 3600 and all(got[i, j] == pytest.approx(v) for (i, j), v in np.ndenumerate(np.cov(x, bias=True)))
 
 
+def test_row_covariance_is_rounded_where_it_is_made(spark, wide, tmp_path):
+    """Rounding rows**2 cells one by one in the plan took most of the query's time."""
+    m, x = wide
+    exact = {(r["i"], r["j"]): r["value"] for r in stats.covariance_horizontal(m, block=7).collect()}
+    got = {(r["i"], r["j"]): r["value"] for r in stats.covariance_horizontal(m, block=7, digits=3).collect()}
+    assert got.keys() == exact.keys() and all(abs(v - exact[k]) < 0.000501 and v == round(v, 3) for k, v in got.items())
+    v = np.array([0.5, 1.5, -0.5, -2.5, -0.25, 0.0, -0.0, 1e300, -1e307, math.inf, math.nan])
+    want = [1.0, 2.0, -1.0, -3.0, 0.0, 0.0, 0.0, 1e300, -1e307, math.inf, math.nan]
+    assert list(map(repr, stats._round_half_up(v, 0).tolist())) == list(map(repr, want))
+    assert list(map(repr, stats._round_half_up(np.array([5e-7, -5e-7, np.nextafter(5e-7, 0), -1e-9, 1e307]), 6).tolist())) == ["1e-06", "-1e-06", "0.0", "0.0", "1e+307"]
+    spark.createDataFrame([(0, 1, [1.0, 2.0, 4.0]), (1, 1, [2.0, 1.0, 1.0])], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries_whole.covariance_horizontal_embeddings(spark, str(tmp_path))
+    assert {(r["i"], r["j"]): r["value"] for r in found.collect()} == {(0, 0): 1.555556, (0, 1): -0.444444, (1, 0): -0.444444, (1, 1): 0.222222}
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_order_statistics(spark, monkeypatch):
     assert stats.median(from_vec(spark, [3.0, 1, 4, 1], 4, 1)) == 2 and stats.median(from_vec(spark, [3.0], 1, 1)) == 3
     many = Matrix(spark.range(20_001).select(F.col("id").alias(POS), ((F.col("id") * 7919) % 20_011).cast("double").alias("c0")), {"c0": F.col("c0")})
