@@ -50,6 +50,8 @@ _U = np.uint64
 #: Words with a class of their own, at least and for each cube root of the vocabulary; words to either side.
 LEAST, OWN, SIDE = 3840, 25.0, 2
 WIDTH, HIDDEN, BATCH, CHUNK, RATE = 8, 32, 4096, 1 << 15, 0.05
+#: Rows of a small product.
+ROWS = 256
 #: Keys of a part, bytes of a piece, and how many sightings of a neighbour the network's word is worth.
 PART, PIECE, ALPHA = 2_000_000, 4_000_000, 2.0
 #: The network's share of each prediction.
@@ -127,8 +129,19 @@ class WindowNet:
         rest = len(self.own) + (tails % _U(self.rest)).astype(np.int64)
         if not len(self.own):
             return rest
-        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-        return np.where(self.own[at] == hashes, self.order[at], rest)
+        # From where the own words of its first bits begin, each word goes on past smaller ones, of which there are few.
+        first, shift, most = self._starts()
+        at = first.take(hashes >> shift)
+        for _ in range(most):
+            at += self.own.take(at, mode="clip") < hashes
+        return np.where(self.own.take(at, mode="clip") == hashes, self.order.take(at, mode="clip"), rest)
+
+    def _starts(self) -> tuple[np.ndarray, np.uint64, int]:
+        """By their first bits: how many own words come before; how many bits are left; the most own words of the same ones."""
+        bits = min(20, len(self.own).bit_length() + 4)
+        shift = _U(64 - bits)
+        first = np.searchsorted(self.own, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return first, shift, int(np.diff(first, append=len(self.own)).max())
 
     def windows(self, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(tokens, 2 * SIDE): the classes around each token, the end's beyond its text."""
@@ -144,7 +157,7 @@ class WindowNet:
         places = around + np.arange(2 * SIDE) * self.weights[0].shape[1]
         x = self._room("x", len(around), 2 * SIDE, WIDTH)
         x = self.weights[0].reshape(-1, WIDTH).take(places, 0, x, "clip").reshape(-1, 2 * SIDE * WIDTH)
-        h = np.matmul(x, self.weights[1], out=self._room("h", len(x), HIDDEN))
+        h = _times(x, self.weights[1], self._room("h", len(x), HIDDEN))
         h += self.weights[2]
         return x, np.tanh(h, out=h)
 
@@ -156,7 +169,7 @@ class WindowNet:
 
     def _clusters(self, h: np.ndarray) -> np.ndarray:
         """Each cluster's logit (a column) in each window."""
-        return np.matmul(h, self.outer, out=self._room("clusters", len(h), self.clusters))
+        return _times(h, self.outer, self._room("clusters", len(h), self.clusters))
 
     def log_p(self, around: np.ndarray, cls: np.ndarray) -> np.ndarray:
         out = np.empty(len(cls))
@@ -181,7 +194,7 @@ class WindowNet:
         """The logits (columns) of the classes in each window's cluster; ``h`` with a last column of 1, windows by clusters."""
         z = self._room("members", len(h), self.members)
         for k, a, b in runs:
-            np.matmul(h[a:b], self.inner[k], out=z[a:b])
+            (np.dot if b - a < 2 * ROWS else _times)(h[a:b], self.inner[k], z[a:b])
         return z
 
     def low(self) -> bool:
@@ -199,33 +212,71 @@ class WindowNet:
         around, group = around.take(by, 0), group.take(by)
         place = cls.take(by) - group * self.members
         x, h = self.hidden(around)
-        w = self.weights
+        w, n = self.weights, len(cls)
         with_1, runs = self._with_1(h), _groups(group)
         dz, d = _slope(self._clusters(with_1), group, low), _slope(self._members(with_1, runs), place, low)
-        dh = np.matmul(dz, w[3].T, out=self._room("dh", *h.shape))
+        dh = _times(dz, w[3].T.copy(), self._room("dh", *h.shape))
         inner, back = self._room("inner", len(runs), *self.inner.shape[1:]), self._room("back", *h.shape)
+        turned = self._room("turned", self.clusters, self.members, HIDDEN)
+        np.copyto(turned, w[5].transpose(0, 2, 1))
         for i, (k, a, b) in enumerate(runs):
-            np.matmul(with_1[a:b].T, d[a:b], out=inner[i])
-            np.matmul(d[a:b], w[5][k].T, out=back[a:b])
+            some = d[a:b]
+            if b - a < 2 * ROWS:
+                np.dot(with_1[a:b].T, some, inner[i])
+                np.dot(some, turned[k], back[a:b])
+            else:
+                _turned_times(with_1[a:b], some, inner[i])
+                _times(some, turned[k], back[a:b])
         dh += back
         h *= h
         dh -= np.multiply(dh, h, out=h)
+        dx = _times(dh, w[1].T.copy(), self._room("dx", *x.shape))
         # Embeddings and clusters that the batch doesn't have get no gradient, and stay as they are.
-        met = (around + np.arange(2 * SIDE) * w[0].shape[1]).ravel()
-        at = _order(met)
-        met = met[at]
-        begins = _begins(met)
-        dx = np.matmul(dh, w[1].T, out=self._room("dx", *x.shape)).reshape(-1, WIDTH)
-        outer = np.add.reduceat(dx.take(at, 0, self._room("dx by class", *dx.shape), "clip"), begins)
-        _step(w[0].reshape(-1, WIDTH), seen[0].reshape(-1, WIDTH), outer, met[begins])
-        outer = with_1.T @ dz
-        for i, g in ((1, x.T @ dh), (2, dh.sum(0)), (3, outer[:-1]), (4, outer[-1])):
+        met, number = _numbers((around + np.arange(2 * SIDE) * w[0].shape[1]).ravel(), 2 * SIDE * w[0].shape[1])
+        g = np.empty((len(met), WIDTH), np.float32)
+        for i, column in enumerate(dx.reshape(-1, WIDTH).T.astype(np.float64, order="C")):
+            g[:, i] = np.bincount(number, column, len(met))
+        _step(w[0].reshape(-1, WIDTH), seen[0].reshape(-1, WIDTH), g, met)
+        outer = _turned_times(with_1, dz, np.empty_like(self.outer))
+        for i, g in ((1, _turned_times(x, dh, np.empty_like(w[1]))), (2, np.ones(n, np.float32) @ dh), (3, outer[:-1]), (4, outer[-1])):
             _step(w[i], seen[i], g)
         some = None if len(runs) == self.clusters else np.array([k for k, *_ in runs])
         _step(w[5], seen[5], inner[:, :-1], some)
         _step(w[6], seen[6], inner[:, -1], some)
 
 
+def _times(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``a @ b``, ROWS rows at a time: OpenBLAS packs nothing for products so small, which halved their time here."""
+    if len(a) < 2 * ROWS:
+        return np.dot(a, b, out)
+    n = len(a) // ROWS * ROWS
+    np.matmul(a[:n].reshape(-1, ROWS, a.shape[1]), b, out=out[:n].reshape(-1, ROWS, out.shape[1]))
+    if n < len(a):
+        np.dot(a[n:], b, out[n:])
+    return out
+
+
+def _turned_times(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` likewise, the rows' sums added up."""
+    if len(a) < 2 * ROWS:
+        return np.dot(a.T, b, out)
+    n = len(a) // ROWS * ROWS
+    np.matmul(a[:n].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, ROWS, b.shape[1])).sum(0, out=out)
+    if n < len(a):
+        out += a[n:].T @ b[n:]
+    return out
+
+
+def _numbers(of: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, all below ``most``, and the place of each number among them."""
+    there = np.zeros(most, bool)
+    there[of] = True
+    kinds = np.flatnonzero(there)
+    place = np.empty(most, np.int64)
+    place[kinds] = np.arange(len(kinds))
+    return kinds, place.take(of, mode="clip")
+
+
 def _step(weight: np.ndarray, seen: np.ndarray, g: np.ndarray, some: np.ndarray | None = None) -> None:
     """Adagrad on the whole array, or on some of its rows."""
     step = g * g
@@ -234,7 +285,7 @@ def _step(weight: np.ndarray, seen: np.ndarray, g: np.ndarray, some: np.ndarray
         np.sqrt(seen, out=step)
     else:
         step += seen.take(some, 0)
-        seen[some] = step
+        _put(seen, some, step)
         np.sqrt(step, out=step)
     np.divide(g, step, out=step)
     step *= RATE
@@ -242,14 +293,23 @@ def _step(weight: np.ndarray, seen: np.ndarray, g: np.ndarray, some: np.ndarray
         weight += step
     else:
         step += weight.take(some, 0)
-        weight[some] = step
+        _put(weight, some, step)
+
+
+def _put(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``to[at] = rows``; where it can, rows are copied whole, which is faster than number by number."""
+    if to.flags.c_contiguous and to.ndim == 2:
+        whole = np.dtype((np.void, to.shape[1] * to.itemsize))
+        to.view(whole)[:, 0][at] = rows.view(whole)[:, 0]
+    else:
+        to[at] = rows
 
 
 def _log_of(z: np.ndarray, at: np.ndarray, low: bool) -> np.ndarray:
     """Of each row's log-softmax the value at its place; ``low``: the exponentials need no shift."""
     if not low:
         z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(at)), at]
+    own = z.reshape(-1).take(np.arange(len(at)) * z.shape[1] + at)
     return own - np.log(_sums(np.exp(z, out=z)))
 
 
@@ -265,7 +325,7 @@ def _slope(z: np.ndarray, at: np.ndarray, low: bool) -> np.ndarray:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z *= (-1 / (n * _sums(z)))[:, None]
-    z[np.arange(n), at] += 1 / n
+    z.reshape(-1)[np.arange(n) * z.shape[1] + at] += z.dtype.type(1 / n)
     return z
 
 

@@ -170,19 +170,32 @@ def hashes_of(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     """The hashes of words as :func:`word_bounds` gives them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    # Place by place over the words that reach it, the longest first.
-    short = np.minimum(lengths, 65).astype(np.uint8)
-    by = np.argsort(short, kind="stable")[::-1]
-    at, sums, reach = starts[by], lengths[by].astype(np.uint64), len(by) - np.cumsum(np.bincount(short, minlength=66))
-    for j in range(min(int(lengths[by[0]]), 64)):
-        sums[: reach[j]] += _TABLE[j << 8 : (j + 1) << 8].take(chars.take(at[: reach[j]]))
-        at += 1
-    out = np.empty_like(sums)
-    out[by] = sums
-    if reach[64]:
-        long = by[: reach[64]]
-        out[long] = _long_sums(chars, starts[long], lengths[long])
-    return mix(out)
+    sums, cuts = np.empty(len(starts), np.uint64), np.searchsorted(starts, np.arange(0, len(chars), _HASHED)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        if a < b:
+            sums[a:b] = _sums_of(chars[starts[a] : starts[b - 1] + lengths[b - 1]], lengths[a:b])
+    long = np.flatnonzero(lengths > 64)
+    if len(long):
+        sums[long] = _long_sums(chars, starts[long], lengths[long])
+    return mix(sums)
+
+
+#: Bytes of words that are hashed in one go, so that their numbers stay near the processor.
+_HASHED = 1 << 16
+
+
+def _sums_of(chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What :func:`hashes_of` mixes, for words of up to 64 bytes that fill ``chars``; longer ones get no use from it."""
+    # Each byte's number in the table: 256 more than that of the byte before, and from 0 again where a word starts.
+    ends = np.cumsum(lengths)
+    at = np.full(len(chars), 256, np.int64)
+    at[0] = 0
+    at[ends[:-1]] -= lengths[:-1] << 8
+    np.cumsum(at, out=at)
+    at |= chars
+    sums = np.cumsum(_TABLE.take(at, mode="clip")).take(ends - 1)
+    sums[1:] -= sums[:-1].copy()
+    return sums + lengths.astype(np.uint64)
 
 
 def _long_sums(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -664,3 +664,86 @@ def test_words_are_found_and_hashed_alike_in_any_place():
         chars, starts, lengths, _ = word_bounds(texts, lower)
         got = [chars[a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True)]
         assert got[:8] == [w.encode().lower() if lower else w.encode() for w in words]
+
+
+def test_step_is_adagrad_on_the_plain_gradient():
+    """A step of few and of many windows, with clusters and embeddings that it has none of, against plain numpy in doubles."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    freq = np.sort(rng.integers(5, 5000, 90))[::-1]
+    for n in (1, 7, lm.ROWS, 2 * lm.ROWS - 1, 2 * lm.ROWS, 5 * lm.ROWS + 3):
+        net = lm.WindowNet.of(np.arange(90, dtype=np.uint64) << np.uint64(40), freq, int(freq.sum()) + 50)
+        around = rng.integers(0, 40, (n, 4))
+        cls = np.where(rng.random(n) < 0.8, rng.integers(0, 5, n), rng.integers(0, 60, n))
+        w, m = [x.astype(float) for x in net.weights], net.members
+        seen = [np.full_like(x, 1e-8) for x in net.weights]
+        net.learn(around, cls, seen)
+        g = [np.zeros_like(x) for x in w]
+        for a, c in zip(around, cls, strict=True):
+            x = np.concatenate([w[0][i, e] for i, e in enumerate(a)])
+            h, k = np.tanh(x @ w[1] + w[2]), c // m
+            dz, d = (np.eye(len(z))[at] - np.exp(z - z.max()) / np.exp(z - z.max()).sum() for z, at in ((h @ w[3] + w[4], k), (h @ w[5][k] + w[6][k], c % m)))
+            dh = (w[3] @ dz + w[5][k] @ d) * (1 - h * h)
+            for at, more in ((1, np.outer(x, dh)), (2, dh), (3, np.outer(h, dz)), (4, dz)):
+                g[at] += more / n
+            g[5][k] += np.outer(h, d) / n
+            g[6][k] += d / n
+            for i, e in enumerate(a):
+                g[0][i, e] += (w[1] @ dh)[i * lm.WIDTH : (i + 1) * lm.WIDTH] / n
+        for got, old, squares, by in zip(net.weights, w, seen, g, strict=True):
+            # A gradient of nearly nothing has no sure sign in float32.
+            sure = (np.abs(by) > 1e-5) | (by == 0)
+            assert np.allclose(squares, 1e-8 + by * by, rtol=1e-3, atol=1e-9)
+            assert np.allclose(got[sure], (old + lm.RATE * by / np.sqrt(1e-8 + by * by))[sure], rtol=1e-3, atol=1e-3)
+
+
+def test_products_of_small_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, lm.ROWS, 2 * lm.ROWS, 5 * lm.ROWS - 1, 5 * lm.ROWS + 1):
+        a, b, c = (rng.integers(-9, 9, s).astype(np.float32) for s in ((n, 33), (33, 64), (n, 64)))
+        assert np.array_equal(lm._times(a, b, np.empty((n, 64), np.float32)), a @ b)
+        assert np.array_equal(lm._turned_times(a, c, np.empty((33, 64), np.float32)), a.T @ c)
+    for of in (np.array([3, 0, 3, 9]), np.zeros(0, np.int64)):
+        assert all(np.array_equal(x, y) for x, y in zip(lm._numbers(of, 10), np.unique(of, return_inverse=True), strict=True))
+
+
+def test_words_are_hashed_in_short_runs(monkeypatch):
+    """Runs of any length give the same hashes, and hashing many words takes little room beside their hashes."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from columna.llm import shared
+
+    text = pa.array([" ".join(("a", "bc" * 31, "x" * 63, "y" * 64, "z" * 65, "w" * 300)) * 3])
+    want = shared.word_hashes(text)[0]
+    for run in (1, 63, 64, 65, 200):
+        monkeypatch.setattr(shared, "_HASHED", run)
+        assert np.array_equal(shared.word_hashes(text)[0], want)
+    monkeypatch.undo()
+    n = 300_000
+    chars, lengths = np.full(5 * n, 97, np.uint8), np.full(n, 5)
+    starts = np.cumsum(lengths) - lengths
+    tracemalloc.start()
+    shared.hashes_of(chars, starts, lengths)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 8 * n
+
+
+def test_own_words_are_found_by_their_first_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for own in (rng.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1), np.arange(40, dtype=np.uint64), ~np.arange(40, dtype=np.uint64)):
+        own = np.unique(own)
+        net = lm.WindowNet.of(own[::-1].copy(), np.full(len(own), 2), 9 * len(own))
+        with np.errstate(over="ignore"):
+            hashes = np.concatenate((own, own + np.uint64(1), own - np.uint64(1), rng.integers(0, 1 << 62, 99).astype(np.uint64)))
+        got = net.classes(hashes, np.zeros(len(hashes), np.uint64)).tolist()
+        number = {h: len(own) - 1 - i for i, h in enumerate(own.tolist())}
+        assert got == [number.get(h, len(own)) for h in hashes.tolist()]
