@@ -424,10 +424,11 @@ class _Pairs:
     def of(cls, h: np.ndarray, row: np.ndarray) -> _Pairs:
         same = row[1:] == row[:-1]
         last = np.flatnonzero(np.append(~same, True)) if len(h) else np.zeros(0, np.int64)
-        left = np.full(len(h), _END_WORD)
-        left[1:][same] = h[:-1][same]
-        end = np.full(len(last), _END_WORD)
-        return cls(np.concatenate((mix(h), mix(end), _pair(left, h), _pair(h[last], end))), same, last)
+        word, end = mix(h), np.full(len(last), _END_WORD)
+        ends = mix(end)
+        left = np.empty_like(word)
+        left[:1], left[1:] = ends[:1], np.where(same, word[:-1], mix(np.array([_END_WORD])))
+        return cls(np.concatenate((word, ends, _pair(left, h), _pair(word[last], end))), same, last)
 
     def sides(self, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """From each key's count: of each token, its own, its neighbours' (left, right) and its pairs' (left, right)."""
@@ -440,9 +441,10 @@ class _Pairs:
         return word, left, right, pair, after
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _pair(mixed: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a word, given mixed, and the word ``b`` to its right."""
     with np.errstate(over="ignore"):
-        return mix(mix(a) * _U(0x9E3779B97F4A7C15) + b)
+        return mix(mixed * _U(0x9E3779B97F4A7C15) + b)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:

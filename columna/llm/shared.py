@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 _U = np.uint64
+_LOWER = bytes(range(256)).lower()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,9 +148,7 @@ def word_bounds(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     last[begins - 1] |= inside[begins - 1]
     begun = np.flatnonzero(first)
     lengths = np.flatnonzero(last) - begun + 1
-    chars = data[inside]
-    if lower:
-        chars |= (chars - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+    chars = np.frombuffer(data.tobytes().translate(_LOWER if lower else None, b" \t\n\v\f\r"), np.uint8)
     row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(begun, ends)))
     if texts.null_count:
         valid = ~np.asarray(texts.is_null())
