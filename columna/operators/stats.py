@@ -285,41 +285,55 @@ def _round_half_up(v: np.ndarray, digits: int) -> np.ndarray:
     return out if whole.all() else np.where(whole, out, v)
 
 
+#: Bytes of a block of rows at most, and blocks in a partition of them: each task takes the pairs of two partitions.
+BLOCK_BYTES, BLOCKS_A_PART = 8_000_000, 16
+#: Cells that are sent from Python at a time, before they are mirrored, and in a run that its mirror follows.
+SENT_CELLS, RUN = 1 << 17, 64
+
+
 def covariance_horizontal(x: Matrix, block: int = 1024, digits: int | None = None) -> DataFrame:
     """(i, j, value) between rows, ``rows ** 2`` of them: blocks of rows meet in pairs, each pair once, its product mirrored.
 
-    Of ``b`` blocks each row is sent ``b`` times, to the pairs of its block with those at or behind it and with those before it.
-    With ``digits`` values are rounded where they are made, each pair once: so many are made that rounding them
-    one by one behind takes most of the time.
+    Rows are shuffled into blocks once, and each task reads two partitions of blocks from that one copy, so what lies on
+    disk besides the result grows as the rows, not as the pairs.  Short runs of cells are followed by their mirror, so near
+    that a file's codec finds the values repeated.  With ``digits`` values are rounded where they are made, each pair once:
+    so many are made that rounding them one by one behind takes most of the time.
     """
     c = x.cols
-    rows = x.source.select(F.col(POS).alias("i"), F.array(*[e.cast("double") for e in _cells(x)]).alias("x"))
-    numbered = rows.withColumn("b", F.floor(F.col("i") / block).cast("long"))
-    last = numbered.agg(F.max("b")).first()[0] or 0
-    every = lambda a, z: F.explode(F.sequence(a, z))
-    left = numbered.select("i", "x", F.col("b").alias("p"), every(F.col("b"), F.lit(last).cast("long")).alias("q"), F.lit(0).alias("side"))
-    right = numbered.where("b > 0").select("i", "x", every(F.lit(0).cast("long"), F.col("b") - 1).alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"))
-
-    def product(t: pa.Table) -> pa.Table:
-        side, i = np.asarray(t.column("side")), np.asarray(t.column("i"))
+    block = max(1, min(block, BLOCK_BYTES // (8 * c)))
+    rows = x.source.select(F.col(POS).cast("long").alias("i"), F.array(*[e.cast("double") for e in _cells(x)]).alias("x"))
+    numbered = rows.withColumn("p", F.floor(F.col("i") / block).cast("long"))
+    blocks = numbered.agg(F.count_distinct("p")).first()[0]
+    # Some tasks a core, too, where there are few blocks.
+    parts = max(1, min(blocks, max(-(-blocks // BLOCKS_A_PART), math.isqrt(8 * x.source.sparkSession.sparkContext.defaultParallelism))))
+
+    def cut(t: pa.Table) -> pa.Table:
+        i = np.asarray(t.column("i"), np.int64)
         v = np.asarray(t.column("x").combine_chunks().flatten(), np.float64).reshape(len(i), c)
         v = v - v.mean(1, keepdims=True)
-        a = np.flatnonzero(side == 0)
-        same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        b = a if same else np.flatnonzero(side == 1)
-        value = v[a] @ v[b].T
-        value /= c
-        if digits is not None:
-            value = _round_half_up(value, digits)
-        # Each side of the diagonal is filled where it goes, without a copy between.
-        sides = 1 if same else 2
-        at, to, cells = np.empty((sides, *value.shape), i.dtype), np.empty((sides, *value.shape), i.dtype), np.empty((sides, *value.shape))
-        at[0], to[0], cells[:] = i[a][:, None], i[b], value
-        if not same:
-            at[1], to[1] = to[0], at[0]
-        return pa.table({"i": pa.array(at.ravel()), "j": pa.array(to.ravel()), "value": pa.array(cells.ravel())})
-
-    return left.unionAll(right).groupBy("p", "q").applyInArrow(product, "i long, j long, value double")
+        return pa.table({"p": t.column("p")[:1], "i": pa.array([i.tobytes()], pa.binary()), "x": pa.array([v.tobytes()], pa.binary())})
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for p, i, v, q, j, w in zip(*t.columns, strict=True):
+                i, j = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(j.as_buffer(), np.int64)
+                value = np.frombuffer(v.as_buffer()).reshape(-1, c) @ np.frombuffer(w.as_buffer()).reshape(-1, c).T
+                value /= c
+                if digits is not None:
+                    value = _round_half_up(value, digits)
+                step = max(1, SENT_CELLS // len(j))
+                at = np.arange(len(j)) if p == q else np.argsort(np.tile(np.arange(len(j)) // RUN, 2), kind="stable")
+                back, at = at >= len(j), at % len(j)
+                to = j[at]
+                for k in range(0, len(i), step):
+                    here = i[k : k + step, None]
+                    cells = np.where(back, to, here), np.where(back, here, to), value[k : k + step].take(at, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.ravel()) for a in cells], ["i", "j", "value"])
+
+    held = numbered.groupBy("p").applyInArrow(cut, "p long, i binary, x binary").repartitionById(parts, F.pmod("p", F.lit(parts)).cast("int"))
+    others = held.select(F.col("p").alias("q"), F.col("i").alias("j"), F.col("x").alias("y"))
+    # No side is broadcast: the hint asks for the product of partitions at every size.
+    return held.join(others.hint("shuffle_replicate_nl"), F.col("p") <= F.col("q")).mapInArrow(products, "i long, j long, value double")
 
 
 def covariance_matrix(x: Matrix, axis: str = "col") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,42 @@ def test_row_covariance_is_rounded_where_it_is_made(spark, wide, tmp_path):
     assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_row_covariance_holds_rows_on_disk_once(spark, wide):
+    """Each row went to every pair of its block, so the shuffle grew as the square of the rows: 1,800 records for 60 rows here."""
+    m, x = wide
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    sent = lambda: sum((s := stages().apply(k)).shuffleWriteRecords() for k in range(stages().size()))
+    found = stats.covariance_horizontal(m, block=2)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = sent()
+    got = {(r["i"], r["j"]): r["value"] for r in found.collect()}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert len(got) == 3600 and all(got[i, j] == pytest.approx(v) for (i, j), v in np.ndenumerate(np.cov(x, bias=True)))
+    assert 60 <= sent() - before <= 60 + 30
+
+
+def test_row_covariance_is_small_when_written(spark, tmp_path):
+    """Both cells of a pair of rows lie near each other, so that the second one costs next to nothing."""
+    v = np.random.default_rng(1).normal(size=(512, 16)).round(3)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], f"{POS} long, x array<double>")
+    m = Matrix(df, {f"c{j}": F.col("x")[j] for j in range(16)})
+    stats.covariance_horizontal(m, block=128, digits=3).coalesce(1).write.parquet(f"{tmp_path}/out")
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(2) for f in tmp_path.glob("out/*.parquet")]
+    assert sum(c.num_values for c in columns) == 512 * 512
+    assert sum(c.total_compressed_size for c in columns) < 0.8 * sum(c.total_uncompressed_size for c in columns)
+
+
+def test_row_covariance_of_any_positions(spark):
+    """Blocks behind one below zero got no rows of the other, and a gap made as many blocks as fit in it."""
+    at, v = [-9, -3, 0, 5, 10**12], np.arange(15.0).reshape(5, 3) ** 2 % 7
+    df = spark.createDataFrame([(i, *r) for i, r in zip(at, v.tolist(), strict=True)], f"{POS} long, c0 double, c1 double, c2 double")
+    got = {(r["i"], r["j"]): r["value"] for r in stats.covariance_horizontal(Matrix.over(df), block=2).collect()}
+    assert got == {(at[i], at[j]): pytest.approx(c) for (i, j), c in np.ndenumerate(np.cov(v, bias=True))}
+    assert stats.covariance_horizontal(Matrix.over(df.where("false"))).collect() == []
+
+
 def test_order_statistics(spark, monkeypatch):
     assert stats.median(from_vec(spark, [3.0, 1, 4, 1], 4, 1)) == 2 and stats.median(from_vec(spark, [3.0], 1, 1)) == 3
     many = Matrix(spark.range(20_001).select(F.col("id").alias(POS), ((F.col("id") * 7919) % 20_011).cast("double").alias("c0")), {"c0": F.col("c0")})
